@@ -6,20 +6,38 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import exact_dedup, minhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts over whole ``documents``."""
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP5_SQL = r"""
+WITH k AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
+  FROM documents
+), g AS (
+  SELECT doc_id, body, first_value(doc_id) OVER (PARTITION BY body ORDER BY n DESC, doc_id) AS keep_id,
+         count(*) OVER (PARTITION BY body) AS group_size
+  FROM k
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
+"""
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates at 3-word shingles and Jaccard similarity 0.85 over whole ``documents``."""
     return minhash.near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op5_exact_dedup, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": OP5_SQL}
