@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash
+from . import exact_dedup, minhash, packing
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,13 +30,24 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 """
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates at 3-word shingles and Jaccard similarity 0.85 over whole ``documents``."""
     return minhash.near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_exact_dedup, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op5_exact_dedup, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
