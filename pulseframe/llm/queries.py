@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, packing
+from . import exact_dedup, minhash, mixing, packing, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,76 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 """
 
 
+#: (verdict, host, path) of the url rules.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the url of every row of ``pages``."""
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP6_SQL = """
+WITH p AS (
+  SELECT page_id, strpos(url, '://') AS colon, substr(url, strpos(url, '://') + 3) AS rest FROM pages
+), q AS (
+  SELECT page_id,
+         CASE WHEN colon > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+         CASE WHEN colon > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM p
+), rules(rule, rule_host, rule_path, verdict) AS (VALUES
+  ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
+  ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
+), fits AS (
+  SELECT q.*, rules.rule, rules.verdict,
+         row_number() OVER (PARTITION BY q.page_id, q.host, q.path ORDER BY length(rules.rule) DESC NULLS LAST) AS k
+  FROM q LEFT JOIN rules ON (q.host = rule_host OR ends_with(q.host, '.' || rule_host)) AND starts_with(q.path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE k = 1
+"""
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` mixed so that a source's share is proportional to the square root of its size."""
+    return mixing.mix(table(spark, sf_dir, "documents"), alpha=0.5, seed=7)
+
+
+OP7_SQL = """
+WITH RECURSIVE s AS (
+  SELECT source, sum(coalesce(length(text), 0) + 1) AS units FROM documents GROUP BY source
+), r AS (
+  SELECT source, 1.0::DOUBLE * (pow(units::DOUBLE, 0.5::DOUBLE) / (SELECT sum(pow(units::DOUBLE, 0.5::DOUBLE)) FROM s))
+                 * ((SELECT sum(units)::DOUBLE FROM s) / units::DOUBLE) AS rate
+  FROM s
+), m AS (
+  SELECT source, greatest(ceil(rate / 64.0::DOUBLE), 1)::INT AS parts, rate / greatest(ceil(rate / 64.0::DOUBLE), 1)::INT AS mean FROM r
+), cdf(source, mean, k, p, c) AS (
+  SELECT source, mean, 0, exp(-mean), exp(-mean) FROM m
+  UNION ALL
+  SELECT source, mean, k + 1, p * mean / (k + 1), c + p * mean / (k + 1) FROM cdf WHERE k < ceil(mean + 12 * sqrt(mean) + 24)
+), tables AS (
+  SELECT source, list(c ORDER BY k) AS c FROM cdf GROUP BY source
+), drawn AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, t.c, j.j,
+         ('0x' || substr(md5('7|' || coalesce(d.doc_id::VARCHAR, '') || '|' || j.j), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
+  FROM documents d JOIN m ON d.source IS NOT DISTINCT FROM m.source JOIN tables t ON d.source IS NOT DISTINCT FROM t.source
+  CROSS JOIN LATERAL (SELECT unnest(range(1, m.parts + 1)) AS j) j
+), counted AS (
+  SELECT doc_id, text, lang, source, n_chars, sum(len(list_filter(c, lambda x: x < u)))::INT AS copies
+  FROM drawn GROUP BY doc_id, text, lang, source, n_chars
+)
+SELECT doc_id, text, lang, source, n_chars, copy::INT AS copy, copies,
+       md5('order|7|' || coalesce(doc_id::VARCHAR, '') || '|' || copy) AS shuffle_key
+FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted WHERE copies > 0)
+"""
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` packed into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -47,8 +117,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_exact_dedup, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op5_exact_dedup, op6_url_filters, op7_source_mixing, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_source_mixing": OP7_SQL}
