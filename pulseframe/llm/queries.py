@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing, url_filter
+from . import exact_dedup, language_id, minhash, mixing, packing, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +100,12 @@ FROM (SELECT *, unnest(range(1, copies + 1)) AS copy FROM counted WHERE copies >
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of ``documents``, learned from its rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.learn(docs))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` packed into sequences of at most 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -117,7 +123,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_exact_dedup, op6_url_filters, op7_source_mixing, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op5_exact_dedup, op6_url_filters, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
