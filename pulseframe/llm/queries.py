@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, minhash, mixing, packing, url_filter
+from . import exact_dedup, language_id, minhash, mixing, packing, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of ``documents``, learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts over whole ``documents``."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -123,7 +129,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_exact_dedup, op6_url_filters, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op5_exact_dedup, op6_url_filters, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
