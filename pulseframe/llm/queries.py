@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, minhash, mixing, packing, quality, toxicity, url_filter
+from . import exact_dedup, html_text, language_id, minhash, mixing, packing, pivot_index, quality, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,35 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all ``embeddings`` at cosine 0.9."""
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(a, b) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), n AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+), c AS (
+  SELECT a, min(b) AS component FROM reach GROUP BY a
+)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.component, vec_id) AS component_id, vec_id = coalesce(c.component, vec_id) AS kept
+FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+"""
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every row of ``pages``."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance resampling of whole ``documents`` towards the texts labelled quality 1.
 
@@ -138,8 +167,8 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op4_quality_resampling, op5_exact_dedup, op6_url_filters, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_html_extraction, op4_quality_resampling, op5_exact_dedup, op6_url_filters, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_source_mixing": OP7_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_source_mixing": OP7_SQL}
