@@ -240,3 +240,10 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, permutat
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def keep_representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_components` keeps, with all their columns; rows without doc_id stay."""
+    report = near_components(docs, words, percent)
+    dropped = materialize(report.where("not kept").select("doc_id").distinct(), "minhash-dropped")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
