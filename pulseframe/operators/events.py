@@ -71,12 +71,13 @@ def event_counter(events: DataFrame, keys: Sequence[str] = (), start: int = 0, s
 def sr_latch(sets: DataFrame, resets: DataFrame, keys: Sequence[str] = (), initial: bool = False, t0: int = 0) -> DataFrame:
     """Level that sets turn high and resets low; sets come first at one time, so that both together end low.
 
-    Starts with ``initial`` at ``t0``; rows follow only where the state changes.
+    Starts with ``initial`` at ``t0``; rows follow only where the state changes. ``seq`` numbers the merged inputs.
     """
     both = sets.select(*keys, TS, SEQ, F.lit(True).alias("value"), F.lit(0).alias("_side"))
     both = both.unionByName(resets.select(*keys, TS, SEQ, F.lit(False).alias("value"), F.lit(1).alias("_side")))
-    before = F.lag("value", 1, initial).over(ordered(keys, "_side"))
-    moved = both.withColumn("_before", before).where(F.col("value") != F.col("_before")).select(*keys, TS, SEQ, "value")
+    order = ordered(keys, "_side")
+    before = F.lag("value", 1, initial).over(order)
+    moved = both.withColumns({"_before": before, SEQ: F.row_number().over(order).cast("long")}).where(F.col("value") != F.col("_before")).select(*keys, TS, SEQ, "value")
     first = both.select(*keys).distinct().select(*keys, F.lit(t0).cast("long").alias(TS), F.lit(-1).cast("long").alias(SEQ), F.lit(initial).alias("value"))
     return first.unionByName(moved)
 

@@ -68,7 +68,7 @@ def logic_gate(inputs: Sequence[DataFrame], keys: Sequence[str], operation: str,
     """The combined level of several: initial row at ``t0``, then a row whenever the output changes.
 
     Inputs start low and are merged one change at a time, lower inputs first, so opposite changes at one time can
-    give a level of no width; ``coalesce_ties`` keeps only what an instant ends with.
+    give a level of no width; ``coalesce_ties`` keeps only what an instant ends with. ``seq`` numbers the merged rows.
     """
     if operation == "NOT" and len(inputs) != 1:
         raise StreamError("NOT takes one input")
@@ -79,7 +79,8 @@ def logic_gate(inputs: Sequence[DataFrame], keys: Sequence[str], operation: str,
         rows = rows.withColumn("_last", last.isNull() | (last != F.col(TS))).where("_last")
     initial = gate_of([F.lit(False)] * len(inputs), operation)
     before = F.coalesce(F.lag("value").over(ordered(keys, "_input")), initial)
-    moved = rows.withColumn("_before", before).where(F.col("value") != F.col("_before")).select(*keys, TS, SEQ, "value")
+    number = F.row_number().over(ordered(keys, "_input")).cast("long")
+    moved = rows.withColumns({"_before": before, SEQ: number}).where(F.col("value") != F.col("_before")).select(*keys, TS, SEQ, "value")
     first = rows.select(*keys).distinct().select(*keys, F.lit(t0).cast("long").alias(TS), F.lit(-1).cast("long").alias(SEQ), initial.alias("value"))
     return first.unionByName(moved)
 

@@ -22,8 +22,9 @@ def text_formatter(inputs: Sequence[DataFrame], keys: Sequence[str], template: s
         return inputs[0].select(*keys, TS, SEQ, template_text(template, [F.col("value")]).alias("value"))
     rows = merged(inputs, keys, initial=F.lit(0).cast("long"))
     rows = rows.withColumn("value", template_text(template, [F.col(f"v{i}") for i in range(len(inputs))]))
-    before = F.lag("value").over(ordered(keys, "_input"))
-    return rows.withColumn("_before", before).where(~F.col("value").eqNullSafe(F.col("_before"))).select(*keys, TS, SEQ, "value")
+    order = ordered(keys, "_input")
+    rows = rows.withColumns({"_before": F.lag("value").over(order), SEQ: F.row_number().over(order).cast("long")})
+    return rows.where(~F.col("value").eqNullSafe(F.col("_before"))).select(*keys, TS, SEQ, "value")
 
 
 def timed_formatter(numbers: DataFrame, templates: DataFrame, keys: Sequence[str], known: Sequence[str]) -> DataFrame:

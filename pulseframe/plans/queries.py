@@ -93,7 +93,7 @@ def l4_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT user_id, ts_ns, seq, i, coalesce(last_value(a IGNORE NULLS) OVER w, false) AS a, coalesce(last_value(b IGNORE NULLS) OVER w, false) AS b, coalesce(last_value(c IGNORE NULLS) OVER w, false) AS c
   FROM g WINDOW w AS (PARTITION BY user_id ORDER BY ts_ns, i, seq ROWS UNBOUNDED PRECEDING)
 ), o AS (
-  SELECT *, lag(o, 1, false) OVER (PARTITION BY user_id ORDER BY ts_ns, i, seq) AS p FROM (SELECT *, (a::INT + b::INT + c::INT) % 2 = 1 AS o FROM m)
+  SELECT user_id, ts_ns, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, i, seq) AS seq, o, lag(o, 1, false) OVER (PARTITION BY user_id ORDER BY ts_ns, i, seq) AS p FROM (SELECT *, (a::INT + b::INT + c::INT) % 2 = 1 AS o FROM m)
 )
 SELECT user_id, ts_ns, seq, o AS value FROM o WHERE o <> p
 UNION ALL SELECT DISTINCT user_id, {T0}, -1, false FROM ev"""
@@ -211,7 +211,7 @@ def e3_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.event_counter(b.occurrences(spark, sf_dir, "signup"), KEYS, 100, 5, T0)
 
 
-LATCH = f"""+ s AS (SELECT user_id, ts_ns, seq, kind = 'signup' AS v, lag(kind = 'signup', 1, false) OVER (PARTITION BY user_id ORDER BY ts_ns, seq) AS p FROM ev WHERE kind IN ('signup', 'error')),
+LATCH = f"""+ s AS (SELECT user_id, ts_ns, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, seq) AS seq, kind = 'signup' AS v, lag(kind = 'signup', 1, false) OVER (PARTITION BY user_id ORDER BY ts_ns, seq) AS p FROM ev WHERE kind IN ('signup', 'error')),
 latch AS (SELECT user_id, ts_ns, seq, v AS value FROM s WHERE v <> p UNION ALL SELECT DISTINCT user_id, {T0}, -1, false FROM s)"""
 
 
