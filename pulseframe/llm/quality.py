@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, is_learnable, materialize
+from .common import is_held_out, is_learnable, materialize, unit_hash
 from .mixing import hashed_unit
 from .textkernel import Chunk, chunks, hash_runs, lowered
 from .toxicity import is_word
@@ -23,6 +23,8 @@ from .toxicity import is_word
 BITS = 16
 #: The n-grams' log-ratios are averaged and multiplied by this before noise is added.
 SCALE = 40.0
+#: Labelled rows that the target model is learned from.
+LEARN_ROWS = 1_000_000
 
 RESULT = "doc_id long, held_out boolean, log_weight double, n_grams long"
 
@@ -75,10 +77,15 @@ def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = 1.0) -> np.nd
     return (np.log((target + strength * base) / (target.sum() + strength)) - np.log(base)).astype(np.float32)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> np.ndarray:
-    """The log-ratio of each bucket: target from learnable rows labelled quality 1, raw from every row of ``docs``."""
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    target = docs.where(is_learnable(F.col("doc_id"))).select("doc_id", "text").join(good, "doc_id", "left_semi")
+def learn(docs: DataFrame, labels: DataFrame, max_good: int = LEARN_ROWS, seed: int = 13) -> np.ndarray:
+    """The log-ratio of each bucket: raw model from every row of ``docs``, target from learnable rows labelled quality 1.
+
+    At most about ``max_good`` labelled rows, taken by a hash of doc_id, are learned from; that bounds the ids that
+    are sent to all executors.
+    """
+    good = labels.where(is_learnable(F.col("doc_id")) & (F.col("quality") == 1)).select("doc_id").distinct()
+    good = good.where(unit_hash(F.col("doc_id"), seed) < max_good / max(good.count(), 1))
+    target = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left_semi")
     return log_ratio(bag_counts(target), bag_counts(docs))
 
 
