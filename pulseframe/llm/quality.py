@@ -70,11 +70,14 @@ def bag_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    """Log of target over raw probability of each bucket, both smoothed by the raw model."""
-    base = (raw + smooth) / (raw + smooth).sum()
-    strength = max(1.0, 0.02 * target.sum())
-    return (np.log((target + strength * base) / (target.sum() + strength)) - np.log(base)).astype(np.float32)
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = 8.0) -> np.ndarray:
+    """Log of target over raw probability of each bucket.
+
+    The count that the raw model would give a target of this size is compared with the target's count, both with
+    ``prior`` added, so that a bucket seen too seldom to tell counts little either way.
+    """
+    expected = raw * (target.sum() / max(raw.sum(), 1))
+    return np.log((target + prior) / (expected + prior)).astype(np.float32)
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_good: int = LEARN_ROWS, seed: int = 13) -> np.ndarray:
