@@ -85,10 +85,11 @@ def l4_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""+ g AS (
-  SELECT user_id, ts_ns, seq, (((amount > 20)::INT + (amount > 35)::INT + (kind = 'view')::INT) % 2 = 1) AS v3,
-         i, CASE WHEN i = 0 THEN amount > 20 END AS a, CASE WHEN i = 1 THEN amount > 35 END AS b, CASE WHEN i = 2 THEN kind = 'view' END AS c
-  FROM ev CROSS JOIN (VALUES (0), (1), (2)) x(i)
+    f"""+ x AS (
+  SELECT user_id, ts_ns, seq, i, CASE i WHEN 0 THEN amount > 20 WHEN 1 THEN amount > 35 ELSE kind = 'view' END AS x FROM ev CROSS JOIN (VALUES (0), (1), (2)) x(i)
+), g AS (
+  SELECT user_id, ts_ns, seq, i, CASE WHEN i = 0 THEN x END AS a, CASE WHEN i = 1 THEN x END AS b, CASE WHEN i = 2 THEN x END AS c
+  FROM (SELECT *, lag(x) OVER (PARTITION BY user_id, i ORDER BY ts_ns, seq) AS px FROM x) WHERE px IS NULL OR x <> px
 ), m AS (
   SELECT user_id, ts_ns, seq, i, coalesce(last_value(a IGNORE NULLS) OVER w, false) AS a, coalesce(last_value(b IGNORE NULLS) OVER w, false) AS b, coalesce(last_value(c IGNORE NULLS) OVER w, false) AS c
   FROM g WINDOW w AS (PARTITION BY user_id ORDER BY ts_ns, i, seq ROWS UNBOUNDED PRECEDING)
