@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .textkernel import cuts
 
 SEQUENCE = 2048
 #: Word pieces whose ids a Python worker remembers.
-CACHE_WORDS = 500_000
-CHUNK_BYTES = 3_000_000
+CACHE_WORDS = 200_000
+CHUNK_BYTES = 1_500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
 
@@ -75,18 +76,29 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def __call__(self, words: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each word piece."""
-        out = list(map(self.known.get, words))
-        new = [i for i, x in enumerate(out) if x is None]
+        """Little-endian unsigned 32-bit ids of each word piece.
+
+        Two generations are remembered; a word used again moves to the recent one, so that frequent words stay.
+        """
+        out = list(map(self.recent.get, words))
+        new = []
+        for i, x in enumerate(out):
+            if x is None:
+                x = out[i] = self.older.get(words[i])
+                if x is None:
+                    new.append(i)
+                else:
+                    self.recent[words[i]] = x
         if new:
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known = {}
             coded = self.tokenizer.encode_batch_fast([words[i].decode() for i in new], add_special_tokens=False)
             for i, e in zip(new, coded, strict=True):
-                out[i] = self.known[words[i]] = array("I", e.ids).tobytes()
+                out[i] = self.recent[words[i]] = array("I", e.ids).tobytes()
+        if len(self.recent) > CACHE_WORDS // 2:
+            self.recent, self.older = {}, self.recent
         return out
 
     def whole(self, text: str) -> np.ndarray:
@@ -128,13 +140,9 @@ def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
 
 
 def text_chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
-    ids, texts, begin, held = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0, 0
-    for i, text in enumerate(texts):
-        texts[i] = text or ""
-        held += len(texts[i])
-        if held >= CHUNK_BYTES or i + 1 == len(texts):
-            yield ids[begin : i + 1], texts[begin : i + 1]
-            begin, held = i + 1, 0
+    for begin, end in cuts(batch.column(1), CHUNK_BYTES, len(batch)):
+        rows = batch.slice(begin, end - begin)
+        yield rows.column(0).to_pylist(), [x or "" for x in rows.column(1).to_pylist()]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, separator: int = 0, length: int = SEQUENCE) -> DataFrame:

@@ -12,8 +12,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 400_000
 CHUNK_ROWS = 2_048
 
 #: Of the multiplicative hashing; any odd numbers with well spread bits do.
@@ -102,19 +103,24 @@ def hash_runs(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix64(np.add.reduceat(terms, at) + size.astype(np.uint64) * GOLDEN)
 
 
+def cuts(texts: pa.Array, most_bytes: int, most_rows: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``most_rows`` rows that end once ``most_bytes`` are reached."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = min(int(np.searchsorted(ends, before + most_bytes)) + 1, begin + most_rows, len(texts))
+        yield begin, end
+        begin = end
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[Chunk]:
     """Split Arrow batches into chunks of at most ``CHUNK_ROWS`` rows and about ``CHUNK_BYTES``; null is empty."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        begin, held = 0, 0
-        for i, text in enumerate(texts):
-            texts[i] = text or ""
-            held += len(texts[i])
-            if held >= CHUNK_BYTES or i + 1 - begin >= CHUNK_ROWS:
-                yield Chunk(texts[begin : i + 1], batch.slice(begin, i + 1 - begin))
-                begin, held = i + 1, 0
-        if begin < len(texts):
-            yield Chunk(texts[begin:], batch.slice(begin))
+        at = batch.schema.get_field_index(column)
+        for begin, end in cuts(batch.column(at), CHUNK_BYTES, CHUNK_ROWS):
+            rows = batch.slice(begin, end - begin)
+            yield Chunk([x or "" for x in rows.column(at).to_pylist()], rows)
 
 
 def word_shingles(chunk: Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
