@@ -682,6 +682,21 @@ def k3_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "filename", F.decode("data", "utf-8").alias("content"))
 
 
+@query(
+    ROUTED
+    + """, wi AS (SELECT user_id, ts_ns, name, w, row_number() OVER (PARTITION BY user_id, w ORDER BY ts_ns, seq) - 1 AS i FROM rt),
+e AS (SELECT ch.user_id, ch.ts_ns, ch.seq, ch.v, wi.i, wi.ts_ns AS hit, wi.w, wi.name FROM (SELECT * FROM ch WHERE p IS NOT NULL) ch ASOF JOIN wi ON wi.user_id = ch.user_id AND ch.ts_ns <= wi.ts_ns),
+c AS (SELECT *, sum(v::INT) OVER (PARTITION BY user_id, w ORDER BY ts_ns, seq) AS cycle FROM e WHERE i > 0),
+g AS (SELECT user_id, w, name, cycle, min(i) FILTER (v) AS ri, min(ts_ns) FILTER (v) AS rt, min(i) FILTER (NOT v) AS fi, min(ts_ns) FILTER (NOT v) AS ft, min(hit) FILTER (v) AS ra, min(hit) FILTER (NOT v) AS fa FROM c WHERE cycle > 0 GROUP BY ALL),
+n AS (SELECT *, lead(ri) OVER (PARTITION BY user_id, w ORDER BY cycle) AS nx FROM g)
+SELECT user_id, name AS filename, cycle::BIGINT AS cycle, coalesce(ri, 0) AS rise_word, coalesce(rt, 0) AS rise_ns, coalesce(fi, 0) AS fall_word, coalesce(ft, 0) AS fall_ns,
+  CASE WHEN nx IS NULL OR ri < nx THEN coalesce(ri, 0) ELSE 0 END AS rise_after_word, CASE WHEN nx IS NULL OR ri < nx THEN coalesce(ra, 0) ELSE 0 END AS rise_after_ns,
+  CASE WHEN nx IS NULL OR fi < nx THEN coalesce(fi, 0) ELSE 0 END AS fall_after_word, CASE WHEN nx IS NULL OR fi < nx THEN coalesce(fa, 0) ELSE 0 END AS fall_after_ns FROM n"""
+)
+def k4_line_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.line_clock_records(b.words(spark, sf_dir), file_names(spark, sf_dir), b.level(spark, sf_dir), KEYS).drop("window")
+
+
 @query(
     LATCH
     + f""", t AS (SELECT * FROM ev WHERE number % 2 = 0), g AS (SELECT t.* FROM t ASOF JOIN latch ON latch.user_id = t.user_id AND t.ts_ns >= latch.ts_ns WHERE latch.value),

@@ -67,24 +67,31 @@ def csv_lines(routed_words: DataFrame, keys: Sequence[str], hexadecimal: bool =
 
 
 def line_clock_records(words: DataFrame, names: DataFrame, clock: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """For each clock cycle of a file window: word index and time of the first word after rising and falling edge and after.
+    """One row for each clock cycle of a file window, from one rising edge to the next.
 
-    Columns: window, filename, cycle, rise_ns, rise_word, rise_word_ns, fall_ns, fall_word, fall_word_ns; what is
-    missing is 0. The window opens at its first word; word indexes count from 0 in it.
+    Word indexes count from 0 in the window, which opens at its first word; an edge belongs to the window of the
+    first word at or after it and counts unless that word is the window's first. Columns: window, filename, cycle,
+    rise_word and rise_ns (index at the edge, time of the edge), fall_word and fall_ns, then index and time of the
+    first word after each, given only if that index is below the next rising edge's. What is missing is 0.
     """
     own = routed(words, names, keys)
-    own = own.withColumn("_i", F.row_number().over(ordered([*keys, "window"])).cast("long") - 1)
+    own = own.withColumns({"_i": F.row_number().over(ordered([*keys, "window"])).cast("long") - 1, "_at": F.col(TS)})
     edges = clock.withColumn("_before", F.lag("value").over(ordered(keys))).where(F.coalesce(F.col("value") != F.col("_before"), F.lit(False)))
-    next_word = as_of(edges, own.withColumn("_at", F.col(TS)), keys, {"window": "window", "filename": "filename", "_i": "_word", "_at": "_word_ns"}, forward=True, inclusive=True)
-    open_ = next_word.where(F.col("_word") > 0)
-    w = running([*keys, "window"])
-    cycle = F.sum(F.col("value").cast("int")).over(w)
-    rows = open_.withColumn("cycle", cycle)
+    found = as_of(edges, own, keys, {"window": "window", "filename": "filename", "_i": "_word", "_at": "_word_ns"}, forward=True, inclusive=True)
+    rows = found.where(F.col("_word") > 0).withColumn("cycle", F.sum(F.col("value").cast("long")).over(running([*keys, "window"])))
+    pick = lambda side, c: F.min(F.when(side, F.col(c)))
     up, down = F.col("value"), ~F.col("value")
-    pick = lambda side, c: F.coalesce(F.min(F.when(side, F.col(c))), F.lit(0)).cast("long")
-    return rows.where("cycle > 0").groupBy(*keys, "window", "filename", "cycle").agg(
-        pick(up, TS).alias("rise_ns"), pick(up, "_word").alias("rise_word"), pick(up, "_word_ns").alias("rise_word_ns"),
-        pick(down, TS).alias("fall_ns"), pick(down, "_word").alias("fall_word"), pick(down, "_word_ns").alias("fall_word_ns"),
+    cycles = rows.where("cycle > 0").groupBy(*keys, "window", "filename", "cycle").agg(
+        pick(up, "_word").alias("rise_word"), pick(up, TS).alias("rise_ns"), pick(down, "_word").alias("fall_word"), pick(down, TS).alias("fall_ns"),
+        pick(up, "_word_ns").alias("_rise_at"), pick(down, "_word_ns").alias("_fall_at"),
+    )
+    cycles = cycles.withColumn("_next", F.lead("rise_word").over(Window.partitionBy(*keys, "window").orderBy("cycle")))
+    kept = lambda word, c: F.coalesce(F.when(F.col("_next").isNull() | (F.col(word) < F.col("_next")), F.col(c)), F.lit(0).cast("long"))
+    plain = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return cycles.select(
+        *keys, "window", "filename", "cycle", plain("rise_word"), plain("rise_ns"), plain("fall_word"), plain("fall_ns"),
+        kept("rise_word", "rise_word").alias("rise_after_word"), kept("rise_word", "_rise_at").alias("rise_after_ns"),
+        kept("fall_word", "fall_word").alias("fall_after_word"), kept("fall_word", "_fall_at").alias("fall_after_ns"),
     )
 
 

@@ -235,3 +235,13 @@ def test_files(spark, word_table, stream, tmp_path):
     assert [r["line"] for r in sinks.csv_lines(routed, K, True, 4).orderBy("ts_ns").collect()] == ["0,5,0041", "0,10,0042", "1,20,0043"]
     with pytest.raises(StreamError):
         sinks.routed(rows, None, K)
+
+
+def test_line_clock(word_table, stream):
+    rows = word_table([(t, 1, 0) for t in range(100, 106)])
+    clock = stream([(0, False), (101, True), (103, False)], "value")
+    row = sinks.line_clock_records(rows, stream([(0, "a.bin")], "value", kinds="string"), clock, K).first()
+    assert tuple(row)[4:] == (1, 101, 3, 103, 1, 101, 3, 103)
+    early = stream([(0, False), (50, True), (101, False), (102, True), (102, False)], "value")
+    found = sinks.line_clock_records(rows, stream([(0, "a.bin")], "value", kinds="string"), early, K).collect()
+    assert [tuple(r)[4:] for r in found] == [(2, 102, 2, 102, 2, 102, 2, 102)]
