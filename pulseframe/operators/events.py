@@ -12,10 +12,13 @@ from ..schema import SEQ, TS, require
 from .timeline import as_of, greedy, ordered, part_codes, running, scan_sorted
 
 
-def event_gate(events: DataFrame, gate: DataFrame, keys: Sequence[str] = (), active_high: bool = True) -> DataFrame:
-    """Events while the gate is active. The gate starts low; a gate change at an event's time comes first."""
+def event_gate(events: DataFrame, gate: DataFrame, keys: Sequence[str] = (), active_high: bool = True, bucket_ns: int | None = None) -> DataFrame:
+    """Events while the gate is active. The gate starts low; a gate change at an event's time comes first.
+
+    ``bucket_ns`` divides long timelines among tasks (see ``timeline.as_of``).
+    """
     open_ = F.coalesce("_gate", F.lit(False)) == F.lit(active_high)
-    return as_of(events, gate, keys, {"value": "_gate"}).where(open_).drop("_gate")
+    return as_of(events, gate, keys, {"value": "_gate"}, bucket_ns=bucket_ns).where(open_).drop("_gate")
 
 
 def event_control(

@@ -12,9 +12,9 @@ from ..schema import SEQ, TS, StreamError, require
 from .timeline import as_of, changes, following, greedy, merged, ordered, with_initial
 
 
-def value_at(levels: DataFrame, probes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def value_at(levels: DataFrame, probes: DataFrame, keys: Sequence[str] = (), bucket_ns: int | None = None) -> DataFrame:
     """``probes`` with the level's ``value`` at their times; the last row holds forever, null before the first."""
-    return as_of(probes, levels, keys, {"value": "value"})
+    return as_of(probes, levels, keys, {"value": "value"}, bucket_ns=bucket_ns)
 
 
 def next_edge(levels: DataFrame, probes: DataFrame, keys: Sequence[str] = (), limit_ns: Column | None = None) -> DataFrame:

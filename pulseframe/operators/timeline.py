@@ -46,13 +46,20 @@ def tagged(df: DataFrame, side: int, column: str) -> DataFrame:
 
 
 def as_of(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], columns: dict[str, str], inclusive: bool = True, forward: bool = False
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    columns: dict[str, str],
+    inclusive: bool = True,
+    forward: bool = False,
+    bucket_ns: int | None = None,
 ) -> DataFrame:
     """``left`` with the values of ``right`` (old name: new name) at its times, null where there is none.
 
     Backward: the latest right row at or before the time (before it, unless ``inclusive``). Forward: the first
     right row after it (at or after it, if ``inclusive``). Of right rows at one time the last by seq counts
-    backward, the first forward.
+    backward, the first forward. With ``bucket_ns`` a key's timeline is divided into time buckets that are
+    sorted by different tasks; what a bucket starts (or ends) with comes from one row for each bucket.
     """
     require(left, keys)
     require(right, keys, *columns)
@@ -60,14 +67,37 @@ def as_of(
     own = left.select(*keys, TS, SEQ, F.struct(*left.columns).alias("_left"), F.lit(1).alias("_side"))
     other = right.select(*keys, TS, SEQ, F.struct(*(F.col(a).alias(b) for a, b in columns.items())).alias("_right"), F.lit(right_side).alias("_side"))
     both = own.unionByName(other, allowMissingColumns=True)
+    parts = list(keys)
+    if bucket_ns is not None:
+        both, parts = both.withColumn("_bucket", floor_div(F.col(TS), bucket_ns)), [*keys, "_bucket"]
     if forward:
-        value = F.first("_right", ignorenulls=True).over(following(keys, "_side"))
+        value = F.first("_right", ignorenulls=True).over(following(parts, "_side"))
     else:
-        value = F.last("_right", ignorenulls=True).over(running(keys, "_side"))
+        value = F.last("_right", ignorenulls=True).over(running(parts, "_side"))
+    if bucket_ns is not None:
+        place = F.when(F.col("_right").isNotNull(), F.struct(TS, SEQ))
+        edge = (F.min_by if forward else F.max_by)("_right", place)
+        w = Window.partitionBy(*keys).orderBy("_bucket")
+        if forward:
+            beyond = F.first("_edge", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+        else:
+            beyond = F.last("_edge", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        summary = both.groupBy(*parts).agg(edge.alias("_edge")).select(*parts, beyond.alias("_beyond"))
+        both = same_parts(both, summary, parts)
+        value = F.coalesce(value, "_beyond")
     found = both.withColumn("_found", value).where(F.col("_side") == 1)
     return found.select("_left.*", *(F.col(f"_found.{b}").alias(b) for b in columns.values()))
 
 
+def same_parts(rows: DataFrame, summary: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """``rows`` with the other columns of ``summary`` (one row for each part); null keys are parts too."""
+    other = summary.select(*(F.col(p).alias(f"_of_{p}") for p in parts), *(c for c in summary.columns if c not in parts))
+    on = F.lit(True)
+    for p in parts:
+        on = on & F.col(p).eqNullSafe(F.col(f"_of_{p}"))
+    return rows.join(other, on).drop(*(f"_of_{p}" for p in parts))
+
+
 def merged(inputs: Sequence[DataFrame], keys: Sequence[str], value: str = "value", initial: Column | None = None) -> DataFrame:
     """Ordered merge of level streams: one row per input row, with the current value of every input as v0, v1, ...
 
@@ -159,7 +189,7 @@ def carried(df: DataFrame, keys: Sequence[str], value: str, bucket_ns: int, out:
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select(*keys, "_bucket", F.last("end", ignorenulls=True).over(before)["x"].alias("_start"))
     own = F.last(value, ignorenulls=True).over(running([*keys, "_bucket"]))
-    return bucketed.join(ends, [*keys, "_bucket"]).withColumn(out, F.coalesce(own, "_start")).drop("_bucket", "_start")
+    return same_parts(bucketed, ends, [*keys, "_bucket"]).withColumn(out, F.coalesce(own, "_start")).drop("_bucket", "_start")
 
 
 def numbered(df: DataFrame, keys: Sequence[str], bucket_ns: int, out: str = "number") -> DataFrame:
@@ -169,4 +199,4 @@ def numbered(df: DataFrame, keys: Sequence[str], bucket_ns: int, out: str = "num
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(*keys, "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     own = F.row_number().over(ordered([*keys, "_bucket"]))
-    return bucketed.join(counts, [*keys, "_bucket"]).withColumn(out, own + F.col("_start")).drop("_bucket", "_start")
+    return same_parts(bucketed, counts, [*keys, "_bucket"]).withColumn(out, own + F.col("_start")).drop("_bucket", "_start")

@@ -60,7 +60,7 @@ def l1_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT e.user_id, e.ts_ns, e.seq, lv.v AS value FROM (SELECT * FROM ev WHERE kind = 'purchase') e ASOF LEFT JOIN lv ON e.user_id = lv.user_id AND e.ts_ns >= lv.ts_ns")
 def l2_value_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.value_at(b.level(spark, sf_dir), b.occurrences(spark, sf_dir, "purchase"), KEYS)
+    return levels.value_at(b.level(spark, sf_dir), b.occurrences(spark, sf_dir, "purchase"), KEYS, bucket_ns=168 * HOUR)
 
 
 @query(
@@ -172,7 +172,7 @@ def l13_edge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT e.user_id, e.ts_ns, e.seq FROM (SELECT * FROM ev WHERE kind = 'purchase') e ASOF JOIN lv ON e.user_id = lv.user_id AND e.ts_ns >= lv.ts_ns WHERE lv.v")
 def e1_event_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.event_gate(b.occurrences(spark, sf_dir, "purchase"), b.level(spark, sf_dir), KEYS)
+    return events.event_gate(b.occurrences(spark, sf_dir, "purchase"), b.level(spark, sf_dir), KEYS, bucket_ns=168 * HOUR)
 
 
 @query(greedy_sql("SELECT * FROM ev WHERE kind = 'click'", str(36 * HOUR)) + f" SELECT user_id, ts_ns + {HOUR} AS ts_ns, seq FROM acc WHERE ok", recursive=True)
@@ -709,9 +709,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = b.words(spark, sf_dir)
     starts = b.occurrences(spark, sf_dir, "signup")
     latch = events.sr_latch(starts, b.occurrences(spark, sf_dir, "error"), KEYS, t0=T0)
-    inside = events.event_gate(own.where(words.matches("eq", 0, 1)), latch, KEYS)
+    inside = events.event_gate(own.where(words.matches("eq", 0, 1)), latch, KEYS, bucket_ns=168 * HOUR)
     names = text.text_formatter([events.event_counter(starts, KEYS, t0=T0)], KEYS, "capture_{0:03}.bin")
-    files = as_of(inside, names, KEYS, {"value": "filename"}).where("filename is not null")
+    files = as_of(inside, names, KEYS, {"value": "filename"}, bucket_ns=168 * HOUR).where("filename is not null")
     return files.groupBy("user_id", "filename").agg(
         F.count(F.lit(1)).alias("n_words"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.sum("value").alias("total")
     )

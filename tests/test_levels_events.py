@@ -150,3 +150,17 @@ def test_as_of_ties(stream):
 def test_missing_columns(spark):
     with pytest.raises(StreamError):
         events.event_counter(spark.range(1).withColumn("k", F.lit(1)), K)
+
+
+@pytest.mark.parametrize("bucket", [5, 40, 10_000])
+@pytest.mark.parametrize("forward", [False, True])
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_as_of_in_buckets(spark, bucket, forward, inclusive):
+    import random
+
+    random.seed(7)
+    make = lambda n: [(random.choice([1, 2, None]), random.randrange(300), i, i) for i in range(n)]
+    left, right = (spark.createDataFrame(make(n), "k int, ts_ns long, seq long, x long") for n in (80, 25))
+    found = [as_of(left, right, K, {"x": "y"}, inclusive, forward, b) for b in (None, bucket)]
+    plain, bucketed = (sorted(map(tuple, df.collect()), key=str) for df in found)
+    assert plain == bucketed and len(plain) == 80
