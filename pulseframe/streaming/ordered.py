@@ -11,6 +11,7 @@ import pickle
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +22,16 @@ from ..schema import SEQ, TS
 Step = Callable[[dict[str, Any], dict[str, Any]], list[dict[str, Any]]]
 
 
-def apply_ordered(rows: DataFrame, keys: Sequence[str], step: Step, payload: str, delay_ns: int, late: str = "drop") -> DataFrame:
+def apply_ordered(rows: DataFrame, keys: Sequence[str], step: Step, payload: str, delay_ns: int, late: str = "drop", finish: Callable[[dict], list[dict]] | None = None) -> DataFrame:
     """Apply ``step(state, row) -> output rows`` to each key's rows in (ts_ns, side, seq) order.
 
     ``rows`` has keys, ts_ns, seq, side, is_end and what the step reads; ``payload`` is the DDL of the outputs
-    beside the keys. A row waits until its key has seen a time ``delay_ns`` later.
+    beside the keys. A row waits until its key has seen a time ``delay_ns`` later. ``finish(state)`` gives what
+    is left when a key ends.
     """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     ddl = ", ".join([*(f"{k} {kinds[k]}" for k in keys), payload])
-    columns = [*keys, *(p.split()[0] for p in payload.split(","))]
+    columns = [*keys, *(p.split()[0] for p in payload.split(", "))]
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         waiting, own, applied, newest = pickle.loads(held.get[0]) if held.exists else ([], {}, None, None)
@@ -51,6 +53,8 @@ def apply_ordered(rows: DataFrame, keys: Sequence[str], step: Step, payload: str
         for row in waiting[:cut]:
             applied = row[TS]
             out += [dict(zip(keys, key, strict=True)) | x for x in step(own, row)]
+        if ended and finish is not None:
+            out += [dict(zip(keys, key, strict=True)) | x for x in finish(own)]
         held.update((pickle.dumps((waiting[cut:], own, applied, newest)),))
         if out:
             yield pd.DataFrame(out, columns=columns)
@@ -123,6 +127,35 @@ def edge_step(mode: str = "both", debounce_ns: int = 0, min_pulse_ns: int = 0) -
     return edge
 
 
+def block_step(state: dict, row: dict) -> list[dict]:
+    """Packed blocks in position order (``start_pos``, ``n``, ``step_ns``, ``data``) to the level rows they add."""
+    bits = np.unpackbits(np.frombuffer(row["data"], np.uint8), bitorder="little")[: row["n"]]
+    if not len(bits):
+        return []
+    at = np.flatnonzero(np.diff(bits, prepend=state.get("last", bits[0] ^ 1)))
+    state["last"] = bits[-1]
+    start, step = row["start_pos"], row["step_ns"]
+    return [{TS: int(start + i) * step, SEQ: int(start + i), "value": bool(bits[i])} for i in at]
+
+
+def framer_step(fixed: int | None = None, max_gap_ns: int | None = None, max_words: int = 4096) -> tuple[Step, Callable[[dict], list[dict]]]:
+    """Boundaries (side 0) and words (side 1: ``duration_ns``, ``value``) to packets, and what a key's end leaves."""
+
+    def close(state: dict) -> list[dict]:
+        held = state.pop("words", [])
+        return [{"start_ns": held[0][0], "end_ns": held[-1][1], "n_words": len(held), "values": [w[2] for w in held]}] if held else []
+
+    def frame(state: dict, row: dict) -> list[dict]:
+        if row["side"] == 0:
+            return close(state)
+        held = state.get("words", [])
+        out = close(state) if held and max_gap_ns is not None and row[TS] - held[-1][1] > max_gap_ns else []
+        state.setdefault("words", []).append((row[TS], row[TS] + row["duration_ns"], row["value"]))
+        return out + (close(state) if len(state["words"]) >= min(fixed or max_words, max_words) else [])
+
+    return frame, close
+
+
 def stream_rows(df: DataFrame, keys: Sequence[str], side: int = 0, **columns: str) -> DataFrame:
     """A stream in the form that :func:`apply_ordered` takes."""
     ends = F.col("is_end") if "is_end" in df.columns else F.lit(False)

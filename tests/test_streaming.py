@@ -71,3 +71,30 @@ def test_late_rows():
     count = o.counter_step(3, 2)
     state = {}
     assert [count(state, {"ts_ns": t, "seq": t})[0]["value"] for t in (1, 2)] == [5, 7]
+
+
+def test_framer_stream_equals_batch(spark, tmp_path, rows):
+    from pyspark.sql import functions as F
+
+    from pulseframe.operators import words
+
+    step, finish = o.framer_step(fixed=4, max_gap_ns=400)
+
+    def build(source):
+        own = source.withColumns({"duration_ns": F.lit(10), "value": F.col("seq")})
+        return o.apply_ordered(
+            o.stream_rows(own, ["k"], side=1, duration_ns="duration_ns", value="value"), ["k"], step, "start_ns long, end_ns long, n_words long, values array<long>", 3000, finish=finish
+        )
+
+    found = run_stream(spark, tmp_path, rows, build)
+    table = spark.createDataFrame(rows, SCHEMA).withColumns({"duration_ns": F.lit(10).cast("long"), "value": F.col("seq")})
+    batch = words.frame_packets(table, ["k"], fixed=4, max_gap_ns=400).withColumn("values", F.transform("words", lambda w: w["value"]))
+    assert plain(found, "k", "start_ns", "end_ns", "n_words", "values") == plain(batch, "k", "start_ns", "end_ns", "n_words", "values")
+
+
+def test_blocks_follow_each_other():
+    state = {}
+    block = lambda start, data, n: {"start_pos": start, "n": n, "step_ns": 3, "data": data}
+    assert [(r["ts_ns"], r["value"]) for r in o.block_step(state, block(0, b"\xf0", 8))] == [(0, False), (12, True)]
+    assert o.block_step(state, block(8, b"", 0)) == []
+    assert [(r["ts_ns"], r["value"]) for r in o.block_step(state, block(8, b"\x0f", 6))] == [(36, False)]
