@@ -134,7 +134,7 @@ def l7_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT user_id, t AS ts_ns, s AS seq, v AS value, m AS marker FROM (SELECT DISTINCT user_id FROM ev) CROSS JOIN (VALUES
+    f"""SELECT user_id, t AS ts_ns, s::BIGINT AS seq, v AS value, m AS marker FROM (SELECT DISTINCT user_id FROM ev) CROSS JOIN (VALUES
  ({T0}, 0, true, 'before'), ({W0}, 1, false, 'before'), ({T0}, 0, false, 'at_or_after'), ({W0}, 1, true, 'at_or_after'),
  ({T0}, 0, false, 'window'), ({W0}, 1, true, 'window'), ({W1}, 2, false, 'window'), ({W0}, 0, NULL, 'event')) x(t, s, v, m)"""
 )
@@ -395,7 +395,7 @@ def x6_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.base(spark, sf_dir).select("user_id", "seq", formats.position_of(at, 7).alias("truncated"), formats.position_of(at, 7, True).alias("rounded"))
 
 
-@query("SELECT conv_id, turn, hex(encode(text)) AS payload, 0 AS errors FROM conversations WHERE length(text) > 0")
+@query("SELECT conv_id, turn, hex(encode(text)) AS payload, 0::BIGINT AS errors FROM conversations WHERE length(text) > 0")
 def p1_uart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns sent over a serial line and read back."""
     keys = ["conv_id", "turn"]
@@ -411,22 +411,22 @@ SPI_ROWS = """+ c AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITIO
 
 @query(
     SPI_ROWS
-    + """ SELECT c_nationkey, 'mosi' AS line, t + 30 AS ts_ns, 460 AS duration_ns, c_custkey AS value FROM c
-UNION ALL SELECT c_nationkey, 'miso', t + 30, 460, 16777215 - c_custkey FROM c"""
+    + """ SELECT c_nationkey, 'mosi' AS line, t + 30 AS ts_ns, 460::BIGINT AS duration_ns, c_custkey AS value FROM c
+UNION ALL SELECT c_nationkey, 'miso', t + 30, 460::BIGINT, 16777215 - c_custkey FROM c"""
 )
 def p2_spi_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = b.spi_lines(spark, sf_dir)
     return decode.spi(x["clock"], x["cs"], {"mosi": x["mosi"], "miso": x["miso"]}, ["c_nationkey"], bits=24).drop("seq", "window_ns")
 
 
-@query(SPI_ROWS + " SELECT c_nationkey, t AS start_ns, t + 600 AS end_ns, (c_custkey >> 8)::VARCHAR AS mosi, 8 AS incomplete_bits, false AS complete FROM c")
+@query(SPI_ROWS + " SELECT c_nationkey, t AS start_ns, t + 600 AS end_ns, (c_custkey >> 8)::VARCHAR AS mosi, 8::BIGINT AS incomplete_bits, false AS complete FROM c")
 def p2_spi_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = b.spi_lines(spark, sf_dir)
     found = decode.spi_transactions(x["clock"], x["cs"], {"mosi": x["mosi"]}, ["c_nationkey"], bits=16)
     return found.select("c_nationkey", "start_ns", "end_ns", F.array_join("mosi", ",").alias("mosi"), "incomplete_bits", "complete")
 
 
-@query("+ c AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) * 100 AS t FROM customer) SELECT c_nationkey, t + 10 AS ts_ns, 40 AS duration_ns, c_custkey AS value FROM c WHERE c_custkey % 5 <> 0")
+@query("+ c AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) * 100 AS t FROM customer) SELECT c_nationkey, t + 10 AS ts_ns, 40::BIGINT AS duration_ns, c_custkey AS value FROM c WHERE c_custkey % 5 <> 0")
 def p3_parallel_bus(spark: SparkSession, sf_dir: str) -> DataFrame:
     strobe, data, enable = b.parallel_lines(spark, sf_dir)
     return decode.parallel_bus(strobe, data, ["c_nationkey"], cycles=3, enable=enable).drop("seq")

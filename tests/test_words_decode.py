@@ -211,7 +211,7 @@ def test_capture_files(spark, tmp_path):
 
 
 def test_session_round_trip(spark, tmp_path):
-    meta = "[global]\nsigrok version = 0.5\n[device 1]\ncapturefile = logic-1\ntotal probes = 3\nsamplerate = 1 MHz\nunitsize = 1\nprobe1 = a\n"
+    meta = "[device 1]\ncapturefile = logic-1\ntotal probes = 3\nsamplerate = 1 MHz\nunitsize = 1\nprobe1 = a\n"
     (tmp_path / "x.sr").write_bytes(sinks.sr_bytes(meta, [bytes([1, 2, 4, 7]), bytes([0, 5])]))
     rows = blocks.capture_blocks(spark, str(tmp_path / "*.sr"), "sr")
     mixed = sinks.interleave(rows, ["capture_id"], 3).orderBy("start_pos").collect()
