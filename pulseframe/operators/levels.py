@@ -85,27 +85,34 @@ def logic_gate(inputs: Sequence[DataFrame], keys: Sequence[str], operation: str,
     return first.unionByName(moved)
 
 
-def activity(levels: DataFrame, keys: Sequence[str], step_ns: int, total: int, group: int = 64) -> DataFrame:
+def activity(levels: DataFrame, keys: Sequence[str], step_ns: int, total: int | None = None, group: int = 64) -> DataFrame:
     """By key: share of sample groups that hold a transition, and share whose last sample is high, as fractions.
 
-    Positions are times over ``step_ns``, from 0 below ``total``. Counts and not samples are gathered: the high
-    groups of a level's run are computed from where it begins and ends.
+    Positions are times over ``step_ns``, from 0 below ``total``; without ``total`` the capture ends with the last
+    position of any key. Counts and not samples are gathered: the high groups of a level's run are computed from
+    where it begins and ends.
     """
-    groups = -(-total // group)
-    position = F.least(floor_div(F.col(TS), step_ns), F.lit(total))
-    moved = transitions(levels, keys).where(position < total).select(*keys, F.floor(position / group).alias("g")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("active"))
-    end = F.least(F.coalesce(floor_div(F.lead(TS).over(ordered(keys)), step_ns), F.lit(total)), F.lit(total))
+    at = floor_div(F.col(TS), step_ns)
+    if total is None:
+        levels = levels.crossJoin(F.broadcast(levels.agg((F.max(at) + 1).cast("long").alias("_total"))))
+    else:
+        levels = levels.withColumn("_total", F.lit(total).cast("long"))
+    whole = F.col("_total")
+    groups = F.ceil(whole / group).cast("long")
+    position = F.least(at, whole)
+    moved = transitions(levels, keys).where(position < whole).select(*keys, F.floor(position / group).alias("g")).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("active"))
+    end = F.least(F.coalesce(floor_div(F.lead(TS).over(ordered(keys)), step_ns), whole), whole)
     runs = changes(levels, keys).withColumn("_end", end).where("value and _end > 0")
     # the last sample of group g is at (g + 1) * group - 1, or at total - 1 for the last group
-    lasts_below = lambda p: F.floor(p / group) + F.when(p >= total, 1 if total % group else 0).otherwise(0)
+    lasts_below = lambda p: F.floor(p / group) + F.when((p >= whole) & (whole % group != 0), 1).otherwise(0)
     high = runs.groupBy(*keys).agg(F.sum(lasts_below(F.col("_end")) - lasts_below(position)).alias("high"))
-    every = levels.select(*keys).distinct()
+    every = levels.select(*keys, "_total").distinct()
     counted = every.join(moved, list(keys), "left").join(high, list(keys), "left") if keys else every.limit(1).crossJoin(F.broadcast(moved)).crossJoin(F.broadcast(high))
     return counted.select(
         *keys,
         F.coalesce("active", F.lit(0)).cast("long").alias("active_groups"),
         F.coalesce("high", F.lit(0)).cast("long").alias("high_groups"),
-        F.lit(groups).cast("long").alias("groups"),
+        groups.alias("groups"),
         (F.coalesce("active", F.lit(0)) / groups).alias("activity_ratio"),
         (F.coalesce("high", F.lit(0)) / groups).alias("high_ratio"),
     )

@@ -133,6 +133,22 @@ def l7_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.activity(own, KEYS, STEP, SPAN).select("user_id", "active_groups", "high_groups")
 
 
+@query(
+    f"""+ n AS (SELECT max((ts_ns - {T0}) // {STEP}) + 1 AS total FROM ev),
+s AS (
+  SELECT u.user_id, g.k, ch.v FROM (SELECT DISTINCT user_id FROM ev) u
+  CROSS JOIN (SELECT k, least(k * 64 + 63, total - 1) AS last FROM (SELECT total, unnest(range(0, (total + 63) // 64)) AS k FROM n)) g
+  ASOF LEFT JOIN (SELECT user_id, (ts_ns - {T0}) // {STEP} AS pos, arg_max(v, seq) AS v FROM ch GROUP BY ALL) ch ON ch.user_id = u.user_id AND g.last >= ch.pos
+), h AS (SELECT user_id, count(*) FILTER (v) AS high_groups, count(*) AS groups FROM s GROUP BY user_id),
+a AS (SELECT user_id, count(DISTINCT (ts_ns - {T0}) // {STEP} // 64) AS active_groups FROM ch WHERE p IS NOT NULL GROUP BY user_id)
+SELECT h.user_id, coalesce(active_groups, 0) AS active_groups, high_groups, groups FROM h LEFT JOIN a USING (user_id)"""
+)
+def l7_activity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity to the last position of the table; l7_activity looks at the first SPAN positions."""
+    own = b.level(spark, sf_dir).withColumn("ts_ns", F.col("ts_ns") - T0)
+    return levels.activity(own, KEYS, STEP).select("user_id", "active_groups", "high_groups", "groups")
+
+
 @query(
     f"""SELECT user_id, t AS ts_ns, s::BIGINT AS seq, v AS value, m AS marker FROM (SELECT DISTINCT user_id FROM ev) CROSS JOIN (VALUES
  ({T0}, 0, true, 'before'), ({W0}, 1, false, 'before'), ({T0}, 0, false, 'at_or_after'), ({W0}, 1, true, 'at_or_after'),

@@ -107,6 +107,13 @@ def test_activity(stream):
     assert (row["active_groups"], row["high_groups"], row["groups"]) == (3, 2, 3)
 
 
+def test_activity_to_the_last_position(stream):
+    line = stream([(0, False), (10, True), (70, False), (130, True), (5000, False), (5001, True)], "value")
+    row = levels.activity(line, K, 1).first()
+    # 5002 positions are 79 groups; high from 130 on, so that of all groups only number 1 ends low
+    assert (row["active_groups"], row["high_groups"], row["groups"]) == (4, 78, 79)
+
+
 def test_pulse_lane_drops_overlaps(stream):
     assert points(events.pulse_lane(stream([10, 500, 2000]), K, 1000)) == [(0, False), (10, True), (1010, False), (2000, True), (3000, False)]
 
