@@ -41,11 +41,15 @@ BLOCK_TAGS = frozenset(
     main form fieldset legend hr figure figcaption address details summary body html head title option label center
     """.split()
 )
+#: Of these the words of what holds articles of its own.
+LISTED = frozenset("comment comments disqus respond replies related recommended".split())
 #: Elements whose whole content is dropped.
 SILENT = frozenset("head title script style noscript template textarea select option button svg iframe object math canvas audio video datalist".split())
 #: Elements that hold no main text, and those that hold it.
-ASIDE = frozenset("nav footer aside form menu dialog".split())
+ASIDE = frozenset("nav footer aside menu dialog".split())
 MAIN = frozenset(["article", "main"])
+#: A form with one of these holds the page and not fields.
+OF_PAGE = frozenset("h1 header nav footer".split()) | MAIN
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A start of these ends an open paragraph or item.
 ENDS_PARAGRAPH = BLOCK_TAGS - {"body", "html", "head", "title", "option", "label"}
@@ -65,32 +69,63 @@ STOP_DENSITY = 0.12
 LINK_DENSITY = 0.4
 
 
+@dataclass(eq=False)
+class Mark:
+    """An element that its class, id or role, or that it is a form, makes one of no main text, until the mark is lifted."""
+
+    outer: Mark | None
+    depth: int
+    listed: bool
+    form: bool
+    articles: int = 0
+    unlisted: int = 0
+    heading: bool = False
+    lifted: bool = False
+
+
 @dataclass
 class Block:
     text: str
     linked: int
     region: int
     main: bool
-    aside: bool
+    off: bool
+    mark: Mark | None
+
+    @property
+    def standing(self) -> list[Mark]:
+        """Marks around the block that are not lifted, the innermost first."""
+        return [x for x in around(self.mark) if not x.lifted]
+
+    @property
+    def aside(self) -> bool:
+        return self.off or bool(self.standing)
+
+
+def around(mark: Mark | None) -> Iterator[Mark]:
+    while mark:
+        yield mark
+        mark = mark.outer
 
 
 def blocks(page: str) -> Iterator[Block]:
-    """The non-empty text blocks of a page in order."""
-    stack: list[tuple[str, bool, bool, bool]] = []
+    """The non-empty text blocks of a page in order; what their marks hold is known at the page's end."""
+    stack: list[tuple[str, bool, Mark | None, bool, bool]] = []
     parts: list[str] = []
     linked, in_link, region, breaks = 0, 0, 0, 0
-    aside = main = silent = False
+    off = main = silent = False
+    mark: Mark | None = None
 
     def flush() -> Block | None:
         nonlocal parts, linked, breaks
         text = " ".join("".join(parts).split())
-        out = Block(text, linked, region, main, aside) if text else None
+        out = Block(text, linked, region, main, off, mark) if text else None
         parts, linked, breaks = [], 0, 0
         return out
 
     def settle() -> None:
-        nonlocal aside, main, silent
-        _, aside, main, silent = stack[-1] if stack else ("", False, False, False)
+        nonlocal off, mark, main, silent
+        _, off, mark, main, silent = stack[-1] if stack else ("", False, None, False, False)
 
     at = 0
     for token in TOKEN.finditer(page):
@@ -131,8 +166,18 @@ def blocks(page: str) -> Iterator[Block]:
             held = name in MAIN
             if held and not main:
                 region += 1
-            off = aside or name in ASIDE or name == "header" and not main or (bool(words & MARKED) and name not in ("body", "html", *MAIN))
-            stack.append((name, off, main or held, silent or name in SILENT))
+            if not off:
+                inner = max((i for i, x in enumerate(stack) if x[0] in MAIN), default=-1) if held and mark else -1
+                listed = False
+                for x in around(mark):
+                    x.articles += held and x.depth > inner
+                    x.unlisted += held and x.depth > inner and not listed
+                    listed |= x.listed
+                    x.heading |= name == "h1"
+                    x.lifted |= x.form and name in OF_PAGE
+            marked = bool(words & MARKED) and name not in ("body", "html", *MAIN)
+            own = Mark(mark, len(stack), bool(words & LISTED), not marked) if marked or name == "form" else mark
+            stack.append((name, off or name in ASIDE or name == "header" and not main, own, main or held, silent or name in SILENT))
         settle()
     if at < len(page) and not silent:
         parts.append(html.unescape(page[at:]))
@@ -155,6 +200,36 @@ def decide(block: Block) -> bool | None:
     return stops >= STOP_DENSITY * len(words)
 
 
+def lift(found: list[Block]) -> None:
+    """Lift the marks of wrappers around the main text.
+
+    A mark around articles is lifted if no main text stands outside of marks; and if it holds more than stands there, unless
+    it tells a list such as comments, or some stands in an article or main element and the mark is around several articles.
+    On a page without these elements, whose text all stands in marked ones, the mark around a heading is lifted. The mark
+    around the most text goes first, from the outside.
+    """
+    while True:
+        free = any_free = 0
+        inside: dict[Mark, int] = {}
+        for x in found:
+            standing = x.standing
+            if not standing:
+                n = len(x.text.split()) if decide(x) else 0
+                any_free += n
+                free += n * x.main
+            elif not x.off:
+                n = len(x.text.split())
+                n *= x.linked <= LINK_DENSITY * n
+                inside[standing[-1]] = inside.get(standing[-1], 0) + n * (x.main or not standing[-1].articles)
+        more = lambda x: not x.listed and inside[x] > any_free and (not free or x.unlisted == 1)
+        wrappers = [x for x in inside if x.articles and inside[x] and (not any_free or more(x))]
+        if not any_free and not any(x.main for x in found):
+            wrappers = [x for x in inside if x.heading and inside[x]]
+        if not wrappers:
+            return
+        max(wrappers, key=lambda x: (not x.listed, inside[x])).lifted = True
+
+
 def nearest(found: list[Block], labels: list[bool | None], step: int) -> list[int | None]:
     """Of each block the last decided block of its region, coming from the page's start (1) or end (-1).
 
@@ -172,6 +247,8 @@ def nearest(found: list[Block], labels: list[bool | None], step: int) -> list[in
 def main_text(page: str | None) -> str:
     """The main blocks joined by line breaks."""
     found = list(blocks(page or ""))
+    if any(x.mark and not x.off for x in found):
+        lift(found)
     labels = [decide(x) for x in found]
     before, behind = nearest(found, labels, 1), nearest(found, labels, -1)
     out = []

@@ -38,6 +38,25 @@ def test_page_without_article():
     assert [html_text.main_text(x) for x in (None, "", "<!-- a", "<p", "<div class='", "&amp;")] == [""] * 6
 
 
+STORY = "The story of the man is a tale that it was in the house for all of the days with him."
+NOTE = "I think that this is the best of the texts that I have read in the last of the years."
+
+
+@pytest.mark.parametrize("start", ["<div class='layout has-sidebar'>", "<div class=no-sidebar>", "<div id=social>", "<section class=ad-free><div class=no-comments>", "<form action=/x>", "<main><p>A lead of a few words.</p><div class=has-sidebar>"])
+def test_marked_wrapper_of_an_article(start):
+    page = f"<body>{start}<article><p>{STORY}</p><div class=ad>{NOTE}</div></article><div class=comments><article>{NOTE}</article><article>{NOTE}</article></div></body>"
+    assert html_text.main_text(page).split("\n")[-1] == STORY and NOTE not in html_text.main_text(page)
+
+
+def test_marks_around_other_articles_stay():
+    for story in (f"<article>{STORY}</article>", f"<main>{STORY}</main>", f"<div><p>{STORY}<p>{STORY}</div>"):
+        for aside in (f"<div class=comments><article>{NOTE}</article></div>" * 4, f"<div class=sidebar><article>{NOTE}</article></div>", f"<aside><article>{NOTE}</article></aside>"):
+            assert NOTE not in html_text.main_text(f"<body>{story}{aside}") and STORY in html_text.main_text(f"<body>{story}{aside}")
+    assert html_text.main_text(f"<div class=cookie-notice>{NOTE}</div>") == ""
+    assert html_text.main_text(f"<form><header><a href=/>Home</a></header><div><p>{STORY}</div></form>") == STORY
+    assert html_text.main_text(f"<div class=has-sidebar><h1>Head</h1><p>{STORY}</div>") == f"Head\n{STORY}"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="<>/p divb\"'=&;!-a1 \n", max_size=80))
 def test_any_markup_is_taken(page):
