@@ -3,6 +3,8 @@
 Markup is cut into blocks of text. The first pass decides blocks by where they stand, by link density, by length
 and by the density of stop words; blocks too short to tell stay open. The second pass gives each open block the
 label of the nearest decided block of its region.
+
+Stop words are those of four languages; pages in others, and blocks in other scripts, are decided by length and links.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,6 +70,22 @@ LONG = 14
 LONG_IN_MAIN = 5
 STOP_DENSITY = 0.12
 LINK_DENSITY = 0.4
+#: A page whose long blocks together have fewer stop words than this is in none of the four languages.
+KNOWN_DENSITY = 0.24
+#: Letters of scripts without spaces between words (Thai to Khmer, Chinese, Japanese), and how many make a word.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+LETTERS_OF_WORD = 2
+LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
+
+
+def length(text: str) -> int:
+    """Words, those of scripts without spaces by their letters."""
+    words = len(text.split())
+    return max(words, len(UNSPACED.findall(text)) // LETTERS_OF_WORD) if not text.isascii() and UNSPACED.search(text) else words
+
+
+def stop_words(text: str) -> int:
+    return sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in text.split())
 
 
 @dataclass(eq=False)
@@ -92,6 +111,10 @@ class Block:
     off: bool
     mark: Mark | None
 
+    @cached_property
+    def n(self) -> int:
+        return length(self.text)
+
     @property
     def standing(self) -> list[Mark]:
         """Marks around the block that are not lifted, the innermost first."""
@@ -135,7 +158,7 @@ def blocks(page: str) -> Iterator[Block]:
             if not piece.isspace():
                 breaks = 0
                 if in_link:
-                    linked += len(piece.split())
+                    linked += length(piece)
         at = token.end()
         name = (token.group(3) or "").lower()
         if not name:
@@ -185,22 +208,32 @@ def blocks(page: str) -> Iterator[Block]:
         yield found
 
 
-def decide(block: Block) -> bool | None:
-    """First pass: main text or not, None if the block is too short to tell."""
-    words = block.text.split()
-    if block.aside or block.linked > LINK_DENSITY * len(words):
+def decide(block: Block, known: bool = True) -> bool | None:
+    """First pass: main text or not, None if the block is too short to tell.
+
+    On a page that is not in a ``known`` language, and in other scripts than Latin, stop words tell nothing.
+    """
+    n = block.n
+    if block.aside or block.linked > LINK_DENSITY * n:
         return False
     if block.main:
-        return True if len(words) >= LONG_IN_MAIN else None
-    if "©" in block.text and len(words) < 40:
+        return True if n >= LONG_IN_MAIN else None
+    if "©" in block.text and n < 40:
         return False
-    if len(words) < LONG:
+    if n < LONG:
         return None
-    stops = sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in words)
-    return stops >= STOP_DENSITY * len(words)
+    if not known or stop_words(block.text) >= STOP_DENSITY * n:
+        return True
+    return not block.text.isascii() and 2 * len(LATIN.findall(block.text)) < sum(map(str.isalpha, block.text))
+
+
+def in_known_language(found: list[Block]) -> bool:
+    """Whether the long blocks of a page together have the stop words of a known language, or none of them needs any."""
+    long = [x for x in found if x.n >= LONG and not x.aside and x.linked <= LINK_DENSITY * x.n]
+    return all(x.main for x in long) or sum(stop_words(x.text) for x in long) >= KNOWN_DENSITY * sum(x.n for x in long)
 
 
-def lift(found: list[Block]) -> None:
+def lift(found: list[Block], known: bool) -> None:
     """Lift the marks of wrappers around the main text.
 
     A mark around articles is lifted if no main text stands outside of marks; and if it holds more than stands there, unless
@@ -214,11 +247,11 @@ def lift(found: list[Block]) -> None:
         for x in found:
             standing = x.standing
             if not standing:
-                n = len(x.text.split()) if decide(x) else 0
+                n = x.n if decide(x, known) else 0
                 any_free += n
                 free += n * x.main
             elif not x.off:
-                n = len(x.text.split())
+                n = x.n
                 n *= x.linked <= LINK_DENSITY * n
                 inside[standing[-1]] = inside.get(standing[-1], 0) + n * (x.main or not standing[-1].articles)
         more = lambda x: not x.listed and inside[x] > any_free and (not free or x.unlisted == 1)
@@ -248,8 +281,9 @@ def main_text(page: str | None) -> str:
     """The main blocks joined by line breaks."""
     found = list(blocks(page or ""))
     if any(x.mark and not x.off for x in found):
-        lift(found)
-    labels = [decide(x) for x in found]
+        lift(found, in_known_language(found))
+    known = in_known_language(found)
+    labels = [decide(x, known) for x in found]
     before, behind = nearest(found, labels, 1), nearest(found, labels, -1)
     out = []
     for i, (block, label) in enumerate(zip(found, labels, strict=True)):
@@ -266,8 +300,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages(page_id, url, html, ...)``.
 
     A null or empty page, and one without main text, has the empty text. Character references are decoded, white
-    space inside a block is one space, blocks are trimmed and joined by one line break; nothing else is dropped
-    or capped. Rows that repeat are each extracted; other columns are not looked at.
+    space inside a block is one space, blocks are trimmed and joined by one line break; nothing is capped. Outside of
+    article and main elements a long block without stop words is dropped, if its page is in English, German, French or
+    Spanish. Rows that repeat are each extracted; other columns are not looked at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

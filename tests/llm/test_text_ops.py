@@ -57,6 +57,27 @@ def test_marks_around_other_articles_stay():
     assert html_text.main_text(f"<div class=has-sidebar><h1>Head</h1><p>{STORY}</div>") == f"Head\n{STORY}"
 
 
+@pytest.mark.parametrize(
+    "story",
+    [
+        "Pewnego razu młody rybak wypłynął łodzią daleko poza zatokę, ponieważ chciał zobaczyć wyspę, którą opisywał jego dziadek każdej zimy.",
+        "Certa manhã um jovem pescador saiu sozinho pelo mar porque queria ver a ilha que seu avô descrevia todas as noites de inverno.",
+        "Однажды утром молодой рыбак вышел в море один, потому что хотел увидеть остров, о котором зимой рассказывал его дед у огня.",
+        "有一天早晨年轻的渔夫独自驾船出海因为他想看看祖父每年冬天都会讲起的那座小岛到底是什么样子的。",
+        "ある朝若い漁師は祖父が毎年冬に話してくれた小さな島を見るために一人で船を出して海へ向かいました。",
+    ],
+)
+def test_page_in_another_language(story):
+    menu = "<ul><li><a href=1>Um</a><li><a href=2>家</a></ul>"
+    linked = f"<p><a href=3>{story}</a>"
+    assert html_text.main_text(f"<body>{menu}<div><p>{story}<p>{story}</div><div>{linked}</div><footer>© x</footer>") == f"{story}\n{story}"
+
+
+def test_list_of_words_on_a_known_page():
+    words = "red green blue lamp table chair window door floor roof garden tree stone river cloud"
+    assert html_text.main_text(f"<body><div><p>{STORY}<p>{STORY}</div><div>{words}</div>") == f"{STORY}\n{STORY}"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="<>/p divb\"'=&;!-a1 \n", max_size=80))
 def test_any_markup_is_taken(page):
