@@ -107,7 +107,7 @@ def spherical_kmeans(vectors: np.ndarray, k: int, seed: int, rounds: int = 12) -
 def learn(docs: DataFrame, per_language: int = LEARN_PER_LANGUAGE, centroids: int = 4, reject: float = 0.0005, seed: int = 11) -> LanguageModel:
     """Fit on at most about ``per_language`` texts of each lang among the learnable rows, taken by a hash of doc_id, and
     ``LEARN_ROWS`` in all. Only n-gram counts of these texts reach the driver. A text is rejected later if its cosine is below half
-    the ``reject`` quantile of the learning texts of its length or a longer class.
+    the ``reject`` quantile of the learning texts of its length or a longer class, or of the longest learned class if it is longer.
     """
     rows = docs.where(is_learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -155,7 +155,8 @@ def learn(docs: DataFrame, per_language: int = LEARN_PER_LANGUAGE, centroids: in
     for k in range(15, -1, -1):
         if (kind == k).any():
             low = min(low, np.float32(0.5 * np.quantile(best[kind == k], reject)))
-        model.floor[k] = 0 if np.isinf(low) else low
+        model.floor[k] = low
+    model.floor[kind.max() + 1 :] = model.floor[kind.max()]
     return model
 
 

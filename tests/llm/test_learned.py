@@ -40,6 +40,14 @@ def test_language(spark, docs):
     assert all(r["rejected"] for r in language_id.identify(foreign, model).collect())
 
 
+def test_foreign_texts_are_rejected(spark, docs):
+    polish = "Pewnego razu młody rybak wypłynął łodzią daleko poza zatokę, ponieważ chciał zobaczyć wyspę, którą opisywał jego dziadek. "
+    rows = spark.createDataFrame([(1, polish), (2, polish * 30), (3, "Однажды утром молодой рыбак вышел в море один. " * 5000)], "doc_id long, text string")
+    short = docs.where("length(text) < 1000")
+    for known in (docs, short):
+        assert all(r["rejected"] for r in language_id.identify(rows, language_id.learn(known)).collect())
+
+
 def test_nothing_to_learn_from(spark):
     empty = odd(spark).where("false")
     model = language_id.learn(empty)
