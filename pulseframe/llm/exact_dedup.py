@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize
 
@@ -224,13 +225,27 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each distinct text, with all columns: those that :func:`exact_duplicates` keeps.
 
-    Of rows that repeat doc_id and text one stays. Rows without doc_id are all kept.
+    Of rows that repeat doc_id and text one stays, the longest original. Rows without doc_id are all kept. Where an id
+    repeats, with one text or several, the decision is carried back by id and digest, else by id.
     """
-    report = materialize(exact_duplicates(docs), "dedup-report")
-    dropped = report.where("not kept and doc_id is not null").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = report.where("kept and doc_id is not null and group_size > 1").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    report = materialize(exact_duplicates(docs).where("doc_id is not null"), "dedup-report")
+    repeated = materialize(report.groupBy("doc_id").count().where("count > 1").select("doc_id"), "dedup-repeated")
+    dropped = report.where("not kept").select("doc_id").distinct()
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(dropped.union(repeated).distinct(), "doc_id", "left_anti").select(*docs.columns)
+    stay = report.where("kept").join(repeated, "doc_id", "left_semi").select("doc_id", F.col("text_sha256").alias("_sha")).distinct()
+    rows = with_digest(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)).join(stay, ["doc_id", "_sha"], "left_semi")
+    longest = F.max_by(F.struct(*docs.columns), F.coalesce(F.length("text"), F.lit(0)))
+    return once.union(rows.groupBy("doc_id", "_sha").agg(longest.alias("_row")).select("_row.*"))
+
+
+def with_digest(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_sha``, the text_sha256 of :func:`exact_duplicates`."""
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([hashlib.sha256(x).hexdigest() for x in normal_bytes(batch.column("text"))], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, "_sha"])
+
+    return docs.mapInArrow(digest, T.StructType([*docs.schema.fields, T.StructField("_sha", T.StringType())]))

@@ -243,7 +243,21 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, permutat
 
 
 def keep_representatives(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that :func:`near_components` keeps, with all their columns; rows without doc_id stay."""
-    report = near_components(docs, words, percent)
-    dropped = materialize(report.where("not kept").select("doc_id").distinct(), "minhash-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that :func:`near_components` keeps, with all their columns; rows without doc_id stay.
+
+    Where an id repeats, every pair of id and text is compared and judged on its own, under a new id in the order of the
+    old ones.
+    """
+    with_id = docs.where("doc_id is not null")
+    if with_id.groupBy("doc_id").count().where("count > 1").isEmpty():
+        report = near_components(docs, words, percent)
+        dropped = materialize(report.where("not kept").select("doc_id").distinct(), "minhash-dropped")
+        return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_sha")
+    pairs = with_id.select("doc_id", digest).distinct().orderBy("doc_id", "_sha")
+    pairs = materialize(pairs.withColumn("_id", F.monotonically_increasing_id()), "minhash-ids")
+    rows = with_id.select("doc_id", digest, "text").join(pairs, ["doc_id", "_sha"]).select(F.col("_id").alias("doc_id"), "text")
+    report = near_components(materialize(rows, "minhash-rows"), words, percent)
+    dropped = report.where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    dropped = materialize(pairs.join(dropped, "_id", "left_semi").select("doc_id", "_sha"), "minhash-dropped")
+    return docs.select("*", digest).join(dropped, ["doc_id", "_sha"], "left_anti").select(*docs.columns)

@@ -60,6 +60,15 @@ def test_exact_edges(spark):
     assert kept.columns == DOC.replace(" long", "").replace(" string", "").replace(" int", "").split(", ")
 
 
+def test_repeated_ids_with_different_texts(spark):
+    rows = [(1, "a"), (4, "a"), (4, "only here"), (5, "x"), (5, "y"), (5, "y  "), (None, "q")]
+    kept = exact_dedup.keep_first(docs_of(spark, rows))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "q"), (1, "a"), (4, "only here"), (5, "x"), (5, "y  ")]
+    near = [(1, "a b c"), (4, "A b c"), (4, "only here it is"), (5, "x y z"), (5, "u v w"), (6, "U v w"), (None, "a b c")]
+    kept = minhash.keep_representatives(docs_of(spark, near))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "a b c"), (1, "a b c"), (4, "only here it is"), (5, "u v w"), (5, "x y z")]
+
+
 def test_directory_doubles_and_splits():
     counts = np.zeros(16, np.int64)
     counts[[0, 1, 2, 3, 9]] = [5, 5, 5, 5, 1]
