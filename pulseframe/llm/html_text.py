@@ -1,19 +1,23 @@
 """Main text of HTML pages by two-pass block rules.
 
-Markup is cut into blocks of text. The first pass decides blocks by where they stand, by link density, by length
-and by the density of stop words; blocks too short to tell stay open. The second pass gives each open block the
-label of the nearest decided block of its region.
-
-Stop words are those of four languages; pages in others, and blocks in other scripts, are decided by length and links.
+Markup is cut into blocks of text. The first pass classifies every block by link density, stop-word density and
+length; blocks that these can't tell stay open. The second pass gives each open block the label of the nearest
+decided block of its region. Where a block stands is one more input: what stands in menus, footers, forms or
+elements marked as adverts, comments and the like is never main text, and an article or main element that holds
+most of the good text leaves the rest of the page out.
+
+Stop words are those of four languages. On a page in none of them, and for blocks in other scripts, they tell
+nothing, and length and links decide.
 """
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cached_property
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +33,7 @@ STOP_WORDS = frozenset(
     """.split()
 )
 
-#: Words of class or id that mark what is not main text.
+#: Words of class, id or role that mark what is not main text.
 MARKED = frozenset(
     """
     ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice
@@ -37,6 +41,10 @@ MARKED = frozenset(
     recommended subscribe subscription newsletter popup modal overlay login signup widget pagination pager disclaimer copyright
     """.split()
 )
+#: Of these the words of what holds articles of its own.
+LISTED = frozenset("comment comments disqus respond replies related recommended".split())
+#: Words that follow a marking one in the name of the same thing (comment-list, sidebar-left).
+PARTS_OF = frozenset("area bar block body box container content inner item left link links list menu outer panel right row section text top bottom wrap wrapper".split())
 
 BLOCK_TAGS = frozenset(
     """
@@ -44,38 +52,37 @@ BLOCK_TAGS = frozenset(
     main form fieldset legend hr figure figcaption address details summary body html head title option label center
     """.split()
 )
-#: Of these the words of what holds articles of its own.
-LISTED = frozenset("comment comments disqus respond replies related recommended".split())
-#: Elements whose whole content is dropped.
-SILENT = frozenset("head title script style noscript template textarea select option button svg iframe object math canvas audio video datalist".split())
+#: Elements whose whole content is dropped; the text of the raw ones is not markup.
+RAW = frozenset("script style template textarea svg iframe".split())
+SILENT = frozenset("head title noscript select option button object math canvas audio video datalist".split()) | RAW
 #: Elements that hold no main text, and those that hold it.
 ASIDE = frozenset("nav footer aside menu dialog".split())
 MAIN = frozenset(["article", "main"])
 #: A form with one of these holds the page and not fields.
 OF_PAGE = frozenset("h1 header nav footer".split()) | MAIN
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: A start of these ends an open paragraph or item.
+#: A start of these ends an open paragraph or heading.
 ENDS_PARAGRAPH = BLOCK_TAGS - {"body", "html", "head", "title", "option", "label"}
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|template|textarea|svg|iframe)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)/?>|<[/a-zA-Z!?][^>]*>""",
-    re.S | re.I,
-)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+PLAIN = re.compile(r"[^>\"']*")
+RAW_END = {x: re.compile(f"</{x}\\b", re.I) for x in RAW}
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-PARTS = re.compile(r"[a-z]+")
+WORD = re.compile(r"[^\W\d_]+")
 
-#: A block of so many words is long enough to be told by its stop words; within an article fewer are.
-LONG = 14
-LONG_IN_MAIN = 5
-STOP_DENSITY = 0.12
+#: A block of so many words is long enough to be told from boilerplate by having no stop words, of so many by having them.
+LONG, MEDIUM = 14, 6
+LOW_DENSITY, HIGH_DENSITY = 0.08, 0.12
 LINK_DENSITY = 0.4
 #: A page whose long blocks together have fewer stop words than this is in none of the four languages.
-KNOWN_DENSITY = 0.24
+KNOWN_DENSITY = 0.2
+#: A block with a copyright sign that is shorter is a notice.
+NOTICE = 40
 #: Letters of scripts without spaces between words (Thai to Khmer, Chinese, Japanese), and how many make a word.
-UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
 LETTERS_OF_WORD = 2
-LATIN = re.compile("[A-Za-z\u00c0-\u024f]")
+LATIN = re.compile("[A-Za-zÀ-ɏ]")
 
 
 def length(text: str) -> int:
@@ -85,155 +92,249 @@ def length(text: str) -> int:
 
 
 def stop_words(text: str) -> int:
-    return sum(w.strip(".,;:!?\"'()").lower() in STOP_WORDS for w in text.split())
+    return sum(w in STOP_WORDS for w in WORD.findall(text.lower()))
+
+
+def marks(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id or role names what is not main text, and whether it is a list of other texts.
+
+    Names are whole: a marking word alone, at the end (site-footer), or followed by words for its parts
+    (comment-list). Words that only tell of one (no-sidebar, comments-open) don't mark.
+    """
+    marked = listed = False
+    for m in ATTRIBUTE.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            words = WORD.findall(name)
+            while len(words) > 1 and words[-1] in PARTS_OF:
+                words.pop()
+            if words and words[-1] in MARKED and words[0] not in ("no", "has", "have", "with", "without", "hide", "show"):
+                marked = True
+                listed |= words[-1] in LISTED
+    return marked, listed
+
+
+def tokens(page: str) -> Iterator[tuple[str, bool, str]]:
+    """Text pieces as ("", False, text) and tags as (name, ending, attributes), in one pass over the page.
+
+    A ``>`` in a quoted value doesn't end a tag. If quotes leave a tag without end, quotes count for nothing from
+    there on; a tag without any end drops the rest of the page. The text of raw elements is left out.
+    """
+    at, quoted, size = 0, True, len(page)
+    while at < size:
+        start = page.find("<", at)
+        if start < 0:
+            yield "", False, page[at:]
+            return
+        name = NAME.match(page, start + 2 if page.startswith("/", start + 1) else start + 1)
+        if not name and not page.startswith(("!", "?", "/"), start + 1):
+            yield "", False, page[at : start + 1]
+            at = start + 1
+            continue
+        if start > at:
+            yield "", False, page[at:start]
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = end + 3 if end >= 0 else size
+            continue
+        end = _tag_end(page, name.end() if name else start, quoted)
+        if end < 0 and quoted:
+            quoted, end = False, page.find(">", start)
+        if end < 0:
+            return
+        at = end + 1
+        if not name:
+            continue
+        own, ending = name[0].lower(), page[start + 1] == "/"
+        if own in RAW and not ending:
+            found = RAW_END[own].search(page, at)
+            if not found:
+                return
+            at = found.start()
+            continue
+        yield own, ending, page[name.end() : end]
+
+
+def _tag_end(page: str, at: int, quoted: bool) -> int:
+    """Where the ``>`` of a tag is, -1 if there is none."""
+    while quoted:
+        at = PLAIN.match(page, at).end()
+        if at == len(page):
+            return -1
+        if page[at] == ">":
+            return at
+        at = page.find(page[at], at + 1) + 1
+        if not at:
+            return -1
+    return page.find(">", at)
 
 
-@dataclass(eq=False)
+@dataclass(slots=True)
 class Mark:
-    """An element that its class, id or role, or that it is a form, makes one of no main text, until the mark is lifted."""
+    """An element that its class, id or role, or that it is a form, makes one of no main text, until the mark is lifted.
+
+    What it holds is first counted where it stands and summed over the marks inside at the page's end.
+    """
 
-    outer: Mark | None
-    depth: int
-    listed: bool
-    form: bool
+    outer: int
+    listed: bool = False
+    form: bool = False
+    nearest_listed: int = 0
     articles: int = 0
     unlisted: int = 0
-    heading: bool = False
+    headings: int = 0
+    of_page: int = 0
     lifted: bool = False
+    inner: list[int] = field(default_factory=list)
 
 
-@dataclass
+@dataclass(slots=True)
 class Block:
+    """Text with its words, those of them in links and among the stop words, and where it stands."""
+
     text: str
+    n: int
     linked: int
+    stops: int
     region: int
     main: bool
     off: bool
-    mark: Mark | None
-
-    @cached_property
-    def n(self) -> int:
-        return length(self.text)
-
-    @property
-    def standing(self) -> list[Mark]:
-        """Marks around the block that are not lifted, the innermost first."""
-        return [x for x in around(self.mark) if not x.lifted]
+    mark: int
 
-    @property
-    def aside(self) -> bool:
-        return self.off or bool(self.standing)
 
+@dataclass(slots=True)
+class Place:
+    """An open element, or the page, and what holds for text inside it."""
 
-def around(mark: Mark | None) -> Iterator[Mark]:
-    while mark:
-        yield mark
-        mark = mark.outer
+    name: str = ""
+    off: bool = False
+    mark: int = 0
+    main: bool = False
+    silent: bool = False
 
 
-def blocks(page: str) -> Iterator[Block]:
-    """The non-empty text blocks of a page in order; what their marks hold is known at the page's end."""
-    stack: list[tuple[str, bool, Mark | None, bool, bool]] = []
+def read_blocks(page: str) -> tuple[list[Block], list[Mark]]:
+    """The non-empty text blocks of a page in order, and its marks; mark 0 is the page itself."""
+    found: list[Block] = []
+    marked = [Mark(-1, lifted=True)]
+    stack = [Place()]
+    is_open: dict[str, int] = defaultdict(int)
+    mains: list[int] = []
     parts: list[str] = []
-    linked, in_link, region, breaks = 0, 0, 0, 0
-    off = main = silent = False
-    mark: Mark | None = None
+    linked, in_link, region, breaks = 0, False, 0, 0
 
-    def flush() -> Block | None:
+    def flush() -> None:
         nonlocal parts, linked, breaks
-        text = " ".join("".join(parts).split())
-        out = Block(text, linked, region, main, off, mark) if text else None
+        text, here = " ".join("".join(parts).split()), stack[-1]
+        if text:
+            found.append(Block(text, length(text), linked, stop_words(text), region, here.main, here.off, here.mark))
         parts, linked, breaks = [], 0, 0
-        return out
-
-    def settle() -> None:
-        nonlocal off, mark, main, silent
-        _, off, mark, main, silent = stack[-1] if stack else ("", False, None, False, False)
-
-    at = 0
-    for token in TOKEN.finditer(page):
-        if token.start() > at and not silent:
-            piece = html.unescape(page[at : token.start()])
-            parts.append(piece)
-            if not piece.isspace():
-                breaks = 0
-                if in_link:
-                    linked += length(piece)
-        at = token.end()
-        name = (token.group(3) or "").lower()
+
+    def close() -> None:
+        nonlocal region
+        place = stack.pop()
+        is_open[place.name] -= 1
+        if place.name in MAIN:
+            mains.pop()
+            region += 1
+
+    for name, ending, rest in tokens(page):
         if not name:
+            if not stack[-1].silent:
+                piece = html.unescape(rest)
+                parts.append(piece)
+                if not piece.isspace():
+                    breaks = 0
+                    linked += length(piece) if in_link else 0
             continue
         if name == "a":
-            in_link = not token.group(2)
+            in_link = not ending
             continue
         if name == "br":
             parts.append(" ")
             breaks += 1
-        is_block = name in BLOCK_TAGS or name in SILENT or name in ASIDE or breaks > 1
-        if is_block and (found := flush()):
-            yield found
+        is_block = name in BLOCK_TAGS or name in SILENT or name in ASIDE
+        if is_block or breaks > 1:
+            flush()
         if name in VOID or not is_block and name != "span":
             continue
-        in_link = 0 if is_block else in_link
-        if token.group(2):
-            at_open = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if at_open is not None:
-                if any(x[0] in MAIN for x in stack[at_open:]):
-                    region += 1
-                del stack[at_open:]
-        else:
-            if name in ENDS_PARAGRAPH and stack and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                stack.pop()
-            settle()
-            words = {w for m in ATTRIBUTE.finditer(token.group(4) or "") for w in PARTS.findall((m[1] or m[2] or m[3] or "").lower())}
-            held = name in MAIN
-            if held and not main:
-                region += 1
-            if not off:
-                inner = max((i for i, x in enumerate(stack) if x[0] in MAIN), default=-1) if held and mark else -1
-                listed = False
-                for x in around(mark):
-                    x.articles += held and x.depth > inner
-                    x.unlisted += held and x.depth > inner and not listed
-                    listed |= x.listed
-                    x.heading |= name == "h1"
-                    x.lifted |= x.form and name in OF_PAGE
-            marked = bool(words & MARKED) and name not in ("body", "html", *MAIN)
-            own = Mark(mark, len(stack), bool(words & LISTED), not marked) if marked or name == "form" else mark
-            stack.append((name, off or name in ASIDE or name == "header" and not main, own, main or held, silent or name in SILENT))
-        settle()
-    if at < len(page) and not silent:
-        parts.append(html.unescape(page[at:]))
-    if found := flush():
-        yield found
-
-
-def decide(block: Block, known: bool = True) -> bool | None:
-    """First pass: main text or not, None if the block is too short to tell.
-
-    On a page that is not in a ``known`` language, and in other scripts than Latin, stop words tell nothing.
+        in_link = in_link and not is_block
+        if ending:
+            while is_open[name]:
+                last = stack[-1].name
+                close()
+                if last == name:
+                    break
+            continue
+        if name in ENDS_PARAGRAPH and stack[-1].name in PARAGRAPHS:
+            close()
+        here = stack[-1]
+        mark = here.mark
+        if name in MAIN:
+            region += not here.main
+            if not here.off:
+                around = mains[-1] if mains else 0
+                marked[mark].articles += 1
+                marked[around].articles -= 1
+                marked[mark].unlisted += 1
+                marked[around].unlisted -= marked[around].nearest_listed == marked[mark].nearest_listed
+            mains.append(mark)
+        elif name not in ("body", "html"):
+            own, listed = marks(rest) if rest and not here.off else (False, False)
+            if own or name == "form":
+                marked.append(Mark(mark, listed, not own))
+                marked[mark].inner.append(len(marked) - 1)
+                marked[-1].nearest_listed = len(marked) - 1 if listed else marked[mark].nearest_listed
+                mark = len(marked) - 1
+        if not here.off:
+            marked[here.mark].headings += name == "h1"
+            marked[here.mark].of_page += name in OF_PAGE
+        off = here.off or name in ASIDE or name == "header" and not here.main
+        stack.append(Place(name, off, mark, here.main or name in MAIN, here.silent or name in SILENT))
+        is_open[name] += 1
+    flush()
+    for x in reversed(marked[1:]):
+        outer = marked[x.outer]
+        outer.articles += x.articles
+        outer.unlisted += 0 if x.listed else x.unlisted
+        outer.headings += x.headings
+        outer.of_page += x.of_page
+        x.lifted = x.form and x.of_page > 0
+    return found, marked
+
+
+def standing(marked: list[Mark]) -> list[bool]:
+    """Of each mark, whether it or one around it is not lifted."""
+    out = [False]
+    for x in marked[1:]:
+        out.append(not x.lifted or out[x.outer])
+    return out
+
+
+def classify(block: Block, known: bool) -> bool | None:
+    """First pass: main text or not by links, stop words and length, None if they can't tell.
+
+    On a page that is not in a ``known`` language, and in other scripts than Latin, length and links decide.
     """
-    n = block.n
-    if block.aside or block.linked > LINK_DENSITY * n:
-        return False
-    if block.main:
-        return True if n >= LONG_IN_MAIN else None
-    if "©" in block.text and n < 40:
+    if block.linked > LINK_DENSITY * block.n or "©" in block.text and block.n < NOTICE and not block.main:
         return False
-    if n < LONG:
+    if block.n < MEDIUM:
         return None
-    if not known or stop_words(block.text) >= STOP_DENSITY * n:
+    if block.stops >= HIGH_DENSITY * block.n:
         return True
-    return not block.text.isascii() and 2 * len(LATIN.findall(block.text)) < sum(map(str.isalpha, block.text))
+    if block.n < LONG:
+        return None
+    if not known or not block.text.isascii() and 2 * len(LATIN.findall(block.text)) < sum(map(str.isalpha, block.text)):
+        return True
+    return None if block.main or block.stops >= LOW_DENSITY * block.n else False
 
 
-def in_known_language(found: list[Block]) -> bool:
-    """Whether the long blocks of a page together have the stop words of a known language, or none of them needs any."""
-    long = [x for x in found if x.n >= LONG and not x.aside and x.linked <= LINK_DENSITY * x.n]
-    return all(x.main for x in long) or sum(stop_words(x.text) for x in long) >= KNOWN_DENSITY * sum(x.n for x in long)
+def in_known_language(found: list[Block], aside: list[bool]) -> bool:
+    """Whether the long unmarked blocks of a page together have the stop words of a known language."""
+    long = [x for x, off in zip(found, aside, strict=True) if x.n >= LONG and not off and x.linked <= LINK_DENSITY * x.n]
+    return sum(x.stops for x in long) >= KNOWN_DENSITY * sum(x.n for x in long)
 
 
-def lift(found: list[Block], known: bool) -> None:
+def lift(found: list[Block], marked: list[Mark], known: bool) -> None:
     """Lift the marks of wrappers around the main text.
 
     A mark around articles is lifted if no main text stands outside of marks; and if it holds more than stands there, unless
@@ -241,68 +342,91 @@ def lift(found: list[Block], known: bool) -> None:
     On a page without these elements, whose text all stands in marked ones, the mark around a heading is lifted. The mark
     around the most text goes first, from the outside.
     """
-    while True:
-        free = any_free = 0
-        inside: dict[Mark, int] = {}
-        for x in found:
-            standing = x.standing
-            if not standing:
-                n = x.n if decide(x, known) else 0
-                any_free += n
-                free += n * x.main
-            elif not x.off:
-                n = x.n
-                n *= x.linked <= LINK_DENSITY * n
-                inside[standing[-1]] = inside.get(standing[-1], 0) + n * (x.main or not standing[-1].articles)
-        more = lambda x: not x.listed and inside[x] > any_free and (not free or x.unlisted == 1)
-        wrappers = [x for x in inside if x.articles and inside[x] and (not any_free or more(x))]
-        if not any_free and not any(x.main for x in found):
-            wrappers = [x for x in inside if x.heading and inside[x]]
-        if not wrappers:
-            return
-        max(wrappers, key=lambda x: (not x.listed, inside[x])).lifted = True
-
-
-def nearest(found: list[Block], labels: list[bool | None], step: int) -> list[int | None]:
-    """Of each block the last decided block of its region, coming from the page's start (1) or end (-1).
-
-    Within an article what stands aside of it doesn't count.
+    good, good_main, held, held_main = ([0] * len(marked) for _ in range(4))
+    for x in found:
+        if not x.off:
+            n = x.n if classify(x, known) else 0
+            good[x.mark] += n
+            good_main[x.mark] += n * x.main
+            n = x.n * (x.linked <= LINK_DENSITY * x.n)
+            held[x.mark] += n
+            held_main[x.mark] += n * x.main
+    for i in range(len(marked) - 1, 0, -1):
+        held[marked[i].outer] += held[i]
+        held_main[marked[i].outer] += held_main[i]
+    has_main = any(x.main for x in found)
+    free = free_main = 0
+    queue: list[tuple[bool, int, int]] = []
+    opened = [0]
+    while opened or queue:
+        while opened:
+            i = opened.pop()
+            free += good[i]
+            free_main += good_main[i]
+            for j in marked[i].inner:
+                if marked[j].lifted:
+                    opened.append(j)
+                else:
+                    heapq.heappush(queue, (marked[j].listed, -(held_main if marked[j].articles else held)[j], j))
+        while queue:
+            listed, amount, i = heapq.heappop(queue)
+            x = marked[i]
+            if not amount:
+                continue
+            around_text = x.articles and (not free or not listed and -amount > free and (not free_main or x.unlisted == 1))
+            if around_text or not free and not has_main and x.headings:
+                x.lifted = True
+                opened.append(i)
+                break
+
+
+def inherit(found: list[Block], labels: list[bool | None], aside: list[bool]) -> list[bool]:
+    """Second pass: an open block takes the label of the nearest decided block of its region, good if two are equally near.
+
+    Within an article what stands aside of it doesn't count. A region without a decided block is main text if it is an article or main element.
     """
-    out: list[int | None] = [None] * len(found)
-    last: dict[int, int] = {}
-    for i in range(len(found))[::step]:
-        out[i] = last.get(found[i].region)
-        if labels[i] is not None and not (found[i].main and found[i].aside):
-            last[found[i].region] = i
+    near: list[list[int]] = [[] for _ in found]
+    for step in (1, -1):
+        last: dict[int, int] = {}
+        for i in range(len(found))[::step]:
+            if found[i].region in last:
+                near[i].append(last[found[i].region])
+            if labels[i] is not None and not (found[i].main and aside[i]):
+                last[found[i].region] = i
+    out = []
+    for i, label in enumerate(labels):
+        if label is None:
+            least = min((abs(i - j) for j in near[i]), default=0)
+            label = any(labels[j] for j in near[i] if abs(i - j) == least) if near[i] else found[i].main
+        out.append(label)
     return out
 
 
 def main_text(page: str | None) -> str:
     """The main blocks joined by line breaks."""
-    found = list(blocks(page or ""))
-    if any(x.mark and not x.off for x in found):
-        lift(found, in_known_language(found))
-    known = in_known_language(found)
-    labels = [decide(x, known) for x in found]
-    before, behind = nearest(found, labels, 1), nearest(found, labels, -1)
-    out = []
-    for i, (block, label) in enumerate(zip(found, labels, strict=True)):
-        if label is None:
-            near = [j for j in (before[i], behind[i]) if j is not None]
-            least = min((abs(i - j) for j in near), default=None)
-            label = block.main if least is None else any(labels[j] for j in near if abs(i - j) == least)
-        if label:
-            out.append(block.text)
-    return "\n".join(out)
+    found, marked = read_blocks(page or "")
+    stands = standing(marked)
+    aside = [x.off or stands[x.mark] for x in found]
+    if any(stands[x.mark] and not x.off for x in found):
+        lift(found, marked, in_known_language(found, aside))
+        stands = standing(marked)
+        aside = [x.off or stands[x.mark] for x in found]
+    known = in_known_language(found, aside)
+    labels = [False if off else classify(x, known) for x, off in zip(found, aside, strict=True)]
+    good = inherit(found, labels, aside)
+    inside = sum(x.n for x, ok in zip(found, good, strict=True) if ok and x.main)
+    outside = sum(x.n for x, ok in zip(found, good, strict=True) if ok and not x.main)
+    return "\n".join(x.text for x, ok in zip(found, good, strict=True) if ok and (x.main or outside > inside))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages(page_id, url, html, ...)``.
 
     A null or empty page, and one without main text, has the empty text. Character references are decoded, white
-    space inside a block is one space, blocks are trimmed and joined by one line break; nothing is capped. Outside of
-    article and main elements a long block without stop words is dropped, if its page is in English, German, French or
-    Spanish. Rows that repeat are each extracted; other columns are not looked at.
+    space inside a block is one space, blocks are trimmed and joined by one line break; nothing is capped. Text
+    outside of article and main elements is left out if these hold more main text than it does. Time grows with the
+    length of a page and not faster, whatever its markup; a page is held by one task. Rows that repeat are each
+    extracted; other columns are not looked at. An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
