@@ -23,43 +23,46 @@ ORDERS = (1, 2, 3)
 #: Rows of the dense vectors that are held at once.
 DENSE_ROWS = 256
 
-#: Learning texts in all and of each language, taken by a hash of doc_id.
+#: Learning texts in all and of each language, taken by a hash of doc_id; of very many languages still LEAST_PER_LANGUAGE each.
 LEARN_ROWS = 4000
 LEARN_PER_LANGUAGE = 800
+LEAST_PER_LANGUAGE = 5
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
 def ngram_buckets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of every letter n-gram; words are padded by one space on either side."""
+    """Row and bucket of every n-gram of the words (runs of letters), each word padded by one space on either side."""
     points = lowered()[chunk.points]
-    letter = is_letter()[chunk.points]
-    starts, ends, row = chunk.runs(letter)
+    starts, ends, row = chunk.runs(is_letter()[chunk.points])
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    size = ends - starts + 1
-    total = int(size.sum())
+    size = ends - starts + 2
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    inner = np.arange(total) - np.repeat(begin - starts, size)
-    symbols = np.where(np.arange(total) == np.repeat(begin + size - 1, size), 32, points[np.minimum(inner, len(points) - 1)]).astype(np.uint32)
-    symbols = np.concatenate([np.full(1, 32, np.uint32), symbols])
+    total = int(begin[-1] + size[-1])
+    symbols = points[np.clip(np.arange(total) + np.repeat(starts - begin - 1, size), 0, len(points) - 1)].astype(np.uint32)
+    symbols[begin] = symbols[begin + size - 1] = 32
+    left = np.repeat(begin + size, size) - np.arange(total)
     rows = np.repeat(row, size)
-    last_of_row = np.concatenate([[rows[0]], rows])
     out_row, out_bucket = [], []
-    code = np.zeros(len(symbols), np.uint32)
+    code = np.zeros(total, np.uint32)
     for n in range(1, max(ORDERS) + 1):
-        code = code[: len(symbols) - n + 1] * np.uint32(0x01000193) + symbols[n - 1 :] + np.uint32(n)
+        code = code[: total - n + 1] * np.uint32(0x01000193) + symbols[n - 1 :] + np.uint32(n)
         if n not in ORDERS:
             continue
         mixed = (code ^ (code >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        whole = last_of_row[n - 1 :] == last_of_row[: len(symbols) - n + 1]
-        out_row.append(last_of_row[n - 1 :][whole])
+        whole = left[: total - n + 1] >= n
+        out_row.append(rows[: total - n + 1][whole])
         out_bucket.append((mixed >> np.uint32(32 - 13))[whole].astype(np.int64))
     return np.concatenate(out_row), np.concatenate(out_bucket)
 
 
 def count_vectors(chunk: Chunk) -> Iterator[tuple[slice, np.ndarray]]:
-    """Dense n-gram counts of some rows at a time."""
+    """Dense n-gram counts of some rows at a time; those of a long text are summed over its parts."""
+    if chunk.long is not None:
+        total = sum(np.bincount(ngram_buckets(part)[1], minlength=BUCKETS) for part in chunk.parts())
+        yield slice(0, 1), total[None].astype(np.float32)
+        return
     row, bucket = ngram_buckets(chunk)
     order = np.argsort(row, kind="stable")
     row, bucket = row[order], bucket[order]
@@ -106,12 +109,12 @@ def spherical_kmeans(vectors: np.ndarray, k: int, seed: int, rounds: int = 12) -
 
 def learn(docs: DataFrame, per_language: int = LEARN_PER_LANGUAGE, centroids: int = 4, reject: float = 0.0005, seed: int = 11) -> LanguageModel:
     """Fit on at most about ``per_language`` texts of each lang among the learnable rows, taken by a hash of doc_id, and
-    ``LEARN_ROWS`` in all. Only n-gram counts of these texts reach the driver. A text is rejected later if its cosine is below half
+    ``LEARN_ROWS`` in all (``LEAST_PER_LANGUAGE`` each, if that is more). Only n-gram counts of these texts reach the driver. A text is rejected later if its cosine is below half
     the ``reject`` quantile of the learning texts of its length or a longer class, or of the longest learned class if it is longer.
     """
     rows = docs.where(is_learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    per_language = min(per_language, LEARN_ROWS // max(len(sizes), 1))
+    per_language = min(per_language, max(LEARN_ROWS // max(len(sizes), 1), LEAST_PER_LANGUAGE))
     share = F.lit(0.0)
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
@@ -164,7 +167,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of ``docs(doc_id, text, ...)``.
 
     ``score`` is the cosine to the nearest centroid. A null text or one without a letter is ``und``, score 0,
-    and rejected; so is every text if nothing could be learned. ``rejected`` is also true beyond the model's
+    and rejected; so is every text if nothing could be learned. Of languages of equal cosine the first in the order of
+    their names is taken. ``rejected`` is also true beyond the model's
     distance limit, whose ``lang_pred`` is still the nearest language. Rows that repeat are each judged; other
     columns are not looked at.
     """

@@ -1,9 +1,14 @@
 """Quality by importance resampling.
 
 Two bag models over hashed word n-grams are counted: the target from the texts labelled as good, the raw model
-from all texts. The mean log-ratio of a text's n-grams is its log-weight for each n-gram; scaled, and with Gumbel
-noise hashed from its id, it ranks the documents, and the k highest are the sample. The k-th highest key is found
-exactly by counting in ever finer bins, so that no ordering of all rows and no bound on k is needed.
+from all texts. The sum of the log-ratios of a text's n-grams is the log of its importance weight, target over raw
+likelihood; with Gumbel noise hashed from its id it ranks the documents, and the k highest are a sample without
+replacement in proportion to the weights. The k-th highest key is found exactly by counting in ever finer bins, so
+that no ordering of all rows and no bound on k is needed.
+
+Since the likelihood of a text is a product over its n-grams, a weight moves further from 1 the longer the text: a
+long text like the target is nearly always taken and a long one unlike it nearly never, while short texts are left
+to the noise. ``temper`` divides the log-weights where that is not wanted.
 """
 
 from __future__ import annotations
@@ -21,37 +26,44 @@ from .textkernel import Chunk, chunks, hash_runs, lowered
 from .toxicity import is_word
 
 BITS = 16
-#: The n-grams' log-ratios are averaged and multiplied by this before noise is added.
-SCALE = 40.0
 #: Labelled rows that the target model is learned from.
 LEARN_ROWS = 1_000_000
 
 RESULT = "doc_id long, held_out boolean, log_weight double, n_grams long"
 
 
-def gram_buckets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each token and each pair of neighbours, with n + 1 offsets of the texts.
+def gram_buckets(chunk: Chunk, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each token and each pair of neighbours, the n + 1 offsets of the texts, and the last token.
 
     Tokens are runs of letters and digits and runs of other characters that are not white space; of the latter
-    only kind and length (up to 3) count, of letters the lower case.
+    only kind and length (up to 3) count, of letters the lower case. ``before`` is the token before the first, if the
+    chunk goes on with a text.
     """
     points = lowered()[chunk.points]
     word = is_word()[points]
     starts, ends, row = chunk.runs(word)
-    white = np.zeros(len(points), bool)
-    white[:] = (points == 32) | ((points >= 9) & (points <= 13)) | (points == 0xA0)
+    white = (points == 32) | ((points >= 9) & (points <= 13)) | (points == 0xA0)
     s2, e2, r2 = chunk.runs(~word & ~white)
     hashes = np.concatenate([hash_runs(points, starts, ends), hash_runs(points, s2, np.minimum(e2, s2 + 3))])
     begin, rows = np.concatenate([starts, s2]), np.concatenate([row, r2])
     order = np.argsort(begin, kind="stable")
     hashes, rows = hashes[order], rows[order]
+    led, led_rows = (hashes, rows) if before is None else (np.concatenate([before, hashes]), np.concatenate([np.zeros(len(before), rows.dtype), rows]))
     with np.errstate(over="ignore"):
-        pairs = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
-    same = rows[1:] == rows[:-1]
-    all_rows = np.concatenate([rows, rows[1:][same]])
+        pairs = (led[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (led[1:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    same = led_rows[1:] == led_rows[:-1]
+    all_rows = np.concatenate([rows, led_rows[1:][same]])
     bucket = (np.concatenate([hashes, pairs[same]]) >> np.uint64(64 - BITS)).astype(np.int64)
     order = np.argsort(all_rows, kind="stable")
-    return bucket[order], np.concatenate([[0], np.cumsum(np.bincount(all_rows, minlength=chunk.n))])
+    return bucket[order], np.concatenate([[0], np.cumsum(np.bincount(all_rows, minlength=chunk.n))]), led[-1:]
+
+
+def gram_parts(chunk: Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and offsets of a chunk, or of each part of a long text."""
+    last = None
+    for part in chunk.parts():
+        bucket, bounds, last = gram_buckets(part, last)
+        yield bucket, bounds
 
 
 def bag_counts(docs: DataFrame) -> np.ndarray:
@@ -60,7 +72,8 @@ def bag_counts(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
         for chunk in chunks(batches):
-            total += np.bincount(gram_buckets(chunk)[0], minlength=1 << BITS)
+            for bucket, _ in gram_parts(chunk):
+                total += np.bincount(bucket, minlength=1 << BITS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
@@ -99,16 +112,18 @@ def target_share(labels: DataFrame) -> float:
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, held_out, log_weight (mean log-ratio times SCALE), n_grams of every row; 0 for a text without n-grams."""
+    """doc_id, held_out, log_weight (sum of the n-grams' log-ratios), n_grams of every row; 0 for a text without n-grams."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
-            bucket, bounds = gram_buckets(chunk)
-            n = np.diff(bounds)
-            sums = np.concatenate([[0], np.cumsum(held.value[bucket], dtype=np.float64)])
-            mean = (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([chunk.rows.column(0), chunk.rows.column(2), pa.array(mean * SCALE), pa.array(n)], names=["doc_id", "held_out", "log_weight", "n_grams"])
+            weight, n = np.zeros(chunk.n), np.zeros(chunk.n, np.int64)
+            for bucket, bounds in gram_parts(chunk):
+                sums = np.concatenate([[0], np.cumsum(held.value[bucket], dtype=np.float64)])
+                weight += sums[bounds[1:]] - sums[bounds[:-1]]
+                n += np.diff(bounds)
+            # rounded, so that a weight doesn't depend on which texts its chunk holds
+            yield pa.RecordBatch.from_arrays([chunk.rows.column(0), chunk.rows.column(2), pa.array(np.round(weight, 6) + 0.0), pa.array(n)], names=["doc_id", "held_out", "log_weight", "n_grams"])
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), is_held_out(F.col("doc_id")).alias("held_out"))
     return plain.mapInArrow(score, RESULT)
@@ -132,16 +147,16 @@ def kth_highest(keys: DataFrame, k: int) -> int | None:
     return low
 
 
-def resample(docs: DataFrame, ratio: np.ndarray, keep: float, seed: int = 3) -> DataFrame:
+def resample(docs: DataFrame, ratio: np.ndarray, keep: float, seed: int = 3, temper: float = 1.0) -> DataFrame:
     """doc_id, held_out, log_weight, sample_key, kept for every row of ``docs(doc_id, text, ...)``.
 
-    Exactly round(keep * rows) rows are kept: those of the highest log-weight plus Gumbel noise, ties by the
+    Exactly round(keep * rows) rows are kept: those of the highest log-weight (over ``temper``) plus Gumbel noise, ties by the
     smaller doc_id. Noise depends on seed and doc_id alone, so rows that repeat a doc_id and text stay or go
-    together unless the limit falls between them. Null and empty texts have log-weight 0. Other columns are not
-    looked at. An empty table gives an empty result.
+    together unless the limit falls between them. Null and empty texts have log-weight 0. Texts of
+    more than a million characters are read in parts. Other columns are not looked at. An empty table gives an empty result.
     """
     gumbel = -F.log(-F.log(F.greatest(hashed_unit(F.lit(seed), F.col("doc_id")), F.lit(1e-12))))
-    scored = weigh(docs, ratio).withColumn("sample_key", F.col("log_weight") + gumbel)
+    scored = weigh(docs, ratio).withColumn("sample_key", F.col("log_weight") / temper + gumbel)
     scored = materialize(scored.withColumn("key", _sortable(F.col("sample_key"))), "quality-keys")
     rows = scored.count()
     k = round(keep * rows)

@@ -64,9 +64,14 @@ def test_repeated_ids_with_different_texts(spark):
     rows = [(1, "a"), (4, "a"), (4, "only here"), (5, "x"), (5, "y"), (5, "y  "), (None, "q")]
     kept = exact_dedup.keep_first(docs_of(spark, rows))
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "q"), (1, "a"), (4, "only here"), (5, "x"), (5, "y  ")]
+    twice = [(7, "a b c d"), (7, "a b c d"), (7, "A b c d"), (None, "x"), (None, "x"), (8, ""), (8, ""), (9, None)]
+    kept = minhash.keep_representatives(spark.createDataFrame([(*r, 1, 2) for r in twice], "doc_id long, text string, _id int, _sha int"))
+    assert sorted((r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept.collect()) == [(0, "x"), (7, "a b c d"), (8, ""), (9, "")] and len(kept.columns) == 4
+    found = minhash.near_components(docs_of(spark, [(5, "x y z"), (5, "u v w"), (6, "U v w"), (7, "x y z"), (7, "q")]))
+    assert sorted((r["doc_id"], r["component_id"]) for r in found.collect()) == [(5, 5), (5, 5), (6, 5), (7, 5), (7, 7)]
     near = [(1, "a b c"), (4, "A b c"), (4, "only here it is"), (5, "x y z"), (5, "u v w"), (6, "U v w"), (None, "a b c")]
     kept = minhash.keep_representatives(docs_of(spark, near))
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "a b c"), (1, "a b c"), (4, "only here it is"), (5, "u v w"), (5, "x y z")]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(1, "a b c"), (4, "only here it is"), (5, "u v w"), (5, "x y z")]
 
 
 def test_directory_doubles_and_splits():
@@ -110,7 +115,8 @@ def test_near_equals_brute_force(spark, words, percent):
     assert set(map(tuple, found.collect())) == brute_near(rows, words, percent)
 
 
-def test_near_group_around_a_hub(spark):
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+def test_near_group_around_a_hub(spark, monkeypatch, rounds):
     """Copies that resemble their original but not each other, in blocks of few rows."""
     random.seed(2)
     base = random.choices(WORDS, k=120)
@@ -120,11 +126,11 @@ def test_near_group_around_a_hub(spark):
         for j in random.sample(range(len(own)), random.choice([2, 3, 8])):
             own[j] = f"x{i}_{j}"
         rows.append((i, " ".join(own)))
-    held, minhash.BLOCK_ROWS = minhash.BLOCK_ROWS, 8
-    try:
-        assert set(map(tuple, minhash.near_components(docs_of(spark, rows), 3, 85).collect())) == brute_near(rows, 3, 85)
-    finally:
-        minhash.BLOCK_ROWS = held
+    for i in range(60, 120):
+        rows.append((i, " ".join(base[: 100 + i % 20] + [f"y{i}_{j}" for j in range(i % 23)])))
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", rounds)
+    assert set(map(tuple, minhash.near_components(docs_of(spark, rows), 3, 85).collect())) == brute_near(rows, 3, 85)
 
 
 def test_near_edges(spark):

@@ -195,7 +195,7 @@ def test_cuts():
     import pyarrow as pa
 
     texts = pa.array(["aa", None, "b" * 10, "", "c"])
-    assert list(cuts(texts, 5, 10)) == [(0, 3), (3, 5)] and list(cuts(texts, 100, 2)) == [(0, 2), (2, 4), (4, 5)]
+    assert list(cuts(texts, 5, 10)) == [(0, 2), (2, 3), (3, 5)] and list(cuts(texts, 100, 2)) == [(0, 2), (2, 4), (4, 5)]
     assert list(cuts(texts.slice(0, 0), 5, 10)) == []
 
 
