@@ -3,7 +3,7 @@
 Reference vectors (pivots) are taken from a bounded sample. Every vector is described by its nearest pivots in
 order of distance and enters the inverted list of each. Two vectors of a list that share enough pivots are
 candidates; their cosine is computed in double precision. Lists are dealt into blocks and each pair of blocks is
-one bounded group. A pair is looked at only in the list of the smallest pivot that both share, so that link
+one bounded group, worked through in stripes. Equal vectors are one numbered node, whatever their ids. A pair is looked at only in the list of the smallest pivot that both share, so that link
 counts add up without the pairs being written: a group returns a count for each vector and as few links as join
 its components.
 """
@@ -19,14 +19,19 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, unit_hash
 
-#: Pivots for each square root of the number of vectors, and their bounds.
+#: Pivots for each square root of the number of vectors, and at least; bytes that they may take in every executor.
+#: Those bytes are reached at 6e10 vectors of 64 components; lists grow from there on, and no link is lost.
 PIVOTS_PER_ROOT = 4
-LEAST_PIVOTS, MOST_PIVOTS = 64, 16_384
+LEAST_PIVOTS = 64
+PIVOT_BYTES = 512_000_000
 #: Nearest pivots of a vector, and how many of them two candidates share.
 NEAREST = 12
 SHARED = 2
-#: Rows of a block.
-BLOCK_ROWS = 512
+#: Rows of a block, and of a stripe of it that is compared at once.
+BLOCK_ROWS = 2_048
+STRIPE_ROWS = 256
+#: Cosines to pivots that are held at once.
+COSINES = 4_000_000
 
 PARSED = "vec_id long, body binary"
 
@@ -61,9 +66,9 @@ def unit_rows(bodies: list[bytes], dimension: int) -> np.ndarray:
 
 
 def choose_pivots(nodes: DataFrame, rows: int, dimension: int, threshold: float, seed: int = 2) -> np.ndarray:
-    """At most MOST_PIVOTS unit vectors, none within the link threshold of another, from a sample of three times as many."""
-    wanted = int(np.clip(PIVOTS_PER_ROOT * np.sqrt(rows), LEAST_PIVOTS, MOST_PIVOTS))
-    sample = nodes.where(unit_hash(F.col("node"), seed) < 3 * wanted / max(rows, 1)).select("node", "body").toArrow().sort_by("node")
+    """Unit vectors, none within the link threshold of another, from a sample of three times as many nodes."""
+    wanted = min(max(int(PIVOTS_PER_ROOT * np.sqrt(rows)), LEAST_PIVOTS), PIVOT_BYTES // (8 * dimension))
+    sample = nodes.where(unit_hash(F.col("body"), seed) < 3 * wanted / max(rows, 1)).select("body").toArrow().sort_by("body")
     units = unit_rows(sample.column("body").to_pylist(), dimension)
     units = units[np.random.default_rng(seed).permutation(len(units))]
     kept = np.zeros((0, dimension))
@@ -86,8 +91,9 @@ def pivot_lists(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
         pivots = held.value
         k = min(NEAREST, len(pivots))
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            step = max(1, min(512, COSINES // len(pivots)))
+            for begin in range(0, batch.num_rows, step):
+                part = batch.slice(begin, step)
                 cosine = unit_rows(part.column(1).to_pylist(), pivots.shape[1]) @ pivots.T
                 nearest = np.sort(np.argpartition(-cosine, k - 1, axis=1)[:, :k], axis=1).astype(np.int32)
                 own = pa.array([x.tobytes() for x in nearest], pa.binary())
@@ -110,18 +116,22 @@ def group_links(group: pa.Table, threshold: float, dimension: int) -> pa.Table:
     held[np.repeat(np.arange(len(node)), lists.shape[1]), at.ravel()] = 1
     lower = held[:, names < pivot]
     units = unit_rows(group.column("body").to_pylist(), dimension)
-    linked = (units @ units.T >= threshold) & (held @ held.T >= min(SHARED, lists.shape[1])) & (lower @ lower.T == 0)
-    linked &= (block == i)[:, None] & (block == j)[None, :] if i != j else np.triu(np.ones_like(linked), 1)
-    counts = linked @ copies + linked.T @ copies
-    label, a, b = np.arange(len(node)), [], []
-    for x in np.flatnonzero(linked.any(1)):
-        near = np.flatnonzero(linked[x])
-        new = np.unique(label[near])
-        new = new[new != label[x]]
-        for y in new:
-            a.append(node[x])
-            b.append(node[near[label[near] == y][0]])
-        label[np.isin(label, new)] = label[x]
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    counts, label, a, b = np.zeros(len(node), np.int64), np.arange(len(node)), [], []
+    for begin in range(0, len(left), STRIPE_ROWS):
+        own = left[begin : begin + STRIPE_ROWS]
+        linked = (units[own] @ units[right].T >= threshold) & (held[own] @ held[right].T >= min(SHARED, lists.shape[1])) & (lower[own] @ lower[right].T == 0)
+        if i == j:
+            linked &= own[:, None] < right[None, :]
+        counts[own] += linked @ copies[right]
+        counts[right] += linked.T @ copies[own]
+        for x in np.flatnonzero(linked.any(1)):
+            near = right[linked[x]]
+            for y in near[np.unique(label[near], return_index=True)[1]]:
+                if label[y] != label[own[x]]:
+                    a.append(node[own[x]])
+                    b.append(node[y])
+                    label[label == label[y]] = label[own[x]]
     some = np.flatnonzero(counts)
     return pa.table(
         {
@@ -138,12 +148,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     Vectors of cosine at least ``threshold`` are linked. A vector that is null, empty or zero, or holds null or
     non-finite components, links with nothing: n_links 0, component_id its own vec_id. Vectors of fewer
     components count as padded by zeros. Equal vectors are compared once and each counts as a link of the others;
-    rows that repeat a vec_id are counted each. A null vec_id has n_links and component_id null. Other columns,
+    rows that repeat a vec_id are counted each, by their own vector. A null vec_id has n_links and component_id null. Other columns,
     labels too, are not looked at.
     """
     parsed = materialize(parse_vectors(vectors), "pivot-vectors")
     usable = parsed.where("body is not null and vec_id is not null")
-    nodes = materialize(usable.groupBy("body").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")), "pivot-nodes")
+    nodes = usable.groupBy("body").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "pivot-nodes")
     rows, size = nodes.agg(F.count(F.lit(1)), F.max(F.length("body"))).first()
     if not rows:
         return parsed.select(
@@ -159,14 +170,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     found = materialize(found, "pivot-links")
     counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     components = connected_components(found.where("b is not null").select("a", "b"))
-    named = (
-        nodes.join(counts, "node", "left")
-        .join(components, "node", "left")
-        .select("body", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
-    )
+    named = nodes.join(counts, "node", "left").join(components, "node", "left")
+    named = named.select("body", "rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "node").alias("component"))
+    named = materialize(named, "pivot-named")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "component").select("body", "links", "component_id")
     known = F.col("vec_id").isNotNull()
     return (
         parsed.join(named, "body", "left")
-        .select("vec_id", F.when(known, F.coalesce("links", F.lit(0))).alias("n_links"), F.when(known, F.coalesce("component", "vec_id")).alias("component_id"))
+        .select("vec_id", F.when(known, F.coalesce("links", F.lit(0))).alias("n_links"), F.when(known, F.coalesce("component_id", "vec_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )
