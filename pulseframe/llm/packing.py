@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .textkernel import cuts
+from .textkernel import LONG_TEXT, cuts, long_parts
 
 SEQUENCE = 2048
 #: Word pieces whose ids a Python worker remembers.
@@ -110,39 +110,64 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def token_ids(texts: list[str], path: str) -> Iterator[np.ndarray]:
-    """The tokenizer's ids of each text. Texts with an apostrophe or a special token go to it whole; of the others
-    the distinct word pieces do."""
+def token_ids(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The tokenizer's ids of all texts end to end, and n + 1 bounds.
+
+    Texts with an apostrophe or a special token go to it whole; of the others the distinct word pieces do.
+    """
     model = word_ids(path)
-    plain = [i for i, x in enumerate(texts) if x and "'" not in x and "<|" not in x]
-    found: dict[int, np.ndarray] = {}
-    if plain:
-        joined = "".join(texts[i] for i in plain)
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        bounds = np.concatenate([[0], np.cumsum([len(texts[i]) for i in plain])])
-        starts = split_points(points, bounds)
-        wide = 1 + (points > 0x7F).astype(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
-        at = np.concatenate([[0], np.cumsum(wide, dtype=np.int32)]).astype(np.int32)
-        offsets = np.append(at[starts], at[-1])
-        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined.encode())])
-        coded = pieces.dictionary_encode()
-        own = model(coded.dictionary.to_pylist())
-        which = coded.indices.to_numpy()
-        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-        each = size[which]
-        before = np.concatenate([[0], np.cumsum(each)])
-        flat = np.frombuffer(b"".join(own), "<u4")[np.repeat(begin[which] - before[:-1], each) + np.arange(before[-1])]
-        cut = before[np.searchsorted(starts, bounds)]
-        found = {i: flat[cut[k] : cut[k + 1]] for k, i in enumerate(plain)}
+    odd = [i for i, x in enumerate(texts) if "'" in x or "<|" in x]
+    plain = [x for x in texts if "'" not in x and "<|" not in x] if odd else texts
+    flat, cut = _plain_ids(plain, model)
+    if not odd:
+        return flat, cut
+    found, own, k = [], set(odd), 0
     for i, text in enumerate(texts):
-        yield found[i] if i in found else model.whole(text)
-
-
-def text_chunks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+        if i in own:
+            found.append(model.whole(text))
+        else:
+            found.append(flat[cut[k] : cut[k + 1]])
+            k += 1
+    return np.concatenate(found), np.concatenate([[0], np.cumsum([len(x) for x in found])])
+
+
+def _plain_ids(texts: list[str], model: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    joined = "".join(texts)
+    if not joined:
+        return np.zeros(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+    points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    starts = split_points(points, bounds)
+    encoded = joined.encode()
+    if len(encoded) == len(points):
+        offsets = np.append(starts, len(points)).astype(np.int32)
+    else:
+        wide = (points > 0x7F).view(np.int8) + (points > 0x7FF) + (points > 0xFFFF)
+        offsets = np.append(starts + np.concatenate([[0], np.cumsum(wide, dtype=np.int32)])[starts], len(encoded)).astype(np.int32)
+    pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(encoded)])
+    coded = pieces.dictionary_encode()
+    own = model(coded.dictionary.to_pylist())
+    which = coded.indices.to_numpy()
+    size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    each = size[which]
+    before = np.concatenate([[0], np.cumsum(each)])
+    flat = np.frombuffer(b"".join(own), "<u4")[np.repeat(begin[which] - before[:-1], each) + np.arange(before[-1])]
+    return flat, before[np.searchsorted(starts, bounds)]
+
+
+def text_chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str]]]:
     for begin, end in cuts(batch.column(1), CHUNK_BYTES, len(batch)):
         rows = batch.slice(begin, end - begin)
-        yield rows.column(0).to_pylist(), [x or "" for x in rows.column(1).to_pylist()]
+        yield rows.column(0), [x or "" for x in rows.column(1).to_pylist()]
+
+
+def ids_of_chunk(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`token_ids`; a long text is alone in its chunk and goes by parts that start where a word piece does."""
+    if len(texts) == 1 and len(texts[0]) > LONG_TEXT:
+        flat = np.concatenate([token_ids([x], path)[0] for x in long_parts(texts[0])])
+        return flat, np.array([0, len(flat)])
+    return token_ids(texts, path)
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, separator: int = 0, length: int = SEQUENCE) -> DataFrame:
@@ -151,20 +176,27 @@ def pieces(docs: DataFrame, tokenizer_path: str, separator: int = 0, length: int
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
         seen = np.zeros(length + 1, np.int64)
-        end = np.array([separator], "<u4")
         for batch in batches:
             for doc_ids, texts in text_chunks(batch):
-                rows: list[tuple] = []
-                for doc_id, own in zip(doc_ids, token_ids(texts, tokenizer_path), strict=True):
-                    ids = np.concatenate([own, end])
-                    first = len(ids) % length or length
-                    edges = [0, *range(first, len(ids) + 1, length)]
-                    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                        rows.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes()), task, seen[b - a]))
-                        seen[b - a] += 1
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                names = ("doc_id", "piece", "start", "length", "ids_crc32", "task", "rank")
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=list(names))
+                flat, bounds = ids_of_chunk(texts, tokenizer_path)
+                ids = np.insert(flat, bounds[1:], separator)
+                whole = np.diff(bounds) + 1
+                count = -(-whole // length)
+                doc = np.repeat(np.arange(len(texts)), count)
+                k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+                first = (whole - (count - 1) * length)[doc]
+                start, size = np.where(k == 0, 0, first + (k - 1) * length), np.where(k == 0, first, length)
+                at = 4 * ((np.cumsum(whole) - whole)[doc] + start)
+                view = memoryview(ids.tobytes())
+                crc = np.fromiter((zlib.crc32(view[a:b]) for a, b in zip(at.tolist(), (at + 4 * size).tolist(), strict=True)), np.int64, len(at))
+                order = np.argsort(size, kind="stable")
+                group = np.flatnonzero(np.append(True, np.diff(size[order]) > 0))
+                rank = np.empty(len(size), np.int64)
+                rank[order] = np.arange(len(size)) - np.repeat(group, np.diff(np.append(group, len(size))))
+                rank += seen[size]
+                seen += np.bincount(size, minlength=length + 1)
+                columns = [doc_ids.take(pa.array(doc)), pa.array(k.astype(np.int32)), *map(pa.array, (start, size, crc)), pa.array(np.full(len(k), task, np.int32)), pa.array(rank)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
@@ -275,7 +307,7 @@ def pack(docs: DataFrame, tokenizer_path: str, separator: int = 0, length: int =
     A document is its token ids and then ``separator``; one longer than ``length`` is cut into pieces of
     ``length``, the first of which may be shorter. Null text is empty: one piece of the separator alone. Rows
     that repeat a doc_id, null ones too, are packed each on their own. An empty table gives an empty result.
-    Other columns are not looked at.
+    Texts of more than a million characters are tokenised in parts. Other columns are not looked at.
     """
     cut = materialize(pieces(docs, tokenizer_path, separator, length), "packing-pieces")
     by_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
