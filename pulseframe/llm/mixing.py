@@ -74,12 +74,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, t
         rates = F.broadcast(rates)
     kept = [c for c in docs.columns if c not in ("copy", "copies", "shuffle_key", "rate_source", "parts", "cdf")]
 
-    def add(acc: Column, j: Column) -> Column:
-        u = hashed_unit(F.lit(seed), F.col("doc_id"), j)
-        return acc + F.size(F.filter(F.col("cdf"), lambda c: c < u))
-
+    # each number is an element of an array first, so that it is hashed once and not for each entry of the table
+    drawn = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: hashed_unit(F.lit(seed), F.col("doc_id"), j))
     joined = docs.select(*kept).join(rates, F.col("source").eqNullSafe(F.col("rate_source")))
-    counted = joined.withColumn("copies", F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), add))
+    counted = joined.withColumn("copies", F.aggregate(drawn, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("cdf"), lambda c: c < u))))
     copied = counted.where("copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "copies")
     key = F.md5(F.concat_ws("|", F.lit("order"), F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
     return copied.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
