@@ -23,8 +23,8 @@ from .common import shared_folder
 
 Rule = tuple[str, str, str]
 
-#: Most bytes of digests and strings that are sent to each executor.
-MOST_BYTES = 1_000_000_000
+#: Most rules of one pair of files.
+FILE_RULES = 5_000_000
 
 RESULT = "page_id long, host string, path string, rule string, verdict string"
 
@@ -46,7 +46,7 @@ def digest_file(rules: Sequence[Rule]) -> tuple[bytes, bytes]:
 
 
 class DigestArray:
-    """Memory-mapped view of the two files."""
+    """Memory-mapped view of a pair of files."""
 
     def __init__(self, digests: str, strings: str):
         self.digests = np.load(digests, mmap_mode="r")
@@ -58,7 +58,8 @@ class DigestArray:
         wanted = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
         at = np.searchsorted(self.digests, wanted)
         out = np.full(len(keys), -1, np.int64)
-        for i in np.flatnonzero(at < len(self.digests)):
+        inside = np.flatnonzero(at < len(self.digests))
+        for i in inside[self.digests[at[inside]] == wanted[inside]]:
             k = int(at[i])
             while k < len(self.digests) and self.digests[k] == wanted[i]:
                 if self.rules[k].as_py() == keys[i]:
@@ -103,25 +104,29 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow")
     """page_id, host, path, rule, verdict for every row of ``pages(page_id, url, ...)``.
 
     A rule fits its host and all subdomains if the url's path starts with the rule's; of those that fit the
-    longest string host + path decides, else ``default``. A null or empty url, or one without ``://``, has an
-    empty host and path and no rule. Rows that repeat are each judged; other columns are not looked at.
+    longest string host + path decides, else ``default``. Of rules for one host and path the last counts. A null or
+    empty url, or one without ``://``, has an empty host and path and no rule. Rows that repeat are each judged; other
+    columns are not looked at. An empty table gives an empty result. The rules go to every executor as files of at
+    most FILE_RULES rules each; they are mapped and not loaded.
     """
     spark = pages.sparkSession
+    actions = {(host.lower() + path): (action, host, path) for action, host, path in rules}
+    rules = sorted(actions.values())
     lengths = sorted({len(path) for _, _, path in rules})
-    names = []
-    for content in digest_file(rules):
-        if len(content) > MOST_BYTES:
-            raise ValueError("the rules exceed what is sent to each executor; split the list and join the verdicts")
-        path = shared_folder(spark, "url-rules")
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
-        out.write(bytearray(content))
-        out.close()
-        spark.sparkContext.addFile(path)
-        names.append(path.rsplit("/", 1)[1])
+    names: list[list[str]] = []
+    for begin in range(0, max(len(rules), 1), FILE_RULES):
+        names.append([])
+        for content in digest_file(rules[begin : begin + FILE_RULES]):
+            path = shared_folder(spark, "url-rules")
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+            out.write(bytearray(content))
+            out.close()
+            spark.sparkContext.addFile(path)
+            names[-1].append(path.rsplit("/", 1)[1])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = opened(*map(SparkFiles.get, names))
+        arrays = [opened(*map(SparkFiles.get, pair)) for pair in names]
         for batch in batches:
             parts = [split_url(x) for x in batch.column(1).to_pylist()]
             keys, owner = [], []
@@ -129,16 +134,21 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow")
                 own = list(candidates(host, path, lengths)) if host else []
                 keys += own
                 owner += [i] * len(own)
-            best: list[int | None] = [None] * len(parts)
-            longest = [0] * len(parts)
-            for i, key, k in zip(owner, keys, array.find(keys).tolist(), strict=True):
-                if k >= 0 and len(key) > longest[i]:
-                    best[i], longest[i] = k, len(key)
-            at = pa.array(best, pa.int64())
-            verdict = array.actions.take(at).cast(pa.string()).fill_null(default)
-            rule = array.rules.take(at).cast(pa.string())
-            columns = [batch.column(0), pa.array([x for x, _ in parts]), pa.array([x for _, x in parts]), rule, verdict]
-            columns = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x for x in columns]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "host", "path", "rule", "verdict"])
+            best: list[tuple[str, str] | None] = [None] * len(parts)
+            for array in arrays:
+                found = array.find(keys)
+                for j in np.flatnonzero(found >= 0):
+                    k, i = int(found[j]), owner[j]
+                    if best[i] is None or len(keys[j]) > len(best[i][0]):
+                        best[i] = keys[j], array.actions[k].as_py()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    *(pa.array([x[k] for x in parts], pa.string()) for k in (0, 1)),
+                    pa.array([x and x[0] for x in best], pa.string()),
+                    pa.array([x[1] if x else default for x in best], pa.string()),
+                ],
+                names=["page_id", "host", "path", "rule", "verdict"],
+            )
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).mapInArrow(judge, RESULT)
