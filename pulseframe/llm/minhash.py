@@ -190,21 +190,25 @@ def joining_links(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def mixed_members(members: DataFrame, components: DataFrame | None) -> DataFrame:
-    """band, node, size, degree, component of the buckets whose members belong to several components."""
+def with_component(members: DataFrame, components: DataFrame | None) -> DataFrame:
+    """``members(band, node, size, degree)`` with the component of each node."""
     if components is None:
         return members.withColumn("component", F.col("node"))
-    own = members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = own.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    return own.join(mixed, "band", "left_semi").select(*members.columns, "component")
+    return members.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def star_pairs(members: DataFrame, percent: int, number: int) -> DataFrame:
-    """(a, b) of the members of each bucket with its pivot of round ``number``, where sizes and components let them be linked."""
+def mixed_buckets(members: DataFrame, number: int) -> DataFrame:
+    """band and the pivot of round ``number`` of the buckets whose members belong to several components; written, one row each."""
     first = F.col("degree") if number == 0 else F.xxhash64("node", F.lit(number))
-    pivots = members.groupBy("band").agg(F.max(F.struct(first.alias("_first"), "node", "size", "component")).alias("pivot"))
+    pivot = F.max(F.struct(first.alias("_first"), "node", "size", "component")).alias("pivot")
+    found = members.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), pivot).where("low < high")
+    return materialize(found.select("band", "pivot"), "minhash-mixed")
+
+
+def star_pairs(members: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the members of each mixed bucket with its pivot, where sizes and components let them be linked."""
     near = 100 * F.least("size", "pivot.size") >= percent * F.greatest("size", "pivot.size")
-    pairs = members.join(pivots, "band").where(near & (F.col("component") != F.col("pivot.component")))
+    pairs = members.join(buckets, "band").where(near & (F.col("component") != F.col("pivot.component")))
     return pairs.select(F.greatest("pivot.node", "node").alias("a"), F.least("pivot.node", "node").alias("b")).distinct()
 
 
@@ -270,12 +274,14 @@ def set_components(docs: DataFrame, words: int, percent: int, permutations: int,
 
     components = None
     for number in range(STAR_ROUNDS):
-        mixed = mixed_members(members, components)
-        links = materialize(confirm(star_pairs(mixed, percent, number), sets, percent), "minhash-star-links")
+        own = with_component(members, components)
+        links = materialize(confirm(star_pairs(own, mixed_buckets(own, number), percent), sets, percent), "minhash-star-links")
         if links.isEmpty():
             break
         components = merged_components(components, links, f"minhash-components-{number}")
-    more = materialize(open_links(mixed_members(members, components), sets, percent), "minhash-open-links")
+    own = with_component(members, components)
+    own = own.join(mixed_buckets(own, STAR_ROUNDS).select("band"), "band", "left_semi")
+    more = materialize(open_links(own, sets, percent), "minhash-open-links")
     if not more.isEmpty():
         components = merged_components(components, more, "minhash-components")
     if components is None:
