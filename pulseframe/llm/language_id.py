@@ -113,12 +113,10 @@ def learn(docs: DataFrame, per_language: int = LEARN_PER_LANGUAGE, centroids: in
     the ``reject`` quantile of the learning texts of its length or a longer class, or of the longest learned class if it is longer.
     """
     rows = docs.where(is_learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toArrow()
     per_language = min(per_language, max(LEARN_ROWS // max(len(sizes), 1), LEAST_PER_LANGUAGE))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
-    taken = rows.where(unit_hash(F.col("doc_id"), seed) < share).select("lang", "text", "doc_id")
+    shares = docs.sparkSession.createDataFrame(sizes.to_pylist(), "lang string, n long").withColumn("share", F.lit(float(per_language)) / F.col("n"))
+    taken = rows.join(F.broadcast(shares), "lang").where(unit_hash(F.col("doc_id"), seed) < F.col("share")).select("lang", "text", "doc_id")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+import random
+import zlib
+from collections import Counter
+from itertools import groupby
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.llm import language_id, quality, toxicity
+from pulseframe.llm import textkernel
 from pulseframe.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -90,3 +98,143 @@ def test_exact_top_k_with_ties(spark):
     assert quality.resample(same, ratio, 1.0).where("kept").count() == 11
     keys = spark.createDataFrame([(k,) for k in (5, 5, 9, 1 << 61, 7)], "key long")
     assert [quality.kth_highest(keys, k) for k in (1, 2, 3, 4, 5, 6)] == [1 << 61, 9, 7, 5, 5, None]
+
+
+def texts_of_words(seed, n):
+    rng = random.Random(seed)
+    words = ["the", "Of", "größe", "x1", "don't", "--", "!!!!", "a_b", "ÉTÉ", "plan", "b", "c", "d"]
+    return [" ".join(rng.choices(words, k=rng.choice([0, 1, 2, 7, 40]))) for _ in range(n)] + ["", " \t", "...", "a\u00a0b"]
+
+
+def hash_of(token):
+    points = np.array([ord(c) for c in token], np.uint32)
+    return int(textkernel.hash_runs(points, np.array([0]), np.array([len(points)]))[0])
+
+
+def plain_tokens(text):
+    out = []
+    for kind, run in groupby(text, lambda c: 0 if c in " \t\n\x0b\x0c\r\u00a0" else 1 if c.isalnum() else 2):
+        token = "".join(c.lower() if len(c.lower()) == 1 else c for c in run)
+        if kind:
+            out.append(token if kind == 1 else token[:3])
+    return out
+
+
+def plain_buckets(text):
+    hashes = [hash_of(x) for x in plain_tokens(text)]
+    pairs = [(a * 0x9E3779B97F4A7C15 % 2**64) ^ (b * 0xC2B2AE3D27D4EB4F % 2**64) for a, b in zip(hashes, hashes[1:])]
+    return [x >> (64 - quality.BITS) for x in hashes + pairs]
+
+
+@pytest.mark.parametrize("temper", [1.0, 5.0])
+def test_quality_equals_brute_force(spark, temper):
+    texts = list(enumerate(texts_of_words(1, 60)))
+    docs = spark.createDataFrame([(i, t) for i, t in texts], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(len(t) > 20), 0) for i, t in texts], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r for r in quality.resample(docs, quality.learn(docs, labels), 0.4, temper=temper).collect()}
+    learnable = {i for i, t in texts if zlib.crc32(str(i).encode()) % 3 != 1 and len(t) > 20}
+    raw = Counter(b for _, t in texts for b in plain_buckets(t))
+    target = Counter(b for i, t in texts if i in learnable for b in plain_buckets(t))
+    scale = target.total() / raw.total()
+    ratio = lambda b: math.log((target[b] + 8) / (raw[b] * scale + 8))
+    keys = {}
+    for i, t in texts:
+        u = int(hashlib.md5(f"3|{i}".encode()).hexdigest()[:13], 16) / 2**52
+        keys[i] = sum(map(ratio, plain_buckets(t))) / temper - math.log(-math.log(max(u, 1e-12)))
+        assert abs(found[i]["sample_key"] - keys[i]) < 1e-4
+    kept = sorted(keys, key=lambda i: -keys[i])[: round(0.4 * len(keys))]
+    assert {i for i in found if found[i]["kept"]} == set(kept)
+
+
+def test_a_longer_text_weighs_more(spark):
+    ratio = np.zeros(1 << quality.BITS, np.float32)
+    for b in set(plain_buckets("good good good")):
+        ratio[b] = 0.5
+    docs = spark.createDataFrame([(1, "good"), (2, "good good good"), (3, "good " * 100)], "doc_id long, text string")
+    weight = {r["doc_id"]: r["log_weight"] for r in quality.weigh(docs, ratio).collect()}
+    assert weight == {1: 0.5, 2: 2.5, 3: 99.5}
+
+
+def test_network_equals_plain_loops(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts_of_words(2, 80))], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 0, i % 3 == 0) for i in range(80)], "doc_id long, quality int, toxic boolean")
+    net = toxicity.learn(docs, labels.withColumn("toxic", F.col("toxic").cast("int")))
+    for _, text, _ in docs.collect():
+        tokens = ["".join(r) for k, r in groupby("".join(c.lower() if len(c.lower()) == 1 else c for c in text), str.isalnum) if k]
+        shift = 64 - toxicity.BITS
+        rows = [(hash_of(x) >> shift, (hash_of(x[: toxicity.PREFIX]) * 3 % 2**64) >> shift) for x in tokens]
+        vectors = [net.table[a] + net.table[b] for a, b in rows] + [np.zeros(toxicity.DIM, np.float32)] * 5
+        tops = []
+        for width, weight, bias in zip(toxicity.WIDTHS, net.filters, net.bias, strict=True):
+            for f in range(toxicity.FILTERS):
+                windows = [bias[f] + sum(float(vectors[i + k] @ weight[k * toxicity.DIM : (k + 1) * toxicity.DIM, f]) for k in range(width)) for i in range(len(rows) + 3)]
+                tops.append(max(0.0, *windows))
+        words, bounds = toxicity.word_buckets(textkernel.Chunk([text], None))
+        assert words.tolist() == [list(r) for r in rows]
+        assert abs(net.logits(words, bounds)[0] - (np.array(tops) @ net.out + net.out_bias)) < 1e-3
+
+
+def test_learning_does_not_depend_on_partitions(spark, docs, labels):
+    one, other = toxicity.learn(docs, labels), toxicity.learn(docs.repartition(13, "lang"), labels.repartition(5))
+    assert (one.table == other.table).all() and (one.limits == other.limits).all() and (one.out == other.out).all()
+
+
+def test_centroids_equal_plain_cosines(spark, docs):
+    model = language_id.learn(docs)
+
+    def buckets(text):
+        for is_word, run in groupby(text, str.isalpha):
+            if is_word:
+                word = " " + "".join(c.lower() if len(c.lower()) == 1 else c for c in run) + " "
+                for n in language_id.ORDERS:
+                    for i in range(len(word) - n + 1):
+                        code = 0
+                        for k, c in enumerate(word[i : i + n], 1):
+                            code = (code * 0x01000193 + ord(c) + k) % 2**32
+                        yield ((code ^ (code >> 15)) * 0x2C1B3C6D % 2**32) >> 19
+
+    rows = docs.where("text is not null").orderBy("doc_id").limit(30).collect()
+    found = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    for row in rows:
+        counts = Counter(buckets(row["text"]))
+        vector = {b: math.log1p(n) * float(model.weights[b]) for b, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in vector.values()))
+        cosine = [sum(x * float(c[b]) for b, x in vector.items()) / norm for c in model.centroids]
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        assert found[row["doc_id"]]["lang_pred"] == model.languages[model.owner[best]]
+        assert abs(found[row["doc_id"]]["score"] - cosine[best]) < 1e-3
+
+
+def test_many_languages_all_learn(spark):
+    rows = [(i, f"text{i % 900} of words {'abcdefgh'[i % 8]}", f"l{i % 900}") for i in range(9000)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) > 890
+
+
+def test_parts_of_long_texts(spark, docs, labels, monkeypatch):
+    """Parts give what the whole gives; workers see the module as it is, so functions are compared."""
+    text = " ".join(r["text"] for r in docs.limit(60).collect() if r["text"])
+    import pyarrow as pa
+
+    rows = pa.RecordBatch.from_pydict({"text": [text]})
+    whole = textkernel.Chunk([text], rows)
+    monkeypatch.setattr(textkernel, "LONG_TEXT", 1000)
+    parts = textkernel.Chunk([text], rows)
+    assert whole.long is None and parts.long and "".join(textkernel.long_parts(text)) == text and len(list(parts.parts())) > 20
+    assert all((a == b).all() for a, b in zip(textkernel.word_shingles(whole, 3), textkernel.word_shingles(parts, 3), strict=True))
+    (a, x), (b, y) = (next(language_id.count_vectors(c)) for c in (whole, parts))
+    assert a == b and (x == y).all()
+    whole_counts, part_counts = (sum(np.bincount(b, minlength=1 << quality.BITS) for b, _ in quality.gram_parts(c)) for c in (whole, parts))
+    assert (whole_counts == part_counts).all()
+    net = toxicity.learn(docs, labels)
+    one = net.logits(*toxicity.word_buckets(whole))
+    monkeypatch.setattr(toxicity, "SPAN_WORDS", 50)
+    assert abs(one - net.logits(*toxicity.word_buckets(parts))).max() < 1e-4
+
+
+def test_a_text_of_fifty_million_characters(spark, docs, labels):
+    text = "the word of it and more, " * 2_000_000
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert language_id.identify(rows, language_id.learn(docs)).first()["lang_pred"] == "en"
+    assert 0 <= toxicity.score_documents(rows, toxicity.learn(docs, labels)).first()["score"] <= 1
+    assert quality.weigh(rows, np.ones(1 << quality.BITS, np.float32)).first()["n_grams"] == 2 * 7 * 2_000_000 - 1

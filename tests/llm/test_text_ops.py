@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm import html_text, mixing, packing, queries, url_filter
 from pulseframe.llm.common import table
-from pulseframe.llm.textkernel import cuts
+from pulseframe.llm.textkernel import cuts, long_parts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -150,7 +150,11 @@ def test_ids_equal_the_tokenizer(texts):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(PATH)
-    assert [x.tolist() for x in packing.token_ids(texts, PATH)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+    flat, bounds = packing.token_ids(texts, PATH)
+    want = [model.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [flat[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == want
+    for text, ids in zip(texts, want, strict=True):
+        assert sum((packing.token_ids([x], PATH)[0].tolist() for x in long_parts(text, 5)), []) == ids
 
 
 @settings(max_examples=60, deadline=None)
