@@ -64,6 +64,41 @@ def word_list_label(values: Column, most: int = 8) -> Column:
     return F.substring(F.concat(F.lit("["), shown, more, F.lit("]")), 1, 256)
 
 
+def bytes_label(x: Column, most: int = 16) -> Column:
+    """``[01 02 … +n]`` of a byte payload, at most ``most`` bytes of it."""
+    shown = byte_label(F.substring(x, 1, most))
+    more = F.when(F.length(x) > most, F.concat(F.lit(" … +"), (F.length(x) - most).cast("string"))).otherwise("")
+    return F.substring(F.concat(F.lit("["), shown, more, F.lit("]")), 1, 256)
+
+
+def i2c_label(kind: Column, value: Column) -> Column:
+    """Text of a two-wire packet by its kind; one whose value is missing shows its kind."""
+    number = hex_text(value)
+    of = {"ADDRESS WRITE": ("Address 0x", " · Write"), "ADDRESS READ": ("Address 0x", " · Read"), "DATA WRITE": ("Write 0x", ""), "DATA READ": ("Read 0x", "")}
+    text = F.when(kind == "START", "Start").when(kind == "START REPEAT", "Repeated start").when(kind == "STOP", "Stop").when(kind == "BITS", "Bits")
+    for name, (front, back) in of.items():
+        text = text.when((kind == name) & (value >= 0), F.concat(F.lit(front), number, F.lit(back)))
+    return F.substring(text.otherwise(kind), 1, 256)
+
+
+def spi_label(lines: dict[str, Column], word_bits: int, complete: Column, incomplete_bits: Column, most: int = 8) -> Column:
+    """``MOSI [12 …] · MISO [34 …] · Incomplete (n bits)`` of a transaction; lines that are null are left out."""
+    digits = max(1, -(-word_bits // 4))
+    parts = []
+    for name, values in lines.items():
+        shown = F.array_join(F.transform(F.slice(values, 1, most), lambda x: hex_text(x, digits)), " ")
+        more = F.when(F.size(values) > most, F.concat(F.lit(" … +"), (F.size(values) - most).cast("string"))).otherwise("")
+        parts.append(F.when(values.isNotNull(), F.concat(F.lit(f"{name.upper()} ["), shown, more, F.lit("]"))))
+    rest = F.when(incomplete_bits > 0, F.concat(F.lit("Incomplete ("), incomplete_bits.cast("string"), F.lit(" bits)"))).otherwise("Incomplete")
+    parts.append(F.when(~complete, rest))
+    return F.substring(F.concat_ws(" · ", *parts), 1, 256)
+
+
+def container_label(x: Column, kind: str) -> Column:
+    """``list[n]`` or ``map[n]``: what a packet shows whose value has no form of its own."""
+    return F.concat(F.lit(f"{kind}["), F.size(x).cast("string"), F.lit("]"))
+
+
 def template_parts(template: str, inputs: int) -> list[str | tuple[int, int]]:
     """Literal texts and (input, zero-padded width) of a template like ``frame_{0:04}``; ``{n}`` is input 0.
 

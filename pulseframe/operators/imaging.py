@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,13 +33,19 @@ def best_lag(series: DataFrame, keys: Sequence[str], row: str, a: str, b: str, m
 def pixels(samples: DataFrame, keys: Sequence[str], width: int, channels: Sequence[str] = ("r", "g", "b"), gain: float = 1.0, shifts: Sequence[int] = (0, 0, 0), gamma: bool = True) -> DataFrame:
     """Line, column, 8-bit channels and luminance of samples numbered ``position`` with 16-bit channels.
 
-    Channel k is taken ``shifts[k]`` lines later. Gain, clip, square root (``gamma``), then 0.299/0.587/0.114.
+    Channel k is taken ``shifts[k]`` lines later; pixels that lack a channel are left out. Gain, clip, square root (``gamma``), then 0.299/0.587/0.114.
     """
     placed = samples.withColumns({"line": F.floor(F.col("position") / width), "column": F.col("position") % width})
-    out = None
-    for name, shift in zip(channels, shifts, strict=True):
+
+    def shown(name: str) -> Column:
         x = F.least(F.greatest(F.col(name) * gain / 65535.0, F.lit(0.0)), F.lit(1.0))
-        own = placed.select(*keys, (F.col("line") - shift).alias("line"), "column", F.floor((F.sqrt(x) if gamma else x) * 255 + 0.5).cast("long").alias(name))
-        out = own if out is None else out.join(own, [*keys, "line", "column"])
+        return F.floor((F.sqrt(x) if gamma else x) * 255 + 0.5).cast("long")
+
+    own = F.array(*(F.struct((F.col("line") - shift).alias("line"), F.lit(name).alias("channel"), shown(name).alias("x")) for name, shift in zip(channels, shifts, strict=True)))
+    tall = placed.select(*keys, "column", F.inline(own).alias("line", "_channel", "_x"))
+    picked = [F.max(F.when(F.col("_channel") == name, F.col("_x"))).alias(name) for name in channels]
+    out = tall.groupBy(*keys, "line", "column").agg(*picked)
+    for name in channels:
+        out = out.where(F.col(name).isNotNull())
     r, g, b = (F.col(c) for c in channels)
     return out.withColumn("luminance", F.floor((r * 299 + g * 587 + b * 114) / 1000).cast("long"))

@@ -1,21 +1,25 @@
 """Formulations that the stream operators share.
 
 As-of reads and ordered merges are a union of both sides and one sort by (ts, side, seq): no range join. Long
-single timelines are divided into time buckets whose carry comes from a small table of bucket summaries. Greedy
-choices restart wherever the timeline pauses long enough, so that only a bounded scan is sequential.
+single timelines are divided into time buckets whose carry comes from a small table of bucket summaries
+(:func:`along`). Greedy choices restart wherever the timeline pauses long enough, so that only a bounded scan is
+sequential. A null key is a key like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.unsigned import floor_div
 from ..schema import SEQ, TS, require
+from ..shared import shared_path
 
 
 def ordered(keys: Sequence[str], *extra: str) -> WindowSpec:
@@ -31,15 +35,134 @@ def following(keys: Sequence[str], *extra: str) -> WindowSpec:
     return ordered(keys, *extra).rowsBetween(Window.currentRow, Window.unboundedFollowing)
 
 
-def changes(levels: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Rows whose value differs from the key's row before; the first row stays."""
-    w = ordered(keys)
-    first = F.row_number().over(w) == 1
-    return (
-        levels.withColumn("_keep", first | ~F.col(value).eqNullSafe(F.lag(value).over(w))).where("_keep").drop("_keep")
+@dataclass(frozen=True)
+class Along:
+    """Something read along a timeline; made by :func:`before`, :func:`after`, :func:`latest`, :func:`next_one`, :func:`count` and :func:`total`.
+
+    ``own`` is its window function within a part, ``edge`` the aggregate that a part hands on, ``carry`` what a part gets
+    from the edges of the others, given a window over the parts of a key, and ``join`` puts carry and own value together.
+    """
+
+    own: Callable[[WindowSpec], Column]
+    edge: Callable[[Column], Column]
+    carry: Callable[[WindowSpec, Column], Column]
+    join: Callable[[Column, Column], Column]
+
+
+def _column(value: str | Column) -> Column:
+    return F.col(value) if isinstance(value, str) else value
+
+
+_ALL_BEFORE, _ALL_AFTER = (Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)
+_SO_FAR, _FROM_HERE = (Window.unboundedPreceding, Window.currentRow), (Window.currentRow, Window.unboundedFollowing)
+
+
+def before(value: str | Column) -> Along:
+    """The value of the row before; null for the first row, and a struct of the value if null has to be told from none."""
+    held = F.struct(_column(value).alias("x"))
+    return Along(
+        lambda w: F.lag(held).over(w), lambda order: F.max_by(held, order), lambda w, edge: F.lag(edge).over(w), lambda carry, own: F.coalesce(own, carry)["x"]
+    )
+
+
+def after(value: str | Column) -> Along:
+    """The value of the row after."""
+    held = F.struct(_column(value).alias("x"))
+    return Along(
+        lambda w: F.lead(held).over(w), lambda order: F.min_by(held, order), lambda w, edge: F.lead(edge).over(w), lambda carry, own: F.coalesce(own, carry)["x"]
+    )
+
+
+def latest(value: str | Column) -> Along:
+    """The last value so far that is not null, this row's included."""
+    x = _column(value)
+    return Along(
+        lambda w: F.last(x, ignorenulls=True).over(w.rowsBetween(*_SO_FAR)),
+        lambda order: F.max_by(x, F.when(x.isNotNull(), order)),
+        lambda w, edge: F.last(edge, ignorenulls=True).over(w.rowsBetween(*_ALL_BEFORE)),
+        lambda carry, own: F.coalesce(own, carry),
+    )
+
+
+def next_one(value: str | Column) -> Along:
+    """The first value from here on that is not null, this row's included."""
+    x = _column(value)
+    return Along(
+        lambda w: F.first(x, ignorenulls=True).over(w.rowsBetween(*_FROM_HERE)),
+        lambda order: F.min_by(x, F.when(x.isNotNull(), order)),
+        lambda w, edge: F.first(edge, ignorenulls=True).over(w.rowsBetween(*_ALL_AFTER)),
+        lambda carry, own: F.coalesce(own, carry),
+    )
+
+
+def total(value: str | Column) -> Along:
+    """The sum so far, this row's included."""
+    x = _column(value).cast("long")
+    return Along(
+        lambda w: F.sum(x).over(w.rowsBetween(*_SO_FAR)),
+        lambda order: F.sum(x),
+        lambda w, edge: F.sum(edge).over(w.rowsBetween(*_ALL_BEFORE)),
+        lambda carry, own: F.coalesce(own, F.lit(0).cast("long")) + F.coalesce(carry, F.lit(0).cast("long")),
+    )
+
+
+def count() -> Along:
+    """The number of rows so far, this one included."""
+    return total(F.lit(1))
+
+
+def highest(value: str | Column) -> Along:
+    """The largest value so far, this row's included."""
+    x = _column(value)
+    return Along(
+        lambda w: F.max(x).over(w.rowsBetween(*_SO_FAR)), lambda order: F.max(x), lambda w, edge: F.max(edge).over(w.rowsBetween(*_ALL_BEFORE)), lambda carry, own: F.greatest(own, carry)
     )
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that ``spark.checkpoint.dir`` names, and read back."""
+    path = shared_path(df.sparkSession, "timeline")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def along(df: DataFrame, keys: Sequence[str], columns: dict[str, Along], extra: Sequence[str] = (), bucket_ns: int | None = None) -> DataFrame:
+    """``df`` with columns read along the timeline of each key, in the order of ts_ns, ``extra``, seq.
+
+    With ``bucket_ns`` the timelines are divided into time buckets that different tasks sort, and what a bucket gets
+    from the others comes from a window over one summary row per bucket. The result doesn't depend on the width, if no
+    two rows of a key agree in the whole order. The rows are then written to the shared folder first, since they are read
+    twice, for the summary and with it: a chain of such steps would otherwise repeat what came before at every step.
+    """
+    if bucket_ns is None:
+        w = ordered(keys, *extra)
+        none = F.lit(None)
+        return df.withColumns({name: x.join(none, x.own(w)) for name, x in columns.items()})
+    parts = [*keys, "_bucket"]
+    rows = settled(df.withColumn("_bucket", floor_div(F.col(TS), bucket_ns)))
+    order = F.struct(TS, *extra, SEQ)
+    edges = rows.groupBy(*parts).agg(*(x.edge(order).alias(f"_edge_{name}") for name, x in columns.items()))
+    w = Window.partitionBy(*keys).orderBy("_bucket")
+    edges = edges.select(*parts, *(x.carry(w, F.col(f"_edge_{name}")).alias(f"_carry_{name}") for name, x in columns.items()))
+    w = ordered(parts, *extra)
+    rows = same_parts(rows, edges, parts).withColumns({name: x.join(F.col(f"_carry_{name}"), x.own(w)) for name, x in columns.items()})
+    return rows.drop("_bucket", *(f"_carry_{name}" for name in columns))
+
+
+def number_within(df: DataFrame, keys: Sequence[str], starts: Column, out: str, extra: Sequence[str] = (), bucket_ns: int | None = None, counted: Column | None = None) -> DataFrame:
+    """``df`` with the number from 0 of each row in its segment, which a row where ``starts`` holds begins; of ``counted`` rows only."""
+    one = F.lit(1) if counted is None else counted.cast("long")
+    rows = along(df.withColumn("_starts", starts), keys, {"_so_far": total(one)}, extra, bucket_ns)
+    rows = along(rows, keys, {"_at_start": latest(F.when(F.col("_starts"), F.col("_so_far") - one))}, extra, bucket_ns)
+    return rows.withColumn(out, F.col("_so_far") - one - F.coalesce("_at_start", F.lit(0).cast("long"))).drop("_starts", "_so_far", "_at_start")
+
+
+def changes(levels: DataFrame, keys: Sequence[str], value: str = "value", bucket_ns: int | None = None) -> DataFrame:
+    """Rows whose value differs from the key's row before; the first row stays."""
+    rows = along(levels, keys, {"_last": before(F.struct(F.col(value).alias("v")))}, bucket_ns=bucket_ns)
+    return rows.where(F.col("_last").isNull() | ~F.col(value).eqNullSafe(F.col("_last.v"))).drop("_last")
+
+
 def tagged(df: DataFrame, side: int, column: str) -> DataFrame:
     """Keys and times beside the whole row as a struct named ``column``."""
     return df.withColumn(column, F.struct(*df.columns)).withColumn("_side", F.lit(side))
@@ -67,38 +190,26 @@ def as_of(
     own = left.select(*keys, TS, SEQ, F.struct(*left.columns).alias("_left"), F.lit(1).alias("_side"))
     other = right.select(*keys, TS, SEQ, F.struct(*(F.col(a).alias(b) for a, b in columns.items())).alias("_right"), F.lit(right_side).alias("_side"))
     both = own.unionByName(other, allowMissingColumns=True)
-    parts = list(keys)
-    if bucket_ns is not None:
-        both, parts = both.withColumn("_bucket", floor_div(F.col(TS), bucket_ns)), [*keys, "_bucket"]
-    if forward:
-        value = F.first("_right", ignorenulls=True).over(following(parts, "_side"))
-    else:
-        value = F.last("_right", ignorenulls=True).over(running(parts, "_side"))
-    if bucket_ns is not None:
-        place = F.when(F.col("_right").isNotNull(), F.struct(TS, SEQ))
-        edge = (F.min_by if forward else F.max_by)("_right", place)
-        w = Window.partitionBy(*keys).orderBy("_bucket")
-        if forward:
-            beyond = F.first("_edge", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-        else:
-            beyond = F.last("_edge", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        summary = both.groupBy(*parts).agg(edge.alias("_edge")).select(*parts, beyond.alias("_beyond"))
-        both = same_parts(both, summary, parts)
-        value = F.coalesce(value, "_beyond")
-    found = both.withColumn("_found", value).where(F.col("_side") == 1)
+    read = next_one("_right") if forward else latest("_right")
+    found = along(both, keys, {"_found": read}, ["_side"], bucket_ns).where(F.col("_side") == 1)
     return found.select("_left.*", *(F.col(f"_found.{b}").alias(b) for b in columns.values()))
 
 
-def same_parts(rows: DataFrame, summary: DataFrame, parts: Sequence[str]) -> DataFrame:
-    """``rows`` with the other columns of ``summary`` (one row for each part); null keys are parts too."""
+def same_parts(rows: DataFrame, summary: DataFrame, parts: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the other columns of ``summary`` (at most one row for each part); null keys are parts too."""
     other = summary.select(*(F.col(p).alias(f"_of_{p}") for p in parts), *(c for c in summary.columns if c not in parts))
     on = F.lit(True)
     for p in parts:
         on = on & F.col(p).eqNullSafe(F.col(f"_of_{p}"))
-    return rows.join(other, on).drop(*(f"_of_{p}" for p in parts))
+    return rows.join(other, on, how).drop(*(f"_of_{p}" for p in parts))
+
 
+def in_parts(rows: DataFrame, which: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """The ``rows`` whose part is one of ``which``."""
+    return same_parts(rows, which.select(*parts).distinct(), parts, "left_semi")
 
-def merged(inputs: Sequence[DataFrame], keys: Sequence[str], value: str = "value", initial: Column | None = None) -> DataFrame:
+
+def merged(inputs: Sequence[DataFrame], keys: Sequence[str], value: str = "value", initial: Column | None = None, bucket_ns: int | None = None) -> DataFrame:
     """Ordered merge of level streams: one row per input row, with the current value of every input as v0, v1, ...
 
     At equal times the input of lower index comes first. Before its first row an input has ``initial`` (false).
@@ -109,9 +220,8 @@ def merged(inputs: Sequence[DataFrame], keys: Sequence[str], value: str = "value
         require(df, keys, value)
         own = df.select(*keys, TS, SEQ, F.lit(i).alias("_input"), F.struct(F.col(value).alias("x")).alias(f"_{i}"))
         rows = own if rows is None else rows.unionByName(own, allowMissingColumns=True)
-    w = running(keys, "_input")
-    held = [F.coalesce(F.last(f"_{i}", ignorenulls=True).over(w)["x"], start).alias(f"v{i}") for i in range(len(inputs))]
-    return rows.select(*keys, TS, SEQ, "_input", *held)
+    rows = along(rows, keys, {f"_h{i}": latest(f"_{i}") for i in range(len(inputs))}, ["_input"], bucket_ns)
+    return rows.select(*keys, TS, SEQ, "_input", *(F.coalesce(F.col(f"_h{i}.x"), start).alias(f"v{i}") for i in range(len(inputs))))
 
 
 def with_initial(levels: DataFrame, keys: Sequence[str], value: Column, t0: int = 0) -> DataFrame:
@@ -126,41 +236,49 @@ def scan_sorted(df: DataFrame, parts: Sequence[str], order: Sequence[str], step:
 
 
 def part_codes(batch: pa.RecordBatch, parts: Sequence[str]) -> np.ndarray:
-    """True where a row's part differs from the row before (the first row counts as different)."""
+    """True where a row's part differs from the row before (the first row counts as different); nulls are equal to nulls only."""
     new = np.zeros(batch.num_rows, bool)
     new[:1] = True
     for name in parts:
         column = batch.column(batch.schema.get_field_index(name))
-        if isinstance(column, pa.StringArray | pa.LargeStringArray):
-            column = column.dictionary_encode().indices
-        own = column.to_numpy(zero_copy_only=False)
-        new[1:] |= own[1:] != own[:-1]
+        known = column.is_valid()
+        differs = pc.fill_null(pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)), False)
+        moved = pc.or_(differs, pc.xor(known.slice(1), known.slice(0, len(known) - 1)))
+        new[1:] |= moved.to_numpy(zero_copy_only=False)
     return new
 
 
-def greedy(df: DataFrame, keys: Sequence[str], hold_ns: int | Column, at: str = TS) -> DataFrame:
+def last_part(batch: pa.RecordBatch, parts: Sequence[str], row: int) -> tuple:
+    return tuple(batch.column(batch.schema.get_field_index(p))[row].as_py() for p in parts)
+
+
+def greedy(df: DataFrame, keys: Sequence[str], hold_ns: int | Column, at: str = TS, bucket_ns: int | None = None) -> DataFrame:
     """Rows accepted one after the other: the first, then each at least ``hold_ns`` after the last accepted one.
 
     A row at least the hold after the row before it is accepted whatever came earlier, so the timeline restarts
-    there; the sequential choice runs within these pieces, by jumps of binary search in sorted batches.
-    ``hold_ns`` may be a column that is constant within a key.
+    there; the sequential choice runs within these pieces, by jumps of binary search in sorted batches. Pieces of one
+    key go to different tasks. ``hold_ns`` may be a column that is constant within a key. With ``at`` other than ts_ns
+    rows are in the order of that time, and buckets are of it.
     """
     hold = F.lit(hold_ns).cast("long") if isinstance(hold_ns, int) else hold_ns.cast("long")
-    w = Window.partitionBy(*keys).orderBy(at, SEQ)
     rows = df.withColumn("_hold", hold)
-    cut = F.coalesce(F.col(at) - F.lag(at).over(w) >= F.col("_hold"), F.lit(True)).cast("int")
-    rows = rows.withColumn("_cut", cut).withColumn("_piece", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if at != TS:
+        rows = rows.withColumnsRenamed({TS: "_ts", at: TS})
+    rows = along(rows, keys, {"_last": before(TS)}, bucket_ns=bucket_ns)
+    rows = rows.withColumn("_cut", F.coalesce(F.col(TS) - F.col("_last") >= F.col("_hold"), F.lit(True)))
+    rows = along(rows, keys, {"_piece": total("_cut")}, bucket_ns=bucket_ns).drop("_last")
     parts = [*keys, "_piece"]
     schema = rows.schema
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_part, last_time = None, None
+        part, last_time = None, None
         for batch in batches:
-            times = batch.column(batch.schema.get_field_index(at)).to_numpy()
+            if not batch.num_rows:
+                continue
+            times = batch.column(batch.schema.get_field_index(TS)).to_numpy()
             holds = batch.column(batch.schema.get_field_index("_hold")).to_numpy()
             new = part_codes(batch, parts)
-            first = tuple(batch.column(batch.schema.get_field_index(p))[0].as_py() for p in parts)
-            new[0] = first != last_part
+            new[0] = last_part(batch, parts, 0) != part
             starts = np.flatnonzero(new)
             take = np.zeros(batch.num_rows, bool)
             edges = [*([] if new[0] else [0]), *starts, batch.num_rows]
@@ -171,32 +289,18 @@ def greedy(df: DataFrame, keys: Sequence[str], hold_ns: int | Column, at: str =
                 while i < b:
                     take[i], last_time = True, times[i]
                     i += max(1, int(np.searchsorted(times[i:b], times[i] + holds[i])))
-            last_part = tuple(batch.column(batch.schema.get_field_index(p))[-1].as_py() for p in parts)
+            part = last_part(batch, parts, batch.num_rows - 1)
             yield batch.filter(pa.array(take))
 
-    return scan_sorted(rows, parts, [at, SEQ], choose, schema).drop("_hold", "_cut", "_piece")
+    found = scan_sorted(rows, parts, [TS, SEQ], choose, schema).drop("_hold", "_cut", "_piece")
+    return found if at == TS else found.withColumnsRenamed({TS: at, "_ts": TS})
 
 
 def carried(df: DataFrame, keys: Sequence[str], value: str, bucket_ns: int, out: str = "carried") -> DataFrame:
-    """Last non-null ``value`` at or before each row, for timelines too long for one task.
-
-    The window runs within (key, time bucket); what a bucket starts with comes from a window over one summary
-    row per bucket. Equal to the plain running last value for every ``bucket_ns``.
-    """
-    bucketed = df.withColumn("_bucket", floor_div(F.col(TS), bucket_ns))
-    held = F.struct(TS, SEQ, F.col(value).alias("x"))
-    ends = bucketed.groupBy(*keys, "_bucket").agg(F.max(F.when(F.col(value).isNotNull(), held)).alias("end"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.select(*keys, "_bucket", F.last("end", ignorenulls=True).over(before)["x"].alias("_start"))
-    own = F.last(value, ignorenulls=True).over(running([*keys, "_bucket"]))
-    return same_parts(bucketed, ends, [*keys, "_bucket"]).withColumn(out, F.coalesce(own, "_start")).drop("_bucket", "_start")
+    """Last non-null ``value`` at or before each row, for timelines too long for one task."""
+    return along(df, keys, {out: latest(value)}, bucket_ns=bucket_ns)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], bucket_ns: int, out: str = "number") -> DataFrame:
-    """Row number from 1 in time order, for timelines too long for one task, as :func:`carried`."""
-    bucketed = df.withColumn("_bucket", floor_div(F.col(TS), bucket_ns))
-    counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(ordered([*keys, "_bucket"]))
-    return same_parts(bucketed, counts, [*keys, "_bucket"]).withColumn(out, own + F.col("_start")).drop("_bucket", "_start")
+    """Row number from 1 in time order, for timelines too long for one task."""
+    return along(df, keys, {out: count()}, bucket_ns=bucket_ns)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.unsigned import bit_field, compare, flipped, signed
 from ..schema import SEQ, TS, StreamError, require
-from .events import pulse_lane
-from .timeline import as_of, greedy, ordered, part_codes, running, scan_sorted
+from .events import pulse_lane, restarts
+from .timeline import after, along, as_of, before, count, greedy, last_part, number_within, part_codes, scan_sorted, total
 
 ALL = (1 << 64) - 1
 #: Longest end that an instantaneous word is given.
@@ -54,13 +54,16 @@ def semi_in_set(words: DataFrame, candidates: DataFrame, mask: int = ALL) -> Dat
 
 
 def match_words(
-    words: DataFrame, keys: Sequence[str], predicate: Column, at: str = "end", every: int = 1, holdoff_ns: int = 0, rearms: DataFrame | None = None
+    words: DataFrame, keys: Sequence[str], predicate: Column, at: str = "end", every: int = 1, holdoff_ns: int = 0, rearms: DataFrame | None = None, bucket_ns: int | None = None
 ) -> DataFrame:
     """Matching words with ``match_ns``, the word's start or end.
 
     Of eligible matches every n-th counts. After a counted match others are passed over until ``holdoff_ns`` have
     gone by, without counting; a match earlier than the one before is passed over too. With ``rearms`` a counted
     match disarms until a rearm at or before a later word's start, which also restarts the count to n.
+
+    Timelines restart at rearms that come later than the hold-off after every match before, so that pieces of one key go
+    to different tasks; without rearms, n-th matches with a hold-off or at ends are told by one scan of each key.
     """
     if at not in ("start", "end") or every < 1:
         raise StreamError("at is start or end, every is 1 or more")
@@ -68,35 +71,41 @@ def match_words(
     when = F.col(TS) + (F.col("duration_ns") if at == "end" else 0)
     found = words.where(predicate).withColumn("match_ns", when)
     if rearms is None and not holdoff_ns and at == "start":
-        n = F.row_number().over(ordered(keys))
-        return found.withColumn("_n", n).where(F.col("_n") % every == 0).drop("_n") if every > 1 else found
+        counted = along(found, keys, {"_n": count()}, bucket_ns=bucket_ns) if every > 1 else None
+        return found if counted is None else counted.where(F.col("_n") % every == 0).drop("_n")
     if rearms is None and every == 1 and holdoff_ns and at == "start":
-        return greedy(found, keys, holdoff_ns)
-    rows = found.withColumn("_side", F.lit(1))
-    if rearms is not None:
+        return greedy(found, keys, holdoff_ns, bucket_ns=bucket_ns)
+    rows, manual = found.withColumn("_side", F.lit(1)), rearms is not None
+    if manual:
         rows = rows.unionByName(rearms.select(*keys, TS, SEQ).withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    names, manual = list(rows.columns), rearms is not None
+        rows = restarts(rows, keys, "match_ns", holdoff_ns, bucket_ns)
+    else:
+        rows = rows.withColumn("_piece", F.lit(0).cast("long"))
+    names, parts = list(rows.columns), [*keys, "_piece"]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, armed, count, allowed = None, True, 0, None
+        part, armed, counted, allowed = None, True, 0, None
         for batch in batches:
-            columns = [batch.column(names.index(k)).to_pylist() for k in keys]
-            new, take = part_codes(batch, keys), []
-            for i, (t, side) in enumerate(zip(batch.column(names.index("match_ns")).to_pylist(), batch.column(names.index("_side")).to_pylist(), strict=True)):
-                if new[i] and (own := tuple(c[i] for c in columns)) != key:
-                    key, armed, count, allowed = own, True, 0, None
+            if not batch.num_rows:
+                continue
+            new, take = part_codes(batch, parts), []
+            new[0] = last_part(batch, parts, 0) != part
+            for first, t, side in zip(new.tolist(), batch.column(names.index("match_ns")).to_pylist(), batch.column(names.index("_side")).to_pylist(), strict=True):
+                if first:
+                    armed, counted, allowed = True, 0, None
                 ok = False
                 if side == 0:
-                    armed, count = True, 0
+                    armed, counted = True, 0
                 elif armed and (allowed is None or t >= allowed):
-                    count += 1
-                    ok = count == every
+                    counted += 1
+                    ok = counted == every
                 if ok:
-                    count, allowed, armed = 0, t + holdoff_ns, not manual
+                    counted, allowed, armed = 0, t + holdoff_ns, not manual
                 take.append(ok)
+            part = last_part(batch, parts, batch.num_rows - 1)
             yield batch.filter(pa.array(take, pa.bool_()))
 
-    return scan_sorted(rows, list(keys), [TS, "_side", SEQ], choose, rows.schema).drop("_side")
+    return scan_sorted(rows, parts, [TS, "_side", SEQ], choose, rows.schema).drop("_side", "_piece")
 
 
 def match_lane(found: DataFrame, keys: Sequence[str] = (), pulse_ns: int = 1000) -> DataFrame:
@@ -104,9 +113,9 @@ def match_lane(found: DataFrame, keys: Sequence[str] = (), pulse_ns: int = 1000)
     return pulse_lane(found.select(*keys, F.col("match_ns").alias(TS), SEQ), keys, pulse_ns)
 
 
-def timed_matches(words: DataFrame, settings: DataFrame, keys: Sequence[str], operator: str) -> DataFrame:
+def timed_matches(words: DataFrame, settings: DataFrame, keys: Sequence[str], operator: str, bucket_ns: int | None = None) -> DataFrame:
     """Words that match the settings (pattern, mask) in force at their start; a setting at the start counts."""
-    found = as_of(words, settings, keys, {"pattern": "_pattern", "mask": "_mask"})
+    found = as_of(words, settings, keys, {"pattern": "_pattern", "mask": "_mask"}, bucket_ns=bucket_ns)
     return found.where(matches(operator, F.col("_pattern"), F.col("_mask"))).drop("_pattern", "_mask")
 
 
@@ -132,12 +141,12 @@ def extract_field(words: DataFrame, first_bit: int, bit_count: int) -> DataFrame
     return words.withColumns({k: v for k, v in columns.items() if k in words.columns})
 
 
-def word_ends(words: DataFrame, keys: Sequence[str] = (), most_ns: int = MAX_ANNOTATION_NS) -> DataFrame:
+def word_ends(words: DataFrame, keys: Sequence[str] = (), most_ns: int = MAX_ANNOTATION_NS, bucket_ns: int | None = None) -> DataFrame:
     """Words with ``end_ns``: the explicit end, or for instantaneous ones the next start, at most the interval before and ``most_ns`` away."""
-    w = ordered(keys)
-    gap, last = F.lead(TS).over(w) - F.col(TS), F.col(TS) - F.lag(TS).over(w)
-    lent = F.coalesce(F.least(gap, F.coalesce(last, gap), F.lit(most_ns)), F.lit(0))
-    return words.withColumn("end_ns", F.col(TS) + F.when(F.col("duration_ns") > 0, F.col("duration_ns")).otherwise(F.when(gap.isNull(), 0).otherwise(lent)))
+    rows = along(words, keys, {"_next": after(TS), "_last": before(TS)}, bucket_ns=bucket_ns)
+    gap, last = F.col("_next") - F.col(TS), F.col(TS) - F.col("_last")
+    lent = F.when(gap.isNull(), 0).otherwise(F.coalesce(F.least(gap, F.coalesce(last, gap), F.lit(most_ns)), F.lit(0)))
+    return rows.withColumn("end_ns", F.col(TS) + F.when(F.col("duration_ns") > 0, F.col("duration_ns")).otherwise(lent)).drop("_next", "_last")
 
 
 def frame_packets(
@@ -151,6 +160,7 @@ def frame_packets(
     boundaries: DataFrame | None = None,
     gate: DataFrame | None = None,
     active_high: bool = True,
+    bucket_ns: int | None = None,
 ) -> DataFrame:
     """Words framed into packets: start_ns, end_ns, n_words, words (value, start_ns, end_ns in order).
 
@@ -164,33 +174,31 @@ def frame_packets(
     if gate is not None:
         active = F.coalesce("value", F.lit(False)) == F.lit(active_high)
         offs = gate.where(~active).select(*keys, TS, SEQ)
-        rows = as_of(rows, gate.withColumnRenamed("value", "_g"), keys, {"_g": "_gate"})
+        rows = as_of(rows, gate.withColumnRenamed("value", "_g"), keys, {"_g": "_gate"}, bucket_ns=bucket_ns)
         rows = rows.where(F.coalesce("_gate", F.lit(False)) == F.lit(active_high)).drop("_gate")
         marks.append(offs)
     if boundaries is not None:
         marks.append(boundaries.select(*keys, TS, SEQ))
-    own = rows.withColumn("_side", F.lit(2))
-    for k, mark in enumerate(marks):
-        own = own.unionByName(mark.withColumn("_side", F.lit(k)), allowMissingColumns=True)
-    is_mark = (F.col("_side") < 2).cast("long")
-    own = own.withColumn("_marks", F.sum(is_mark).over(running(keys, "_side"))).where("_side = 2").drop("_side")
-    w = ordered(keys)
-    cuts = [F.col("_marks") != F.lag("_marks").over(w)]
+    own = rows.withColumns({"_side": F.lit(2), "_delimits": F.lit(False) if delimiter is None else F.coalesce(delimiter, F.lit(False))})
+    if marks:
+        for k, mark in enumerate(marks):
+            own = own.unionByName(mark.withColumn("_side", F.lit(k)), allowMissingColumns=True)
+        own = along(own, keys, {"_marks": total(F.col("_side") < 2)}, ["_side"], bucket_ns).where("_side = 2")
+    else:
+        own = own.withColumn("_marks", F.lit(0).cast("long"))
+    last = F.struct("_marks", "_delimits", (F.col(TS) + F.col("duration_ns")).alias("end"))
+    own = along(own, keys, {"_last": before(last)}, bucket_ns=bucket_ns)
+    cut = (F.col("_marks") != F.col("_last._marks")) | F.col("_last._delimits")
     if max_gap_ns is not None:
-        cuts.append(F.col(TS) - F.lag(F.col(TS) + F.col("duration_ns")).over(w) > max_gap_ns)
-    if delimiter is not None:
-        own = own.withColumn("_delimits", F.coalesce(delimiter, F.lit(False)))
-        cuts.append(F.lag("_delimits").over(w))
-    cut = F.lit(False)
-    for c in cuts:
-        cut = cut | F.coalesce(c, F.lit(False))
-    own = own.withColumn("_cut", cut.cast("long"))
-    own = own.withColumn("_segment", F.sum("_cut").over(running(keys)))
-    if delimiter is not None and not include_delimiter:
-        own = own.where(~F.col("_delimits"))
+        cut = cut | (F.col(TS) - F.col("_last.end") > max_gap_ns)
+    own = own.withColumn("_cut", F.coalesce(cut, F.lit(False)))
+    kept = ~F.col("_delimits") if not include_delimiter else None
+    own = number_within(own, keys, F.col("_cut"), "_n", (), bucket_ns, kept)
+    own = along(own, keys, {"_segment": total("_cut")}, bucket_ns=bucket_ns)
+    if kept is not None:
+        own = own.where(kept)
     size = min(fixed or max_words, max_words)
-    chunk = F.floor((F.row_number().over(ordered([*keys, "_segment"])) - 1) / size)
-    own = own.withColumn("_chunk", chunk)
+    own = own.withColumn("_chunk", F.floor(F.col("_n") / size))
     payload = [c for c in ("payload_bytes", "payload_text") if c in words.columns]
     item = F.struct(F.col(TS).alias("start_ns"), F.col(SEQ).alias("seq"), (F.col(TS) + F.col("duration_ns")).alias("end_ns"), "value", *payload)
     packets = own.groupBy(*keys, "_segment", "_chunk").agg(F.sort_array(F.collect_list(item)).alias("words"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.timeline import along, count
+
 KEYS = ["user_id"]
 #: Start of the timelines: nothing in the event table is earlier.
 T0 = 1_704_067_200_000_000_000
@@ -52,18 +56,32 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).select("user_id", "ts_ns", "seq", "duration_ns", F.col("number").alias("value"))
 
 
+def row_numbers(rows: DataFrame, keys: Sequence[str], order: Sequence[str], width: int, out: str) -> DataFrame:
+    """``rows`` numbered from 1 within ``keys`` in the order of some columns, the first of which, a LONG, divides the work among tasks."""
+    first, *between, last = order if len(order) > 1 else [order[0], order[0]]
+    placed = rows.withColumns({"ts_ns": F.col(first).cast("long"), "seq": F.col(last)})
+    return along(placed, keys, {out: count()}, between, width).drop("ts_ns", "seq")
+
+
 def bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem in order, numbered by position within one channel for each line number, with one bit of the quantity."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("channel"), *LINE_ORDER, (F.col("l_quantity").cast("long") % 2 == 1).alias("bit"))
-    position = F.row_number().over(Window.partitionBy("channel").orderBy(*LINE_ORDER)) - 1
-    return rows.withColumn("position", position.cast("long")).select("channel", "position", "bit")
+    rows = row_numbers(rows, ["channel"], LINE_ORDER, 1 << 14, "n")
+    return rows.select("channel", (F.col("n") - 1).alias("position"), "bit")
+
+
+def bus_bits(spark: SparkSession, sf_dir: str, channels: int = 4) -> DataFrame:
+    """lineitem in order as the samples of one bus: the low bits of the quantity, a channel each."""
+    rows = table(spark, sf_dir, "lineitem").select(*LINE_ORDER, "l_linenumber", F.col("l_quantity").cast("long").alias("q"))
+    rows = row_numbers(rows, [], [*LINE_ORDER, "l_linenumber"], 1 << 14, "n").select((F.col("n") - 1).alias("position"), "q")
+    rows = rows.select("position", "q", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))).alias("channel"))
+    return rows.select("channel", "position", (F.call_function("div", F.col("q"), F.pow(F.lit(2), F.col("channel")).cast("long")) % 2 == 1).alias("bit"))
 
 
 def spi_lines(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """customer keys as 24-bit words on a serial bus, a transaction each, one bus for each nation."""
     rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
-    begin = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long") * 1000
-    rows = rows.withColumn("t", begin)
+    rows = row_numbers(rows, ["c_nationkey"], ["c_custkey"], 1 << 14, "n").withColumn("t", F.col("n") * 1000)
     bit = F.explode(F.sequence(F.lit(0), F.lit(23)))
     cells = rows.select("c_nationkey", "t", "c_custkey", bit.alias("k")).withColumn("at", F.col("t") + 20 + F.col("k") * 20)
     rise = F.array(F.struct((F.col("at") + 10).alias("ts_ns"), F.lit(True).alias("value")), F.struct((F.col("at") + 20).alias("ts_ns"), F.lit(False).alias("value")))
@@ -82,7 +100,7 @@ def spi_lines(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def parallel_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[DataFrame], DataFrame]:
     """customer keys as three cycles on an 8-bit bus, low byte first: strobe, data lines, enable (off for every fifth customer)."""
     rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
-    rows = rows.withColumn("t", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long") * 100)
+    rows = row_numbers(rows, ["c_nationkey"], ["c_custkey"], 1 << 14, "n").withColumn("t", F.col("n") * 100)
     cells = rows.select("c_nationkey", "c_custkey", "t", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).withColumn("at", F.col("t") + F.col("k") * 20)
     pulse = F.array(F.struct((F.col("at") + 10).alias("ts_ns"), F.lit(True).alias("value")), F.struct((F.col("at") + 15).alias("ts_ns"), F.lit(False).alias("value")))
     strobe = cells.select("c_nationkey", F.inline(pulse)).select("c_nationkey", "ts_ns", F.col("ts_ns").alias("seq"), "value")
@@ -107,7 +125,7 @@ def uart_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 def i2c_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """supplier rows as writes on a two-wire bus by nation: address from the key, then three data bytes of the key."""
     rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey")
-    rows = rows.withColumn("t", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey")).cast("long") * 10_000)
+    rows = row_numbers(rows, ["s_nationkey"], ["s_suppkey"], 1 << 14, "n").withColumn("t", F.col("n") * 10_000)
     data = F.array(F.expr("(s_suppkey % 128) * 2"), F.expr("s_suppkey & 255"), F.expr("shiftright(s_suppkey, 8) & 255"), F.expr("shiftright(s_suppkey, 16) & 255"))
     cells = rows.select("s_nationkey", "t", F.posexplode(data).alias("b", "v")).select("s_nationkey", "t", "b", "v", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("k"))
     at = F.col("t") + 200 + (F.col("b") * 9 + F.col("k")) * 100

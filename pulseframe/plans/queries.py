@@ -30,6 +30,8 @@ EV = r"""ev AS (
 )"""
 #: Midnight of 2024-01-08 and 2024-01-22, the ends of the windows that queries look at.
 W0, W1 = T0 + 168 * HOUR, T0 + 504 * HOUR
+#: Width of the time buckets that timelines are divided into.
+WEEK = 168 * HOUR
 
 
 def query(sql: str | None, recursive: bool = False) -> Callable[[Query], Query]:
@@ -55,12 +57,12 @@ acc AS (
 
 @query("SELECT user_id, ts_ns, seq, v AS value FROM ch")
 def l1_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes(b.level(spark, sf_dir), KEYS)
+    return changes(b.level(spark, sf_dir), KEYS, bucket_ns=WEEK)
 
 
 @query("SELECT e.user_id, e.ts_ns, e.seq, lv.v AS value FROM (SELECT * FROM ev WHERE kind = 'purchase') e ASOF LEFT JOIN lv ON e.user_id = lv.user_id AND e.ts_ns >= lv.ts_ns")
 def l2_value_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.value_at(b.level(spark, sf_dir), b.occurrences(spark, sf_dir, "purchase"), KEYS, bucket_ns=168 * HOUR)
+    return levels.value_at(b.level(spark, sf_dir), b.occurrences(spark, sf_dir, "purchase"), KEYS, bucket_ns=WEEK)
 
 
 @query(
@@ -69,7 +71,7 @@ SELECT e.user_id, e.ts_ns, e.seq, t.ts_ns AS edge_ns, t.v AS edge_value
 FROM (SELECT * FROM ev WHERE kind = 'purchase') e ASOF LEFT JOIN t ON e.user_id = t.user_id AND e.ts_ns < t.ts_ns"""
 )
 def l3_next_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.next_edge(b.level(spark, sf_dir), b.occurrences(spark, sf_dir, "purchase"), KEYS)
+    return levels.next_edge(b.level(spark, sf_dir), b.occurrences(spark, sf_dir, "purchase"), KEYS, bucket_ns=WEEK)
 
 
 @query(
@@ -81,7 +83,7 @@ def l3_next_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     recursive=True,
 )
 def l4_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.edges(b.level(spark, sf_dir), KEYS, "rising", debounce_ns=24 * HOUR, min_pulse_ns=HOUR)
+    return levels.edges(b.level(spark, sf_dir), KEYS, "rising", debounce_ns=24 * HOUR, min_pulse_ns=HOUR, bucket_ns=WEEK)
 
 
 @query(
@@ -101,7 +103,7 @@ UNION ALL SELECT DISTINCT user_id, {T0}, -1, false FROM ev"""
 )
 def l5_logic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = [b.level(spark, sf_dir, 20.0), b.level(spark, sf_dir), b.kind_level(spark, sf_dir, "view")]
-    return levels.logic_gate(inputs, KEYS, "XOR", t0=T0)
+    return levels.logic_gate(inputs, KEYS, "XOR", t0=T0, bucket_ns=WEEK)
 
 
 @query(
@@ -115,22 +117,26 @@ def l6_gate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.value_at(gate, b.occurrences(spark, sf_dir, "error"), KEYS)
 
 
-#: 2048 positions of 20 minutes from the start of the table.
+#: Positions of 20 minutes from the start of the table.
 STEP = HOUR // 3
-SPAN = 2048
 
 
 @query(
-    f"""+ s AS (
-  SELECT u.user_id, g.k, ch.v FROM (SELECT DISTINCT user_id FROM ev) u CROSS JOIN (SELECT unnest(range(0, {SPAN} // 64)) AS k) g
-  ASOF LEFT JOIN (SELECT user_id, (ts_ns - {T0}) // {STEP} AS pos, arg_max(v, seq) AS v FROM ch GROUP BY ALL) ch ON ch.user_id = u.user_id AND ch.pos <= g.k * 64 + 63
-), h AS (SELECT user_id, count(*) FILTER (v) AS high_groups FROM s GROUP BY user_id),
-a AS (SELECT user_id, count(DISTINCT (ts_ns - {T0}) // {STEP} // 64) AS active_groups FROM ch WHERE p IS NOT NULL AND (ts_ns - {T0}) // {STEP} < {SPAN} GROUP BY user_id)
-SELECT h.user_id, coalesce(active_groups, 0) AS active_groups, high_groups FROM h LEFT JOIN a USING (user_id)"""
+    f"""+ n AS (SELECT max((ts_ns - {T0}) // {STEP}) + 1 AS total FROM ev),
+s AS (
+  SELECT u.user_id, g.k, ch.v FROM (SELECT DISTINCT user_id FROM ev) u
+  CROSS JOIN (SELECT k, least(k * 64 + 63, total - 1) AS last FROM (SELECT total, unnest(range(0, (total + 63) // 64)) AS k FROM n)) g
+  ASOF LEFT JOIN (SELECT user_id, (ts_ns - {T0}) // {STEP} AS pos, arg_max(v, seq) AS v FROM ch GROUP BY ALL) ch ON ch.user_id = u.user_id AND g.last >= ch.pos
+), h AS (SELECT user_id, count(*) FILTER (v) AS high_groups, count(*) AS groups FROM s GROUP BY user_id),
+a AS (SELECT user_id, count(DISTINCT (ts_ns - {T0}) // {STEP} // 64) AS active_groups FROM ch WHERE p IS NOT NULL GROUP BY user_id)
+SELECT h.user_id, coalesce(active_groups, 0) AS active_groups, high_groups, groups, (coalesce(active_groups, 0) * 1000000 // groups)::BIGINT AS activity_ppm, (high_groups * 1000000 // groups)::BIGINT AS high_ppm FROM h LEFT JOIN a USING (user_id)"""
 )
 def l7_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Activity to the last position of the table, with both shares in millionths, rounded down."""
     own = b.level(spark, sf_dir).withColumn("ts_ns", F.col("ts_ns") - T0)
-    return levels.activity(own, KEYS, STEP, SPAN).select("user_id", "active_groups", "high_groups")
+    found = levels.activity(own, KEYS, STEP, bucket_ns=WEEK)
+    ppm = lambda c: F.floor(F.col(c) * 1_000_000 + 1e-6)
+    return found.select("user_id", "active_groups", "high_groups", "groups", ppm("activity_ratio").alias("activity_ppm"), ppm("high_ratio").alias("high_ppm"))
 
 
 @query(
@@ -144,7 +150,7 @@ a AS (SELECT user_id, count(DISTINCT (ts_ns - {T0}) // {STEP} // 64) AS active_g
 SELECT h.user_id, coalesce(active_groups, 0) AS active_groups, high_groups, groups FROM h LEFT JOIN a USING (user_id)"""
 )
 def l7_activity_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Activity to the last position of the table; l7_activity looks at the first SPAN positions."""
+    """The counts of l7_activity, without time buckets."""
     own = b.level(spark, sf_dir).withColumn("ts_ns", F.col("ts_ns") - T0)
     return levels.activity(own, KEYS, STEP).select("user_id", "active_groups", "high_groups", "groups")
 
@@ -164,36 +170,38 @@ def l8_l9_l10_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, ts_ns, seq, w AS width_ns FROM (SELECT *, lead(ts_ns) OVER (PARTITION BY user_id ORDER BY ts_ns, seq) - ts_ns AS w FROM ch) WHERE v AND w IS NOT NULL")
 def l11_pulse_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.pulse_widths(b.level(spark, sf_dir), KEYS)
+    return levels.pulse_widths(b.level(spark, sf_dir), KEYS, bucket_ns=WEEK)
 
 
 @query(
     """+ r AS (SELECT *, lead(ts_ns) OVER w AS e, lead(ts_ns, 2) OVER w AS e2 FROM ch WINDOW w AS (PARTITION BY user_id ORDER BY ts_ns, seq))
-SELECT e.user_id, e.ts_ns, e.seq, r.v AS value, r.ts_ns AS start_ns, r.e AS end_ns, r.e - r.ts_ns AS width_ns, r.e2 - r.ts_ns AS period_ns
+SELECT e.user_id, e.ts_ns, e.seq, r.v AS value, r.ts_ns AS start_ns, r.e AS end_ns, r.e - r.ts_ns AS width_ns, r.e2 - r.ts_ns AS period_ns,
+  ((r.e - r.ts_ns)::HUGEINT * 1000000 // (r.e2 - r.ts_ns))::BIGINT AS duty_ppm
 FROM (SELECT * FROM ev WHERE kind = 'purchase') e ASOF LEFT JOIN r ON r.user_id = e.user_id AND e.ts_ns >= r.ts_ns"""
 )
 def l12_pulse_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.pulses_at(b.level(spark, sf_dir), b.occurrences(spark, sf_dir, "purchase"), KEYS).drop("duty_ppm")
+    return levels.pulses_at(b.level(spark, sf_dir), b.occurrences(spark, sf_dir, "purchase"), KEYS, bucket_ns=WEEK)
 
 
 @query(
     f"""+ t AS (SELECT user_id, ts_ns FROM ch WHERE p IS NOT NULL), u AS (SELECT DISTINCT user_id, {W0} AS a, {W1} AS b FROM ev),
 s AS (SELECT u.user_id, arg_min(t.ts_ns, abs(t.ts_ns - a) * 2 + (t.ts_ns > a)::INT) AS sa, arg_min(t.ts_ns, abs(t.ts_ns - b) * 2 + (t.ts_ns > b)::INT) AS sb FROM u LEFT JOIN t USING (user_id) GROUP BY ALL)
-SELECT user_id, {W0} AS a_ns, {W1} AS b_ns, sa AS snapped_a_ns, sb AS snapped_b_ns, abs(sb - sa) AS delta_ns FROM s"""
+SELECT user_id, {W0} AS a_ns, {W1} AS b_ns, sa AS snapped_a_ns, sb AS snapped_b_ns, abs(sb - sa) AS delta_ns, CASE WHEN abs(sb - sa) > 0 THEN round(1e9 / abs(sb - sa) * 1e12)::BIGINT END AS frequency_phz FROM s"""
 )
 def l13_edge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = b.base(spark, sf_dir).select("user_id").distinct().select("user_id", F.lit(W0).alias("a_ns"), F.lit(W1).alias("b_ns"))
-    return levels.edge_delta(b.level(spark, sf_dir), pairs, KEYS).drop("frequency_hz")
+    found = levels.edge_delta(b.level(spark, sf_dir), pairs, KEYS)
+    return found.withColumn("frequency_phz", F.round(F.col("frequency_hz") * 1e12).cast("long")).drop("frequency_hz")
 
 
 @query("SELECT e.user_id, e.ts_ns, e.seq FROM (SELECT * FROM ev WHERE kind = 'purchase') e ASOF JOIN lv ON e.user_id = lv.user_id AND e.ts_ns >= lv.ts_ns WHERE lv.v")
 def e1_event_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.event_gate(b.occurrences(spark, sf_dir, "purchase"), b.level(spark, sf_dir), KEYS, bucket_ns=168 * HOUR)
+    return events.event_gate(b.occurrences(spark, sf_dir, "purchase"), b.level(spark, sf_dir), KEYS, bucket_ns=WEEK)
 
 
 @query(greedy_sql("SELECT * FROM ev WHERE kind = 'click'", str(36 * HOUR)) + f" SELECT user_id, ts_ns + {HOUR} AS ts_ns, seq FROM acc WHERE ok", recursive=True)
 def e2_holdoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.event_control(b.occurrences(spark, sf_dir, "click"), KEYS, delay_ns=HOUR, holdoff_ns=36 * HOUR)
+    return events.event_control(b.occurrences(spark, sf_dir, "click"), KEYS, delay_ns=HOUR, holdoff_ns=36 * HOUR, bucket_ns=WEEK)
 
 
 @query(
@@ -201,7 +209,7 @@ def e2_holdoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, ts_ns, seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id, epoch ORDER BY ts_ns, seq) AS n FROM m WHERE kind = 'click') WHERE n = 1"""
 )
 def e2_rearm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.event_control(b.occurrences(spark, sf_dir, "click"), KEYS, rearms=b.occurrences(spark, sf_dir, "signup"))
+    return events.event_control(b.occurrences(spark, sf_dir, "click"), KEYS, rearms=b.occurrences(spark, sf_dir, "signup"), bucket_ns=WEEK)
 
 
 @query(
@@ -217,7 +225,7 @@ s AS (
     recursive=True,
 )
 def e2_holdoff_rearm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.event_control(b.occurrences(spark, sf_dir, "click"), KEYS, holdoff_ns=36 * HOUR, rearms=b.occurrences(spark, sf_dir, "signup"))
+    return events.event_control(b.occurrences(spark, sf_dir, "click"), KEYS, holdoff_ns=36 * HOUR, rearms=b.occurrences(spark, sf_dir, "signup"), bucket_ns=WEEK)
 
 
 @query(
@@ -225,7 +233,7 @@ def e2_holdoff_rearm(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT DISTINCT user_id, {T0}, -1, 100 FROM ev WHERE kind = 'signup'"""
 )
 def e3_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.event_counter(b.occurrences(spark, sf_dir, "signup"), KEYS, 100, 5, T0)
+    return events.event_counter(b.occurrences(spark, sf_dir, "signup"), KEYS, 100, 5, T0, WEEK)
 
 
 LATCH = f"""+ s AS (SELECT user_id, ts_ns, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, seq) AS seq, kind = 'signup' AS v, lag(kind = 'signup', 1, false) OVER (PARTITION BY user_id ORDER BY ts_ns, seq) AS p FROM ev WHERE kind IN ('signup', 'error')),
@@ -234,7 +242,7 @@ latch AS (SELECT user_id, ts_ns, seq, v AS value FROM s WHERE v <> p UNION ALL S
 
 @query(LATCH + " SELECT * FROM latch")
 def e4_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.sr_latch(b.occurrences(spark, sf_dir, "signup"), b.occurrences(spark, sf_dir, "error"), KEYS, t0=T0)
+    return events.sr_latch(b.occurrences(spark, sf_dir, "signup"), b.occurrences(spark, sf_dir, "error"), KEYS, t0=T0, bucket_ns=WEEK)
 
 
 @query(
@@ -244,12 +252,12 @@ UNION ALL SELECT DISTINCT user_id, {T0}, -1, false FROM ev WHERE kind = 'view'""
     recursive=True,
 )
 def e5_pulse_lane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events.pulse_lane(b.occurrences(spark, sf_dir, "view"), KEYS, 48 * HOUR, T0)
+    return events.pulse_lane(b.occurrences(spark, sf_dir, "view"), KEYS, 48 * HOUR, T0, WEEK)
 
 
 @query(greedy_sql("SELECT * FROM ev", str(12 * HOUR)) + " SELECT user_id, ts_ns, seq FROM acc WHERE ok", recursive=True)
 def f3_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return greedy(b.base(spark, sf_dir).select("user_id", "ts_ns", "seq"), KEYS, 12 * HOUR)
+    return greedy(b.base(spark, sf_dir).select("user_id", "ts_ns", "seq"), KEYS, 12 * HOUR, bucket_ns=WEEK)
 
 
 @query(
@@ -279,7 +287,7 @@ def w3_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, ts_ns, seq, duration_ns, value FROM (SELECT *, number AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, seq) AS n FROM ev WHERE number % 2 = 0) WHERE n % 3 = 0")
 def w4_every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words.match_words(b.words(spark, sf_dir), KEYS, words.matches("eq", 0, 1), at="start", every=3).drop("match_ns")
+    return words.match_words(b.words(spark, sf_dir), KEYS, words.matches("eq", 0, 1), at="start", every=3, bucket_ns=WEEK).drop("match_ns")
 
 
 @query(
@@ -300,7 +308,7 @@ s AS (
 )
 def w4_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second even word, held off half a day after each, re-armed by signups."""
-    return words.match_words(b.words(spark, sf_dir), KEYS, words.matches("eq", 0, 1), every=2, holdoff_ns=12 * HOUR, rearms=b.occurrences(spark, sf_dir, "signup"))
+    return words.match_words(b.words(spark, sf_dir), KEYS, words.matches("eq", 0, 1), every=2, holdoff_ns=12 * HOUR, rearms=b.occurrences(spark, sf_dir, "signup"), bucket_ns=WEEK)
 
 
 @query(
@@ -309,7 +317,7 @@ SELECT e.user_id, e.ts_ns, e.seq, e.duration_ns, e.number AS value FROM ev e ASO
 )
 def w4b_timed_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     settings = b.base(spark, sf_dir).where("kind = 'signup'").select("user_id", "ts_ns", "seq", F.col("number").bitwiseAND(F.lit(255)).alias("pattern"), F.lit(255).cast("long").alias("mask"))
-    return words.timed_matches(b.words(spark, sf_dir), settings, KEYS, "gt")
+    return words.timed_matches(b.words(spark, sf_dir), settings, KEYS, "gt", WEEK)
 
 
 @query("SELECT user_id, ts_ns, seq, duration_ns, (number >> 3) & 31 AS value FROM ev")
@@ -323,7 +331,7 @@ FROM (SELECT *, CASE WHEN kind = 'view' THEN 0 ELSE duration_ns END AS d, lead(t
 )
 def w6_word_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.base(spark, sf_dir).select("user_id", "ts_ns", "seq", F.when(F.col("kind") == "view", 0).otherwise(F.col("duration_ns")).alias("duration_ns"))
-    return words.word_ends(rows, KEYS).drop("duration_ns")
+    return words.word_ends(rows, KEYS, bucket_ns=WEEK).drop("duration_ns")
 
 
 FRAMES = f"""+ w AS (
@@ -349,7 +357,7 @@ FROM k GROUP BY user_id, seg, chunk"""
 @query(FRAMES)
 def w7_packet_framer(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = words.frame_packets(
-        b.words(spark, sf_dir), KEYS, fixed=4, delimiter=F.col("value") % 16 == 0, max_gap_ns=6 * HOUR, boundaries=b.occurrences(spark, sf_dir, "error"), gate=b.level(spark, sf_dir)
+        b.words(spark, sf_dir), KEYS, fixed=4, delimiter=F.col("value") % 16 == 0, max_gap_ns=6 * HOUR, boundaries=b.occurrences(spark, sf_dir, "error"), gate=b.level(spark, sf_dir), bucket_ns=WEEK
     )
     return packets.select("user_id", "start_ns", "end_ns", "n_words", F.array_join(F.transform("words", lambda x: x["value"].cast("string")), ",").alias("word_values"))
 
@@ -375,15 +383,20 @@ def t1_text_formatter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT user_id, ts_ns, seq, printf('0x%02X', number) AS hex, '0b' || bin(number) AS binary, number::VARCHAR AS decimal, printf('0o%o', number) AS octal,
-  printf('%d.%06d ms', duration_ns // 1000000, duration_ns % 1000000) AS duration FROM ev WHERE duration_ns >= 1000000"""
+    """+ x AS (SELECT *, CASE seq % 4 WHEN 0 THEN duration_ns // 1000000 WHEN 1 THEN duration_ns // 1000 WHEN 2 THEN duration_ns ELSE duration_ns * 1000 END AS d,
+  CASE WHEN (number & 255) BETWEEN 32 AND 126 THEN chr((number & 255)::INT) ELSE '.' END AS ascii FROM ev)
+SELECT user_id, ts_ns, seq, printf('0x%02X', number) AS hex, '0b' || bin(number) AS binary, number::VARCHAR AS decimal, printf('0o%o', number) AS octal, ascii,
+  printf('0x%02X', number) || ' ' || chr(39) || ascii || chr(39) AS hex_ascii,
+  CASE WHEN d >= 1000000000 THEN printf('%d.%09d s', d // 1000000000, d % 1000000000) WHEN d >= 1000000 THEN printf('%d.%06d ms', d // 1000000, d % 1000000)
+       WHEN d >= 1000 THEN printf('%d.%03d µs', d // 1000, d % 1000) ELSE d || ' ns' END AS duration FROM x"""
 )
 def x1_x2_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values in all forms, and durations scaled so that every unit occurs."""
     x = F.col("value")
-    return b.words(spark, sf_dir).where("duration_ns >= 1000000").select(
-        "user_id", "ts_ns", "seq", formats.value_text(x, "Hex").alias("hex"), formats.value_text(x, "Binary").alias("binary"),
-        formats.value_text(x, "Decimal").alias("decimal"), formats.value_text(x, "Octal").alias("octal"), formats.time_text(F.col("duration_ns")).alias("duration"),
-    )
+    d = F.expr("CASE seq % 4 WHEN 0 THEN div(duration_ns, 1000000L) WHEN 1 THEN div(duration_ns, 1000L) WHEN 2 THEN duration_ns ELSE duration_ns * 1000 END")
+    forms = {"hex": "Hex", "binary": "Binary", "decimal": "Decimal", "octal": "Octal", "ascii": "ASCII", "hex_ascii": "Hex + ASCII"}
+    shown = [formats.value_text(x, form).alias(name) for name, form in forms.items()]
+    return b.words(spark, sf_dir).select("user_id", "ts_ns", "seq", *shown, formats.time_text(d).alias("duration"))
 
 
 @query("SELECT user_id, ts_ns, seq, printf('%02X %02X', number & 255, (number >> 8) & 255) AS label, chr((32 + number % 95)::INT) AS shown FROM ev")
@@ -400,7 +413,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id, seg, chunk ORDER BY ts_
 )
 def x4_packet_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = words.frame_packets(
-        b.words(spark, sf_dir), KEYS, fixed=4, delimiter=F.col("value") % 16 == 0, max_gap_ns=6 * HOUR, boundaries=b.occurrences(spark, sf_dir, "error"), gate=b.level(spark, sf_dir)
+        b.words(spark, sf_dir), KEYS, fixed=4, delimiter=F.col("value") % 16 == 0, max_gap_ns=6 * HOUR, boundaries=b.occurrences(spark, sf_dir, "error"), gate=b.level(spark, sf_dir), bucket_ns=WEEK
     )
     return packets.select("user_id", "start_ns", formats.word_list_label(F.transform("words", lambda x: x["value"]), 2).alias("label"))
 
@@ -481,15 +494,18 @@ def s4_max_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.block_levels(packed, ["channel"], max_samples=500)
 
 
-@query(PACKED + " SELECT sum(CASE WHEN bit THEN 1::BIGINT << channel ELSE 0 END)::BIGINT AS value FROM s WHERE position = 777")
+@query(PACKED + " SELECT position, sum(CASE WHEN bit THEN 1::BIGINT << channel ELSE 0 END)::BIGINT AS value FROM s WHERE position % 1000 = 777 GROUP BY position")
 def s6_bus_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = blocks.pack_levels(b.bits(spark, sf_dir), ["channel"], "position", "bit", 10, 1024)
-    return blocks.bus_at(packed, [], 777)
+    """The bus at every thousandth position of the table."""
+    own = b.bits(spark, sf_dir)
+    packed = blocks.pack_levels(own, ["channel"], "position", "bit", 10, 1024)
+    return blocks.bus_at_probes(packed, own.where("position % 1000 = 777").select("position").distinct(), [], 1024)
 
 
-@query(PACKED + " SELECT channel, min(position) AS start_pos, count(*)::INT AS n, count(*) FILTER (bit) AS high FROM s WHERE channel = 3 AND position BETWEEN 512 AND 1535 GROUP BY channel, position // 1024")
+@query(PACKED + " SELECT channel, min(position) AS start_pos, count(*)::INT AS n, count(*) FILTER (bit) AS high FROM s WHERE position BETWEEN 512 AND 1535 GROUP BY channel, position // 1024")
 def s7_sub_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = blocks.pack_levels(b.bits(spark, sf_dir).where("channel = 3"), ["channel"], "position", "bit", 10, 1024)
+    """Views of positions 512 to 1535 of all channels; they are the feature, and blocks outside of them are pruned."""
+    packed = blocks.pack_levels(b.bits(spark, sf_dir), ["channel"], "position", "bit", 10, 1024)
     view = blocks.sub_blocks(packed, 512, 1536)
     high = F.length(F.replace(F.concat_ws("", F.transform(F.sequence(F.lit(1), F.length("data")), lambda i: F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 2))), F.lit("0"), F.lit("")))
     return view.select("channel", "start_pos", "n", high.cast("long").alias("high"))
@@ -505,21 +521,23 @@ def q1_sampled_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.sampled_naive(b.level(spark, sf_dir), KEYS, W0, W1, 112)
 
 
-@query(
-    f"""+ c AS (SELECT *, (ts_ns - {W0}) * 28 // {W1 - W0} AS cell FROM ch WHERE p IS NOT NULL AND ts_ns > {W0} AND ts_ns < {W1}),
-n AS (SELECT user_id, cell, count(*) AS n, arg_max(v, seq) AS last FROM c GROUP BY ALL),
+def grid_sql(cells: int) -> str:
+    """The pieces of [W0, W1) in so many cells as table grid."""
+    return f"""+ c AS (SELECT *, (ts_ns - {W0}) * {cells} // {W1 - W0} AS cell FROM ch WHERE p IS NOT NULL AND ts_ns > {W0} AND ts_ns < {W1}),
+n AS (SELECT user_id, cell, count(*) AS n, arg_min(p, seq) AS first, arg_max(v, seq) AS last FROM c GROUP BY ALL),
 i AS (SELECT u.user_id, lv.v AS initial FROM (SELECT DISTINCT user_id, {W0} AS t FROM ev) u ASOF LEFT JOIN lv ON lv.user_id = u.user_id AND u.t >= lv.ts_ns),
-g AS (SELECT i.user_id, i.initial, cell, n.n, n.last FROM i CROSS JOIN (SELECT unnest(range(0, 28)) AS cell) LEFT JOIN n USING (user_id, cell)),
-h AS (SELECT *, coalesce(last_value(last IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), initial) AS before FROM g)
-SELECT user_id, sum(CASE WHEN n = 1 THEN 1 ELSE 0 END)::BIGINT AS edges, sum(CASE WHEN n > 1 THEN 1 ELSE 0 END)::BIGINT AS activities, count(*) FILTER (n IS NULL AND before) AS high_cells FROM h GROUP BY user_id"""
-)
+g AS (SELECT i.user_id, i.initial, cell, n.n, n.first, n.last FROM i CROSS JOIN (SELECT unnest(range(0, {cells})) AS cell) LEFT JOIN n USING (user_id, cell)),
+h AS (SELECT *, coalesce(last_value(last IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), initial) AS before FROM g),
+f AS (SELECT user_id, cell, CASE WHEN n IS NULL THEN 'Level' WHEN n = 1 THEN 'Edge' ELSE 'Activity' END AS kind, coalesce(first, before) AS first, coalesce(last, first, before) AS last FROM h),
+j AS (SELECT *, (kind = 'Level' AND lag(kind) OVER w = 'Level' AND lag(last) OVER w IS NOT DISTINCT FROM first)::INT AS joins FROM f WINDOW w AS (PARTITION BY user_id ORDER BY cell)),
+k AS (SELECT *, sum(1 - coalesce(joins, 0)) OVER (PARTITION BY user_id ORDER BY cell) AS piece FROM j),
+grid AS (SELECT user_id, any_value(kind) AS kind, {W0} + min(cell) * {W1 - W0} // {cells} AS start_ns, {W0} + (max(cell) + 1) * {W1 - W0} // {cells} AS end_ns, bool_or(first) AS first, bool_or(last) AS last FROM k GROUP BY user_id, piece)"""
+
+
+@query(grid_sql(28) + " SELECT * FROM grid")
 def q2_sampled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of half a day: edges, activities, and how many cells are high."""
-    cell = (W1 - W0) // 28
-    rows = retrieval.sampled_grid(b.level(spark, sf_dir), KEYS, W0, W1, 28)
-    count = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
-    high = F.when((F.col("kind") == "Level") & F.col("first"), F.floor((F.col("end_ns") - F.col("start_ns")) / cell))
-    return rows.groupBy("user_id").agg(count(F.when(F.col("kind") == "Edge", 1)).alias("edges"), count(F.when(F.col("kind") == "Activity", 1)).alias("activities"), count(high).alias("high_cells"))
+    """Pieces of cells of half a day."""
+    return retrieval.sampled_grid(b.level(spark, sf_dir), KEYS, W0, W1, 28, WEEK)
 
 
 @query(
@@ -527,12 +545,18 @@ def q2_sampled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, record, min(ts_ns) AS start_ns, max(e) AS end_ns, count(*) AS n, arg_min(v, seq) AS first, arg_max(v, seq) AS last FROM r GROUP BY user_id, record"""
 )
 def q2b_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.rollup(b.level(spark, sf_dir), KEYS, 1)
+    return retrieval.rollup(b.level(spark, sf_dir), KEYS, 1, bucket_ns=WEEK)
 
 
-@query(f"SELECT user_id, ts_ns, seq, value, c <= 20 AS complete FROM (SELECT *, number AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, seq) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM ev WHERE ts_ns <= {W1} AND ts_ns + duration_ns >= {W0} AND duration_ns > 0) WHERE n <= 20")
+@query(
+    f"""+ e AS (SELECT *, ts_ns + CASE WHEN duration_ns > 0 THEN duration_ns WHEN gap IS NULL THEN 0 ELSE least(gap, coalesce(prev, gap), 100000000) END AS end_ns
+  FROM (SELECT *, lead(ts_ns) OVER w - ts_ns AS gap, ts_ns - lag(ts_ns) OVER w AS prev FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts_ns, seq)))
+SELECT user_id, ts_ns, seq, duration_ns, value, end_ns, c <= 20 AS complete
+FROM (SELECT *, number AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts_ns, seq) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM e WHERE ts_ns <= {W1} AND end_ns >= {W0}) WHERE n <= 20"""
+)
 def q3_exact_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.exact_window(b.words(spark, sf_dir).where("duration_ns > 0"), KEYS, W0, W1, 20).drop("end_ns", "duration_ns")
+    """The first 20 words of each user that meet the window; instantaneous ones with the ends that they are lent."""
+    return retrieval.exact_window(b.words(spark, sf_dir), KEYS, W0, W1, 20, WEEK)
 
 
 @query(
@@ -548,14 +572,16 @@ def q4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""+ i AS (SELECT user_id, count(*) FILTER (p IS NOT NULL AND ts_ns > {W0} AND ts_ns <= {W1}) AS n FROM ch GROUP BY user_id)
-SELECT user_id, n <= 24 AS exact, CASE WHEN n <= 24 THEN n + 1 END AS n_rows FROM i"""
+    grid_sql(24)
+    + f""", few AS (SELECT user_id, count(*) FILTER (p IS NOT NULL AND ts_ns > {W0} AND ts_ns <= {W1}) <= 24 AS few FROM ch GROUP BY user_id)
+SELECT user_id, 'Exact' AS kind, {W0} AS start_ns, NULL::BIGINT AS end_ns, NULL::BOOLEAN AS first, initial AS last FROM few JOIN i USING (user_id) WHERE few AND initial IS NOT NULL
+UNION ALL SELECT user_id, 'Exact', {W0}, NULL, NULL, NULL FROM few JOIN i USING (user_id) WHERE few AND initial IS NULL
+UNION ALL SELECT user_id, 'Exact', ts_ns, NULL, NULL, v FROM few JOIN ch USING (user_id) WHERE few AND ts_ns > {W0} AND ts_ns <= {W1}
+UNION ALL SELECT grid.* FROM grid JOIN few USING (user_id) WHERE NOT few"""
 )
 def q5_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = retrieval.lane_snapshot(b.level(spark, sf_dir), KEYS, W0, W1, 24)
-    exact = F.bool_or(F.col("kind") == "Exact").alias("exact")
-    counted = rows.groupBy("user_id").agg(exact, F.count(F.lit(1)).alias("n"))
-    return counted.select("user_id", "exact", F.when(F.col("exact"), F.col("n")).alias("n_rows"))
+    """Changes where a user has at most 24, else pieces of 24 cells."""
+    return retrieval.lane_snapshot(b.level(spark, sf_dir), KEYS, W0, W1, 24, WEEK)
 
 
 @query(
@@ -577,7 +603,7 @@ def q7_decoder_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = b.base(spark, sf_dir)
     gap = F.lead("ts_ns").over(Window.partitionBy("user_id").orderBy("ts_ns", "seq")) - F.col("ts_ns")
     anchors = own.where("kind = 'signup'").withColumn("duration_ns", F.coalesce(gap, F.lit(0))).select("user_id", "ts_ns", "seq", "duration_ns")
-    found = retrieval.decoder_table(anchors, own.where("kind = 'click'").withColumn("value", F.col("number")), KEYS)
+    found = retrieval.decoder_table(anchors, own.where("kind = 'click'").withColumn("value", F.col("number")), KEYS, bucket_ns=WEEK)
     return found.select("user_id", "ts_ns", "seq", F.array_join("children", ",").alias("children"))
 
 
@@ -590,7 +616,7 @@ THREE = """+ v AS (SELECT user_id, ts_ns, amount > 20 AS a, amount > 35 AS b, ki
 
 
 def three_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trigger.channel_rows([b.level(spark, sf_dir, 20.0), b.level(spark, sf_dir), b.kind_level(spark, sf_dir, "view")], KEYS)
+    return trigger.channel_rows([b.level(spark, sf_dir, 20.0), b.level(spark, sf_dir), b.kind_level(spark, sf_dir, "view")], KEYS, WEEK)
 
 
 @query(THREE + " SELECT user_id, ts_ns, coalesce(NOT pa AND a, false) OR (pb AND NOT b) IS TRUE AS either, NOT c AND a AS plain FROM v")
@@ -611,7 +637,7 @@ SELECT m.user_id, min(m.ts_ns) AS trigger_ns FROM m JOIN t2 ON m.user_id = t2.us
 def g3_multi_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Third rise of channel 0, then channel 1 high twice running, then channel 2 high."""
     stages = [trigger.Stage({0: "rising"}, count=3), trigger.Stage({1: "high"}, count=2, counting="consecutive"), trigger.Stage({2: "high"})]
-    return trigger.find_trigger(three_channels(spark, sf_dir), KEYS, trigger.Program(stages), 3)
+    return trigger.find_trigger(three_channels(spark, sf_dir), KEYS, trigger.Program(stages), 3, WEEK)
 
 
 @query(f"+ t AS (SELECT user_id, min(ts_ns) AS t FROM ev WHERE kind = 'error' GROUP BY user_id) SELECT ev.user_id, ev.ts_ns, ev.seq FROM ev JOIN t USING (user_id) WHERE ts_ns >= t - {24 * HOUR} AND ts_ns < t + {72 * HOUR}")
@@ -643,7 +669,7 @@ DAYS = """+ d AS (SELECT l_linenumber AS channel, date_diff('day', DATE '1992-01
     DAYS
     + """, s AS (SELECT channel, day, a - lag(a) OVER w AS da, b - lag(b) OVER w AS db FROM d WINDOW w AS (PARTITION BY channel ORDER BY day)), q AS (SELECT * FROM s WHERE da IS NOT NULL),
 c AS (SELECT x.channel, lag, count(*) AS overlap, corr(x.da, y.db) AS r FROM q x CROSS JOIN (SELECT unnest(range(-5, 6)) AS lag) l JOIN q y ON y.channel = x.channel AND y.day = x.day + lag GROUP BY ALL HAVING count(*) >= 10)
-SELECT channel, arg_max(lag, r)::INT AS lag, arg_max(overlap, r) AS overlap FROM c GROUP BY channel"""
+SELECT channel, arg_max(lag, r)::INT AS lag, arg_max(overlap, r) AS overlap, round(max(r), 6) AS correlation FROM c GROUP BY channel"""
 )
 def i2_best_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lag between daily quantity and price of each line number."""
@@ -651,20 +677,18 @@ def i2_best_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("channel"), F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).alias("day"), F.col("l_quantity").cast("long").alias("x"), F.floor("l_extendedprice").cast("long").alias("y")
     )
     series = rows.groupBy("channel", "day").agg(F.sum("x").alias("a"), F.sum("y").alias("b"))
-    return imaging.best_lag(series, ["channel"], "day", "a", "b", 5).select("channel", "lag", "overlap")
+    return imaging.best_lag(series, ["channel"], "day", "a", "b", 5).withColumn("correlation", F.round("correlation", 6))
 
 
 @query(
     """+ s AS (SELECT row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS position, l_linenumber AS channel, (l_partkey * 13) % 65536 AS r, (l_suppkey * 101) % 65536 AS g, (l_orderkey * 7) % 65536 AS b FROM lineitem),
 p AS (SELECT channel, position // 100 AS line, position % 100 AS "column", floor(sqrt(r / 65535.0::DOUBLE) * 255 + 0.5)::BIGINT AS r, floor(sqrt(g / 65535.0::DOUBLE) * 255 + 0.5)::BIGINT AS g, floor(sqrt(b / 65535.0::DOUBLE) * 255 + 0.5)::BIGINT AS b FROM s)
-SELECT x.channel, x.line, x."column", x.r, y.g, z.b, (x.r * 299 + y.g * 587 + z.b * 114) // 1000 AS luminance
-FROM p x JOIN p y ON y.channel = x.channel AND y.line = x.line + 1 AND y."column" = x."column" JOIN p z ON z.channel = x.channel AND z.line = x.line + 2 AND z."column" = x."column" """
+SELECT channel, line, "column", r, g, b, (r * 299 + g * 587 + b * 114) // 1000 AS luminance
+FROM (SELECT channel, line, "column", r, lead(g, 100) OVER w AS g, lead(b, 200) OVER w AS b FROM (SELECT *, line * 100 + "column" AS at FROM p) WINDOW w AS (PARTITION BY channel ORDER BY at)) WHERE b IS NOT NULL"""
 )
 def i3_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    position = (F.row_number().over(Window.partitionBy("l_linenumber").orderBy(*b.LINE_ORDER)) - 1).cast("long")
-    rows = b.table(spark, sf_dir, "lineitem").select(position.alias("position"), F.col("l_linenumber").alias("channel"), (F.col("l_partkey") * 13 % 65536).alias("r"), (F.col("l_suppkey") * 101 % 65536).alias("g"), (F.col("l_orderkey") * 7 % 65536).alias("b"))
+    rows = b.row_numbers(b.table(spark, sf_dir, "lineitem"), ["l_linenumber"], b.LINE_ORDER, 1 << 14, "n")
+    rows = rows.select((F.col("n") - 1).alias("position"), F.col("l_linenumber").alias("channel"), (F.col("l_partkey") * 13 % 65536).alias("r"), (F.col("l_suppkey") * 101 % 65536).alias("g"), (F.col("l_orderkey") * 7 % 65536).alias("b"))
     return imaging.pixels(rows, ["channel"], 100, shifts=(0, 1, 2))
 
 
@@ -676,19 +700,19 @@ INDEX = """ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY w)
 
 @query(ROUTED + INDEX)
 def k1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.capture_index(sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS), KEYS, "u16le")
+    return sinks.capture_index(sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS, bucket_ns=WEEK), KEYS, "u16le", WEEK)
 
 
-@query(ROUTED + " SELECT user_id, name AS filename, hex(string_agg(chr(1), '')) IS NOT NULL AS held, string_agg(printf('%02X%02X', number & 255, (number >> 8) & 255), '' ORDER BY ts_ns, seq) AS data FROM rt GROUP BY user_id, w, name")
+@query(ROUTED + " SELECT user_id, name AS filename, string_agg(printf('%02X%02X', number & 255, (number >> 8) & 255), '' ORDER BY ts_ns, seq) AS data FROM rt GROUP BY user_id, w, name")
 def k1_file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS)
-    return sinks.file_chunks(rows, KEYS, sinks.word_bytes(rows, "u16le")).select("user_id", "filename", F.lit(True).alias("held"), F.hex("data").alias("data"))
+    rows = sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS, bucket_ns=WEEK)
+    return sinks.file_chunks(rows, KEYS, sinks.word_bytes(rows, "u16le")).select("user_id", "filename", F.hex("data").alias("data"))
 
 
-@query(ROUTED + ", n AS (SELECT *, row_number() OVER (PARTITION BY user_id, w ORDER BY ts_ns, seq) - 1 AS row_id FROM rt) SELECT user_id, name AS filename, row_id, row_id || ',' || ts_ns || ',' || printf('%04X', number) AS line FROM n")
+@query(ROUTED + ", n AS (SELECT *, row_number() OVER (PARTITION BY user_id, w ORDER BY ts_ns, seq) - 1 AS row_id FROM rt) SELECT user_id, name AS filename, row_id, row_id || ',' || ts_ns || ',' || printf('%04X', number) AS line FROM n UNION ALL SELECT user_id, name, -1, 'row,time,value' FROM n WHERE row_id = 0")
 def k2_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS)
-    return sinks.csv_lines(rows, KEYS, hexadecimal=True, digits=4).select("user_id", "filename", "row_id", "line")
+    rows = sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS, bucket_ns=WEEK)
+    return sinks.csv_lines(rows, KEYS, hexadecimal=True, digits=4, header="row,time,value", bucket_ns=WEEK).select("user_id", "filename", "row_id", "line")
 
 
 @query(ROUTED + " SELECT user_id, name AS filename, string_agg(kind, chr(10) ORDER BY ts_ns, seq) || chr(10) AS content FROM rt GROUP BY user_id, w, name")
@@ -724,10 +748,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words between a start and a stop match, gated by the latch they set, in files named by a counter."""
     own = b.words(spark, sf_dir)
     starts = b.occurrences(spark, sf_dir, "signup")
-    latch = events.sr_latch(starts, b.occurrences(spark, sf_dir, "error"), KEYS, t0=T0)
-    inside = events.event_gate(own.where(words.matches("eq", 0, 1)), latch, KEYS, bucket_ns=168 * HOUR)
-    names = text.text_formatter([events.event_counter(starts, KEYS, t0=T0)], KEYS, "capture_{0:03}.bin")
-    files = as_of(inside, names, KEYS, {"value": "filename"}, bucket_ns=168 * HOUR).where("filename is not null")
+    latch = events.sr_latch(starts, b.occurrences(spark, sf_dir, "error"), KEYS, t0=T0, bucket_ns=WEEK)
+    inside = events.event_gate(own.where(words.matches("eq", 0, 1)), latch, KEYS, bucket_ns=WEEK)
+    names = text.text_formatter([events.event_counter(starts, KEYS, t0=T0, bucket_ns=WEEK)], KEYS, "capture_{0:03}.bin")
+    files = as_of(inside, names, KEYS, {"value": "filename"}, bucket_ns=WEEK).where("filename is not null")
     return files.groupBy("user_id", "filename").agg(
         F.count(F.lit(1)).alias("n_words"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.sum("value").alias("total")
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import configparser
-import io
 import re
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -14,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.formats import step_of
+from ..operators.timeline import same_parts
 from ..schema import BLOCKS, CAPTURES, SEQ, TS, StreamError
 
 UNITS = {"GHz": 1e9, "MHz": 1e6, "KHz": 1e3, "kHz": 1e3, "Hz": 1.0}
@@ -45,26 +45,20 @@ def dsl_header(text: str) -> dict:
     }
 
 
-def read_dsl(capture: str, content: bytes) -> tuple[dict, Iterator[tuple]]:
-    """Metadata and the blocks of a .dsl file; entries ``L-{channel}/{block}`` hold packed samples."""
-    held = zipfile.ZipFile(io.BytesIO(content))
+def dsl_entries(held: zipfile.ZipFile) -> tuple[dict, list[tuple]]:
+    """Header fields and the entries (name, channel, block, start_pos, n) of a .dsl archive; ``L-{channel}/{block}`` hold packed samples."""
     head = dsl_header(held.read("header").decode())
     per_block = held.getinfo("L-0/0").file_size * 8 if head["total_blocks"] else 0
-    head |= {"capture_id": capture, "samples_per_block": per_block}
-    step = step_of(head["samplerate_hz"])
+    entries = []
+    for channel in range(head["total_probes"]):
+        for block in range(head["total_blocks"]):
+            name, start = f"L-{channel}/{block}", block * per_block
+            entries.append((name, channel, block, start, min(held.getinfo(name).file_size * 8, head["total_samples"] - start)))
+    return head | {"samples_per_block": per_block, "unit": 0}, entries
 
-    def rows() -> Iterator[tuple]:
-        for channel in range(head["total_probes"]):
-            for block in range(head["total_blocks"]):
-                data, start = held.read(f"L-{channel}/{block}"), block * per_block
-                yield capture, channel, block, start, min(len(data) * 8, head["total_samples"] - start), step, data
 
-    return head, rows()
-
-
-def read_sr(capture: str, content: bytes) -> tuple[dict, Iterator[tuple]]:
-    """Metadata and blocks of a .sr session (version 1 or 2): interleaved samples are turned into packed channels."""
-    held = zipfile.ZipFile(io.BytesIO(content))
+def sr_entries(held: zipfile.ZipFile) -> tuple[dict, list[tuple]]:
+    """The same of a .sr session (version 1 or 2), whose entries hold interleaved samples of all channels (channel -1)."""
     if held.read("version").decode().strip() not in ("1", "2"):
         raise StreamError("unknown session version")
     ini = configparser.ConfigParser()
@@ -81,54 +75,110 @@ def read_sr(capture: str, content: bytes) -> tuple[dict, Iterator[tuple]]:
     sizes = [held.getinfo(n).file_size for n in names]
     if any(s % unit for s in sizes):
         raise StreamError("a data entry is not a whole number of samples")
+    starts = np.cumsum([0, *sizes]) // unit
     head = {
-        "capture_id": capture, "total_probes": probes, "samplerate": device["samplerate"], "samplerate_hz": samplerate_hz(device["samplerate"]),
-        "total_samples": sum(sizes) // unit, "total_blocks": len(names), "samples_per_block": max(sizes, default=0) // unit,
-        "trigger_sample": int(device["trigger sample"]) if device.get("trigger sample") else None,
-        "probe_names": [device.get(f"probe{i + 1}") or f"Probe{i}" for i in range(probes)],
+        "total_probes": probes, "samplerate": device["samplerate"], "samplerate_hz": samplerate_hz(device["samplerate"]), "total_samples": sum(sizes) // unit,
+        "total_blocks": len(names), "samples_per_block": max(sizes, default=0) // unit, "trigger_sample": int(device["trigger sample"]) if device.get("trigger sample") else None,
+        "probe_names": [device.get(f"probe{i + 1}") or f"Probe{i}" for i in range(probes)], "unit": unit,
     }
-    step = step_of(head["samplerate_hz"])
+    return head, [(name, -1, block, int(starts[block]), size // unit) for block, (name, size) in enumerate(zip(names, sizes, strict=True))]
 
-    def rows() -> Iterator[tuple]:
-        start = 0
-        for block, name in enumerate(names):
-            samples = np.frombuffer(held.read(name), np.uint8).reshape(-1, unit)
-            for c in range(probes):
-                bits = samples[:, c // 8] >> (c % 8) & 1
-                yield capture, c, block, start, len(samples), step, np.packbits(bits, bitorder="little").tobytes()
-            start += len(samples)
 
-    return head, rows()
+ENTRIES = {"dsl": dsl_entries, "sr": sr_entries}
+ENTRY = "capture_id string, run int, name string, channel int, block long, start_pos long, n long, step_ns long, probes int, unit int"
+#: Entries of one archive that a task reads, and bytes of a batch of blocks that it hands on.
+RUN_ENTRIES = 64
+BATCH_BYTES = 8_000_000
+#: Level rows of a batch, at least, before it is handed on.
+RUN_ROWS = 100_000
 
 
-READERS = {"dsl": read_dsl, "sr": read_sr}
+def open_archive(uri: str) -> zipfile.ZipFile:
+    """An archive by its URI (local, HDFS or an object store); only what is asked for is read from it."""
+    from pyarrow import fs
 
+    store, path = fs.FileSystem.from_uri(uri)
+    return zipfile.ZipFile(pa.PythonFile(store.open_input_file(path), mode="r"))
 
-def capture_blocks(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """The blocks of capture files below a path that Spark can read, one task for each file."""
-    names = BLOCKS.fieldNames()
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("capture_id", pa.string()), ("channel", pa.int32()), ("block", pa.int64()), ("start_pos", pa.int64()), ("n", pa.int32()), ("step_ns", pa.int64()), ("data", pa.binary())])
+def _archives(spark: SparkSession, path: str) -> DataFrame:
+    """URIs of the files below a path; contents aren't read."""
+    return spark.read.format("binaryFile").load(path).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+
+
+def archive_entries(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """One row for each data entry of the capture files below a path, from the archives' directories alone."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("capture_id", pa.string()), ("run", pa.int32()), ("name", pa.string()), ("channel", pa.int32()), ("block", pa.int64()), ("start_pos", pa.int64()), ("n", pa.int64()), ("step_ns", pa.int64()), ("probes", pa.int32()), ("unit", pa.int32())])
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for row in READERS[kind](file, content)[1]:
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, schema.types, strict=True)], names=names)
+            for uri in batch.column(0).to_pylist():
+                with open_archive(uri) as held:
+                    head, entries = ENTRIES[kind](held)
+                fixed = (step_of(head["samplerate_hz"]), head["total_probes"], head["unit"])
+                rows = [(uri, i // RUN_ENTRIES, *x, *fixed) for i, x in enumerate(entries)]
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+
+    return _archives(spark, path).mapInArrow(read, ENTRY)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, BLOCKS)
+
+def capture_blocks(spark: SparkSession, path: str, kind: str, max_samples: int | None = None) -> DataFrame:
+    """The blocks of capture files below a path, ``kind`` dsl or sr.
+
+    Archives are listed first and their entries dealt in runs of RUN_ENTRIES, so that many tasks read one archive of any
+    size, each only its own entries; with ``max_samples`` entries that begin later are not read.
+    """
+    names = BLOCKS.fieldNames()
+    types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+    def blocks_of(held: zipfile.ZipFile, row: dict) -> Iterator[tuple]:
+        data = held.read(row["name"])
+        place = (row["block"], row["start_pos"], row["n"], row["step_ns"])
+        if row["channel"] >= 0:
+            yield row["capture_id"], row["channel"], *place, data
+            return
+        samples = np.frombuffer(data, np.uint8).reshape(-1, row["unit"])
+        for c in range(row["probes"]):
+            yield row["capture_id"], c, *place, np.packbits(samples[:, c // 8] >> (c % 8) & 1, bitorder="little").tobytes()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, rows, size = None, None, [], 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        for batch in batches:
+            for entry in batch.to_pylist():
+                if entry["capture_id"] != at:
+                    if held is not None:
+                        held.close()
+                    at, held = entry["capture_id"], open_archive(entry["capture_id"])
+                for row in blocks_of(held, entry):
+                    rows.append(row)
+                    size += len(row[-1])
+                    if size >= BATCH_BYTES:
+                        yield pack()
+                        rows, size = [], 0
+        if held is not None:
+            held.close()
+        if rows:
+            yield pack()
+
+    entries = archive_entries(spark, path, kind)
+    if max_samples is not None:
+        entries = entries.where(F.col("start_pos") < max_samples)
+    return entries.repartition("capture_id", "run").sortWithinPartitions("capture_id", "channel", "block").mapInArrow(read, BLOCKS)
 
 
 def captures(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """One metadata row for each capture file."""
+    """One metadata row for each capture file, from its header and directory."""
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = {"total_probes": pa.int32(), "samplerate": pa.string(), "capture_id": pa.string(), "samplerate_hz": pa.float64(), "probe_names": pa.list_(pa.string())}
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                head = READERS[kind](file, content)[0]
-                types = {"total_probes": pa.int32(), "samplerate": pa.string(), "capture_id": pa.string(), "samplerate_hz": pa.float64(), "probe_names": pa.list_(pa.string())}
+            for uri in batch.column(0).to_pylist():
+                with open_archive(uri) as held:
+                    head = ENTRIES[kind](held)[0] | {"capture_id": uri}
                 yield pa.RecordBatch.from_arrays([pa.array([head[n]], types.get(n, pa.int64())) for n in CAPTURES.fieldNames()], names=CAPTURES.fieldNames())
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, CAPTURES)
+    return _archives(spark, path).mapInArrow(read, CAPTURES)
 
 
 def capture_summary(captures: DataFrame) -> DataFrame:
@@ -165,14 +215,17 @@ def block_levels(blocks: DataFrame, keys: Sequence[str], max_samples: int | None
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(keys)
         for batch in batches:
+            begin, found = 0, []
+            starts, sizes, steps, lasts = (batch.column(k + j).to_pylist() for j in (0, 1, 2, 4))
             for i in range(batch.num_rows):
-                start, n, step, data, before = (batch.column(k + j)[i].as_py() for j in range(5))
-                bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[:n]
-                at = np.flatnonzero(np.diff(bits, prepend=bits[0] ^ 1 if before is None else before))
-                own = [batch.column(j).slice(i, 1).take(pa.array(np.zeros(len(at), np.int64))) for j in range(k)]
-                yield pa.RecordBatch.from_arrays(
-                    [*own, pa.array((start + at) * step), pa.array(start + at), pa.array(bits[at].astype(bool))], names=[*keys, TS, SEQ, "value"]
-                )
+                bits = np.unpackbits(np.frombuffer(batch.column(k + 3)[i].as_buffer(), np.uint8), bitorder="little")[: sizes[i]]
+                at = np.flatnonzero(np.diff(bits, prepend=bits[:1] ^ 1 if lasts[i] is None else lasts[i]))
+                found.append(((starts[i] + at) * steps[i], starts[i] + at, bits[at].astype(bool)))
+                if i == batch.num_rows - 1 or sum(len(x[0]) for x in found) >= RUN_ROWS:
+                    own = np.repeat(np.arange(begin, i + 1), [len(x[0]) for x in found])
+                    keyed = [batch.column(j).take(pa.array(own)) for j in range(k)]
+                    yield pa.RecordBatch.from_arrays([*keyed, *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], names=[*keys, TS, SEQ, "value"])
+                    begin, found = i + 1, []
 
     return held.mapInArrow(runs, schema)
 
@@ -191,6 +244,14 @@ def bus_at(blocks: DataFrame, keys: Sequence[str], position: int) -> DataFrame:
     return own.groupBy(*keys).agg(F.sum(bit * F.pow(F.lit(2.0), F.col("channel"))).cast("long").alias("value"))
 
 
+def bus_at_probes(blocks: DataFrame, probes: DataFrame, keys: Sequence[str], per_block: int) -> DataFrame:
+    """``probes(keys..., position)`` with the integer of all channels' bits there; blocks begin at multiples of ``per_block``."""
+    at = probes.select(*keys, "position", F.call_function("div", F.col("position"), F.lit(per_block)).alias("block"))
+    found = same_parts(blocks.select(*keys, "block", "channel", "start_pos", "data"), at, [*keys, "block"])
+    bit = bit_at(F.col("data"), F.col("position") - F.col("start_pos")).cast("int")
+    return found.groupBy(*keys, "position").agg(F.sum(bit * F.pow(F.lit(2.0), F.col("channel"))).cast("long").alias("value"))
+
+
 def sub_blocks(blocks: DataFrame, first: int, last: int) -> DataFrame:
     """Byte-aligned views of [first, last) of each block's positions."""
     if first % 8:

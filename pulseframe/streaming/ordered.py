@@ -1,8 +1,11 @@
 """Stateful stream operators: rows wait until the watermark passes them and are then applied in order.
 
-One mechanism serves all: keyed state holds the waiting rows and the operator's own state. Rows older than what
-was already applied are dropped, or moved to the last applied time (``late='clamp'``). A row with ``is_end``
-releases everything that waits, so that a bounded input ends as the batch operator does.
+One mechanism serves all (:func:`apply_ordered`): a stateful processor with event-time timers holds each key's waiting
+rows and the operator's own state. Each input has a watermark of its own (:func:`stream_rows`), and Spark applies the
+least of them, so that no row is applied while another input may still bring an earlier one. Rows older than what
+was already applied are dropped, or moved to the last applied time (``late='clamp'``). Timers release the rows of a key
+that gets none any more, and end keys that have been silent for ``idle``. A row with ``is_end`` releases everything that
+waits, so that a bounded input ends as the batch operator does.
 """
 
 from __future__ import annotations
@@ -13,54 +16,149 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..schema import SEQ, TS
 
 Step = Callable[[dict[str, Any], dict[str, Any]], list[dict[str, Any]]]
+Finish = Callable[[dict[str, Any]], list[dict[str, Any]]]
 
+#: Where a row's time is for watermarks; Spark's are in milliseconds.
+EVENT_TIME = "event_time"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Event time of a row that ends its input, beyond all others that pandas can hold.
+END = "2260-01-01 00:00:00"
 
-def apply_ordered(rows: DataFrame, keys: Sequence[str], step: Step, payload: str, delay_ns: int, late: str = "drop", finish: Callable[[dict], list[dict]] | None = None) -> DataFrame:
+
+class Ordered(StatefulProcessor):
+    """Applies a step to each key's rows in (ts_ns, side, seq) order, once the watermark has passed them."""
+
+    def __init__(self, keys: Sequence[str], columns: Sequence[str], step: Step, late: str, finish: Finish | None, idle_ms: int | None, inputs: int):
+        self.inputs = inputs
+        self.keys, self.columns, self.step, self.late, self.finish, self.idle_ms = list(keys), list(columns), step, late, finish, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "data binary")
+
+    def load(self) -> dict[str, Any]:
+        return pickle.loads(self.held.get()[0]) if self.held.exists() else {"waiting": [], "own": {}, "applied": None, "timer": None, "newest": None, "ends": 0}
+
+    def apply(self, key: tuple, rows: list[dict], state: dict) -> Iterator[pd.DataFrame]:
+        out = []
+        for row in rows:
+            state["applied"] = row[TS]
+            out += self.step(state["own"], row)
+        yield from self.frame(key, out)
+
+    def frame(self, key: tuple, out: list[dict]) -> Iterator[pd.DataFrame]:
+        if out:
+            yield pd.DataFrame([dict(zip(self.keys, key, strict=True)) | x for x in out], columns=self.columns)
+
+    def release(self, key: tuple, watermark_ms: int, state: dict, ended: bool) -> Iterator[pd.DataFrame]:
+        waiting = sorted(state["waiting"], key=lambda r: (r[TS], r["side"], r[SEQ]))
+        due = len(waiting) if ended else next((i for i, r in enumerate(waiting) if r[TS] // 1_000_000 >= watermark_ms), len(waiting))
+        state["waiting"] = waiting[due:]
+        yield from self.apply(key, waiting[:due], state)
+        if ended:
+            yield from self.end_key(key, state)
+            return
+        wanted = state["waiting"][0][TS] // 1_000_000 + 1 if state["waiting"] else None
+        if wanted is None and self.idle_ms is not None and state["newest"] is not None:
+            wanted = state["newest"] // 1_000_000 + self.idle_ms
+        self.set_timer(state, wanted)
+        self.held.update((pickle.dumps(state),))
+
+    def set_timer(self, state: dict, wanted: int | None) -> None:
+        if state["timer"] != wanted:
+            if state["timer"] is not None:
+                self.handle.deleteTimer(state["timer"])
+            if wanted is not None:
+                self.handle.registerTimer(wanted)
+            state["timer"] = wanted
+
+    def end_key(self, key: tuple, state: dict) -> Iterator[pd.DataFrame]:
+        """What is left when a key ends; its state goes."""
+        if self.finish is not None:
+            yield from self.frame(key, self.finish(state["own"]))
+        self.set_timer(state, None)
+        self.held.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = self.load()
+        for frame in rows:
+            for row in frame.to_dict("records"):
+                if row["is_end"]:
+                    state["ends"] += 1
+                    continue
+                if state["applied"] is not None and row[TS] < state["applied"]:
+                    if self.late == "drop":
+                        continue
+                    row[TS] = state["applied"]
+                state["newest"] = max(row[TS], state["newest"] or row[TS])
+                state["waiting"].append({k: v for k, v in row.items() if k not in self.keys and k != EVENT_TIME})
+        yield from self.release(key, timerValues.getCurrentWatermarkInMs(), state, state["ends"] >= self.inputs)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = self.load()
+        state["timer"] = None
+        watermark = timerValues.getCurrentWatermarkInMs()
+        silent = self.idle_ms is not None and state["newest"] is not None and state["newest"] // 1_000_000 + self.idle_ms <= watermark
+        yield from self.release(key, watermark, state, silent)
+
+
+def apply_ordered(rows: DataFrame, keys: Sequence[str], step: Step, payload: str, late: str = "drop", finish: Finish | None = None, idle_ms: int | None = None, inputs: int = 1) -> DataFrame:
     """Apply ``step(state, row) -> output rows`` to each key's rows in (ts_ns, side, seq) order.
 
-    ``rows`` has keys, ts_ns, seq, side, is_end and what the step reads; ``payload`` is the DDL of the outputs
-    beside the keys. A row waits until its key has seen a time ``delay_ns`` later. ``finish(state)`` gives what
-    is left when a key ends.
+    ``rows`` comes from :func:`stream_rows`, or the union of several; ``payload`` is the DDL of the outputs beside the
+    keys. A row waits until the watermark has passed it. ``finish(state)`` gives what is left when a key ends, by a row with
+    ``is_end`` of each of the ``inputs`` or after ``idle_ms`` without rows. The state store has to be RocksDB's, which is set where none is.
     """
+    spark = rows.sparkSession
+    if "RocksDB" not in spark.conf.get(STORE, ""):
+        spark.conf.set(STORE, ROCKS)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     ddl = ", ".join([*(f"{k} {kinds[k]}" for k in keys), payload])
     columns = [*keys, *(p.split()[0] for p in payload.split(", "))]
+    processor = Ordered(keys, columns, step, late, finish, idle_ms, inputs)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, ddl, "Append", "EventTime")
+
+
+def stream_rows(df: DataFrame, keys: Sequence[str], side: int | Column = 0, delay: str = "0 seconds", **columns: str) -> DataFrame:
+    """A stream in the form that :func:`apply_ordered` takes, with a watermark ``delay`` behind its latest time.
+
+    Where ``df`` has ``is_end``, such a row ends its key, and its input's watermark is beyond all times from then on.
+    """
+    ends = F.coalesce("is_end", F.lit(False)) if "is_end" in df.columns else F.lit(False)
+    at = F.when(ends, F.to_timestamp(F.lit(END))).otherwise(F.timestamp_micros(F.call_function("div", F.col(TS), F.lit(1000))))
+    number = side if isinstance(side, Column) else F.lit(side)
+    own = df.select(*keys, TS, SEQ, number.alias("side"), ends.alias("is_end"), at.alias(EVENT_TIME), *(F.col(b).alias(a) for a, b in columns.items()))
+    return own.withWatermark(EVENT_TIME, delay)
+
+
+def together(inputs: Sequence[DataFrame]) -> DataFrame:
+    """Several inputs as one; the least of their watermarks counts."""
+    out = inputs[0]
+    for other in inputs[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out
+
+
+def followed_blocks(spark: Any, folder: str, schema: Any, files_per_batch: int = 16) -> DataFrame:
+    """The block files of a growing capture as a stream: committed files of a folder, each taken once.
+
+    Feed it to :func:`stream_rows` with ``block_rows`` and :func:`block_step`; a row's offset is its ``seq``, the raw position.
+    """
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(folder)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, own, applied, newest = pickle.loads(held.get[0]) if held.exists else ([], {}, None, None)
-        ended = False
-        for frame in frames:
-            for row in frame.to_dict("records"):
-                if row["is_end"]:
-                    ended = True
-                    continue
-                if applied is not None and row[TS] < applied:
-                    if late == "drop":
-                        continue
-                    row[TS] = applied
-                newest = row[TS] if newest is None else max(newest, row[TS])
-                waiting.append(row)
-        waiting.sort(key=lambda r: (r[TS], r["side"], r[SEQ]))
-        out = []
-        cut = len(waiting) if ended else sum(r[TS] <= newest - delay_ns for r in waiting) if newest is not None else 0
-        for row in waiting[:cut]:
-            applied = row[TS]
-            out += [dict(zip(keys, key, strict=True)) | x for x in step(own, row)]
-        if ended and finish is not None:
-            out += [dict(zip(keys, key, strict=True)) | x for x in finish(own)]
-        held.update((pickle.dumps((waiting[cut:], own, applied, newest)),))
-        if out:
-            yield pd.DataFrame(out, columns=columns)
 
-    grouped = rows.groupBy(*keys)
-    return grouped.applyInPandasWithState(run, ddl, "held binary", "append", GroupStateTimeout.NoTimeout)
+def block_rows(blocks: DataFrame, keys: Sequence[str], delay: str = "0 seconds") -> DataFrame:
+    """Packed blocks as rows at the time of their first position."""
+    placed = blocks.withColumns({TS: F.col("start_pos") * F.col("step_ns"), SEQ: F.col("start_pos")})
+    return stream_rows(placed, keys, 0, delay, start_pos="start_pos", n="n", step_ns="step_ns", data="data")
 
 
 def latch_step(state: dict, row: dict) -> list[dict]:
@@ -92,6 +190,24 @@ def gate_step(active_high: bool = True) -> Step:
     return gate
 
 
+def logic_step(inputs: int, operation: str) -> Step:
+    """Levels of several inputs (side: the input, ``level``) to changes of their combination; all start low."""
+
+    def combined(values: list[bool]) -> bool:
+        high = sum(values)
+        plain = {"NOT": high == 0, "AND": high == len(values), "OR": high > 0, "XOR": high % 2 == 1, "NAND": high < len(values), "NOR": high == 0, "XNOR": high % 2 == 0}
+        return plain[operation]
+
+    def logic(state: dict, row: dict) -> list[dict]:
+        values = state.setdefault("values", [False] * inputs)
+        before = combined(values)
+        values[row["side"]] = bool(row["level"])
+        now = combined(values)
+        return [{TS: row[TS], SEQ: row[SEQ], "value": now}] if now != before else []
+
+    return logic
+
+
 def holdoff_step(delay_ns: int = 0, holdoff_ns: int = 0, manual: bool = False) -> Step:
     """Rearms (side 0) and events (side 1): events thinned by hold-off and arm."""
 
@@ -107,6 +223,62 @@ def holdoff_step(delay_ns: int = 0, holdoff_ns: int = 0, manual: bool = False) -
     return control
 
 
+def match_step(every: int = 1, holdoff_ns: int = 0, at: str = "end", manual: bool = False) -> Step:
+    """Rearms (side 0) and matching words (side 1: ``duration_ns``, ``value``): the words that count, by the rules of ``match_words``."""
+
+    def match(state: dict, row: dict) -> list[dict]:
+        if row["side"] == 0:
+            state["armed"], state["count"] = True, 0
+            return []
+        t = row[TS] + (row["duration_ns"] if at == "end" else 0)
+        if not state.get("armed", True) or t < state.get("allowed", t):
+            return []
+        state["count"] = state.get("count", 0) + 1
+        if state["count"] < every:
+            return []
+        state.update(count=0, allowed=t + holdoff_ns, armed=not manual)
+        return [{TS: row[TS], SEQ: row[SEQ], "value": row["value"], "match_ns": t}]
+
+    return match
+
+
+def text_step(inputs: int, text: Callable[[list[int]], str]) -> Step:
+    """Number levels of several inputs (side: the input, ``value``) to changes of their text; all start at 0."""
+
+    def show(state: dict, row: dict) -> list[dict]:
+        values = state.setdefault("values", [0] * inputs)
+        values[row["side"]] = row["value"]
+        now = text(values)
+        if inputs > 1 and state.get("text") == now:
+            return []
+        state["text"] = now
+        return [{TS: row[TS], SEQ: row[SEQ], "value": now}]
+
+    return show
+
+
+def route_step(state: dict, row: dict) -> list[dict]:
+    """File names (side 0, ``name``) and words (side 1, ``value``): words with the file in force; those before the first name are left out.
+
+    A word waits until the names' watermark has passed it, so that no name at or before it can still come.
+    """
+    if row["side"] == 0:
+        state["name"], state["window"] = row["name"], state.get("window", 0) + 1
+        return []
+    return [{TS: row[TS], SEQ: row[SEQ], "value": row["value"], "filename": state["name"], "window": state["window"]}] if "name" in state else []
+
+
+def numbered_route_step(front: str) -> Step:
+    """As :func:`route_step` with names that count up: ``front`` and the number of the name row (side 0)."""
+
+    def route(state: dict, row: dict) -> list[dict]:
+        if row["side"] == 0:
+            return route_step(state, row | {"name": f"{front}{state.get('window', 0) + 1}"})
+        return route_step(state, row)
+
+    return route
+
+
 def edge_step(mode: str = "both", debounce_ns: int = 0, min_pulse_ns: int = 0) -> Step:
     """Rows with ``level`` to edge events."""
 
@@ -138,7 +310,7 @@ def block_step(state: dict, row: dict) -> list[dict]:
     return [{TS: int(start + i) * step, SEQ: int(start + i), "value": bool(bits[i])} for i in at]
 
 
-def framer_step(fixed: int | None = None, max_gap_ns: int | None = None, max_words: int = 4096) -> tuple[Step, Callable[[dict], list[dict]]]:
+def framer_step(fixed: int | None = None, max_gap_ns: int | None = None, max_words: int = 4096) -> tuple[Step, Finish]:
     """Boundaries (side 0) and words (side 1: ``duration_ns``, ``value``) to packets, and what a key's end leaves."""
 
     def close(state: dict) -> list[dict]:
@@ -156,12 +328,6 @@ def framer_step(fixed: int | None = None, max_gap_ns: int | None = None, max_wor
     return frame, close
 
 
-def stream_rows(df: DataFrame, keys: Sequence[str], side: int = 0, **columns: str) -> DataFrame:
-    """A stream in the form that :func:`apply_ordered` takes."""
-    ends = F.col("is_end") if "is_end" in df.columns else F.lit(False)
-    return df.select(*keys, TS, SEQ, F.lit(side).alias("side"), ends.alias("is_end"), *(F.col(b).alias(a) for a, b in columns.items()))
-
-
 def gap_sessions(words: DataFrame, keys: Sequence[str], gap: str, watermark: str, time: str = "ts") -> DataFrame:
     """Packets by pauses alone, with Spark's session windows: start, end, n_words."""
     windows = words.withWatermark(time, watermark).groupBy(*keys, F.session_window(time, gap).alias("w"))

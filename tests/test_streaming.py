@@ -1,95 +1,163 @@
-"""Streams over files, run until they end, give what the batch operators give."""
+"""Streams over files, run until they end, give what the batch operators give; so does every step alone."""
 
 from __future__ import annotations
 
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from pulseframe.operators import events, levels
+from pulseframe.operators import decode, events, levels, text, words
+from pulseframe.streaming import decoders as d
 from pulseframe.streaming import ordered as o
 
-SCHEMA = "k int, ts_ns long, seq long, kind string, level boolean, is_end boolean"
+MS = 1_000_000
+SCHEMA = "k int, ts_ns long, seq long, level boolean, is_end boolean"
 
 
-@pytest.fixture(scope="module")
-def rows():
-    random.seed(5)
-    times = sorted(random.sample(range(10_000), 80))
-    return [(i % 3, t, i, random.choice("ab"), random.random() < 0.5, False) for i, t in enumerate(times)]
+def level_rows(n=90, seed=5, step=MS):
+    rng = random.Random(seed)
+    times = sorted(rng.sample(range(10_000), n))
+    return [(i % 3, t * step, i, rng.random() < 0.5, False) for i, t in enumerate(times)]
 
 
-def run_stream(spark, tmp_path, rows, build, ended=True):
-    for i in range(0, len(rows), 20):
-        part = list(rows[i : i + 20])
+def run_stream(spark, folder, rows, build, ended=True):
+    for i in range(0, len(rows), 30):
+        part = list(rows[i : i + 30])
         random.Random(i).shuffle(part)
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/{i:04}")
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{folder}/in/{i:04}")
     if ended:
-        spark.createDataFrame([(k, 0, 0, "", False, True) for k in range(3)], SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in/9999")
-    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    name = f"q{abs(hash(str(tmp_path)))}"
-    query = build(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        spark.createDataFrame([(k, 0, 0, False, True) for k in range(3)], SCHEMA).coalesce(1).write.parquet(f"{folder}/in/9999")
+    source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    name = f"q{abs(hash(str(folder)))}"
+    query = build(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
     query.awaitTermination(300)
     return spark.table(name)
 
 
 def plain(df, *columns):
-    return sorted(tuple(r[c] for c in columns) for r in df.collect())
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str)
 
 
-def sided(df):
-    from pyspark.sql import functions as F
+def test_latch_stream_equals_batch(spark, tmp_path):
+    rows = level_rows()
+    side = F.when(F.col("seq") % 2 == 0, 0).otherwise(1)
+    build = lambda s: o.apply_ordered(o.stream_rows(s, ["k"], side, "2 seconds"), ["k"], o.latch_step, "ts_ns long, seq long, value boolean")
+    table = spark.createDataFrame(rows, SCHEMA)
+    batch = events.sr_latch(table.where("seq % 2 = 0"), table.where("seq % 2 = 1"), ["k"]).where("seq >= 0")
+    assert plain(run_stream(spark, tmp_path, rows, build), "k", "ts_ns", "value") == plain(batch, "k", "ts_ns", "value")
 
-    own = o.stream_rows(df, ["k"], level="level")
-    return own.withColumn("side", F.when(F.col("seq") % 2 == 0, 0).otherwise(1)).where("seq >= 0")
 
+def test_timers_release_and_end_silent_keys(spark, tmp_path):
+    """Key 0 stops early: the watermark of the others releases its rows and, after the idle time, ends it."""
+    rows = [(0, 10 * MS, 0, True, False), (0, 20 * MS, 1, True, False)] + [(1, t * 1000 * MS, t, True, False) for t in range(1, 60)]
+    step, finish = o.framer_step(fixed=100)
 
-def test_latch_stream_equals_batch(spark, tmp_path, rows):
-    found = run_stream(spark, tmp_path, rows, lambda s: o.apply_ordered(sided(s), ["k"], o.latch_step, "ts_ns long, seq long, value boolean", 3000))
-    table = spark.createDataFrame(rows, SCHEMA)
-    batch = events.sr_latch(table.where("seq % 2 = 0"), table.where("seq % 2 = 1"), ["k"]).where("seq >= 0")
-    assert plain(found, "k", "ts_ns", "value") == plain(batch, "k", "ts_ns", "value")
+    def build(source):
+        own = source.withColumns({"duration_ns": F.lit(10).cast("long"), "value": F.col("seq")})
+        return o.apply_ordered(o.stream_rows(own, ["k"], 1, duration_ns="duration_ns", value="value"), ["k"], step, "start_ns long, end_ns long, n_words long, values array<long>", finish=finish, idle_ms=5000)
 
+    found = run_stream(spark, tmp_path, rows, build, ended=False)
+    assert [(r["k"], r["n_words"], r["values"]) for r in found.collect()] == [(0, 2, [0, 1])]
 
-def test_edges_stream_equals_batch(spark, tmp_path, rows):
-    step = o.edge_step("both", debounce_ns=700, min_pulse_ns=50)
-    found = run_stream(spark, tmp_path, rows, lambda s: o.apply_ordered(o.stream_rows(s, ["k"], level="level"), ["k"], step, "ts_ns long, seq long", 3000))
-    batch = levels.edges(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("level", "value"), ["k"], "both", 700, 50)
-    assert plain(found, "k", "ts_ns", "seq") == plain(batch, "k", "ts_ns", "seq")
 
+def drive(step, rows, finish=None):
+    """A step over rows in the order that the processor applies them in."""
+    state, out = {}, []
+    for row in sorted(rows, key=lambda r: (r["ts_ns"], r["side"], r["seq"])):
+        out += step(state, row)
+    return out + (finish(state) if finish else [])
 
-def test_late_rows():
-    """A step sees rows in order; what is older than the applied time is dropped or moved."""
-    state = {}
-    gate = o.gate_step()
-    assert gate(state, {"side": 1, "ts_ns": 1, "seq": 0}) == []
-    gate(state, {"side": 0, "ts_ns": 2, "seq": 0, "level": True})
-    assert gate(state, {"side": 1, "ts_ns": 2, "seq": 1}) == [{"ts_ns": 2, "seq": 1}]
-    control = o.holdoff_step(delay_ns=5, holdoff_ns=10)
-    state = {}
-    assert [x["ts_ns"] for t in (10, 15, 30) for x in control(state, {"side": 1, "ts_ns": t, "seq": t})] == [15, 35]
-    count = o.counter_step(3, 2)
-    state = {}
-    assert [count(state, {"ts_ns": t, "seq": t})[0]["value"] for t in (1, 2)] == [5, 7]
 
+def sides(*inputs, name="level"):
+    return [{"ts_ns": t, "seq": s, "side": side, name: v} for side, rows in enumerate(inputs) for t, s, v in rows]
 
-def test_framer_stream_equals_batch(spark, tmp_path, rows):
-    from pyspark.sql import functions as F
 
-    from pulseframe.operators import words
+@pytest.fixture
+def lines(spark):
+    """Random level lines, as step rows and as tables of one key."""
 
-    step, finish = o.framer_step(fixed=4, max_gap_ns=400)
+    def make(n, rows=60, seed=1, top=2000):
+        rng = random.Random(seed)
+        every = [[(t, i * 1000 + j, rng.random() < 0.5) for j, t in enumerate(sorted(rng.sample(range(top), rows)))] for i in range(n)]
+        return every, [spark.createDataFrame([(1, *r) for r in x], "k int, ts_ns long, seq long, value boolean") for x in every]
 
-    def build(source):
-        own = source.withColumns({"duration_ns": F.lit(10), "value": F.col("seq")})
-        return o.apply_ordered(
-            o.stream_rows(own, ["k"], side=1, duration_ns="duration_ns", value="value"), ["k"], step, "start_ns long, end_ns long, n_words long, values array<long>", 3000, finish=finish
-        )
-
-    found = run_stream(spark, tmp_path, rows, build)
-    table = spark.createDataFrame(rows, SCHEMA).withColumns({"duration_ns": F.lit(10).cast("long"), "value": F.col("seq")})
-    batch = words.frame_packets(table, ["k"], fixed=4, max_gap_ns=400).withColumn("values", F.transform("words", lambda w: w["value"]))
-    assert plain(found, "k", "start_ns", "end_ns", "n_words", "values") == plain(batch, "k", "start_ns", "end_ns", "n_words", "values")
+    return make
+
+
+def same(out, batch, *columns):
+    assert sorted((tuple(x[c] for c in columns) for x in out), key=str) == plain(batch, *columns) and out
+
+
+@pytest.mark.parametrize("operation", ["AND", "NOR", "XOR"])
+def test_logic(lines, operation):
+    own, tables = lines(3)
+    batch = levels.logic_gate(tables, ["k"], operation).where("seq >= 0")
+    same(drive(o.logic_step(3, operation), sides(*own)), batch, "ts_ns", "value")
+
+
+def test_edges_gate_and_control(spark, lines):
+    own, tables = lines(2)
+    same(drive(o.edge_step("both", 70, 5), sides(own[0])), levels.edges(tables[0], ["k"], "both", 70, 5), "ts_ns", "seq")
+    same(drive(o.gate_step(), sides(*own)), events.event_gate(tables[1], tables[0], ["k"]), "ts_ns", "seq")
+    batch = events.event_control(tables[1], ["k"], 3, 90, tables[0])
+    same(drive(o.holdoff_step(3, 90, True), sides(*own)), batch, "ts_ns", "seq")
+    batch = events.event_counter(tables[0], ["k"], 3, 2).where("seq >= 0")
+    same(drive(o.counter_step(3, 2), sides(own[0])), batch, "ts_ns", "value")
+
+
+@pytest.mark.parametrize("manual", [False, True])
+def test_matches(spark, manual):
+    rng = random.Random(3)
+    found = [(t, i, rng.randrange(1, 40)) for i, t in enumerate(sorted(rng.sample(range(3000), 200)))]
+    rearms = [(t, 1000 + i, 0) for i, t in enumerate(sorted(rng.sample(range(3000), 30)))]
+    table = spark.createDataFrame([(1, t, s, n, n) for t, s, n in found], "k int, ts_ns long, seq long, duration_ns long, value long")
+    arms = spark.createDataFrame([(1, t, s) for t, s, _ in rearms], "k int, ts_ns long, seq long")
+    rows = [{"ts_ns": t, "seq": s, "side": 1, "duration_ns": n, "value": n} for t, s, n in found] + (sides([(t, s, 0) for t, s, _ in rearms]) if manual else [])
+    batch = words.match_words(table, ["k"], F.lit(True), every=2, holdoff_ns=50, rearms=arms if manual else None)
+    same(drive(o.match_step(2, 50, "end", manual), rows), batch, "ts_ns", "seq", "match_ns")
+
+
+def test_texts(spark):
+    rows = [[(t, i * 100 + t, t % 4) for t in range(i, 60, 7)] for i in range(2)]
+    tables = [spark.createDataFrame([(1, *r) for r in x], "k int, ts_ns long, seq long, value long") for x in rows]
+    same(drive(o.text_step(2, lambda v: f"{v[0]}-{v[1]:02}"), sides(*rows, name="value")), text.text_formatter(tables, ["k"], "{0}-{1:02}"), "ts_ns", "value")
+
+
+def test_framer(spark):
+    rng = random.Random(4)
+    rows = [(t, i, i) for i, t in enumerate(sorted(rng.sample(range(4000), 90)))]
+    step, finish = o.framer_step(fixed=4, max_gap_ns=100)
+    out = drive(step, [{"ts_ns": t, "seq": s, "side": 1, "duration_ns": 10, "value": v} for t, s, v in rows], finish)
+    table = spark.createDataFrame([(1, t, s, 10, v) for t, s, v in rows], "k int, ts_ns long, seq long, duration_ns long, value long")
+    batch = words.frame_packets(table, ["k"], fixed=4, max_gap_ns=100).withColumn("values", F.transform("words", lambda w: w["value"]))
+    same(out, batch, "start_ns", "end_ns", "n_words", "values")
+
+
+def test_serial_decoders(lines):
+    own, tables = lines(4, rows=150, seed=9)
+    for settings in ({}, {"parity": "even", "msb_first": True}, {"inverted": True, "stop_bits": 2}):
+        step, finish = d.uart_step(1e8, **settings)
+        same(drive(step, sides(own[0]), finish), decode.uart(tables[0], ["k"], 1e8, **settings), "ts_ns", "duration_ns", "value", "framing_error", "parity_error")
+    for settings in ({}, {"mode": 1, "msb_first": False, "cs_active": "high"}, {"cs_active": "disabled"}):
+        out = drive(d.spi_step(["mosi", "miso"], bits=3, **settings), sides(*own))
+        same(out, decode.spi(tables[0], tables[1], {"mosi": tables[2], "miso": tables[3]}, ["k"], bits=3, **settings), "line", "ts_ns", "seq", "duration_ns", "value", "window_ns")
+    step, finish = d.i2c_step()
+    same(drive(step, sides(own[0], own[1]), finish), decode.i2c(tables[0], tables[1], ["k"]), "ts_ns", "end_ns", "kind", "value", "acked")
+
+
+def test_parallel_decoder(lines):
+    own, tables = lines(4, rows=120, seed=11)
+    rows = sides(own[0], own[1]) + [x | {"side": 2} for x in sides(own[2])] + [x | {"side": 4} for x in sides(own[3])]
+    for settings in ({}, {"mode": "any", "little_endian": False}, {"mode": "falling"}):
+        out = drive(d.parallel_step(2, cycles=2, enable_high=True, **settings), rows)
+        same(out, decode.parallel_bus(tables[3], tables[:2], ["k"], cycles=2, enable=tables[2], **settings), "ts_ns", "duration_ns", "value")
+
+
+def test_late_rows_and_routes():
+    route = o.numbered_route_step("f")
+    rows = sides([(5, 0, 0), (9, 1, 0)], [(4, 2, 7), (5, 3, 8), (9, 4, 9)], name="value")
+    assert [(x["value"], x["filename"]) for x in drive(route, rows)] == [(8, "f1"), (9, "f2")]
 
 
 def test_blocks_follow_each_other():

@@ -212,13 +212,57 @@ def test_capture_files(spark, tmp_path):
 
 def test_session_round_trip(spark, tmp_path):
     meta = "[device 1]\ncapturefile = logic-1\ntotal probes = 3\nsamplerate = 1 MHz\nunitsize = 1\nprobe1 = a\n"
-    (tmp_path / "x.sr").write_bytes(sinks.sr_bytes(meta, [bytes([1, 2, 4, 7]), bytes([0, 5])]))
-    rows = blocks.capture_blocks(spark, str(tmp_path / "*.sr"), "sr")
+    with zipfile.ZipFile(tmp_path / "x.sr", "w") as z:
+        for name, data in (("version", b"2"), ("metadata", meta), ("logic-1-2", bytes([0, 5])), ("logic-1-1", bytes([1, 2, 4, 7]))):
+            z.writestr(name, data)
+    rows = blocks.capture_blocks(spark, str(tmp_path / "x.sr"), "sr")
     mixed = sinks.interleave(rows, ["capture_id"], 3).orderBy("start_pos").collect()
     assert [bytes(r["data"]) for r in mixed] == [bytes([1, 2, 4, 7]), bytes([0, 5])]
+    size = sinks.export_session(rows, f"file://{tmp_path}/y.sr", ["a", "b", "c"], 1_000_000, 3)
+    assert size == (tmp_path / "y.sr").stat().st_size
+    with zipfile.ZipFile(tmp_path / "y.sr") as z:
+        assert z.testzip() is None and z.namelist() == ["version", "metadata", "logic-1-1", "logic-1-2"]
+        assert z.read("logic-1-1") == bytes([1, 2, 4, 7]) and z.read("version") == b"2"
+    again = blocks.capture_blocks(spark, str(tmp_path / "y.sr"), "sr")
+    plain = lambda df: sorted((r["channel"], r["start_pos"], r["n"], bytes(r["data"])) for r in df.collect())
+    assert plain(again) == plain(rows)
+    head = blocks.captures(spark, str(tmp_path / "y.sr"), "sr").first()
+    assert (head["trigger_sample"], head["samplerate_hz"], head["probe_names"], head["total_samples"]) == (3, 1e6, ["a", "b", "c"], 6)
+
+
+def test_sessions_that_are_not_whole(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame([(c, s, n, bytearray(b"x" * 9)) for c, s, n in rows], "channel int, start_pos long, n int, data binary")
+    whole = [(0, 0, 8), (1, 0, 8), (0, 8, 4), (1, 8, 4)]
+    assert sinks.check_capture(make(whole), 2) == 12
+    for rows, channels, trigger in (([], 2, None), (whole[:3], 2, None), (whole, 3, None), ([(0, 0, 8), (1, 0, 7)], 2, None), ([(0, 8, 4), (1, 8, 4)], 2, None), (whole, 2, 12)):
+        with pytest.raises(StreamError):
+            sinks.check_capture(make(rows), channels, trigger)
     with pytest.raises(StreamError):
-        sinks.sr_bytes(meta, [])
-    assert zipfile.ZipFile(io.BytesIO(sinks.sr_bytes(meta, [b"a"]))).read("version") == b"2"
+        sinks.session_metadata(["a", "b\n"], 1)
+
+
+def test_many_entries_close_an_archive():
+    entry, record = sinks.zip_entry("logic-1-1", b"abc" * 50)
+    for offset in (0, 5_000_000_000):
+        central = sinks.central_record(record, 0) * 70_000
+        end = sinks.directory_end(70_000, len(central), len(entry))
+        assert len(zipfile.ZipFile(io.BytesIO(entry + central + end)).infolist()) == 70_000
+        assert len(sinks.central_record(record, offset)) == len(record) + 4 + (12 if offset else 0)
+
+
+def test_an_archive_beyond_two_gigabytes(spark, tmp_path):
+    """Archives are read by entries: a file of 3 GB (a hole before the archive) is no binary value."""
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("header", "total probes = 1\nsamplerate = 1 GHz\ntotal samples = 4000\ntotal blocks = 500\n")
+        for i in range(500):
+            z.writestr(f"L-0/{i}", bytes([i % 256]))
+    with open(tmp_path / "big.dsl", "wb") as f:
+        f.seek(3_000_000_000)
+        f.write(held.getvalue())
+    rows = blocks.capture_blocks(spark, str(tmp_path / "big.dsl"), "dsl")
+    assert sorted((r["block"], r["data"][0]) for r in rows.collect()) == [(i, i % 256) for i in range(500)]
+    assert blocks.capture_blocks(spark, str(tmp_path / "big.dsl"), "dsl", max_samples=80).count() == 10
 
 
 def test_files(spark, word_table, stream, tmp_path):
