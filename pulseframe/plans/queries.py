@@ -684,7 +684,7 @@ def i2_best_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """+ s AS (SELECT row_number() OVER (PARTITION BY l_linenumber ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 AS position, l_linenumber AS channel, (l_partkey * 13) % 65536 AS r, (l_suppkey * 101) % 65536 AS g, (l_orderkey * 7) % 65536 AS b FROM lineitem),
 p AS (SELECT channel, position // 100 AS line, position % 100 AS "column", floor(sqrt(r / 65535.0::DOUBLE) * 255 + 0.5)::BIGINT AS r, floor(sqrt(g / 65535.0::DOUBLE) * 255 + 0.5)::BIGINT AS g, floor(sqrt(b / 65535.0::DOUBLE) * 255 + 0.5)::BIGINT AS b FROM s)
 SELECT channel, line, "column", r, g, b, (r * 299 + g * 587 + b * 114) // 1000 AS luminance
-FROM (SELECT channel, line, "column", r, lead(g, 100) OVER w AS g, lead(b, 200) OVER w AS b FROM (SELECT *, line * 100 + "column" AS at FROM p) WINDOW w AS (PARTITION BY channel ORDER BY at)) WHERE b IS NOT NULL"""
+FROM (SELECT channel, line, "column", r, lead(g, 100) OVER w AS g, lead(b, 200) OVER w AS b FROM (SELECT *, line * 100 + "column" AS place FROM p) WINDOW w AS (PARTITION BY channel ORDER BY place)) WHERE b IS NOT NULL"""
 )
 def i3_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b.row_numbers(b.table(spark, sf_dir, "lineitem"), ["l_linenumber"], b.LINE_ORDER, 1 << 14, "n")
