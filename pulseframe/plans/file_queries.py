@@ -147,7 +147,7 @@ def g4_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(THREE + " SELECT user_id, min(ts_ns) AS trigger_ns FROM v WHERE (NOT pa AND a) IS TRUE AND NOT c GROUP BY user_id")
 def g5_simple_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first rise of channel 0 while channel 2 is low; channel 1 is ignored."""
-    return trigger.find_trigger(three_channels(spark, sf_dir), KEYS, trigger.Program.simple({0: "rising", 1: "ignore", 2: "low"}), 3, WEEK)
+    return trigger.find_trigger(three_channels(spark, sf_dir), KEYS, trigger.Program.simple({0: "rising", 1: "ignore", 2: "low"}), 3)
 
 
 @query(

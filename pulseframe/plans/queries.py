@@ -83,7 +83,7 @@ def l3_next_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     recursive=True,
 )
 def l4_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return levels.edges(b.level(spark, sf_dir), KEYS, "rising", debounce_ns=24 * HOUR, min_pulse_ns=HOUR, bucket_ns=WEEK)
+    return levels.edges(b.level(spark, sf_dir), KEYS, "rising", debounce_ns=24 * HOUR, min_pulse_ns=HOUR)
 
 
 @query(
@@ -103,7 +103,7 @@ UNION ALL SELECT DISTINCT user_id, {T0}, -1, false FROM ev"""
 )
 def l5_logic_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = [b.level(spark, sf_dir, 20.0), b.level(spark, sf_dir), b.kind_level(spark, sf_dir, "view")]
-    return levels.logic_gate(inputs, KEYS, "XOR", t0=T0, bucket_ns=WEEK)
+    return levels.logic_gate(inputs, KEYS, "XOR", t0=T0)
 
 
 @query(
@@ -357,7 +357,7 @@ FROM k GROUP BY user_id, seg, chunk"""
 @query(FRAMES)
 def w7_packet_framer(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = words.frame_packets(
-        b.words(spark, sf_dir), KEYS, fixed=4, delimiter=F.col("value") % 16 == 0, max_gap_ns=6 * HOUR, boundaries=b.occurrences(spark, sf_dir, "error"), gate=b.level(spark, sf_dir), bucket_ns=WEEK
+        b.words(spark, sf_dir), KEYS, fixed=4, delimiter=F.col("value") % 16 == 0, max_gap_ns=6 * HOUR, boundaries=b.occurrences(spark, sf_dir, "error"), gate=b.level(spark, sf_dir)
     )
     return packets.select("user_id", "start_ns", "end_ns", "n_words", F.array_join(F.transform("words", lambda x: x["value"].cast("string")), ",").alias("word_values"))
 
@@ -413,7 +413,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id, seg, chunk ORDER BY ts_
 )
 def x4_packet_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     packets = words.frame_packets(
-        b.words(spark, sf_dir), KEYS, fixed=4, delimiter=F.col("value") % 16 == 0, max_gap_ns=6 * HOUR, boundaries=b.occurrences(spark, sf_dir, "error"), gate=b.level(spark, sf_dir), bucket_ns=WEEK
+        b.words(spark, sf_dir), KEYS, fixed=4, delimiter=F.col("value") % 16 == 0, max_gap_ns=6 * HOUR, boundaries=b.occurrences(spark, sf_dir, "error"), gate=b.level(spark, sf_dir)
     )
     return packets.select("user_id", "start_ns", formats.word_list_label(F.transform("words", lambda x: x["value"]), 2).alias("label"))
 
@@ -537,7 +537,7 @@ grid AS (SELECT user_id, any_value(kind) AS kind, {W0} + min(cell) * {W1 - W0} /
 @query(grid_sql(28) + " SELECT * FROM grid")
 def q2_sampled_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of cells of half a day."""
-    return retrieval.sampled_grid(b.level(spark, sf_dir), KEYS, W0, W1, 28, WEEK)
+    return retrieval.sampled_grid(b.level(spark, sf_dir), KEYS, W0, W1, 28)
 
 
 @query(
@@ -581,7 +581,7 @@ UNION ALL SELECT grid.* FROM grid JOIN few USING (user_id) WHERE NOT few"""
 )
 def q5_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes where a user has at most 24, else pieces of 24 cells."""
-    return retrieval.lane_snapshot(b.level(spark, sf_dir), KEYS, W0, W1, 24, WEEK)
+    return retrieval.lane_snapshot(b.level(spark, sf_dir), KEYS, W0, W1, 24)
 
 
 @query(
@@ -616,7 +616,7 @@ THREE = """+ v AS (SELECT user_id, ts_ns, amount > 20 AS a, amount > 35 AS b, ki
 
 
 def three_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trigger.channel_rows([b.level(spark, sf_dir, 20.0), b.level(spark, sf_dir), b.kind_level(spark, sf_dir, "view")], KEYS, WEEK)
+    return trigger.channel_rows([b.level(spark, sf_dir, 20.0), b.level(spark, sf_dir), b.kind_level(spark, sf_dir, "view")], KEYS)
 
 
 @query(THREE + " SELECT user_id, ts_ns, coalesce(NOT pa AND a, false) OR (pb AND NOT b) IS TRUE AS either, NOT c AND a AS plain FROM v")
@@ -637,7 +637,7 @@ SELECT m.user_id, min(m.ts_ns) AS trigger_ns FROM m JOIN t2 ON m.user_id = t2.us
 def g3_multi_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Third rise of channel 0, then channel 1 high twice running, then channel 2 high."""
     stages = [trigger.Stage({0: "rising"}, count=3), trigger.Stage({1: "high"}, count=2, counting="consecutive"), trigger.Stage({2: "high"})]
-    return trigger.find_trigger(three_channels(spark, sf_dir), KEYS, trigger.Program(stages), 3, WEEK)
+    return trigger.find_trigger(three_channels(spark, sf_dir), KEYS, trigger.Program(stages), 3)
 
 
 @query(f"+ t AS (SELECT user_id, min(ts_ns) AS t FROM ev WHERE kind = 'error' GROUP BY user_id) SELECT ev.user_id, ev.ts_ns, ev.seq FROM ev JOIN t USING (user_id) WHERE ts_ns >= t - {24 * HOUR} AND ts_ns < t + {72 * HOUR}")
@@ -700,19 +700,19 @@ INDEX = """ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY w)
 
 @query(ROUTED + INDEX)
 def k1_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.capture_index(sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS, bucket_ns=WEEK), KEYS, "u16le", WEEK)
+    return sinks.capture_index(sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS), KEYS, "u16le")
 
 
 @query(ROUTED + " SELECT user_id, name AS filename, string_agg(printf('%02X%02X', number & 255, (number >> 8) & 255), '' ORDER BY ts_ns, seq) AS data FROM rt GROUP BY user_id, w, name")
 def k1_file_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS, bucket_ns=WEEK)
+    rows = sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS)
     return sinks.file_chunks(rows, KEYS, sinks.word_bytes(rows, "u16le")).select("user_id", "filename", F.hex("data").alias("data"))
 
 
 @query(ROUTED + ", n AS (SELECT *, row_number() OVER (PARTITION BY user_id, w ORDER BY ts_ns, seq) - 1 AS row_id FROM rt) SELECT user_id, name AS filename, row_id, row_id || ',' || ts_ns || ',' || printf('%04X', number) AS line FROM n UNION ALL SELECT user_id, name, -1, 'row,time,value' FROM n WHERE row_id = 0")
 def k2_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS, bucket_ns=WEEK)
-    return sinks.csv_lines(rows, KEYS, hexadecimal=True, digits=4, header="row,time,value", bucket_ns=WEEK).select("user_id", "filename", "row_id", "line")
+    rows = sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS)
+    return sinks.csv_lines(rows, KEYS, hexadecimal=True, digits=4, header="row,time,value").select("user_id", "filename", "row_id", "line")
 
 
 @query(ROUTED + " SELECT user_id, name AS filename, string_agg(kind, chr(10) ORDER BY ts_ns, seq) || chr(10) AS content FROM rt GROUP BY user_id, w, name")
@@ -748,10 +748,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words between a start and a stop match, gated by the latch they set, in files named by a counter."""
     own = b.words(spark, sf_dir)
     starts = b.occurrences(spark, sf_dir, "signup")
-    latch = events.sr_latch(starts, b.occurrences(spark, sf_dir, "error"), KEYS, t0=T0, bucket_ns=WEEK)
-    inside = events.event_gate(own.where(words.matches("eq", 0, 1)), latch, KEYS, bucket_ns=WEEK)
-    names = text.text_formatter([events.event_counter(starts, KEYS, t0=T0, bucket_ns=WEEK)], KEYS, "capture_{0:03}.bin")
-    files = as_of(inside, names, KEYS, {"value": "filename"}, bucket_ns=WEEK).where("filename is not null")
+    latch = events.sr_latch(starts, b.occurrences(spark, sf_dir, "error"), KEYS, t0=T0)
+    inside = events.event_gate(own.where(words.matches("eq", 0, 1)), latch, KEYS)
+    names = text.text_formatter([events.event_counter(starts, KEYS, t0=T0)], KEYS, "capture_{0:03}.bin")
+    files = as_of(inside, names, KEYS, {"value": "filename"}).where("filename is not null")
     return files.groupBy("user_id", "filename").agg(
         F.count(F.lit(1)).alias("n_words"), F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.sum("value").alias("total")
     )
