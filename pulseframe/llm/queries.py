@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, language_id, minhash, mixing, packing, pivot_index, quality, toxicity, url_filter
+from . import conversation_repair, exact_dedup, html_text, language_id, lexical_search, minhash, mixing, packing, piece_codec, pivot_index, quality, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -166,9 +167,114 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_components(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged ``conversations``: faults, cheapest audit and digest of the repaired rows of every one."""
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         (coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS key
+  FROM conversations
+), h AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(key) + 1), lambda i: ascii(key[i])::BIGINT)),
+           lambda crc, x: list_reduce(list_prepend(xor(crc, x), range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 20 AS d
+  FROM c
+), r AS (
+  SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE WHEN d = 0 THEN 0 WHEN d = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM h
+), n AS (
+  SELECT *, row_number() OVER w AS k, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+         lag(left(role, 1)) OVER w AS before, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+), f AS (
+  SELECT *, left(role, 1) AS i, CASE WHEN body = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+  FROM n
+), s AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id
+), pass(a, b, i) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (2, 3, 'a'), (3, 2, 'u')
+), put(a, b, cost, edits) AS (
+  SELECT x, x, 0, '' FROM range(4) t(x) UNION ALL SELECT a, b, 5, 'I' FROM pass WHERE i <> 's'
+  UNION ALL SELECT p.a, q.b, 10, 'II' FROM pass p JOIN pass q ON p.b = q.a WHERE p.i <> 's' AND q.i <> 's'
+), way AS (
+  SELECT conv_id, 0 AS k, 0 AS state, 0 AS cost, '' AS audit, '' AS lines FROM s
+  UNION ALL
+  SELECT conv_id, k, state, cost, audit, lines FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) AS place FROM (
+      SELECT w.conv_id, f.k, e.b AS state, w.cost + p.cost + e.cost + CASE WHEN e.edit <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END AS cost,
+             w.audit || p.edits || e.edit AS audit,
+             w.lines || CASE WHEN p.edits = '' THEN '' ELSE array_to_string(list_transform(range(length(p.edits)), lambda x: CASE WHEN (p.a = 2) = (x % 2 = 0) THEN 'assistant:' ELSE 'user:' END || chr(10)), '') END
+                     || CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN f.role || ':' || f.text || chr(10) ELSE CASE WHEN p.b = 2 THEN 'assistant:' ELSE 'user:' END || f.text || chr(10) END AS lines
+      FROM way w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.k = w.k + 1
+      JOIN put p ON p.a = w.state
+      JOIN (SELECT a, b, i, 0 AS cost, 'K' AS edit FROM pass UNION ALL SELECT a, b, NULL, 1, 'R' FROM pass WHERE i <> 's' UNION ALL SELECT x, x, NULL, 2, 'D' FROM range(4) t(x)) e
+        ON e.a = p.b AND (e.edit = 'D' OR f.fault IS NULL OR f.fault = 'truncated') AND (e.edit <> 'K' OR e.i = f.i)
+    )
+  ) WHERE place = 1
+), done AS (
+  SELECT w.conv_id, w.cost + p.cost AS cost, w.audit || p.edits AS audit,
+         w.lines || CASE p.edits WHEN '' THEN '' WHEN 'I' THEN 'assistant:' || chr(10) ELSE 'user:' || chr(10) || 'assistant:' || chr(10) END AS lines,
+         row_number() OVER (PARTITION BY w.conv_id ORDER BY w.cost + p.cost, w.audit || p.edits) AS place
+  FROM way w JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.rows = w.k JOIN put p ON p.a = w.state AND p.b IN (0, 3)
+), ids AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(rtrim_one) AS repaired_sha256
+FROM ids LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN (SELECT * FROM done WHERE place = 1) d ON d.conv_id IS NOT DISTINCT FROM ids.conv_id
+CROSS JOIN LATERAL (SELECT CASE WHEN coalesce(lines, '') = '' THEN '' ELSE left(lines, length(lines) - 1) END AS rtrim_one)
+"""
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every text of ``documents`` and what they decode to."""
+    coded = piece_codec.encode(table(spark, sf_dir, "documents"), piece_path())
+    ids, text = F.array_join("ids", ","), F.col("decoded")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(text, 256).alias("decoded_sha256"))
+
+
+def piece_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all ``documents`` for each item of ``benchmark``."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS side, doc_id AS id, row_number() OVER () AS r, text FROM documents UNION ALL SELECT 'q', item_id, row_number() OVER (), text FROM benchmark
+), words AS (
+  SELECT side, id, r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM t
+), size AS (
+  SELECT count(*) FILTER (len(w) > 0) AS n, sum(len(w))::BIGINT AS l FROM words WHERE side = 'd'
+), q AS (
+  SELECT DISTINCT r AS item, id AS item_id, unnest(w) AS term FROM words WHERE side = 'q'
+), p AS (
+  SELECT r, id AS doc_id, n, term, count(*) AS tf FROM (SELECT r, id, len(w) AS n, unnest(w) AS term FROM words WHERE side = 'd') WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), v AS (
+  SELECT term, floor(1000 * ln((2 * size.n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS v FROM p, size GROUP BY term, size.n
+), scored AS (
+  SELECT item, item_id, r, doc_id, sum(v * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * p.n * size.n) // size.l))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN v USING (term), size GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_html_extraction, op4_quality_resampling, op5_exact_dedup, op6_url_filters, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_embedding_near_dedup, op3_html_extraction, op4_quality_resampling, op5_exact_dedup, op6_url_filters, op7_source_mixing, op8_language_id, op9_best_fit_packing, op10_minhash_near_dedup, op11_conversation_repair, op12_piece_codec, op13_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_near_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_source_mixing": OP7_SQL}
+    return {"op2_embedding_near_dedup": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_url_filters": OP6_SQL, "op7_source_mixing": OP7_SQL, "op11_conversation_repair": OP11_SQL, "op13_lexical_search": OP13_SQL}
