@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ..schema import SEQ, TS, require
-from ..streaming.ordered import Step, apply_ordered
+from ..streaming.ordered import Finish, Step, apply_ordered
 
 
 def stream_udf(function: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str, inputs: Sequence[str] = ()) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
@@ -26,6 +26,11 @@ def stream_udf(function: Callable[[pd.DataFrame], pd.DataFrame], schema: T.Struc
     return operator
 
 
-def stream_step(step: Step, payload: str, delay_ns: int = 0, late: str = "drop") -> Callable[[DataFrame, Sequence[str]], DataFrame]:
-    """An operator over a streaming table in the form of ``stream_rows`` that applies ``step`` in time order."""
-    return lambda rows, keys: apply_ordered(rows, keys, step, payload, delay_ns, late)
+def stream_step(
+    step: Step, payload: str, late: str = "drop", finish: Finish | None = None, idle_ms: int | None = None, inputs: int = 1
+) -> Callable[[DataFrame, Sequence[str]], DataFrame]:
+    """An operator ``op(rows, keys)`` over a streaming table in the form of ``stream_rows`` that applies ``step`` in time order.
+
+    The options are those of ``apply_ordered``.
+    """
+    return lambda rows, keys: apply_ordered(rows, keys, step, payload, late=late, finish=finish, idle_ms=idle_ms, inputs=inputs)

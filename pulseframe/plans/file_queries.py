@@ -22,6 +22,9 @@ BUS = """+ s AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_sup
 x AS (SELECT position, q, c AS channel, (q >> c) & 1 = 1 AS bit FROM s CROSS JOIN (VALUES (0), (1), (2), (3)) v(c)),
 y AS (SELECT *, lag(bit) OVER (PARTITION BY channel ORDER BY position) AS p FROM x)"""
 RUNS = " SELECT channel, position * 10 AS ts_ns, position AS seq, bit AS value FROM y WHERE p IS NULL OR bit <> p"
+DAY = 24 * HOUR
+#: Milliseconds of a slot in which rows of a stream wait: a day holds a few rows of a user.
+DAY_MS = 86_400_000
 NAMES = ["low", "next", "third", "top"]
 
 
@@ -110,11 +113,12 @@ def u2_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload.payloads_of(spark.read.parquet(folder), KEYS, READING)
 
 
-@query(
-    """+ c AS (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations WHERE length(text) > 0),
+P6_SQL = """+ c AS (SELECT conv_id, turn, hex(encode(text)) AS h FROM conversations WHERE length(text) > 0),
 p AS (SELECT conv_id, turn, k, substr(h, 32 * k + 1, 32) AS h FROM c CROSS JOIN LATERAL (SELECT unnest(range(0, (length(h) + 31) // 32)) AS k) r)
 SELECT conv_id, turn, 1000 + k * 160000 AS start_ns, length(h) // 2 AS n_words, h AS payload FROM p"""
-)
+
+
+@query(P6_SQL)
 def p6_stacked_decoders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A framer over the words of a serial decoder: packets of 16 bytes of each turn."""
     keys = ["conv_id", "turn"]
@@ -203,16 +207,25 @@ def l10_cursor_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.cursor_event(b.base(spark, sf_dir), named, KEYS, "purchase")
 
 
-def stream_of(spark: SparkSession, rows: DataFrame, keys: list[str], halfway: int | None = None) -> DataFrame:
-    """A table (keys, ts_ns, seq, ...) as a stream of files: rows before ``halfway``, those from it on, then an end for each key."""
+def stream_of(spark: SparkSession, rows: DataFrame, keys: list[str], parts: int = 2) -> DataFrame:
+    """A table (keys, ts_ns, seq, ...) as a stream of files, a batch for each stretch of its time; keys end at different times.
+
+    Ends tell how many rows there are of their key and lie in the file of the stretch after their key's last row, or before some of its rows for every other key.
+    """
     folder = shared_path(spark, "input")
-    parts = [rows] if halfway is None else [rows.where(F.col("ts_ns") < halfway), rows.where(F.col("ts_ns") >= halfway)]
-    for part in parts:
-        part.withColumn("is_end", F.lit(False)).write.mode("append").parquet(folder)
-    ends = rows.select(*keys).distinct().withColumns({"ts_ns": F.lit(0).cast("long"), "seq": F.lit(0).cast("long"), "is_end": F.lit(True)})
-    ends.write.mode("append").parquet(folder)
-    schema = rows.withColumn("is_end", F.lit(False)).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))).parquet(folder)
+    first, end = rows.agg(F.min("ts_ns"), F.max("ts_ns")).first()
+    last = rows.groupBy(*keys).agg(F.max("ts_ns").alias("ts_ns"), F.count(F.lit(1)).alias("end_rows"))
+    early = F.when(F.pmod(F.xxhash64(*keys), F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(0))
+    ends = last.withColumns({"seq": F.lit(-1).cast("long"), "is_end": F.lit(True), "_early": early})
+    both = rows.withColumns({"is_end": F.lit(False), "_early": F.lit(0)}).unionByName(ends, allowMissingColumns=True)
+    part = F.least(F.call_function("div", F.col("ts_ns") - (first or 0), F.lit(((end or 0) - (first or 0)) // parts + 1)), F.lit(parts - 1))
+    both = both.withColumn("_part", F.greatest(part - F.col("_early"), F.lit(0)).cast("int")).drop("_early")
+    schema = both.drop("_part").schema
+    both.write.partitionBy("_part").parquet(folder)
+    files = spark.sparkContext.defaultParallelism
+    for i in range(parts):
+        spark.read.schema(schema).parquet(f"{folder}/_part={i}").coalesce(files).write.mode("append").parquet(f"{folder}-in")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}-in")
 
 
 def run_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -230,9 +243,9 @@ SELECT user_id, ts_ns, seq, v AS value FROM s WHERE v <> p"""
 @query(LATCHED)
 def r5_stream_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latch of signups and errors, as a stream."""
-    rows = stream_of(spark, b.base(spark, sf_dir).where("kind IN ('signup', 'error')"), KEYS, W1)
+    rows = stream_of(spark, b.base(spark, sf_dir).where("kind IN ('signup', 'error')"), KEYS)
     held = o.stream_rows(rows, KEYS, F.when(F.col("kind") == "signup", 0).otherwise(1), "1 hour")
-    return run_stream(spark, o.apply_ordered(held, KEYS, o.latch_step, "ts_ns long, seq long, value boolean"))
+    return run_stream(spark, o.apply_ordered(held, KEYS, o.latch_step, "ts_ns long, seq long, value boolean", slot_ms=DAY_MS))
 
 
 @query(
@@ -242,22 +255,88 @@ SELECT e.user_id, e.ts_ns, e.seq, e.number AS value, n.name AS filename FROM (SE
 def r3_stream_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words to the files that signups name, as a stream: two inputs with a watermark each."""
     own = b.base(spark, sf_dir)
-    users = own.select(*KEYS).distinct().withColumns({"ts_ns": F.lit(0).cast("long"), "seq": F.lit(0).cast("long"), "number": F.lit(0).cast("long"), "kind": F.lit("start")})
+    users = own.groupBy(*KEYS).agg(F.min("ts_ns").alias("ts_ns")).withColumns({"seq": F.lit(0).cast("long"), "number": F.lit(0).cast("long"), "kind": F.lit("start")})
     # every user has a row in both inputs, and so an end in both; those of kind start are no name and no word
-    inputs = [stream_of(spark, x.select(*KEYS, "ts_ns", "seq", "number", "kind").unionByName(users), KEYS, W1) for x in (own.where("kind = 'signup'"), own.where("kind <> 'signup'"))]
-    sides = [o.stream_rows(x.where("kind <> 'start' or is_end"), KEYS, i, delay, value="number") for i, (x, delay) in enumerate(zip(inputs, ("1 hour", "2 hours"), strict=True))]
-    found = o.apply_ordered(o.together(sides), KEYS, o.numbered_route_step("file_"), "ts_ns long, seq long, value long, filename string, window long", inputs=2)
+    inputs = [stream_of(spark, x.select(*KEYS, "ts_ns", "seq", "number", "kind").unionByName(users), KEYS) for x in (own.where("kind = 'signup'"), own.where("kind <> 'signup'"))]
+    sides = [o.stream_rows(x, KEYS, F.when(F.col("kind") == "start", -1).otherwise(i), delay, value="number") for i, (x, delay) in enumerate(zip(inputs, ("1 hour", "2 hours"), strict=True))]
+    route = o.numbered_route_step("file_")
+    step = lambda state, row: [] if row["side"] < 0 else route(state, row)
+    found = o.apply_ordered(o.together(sides), KEYS, step, "ts_ns long, seq long, value long, filename string, window long", inputs=2, slot_ms=DAY_MS)
     return run_stream(spark, found).drop("window")
 
 
-@query("SELECT conv_id, turn, count(*) AS n_words, hex(encode(any_value(text))) AS payload FROM conversations WHERE length(text) > 0 GROUP BY conv_id, turn".replace("count(*)", "octet_length(encode(any_value(text)))"))
+@query("SELECT conv_id, turn, octet_length(encode(any_value(text))) AS n_words, hex(encode(any_value(text))) AS payload FROM conversations WHERE length(text) > 0 GROUP BY conv_id, turn")
 def r5_stream_uart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns sent over a serial line and decoded as a stream of level files."""
     keys = ["conv_id", "turn"]
-    line = stream_of(spark, b.uart_line(spark, sf_dir), keys)
+    line = stream_of(spark, b.uart_line(spark, sf_dir), keys, 1)
     step, finish = d.uart_step(1e6)
     found = o.apply_ordered(o.stream_rows(line, keys, level="value"), keys, step, "ts_ns long, seq long, duration_ns long, value long, framing_error boolean, parity_error boolean", finish=finish)
     rows = run_stream(spark, found)
     listed = F.sort_array(F.collect_list(F.struct("ts_ns", formats.hex_text(F.col("value")).alias("h"))))
     lists = rows.where("not framing_error").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_words"), listed.alias("l"))
     return lists.select(*keys, "n_words", F.concat_ws("", F.transform("l", lambda x: x["h"])).alias("payload"))
+
+
+@query(P6_SQL)
+def p6_stream_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The serial decoder and a framer over its words as two stateful operators of one streaming query."""
+    keys = ["conv_id", "turn"]
+    line = stream_of(spark, b.uart_line(spark, sf_dir), keys, 1)
+    step, finish = d.uart_step(1e6)
+    found = o.apply_ordered(o.stream_rows(line, keys, level="value"), keys, step, "ts_ns long, seq long, duration_ns long, value long", finish=finish, chained=True)
+    frame, rest = o.framer_step(fixed=16)
+    packets = o.apply_ordered(o.chained_rows(found, keys, 1, duration_ns="duration_ns", value="value"), keys, frame, "start_ns long, end_ns long, n_words long, values array<long>", finish=rest)
+    text = F.concat_ws("", F.transform("values", lambda x: formats.hex_text(x)))
+    return run_stream(spark, packets).select(*keys, "start_ns", "n_words", text.alias("payload"))
+
+
+@query(
+    f"""+ s AS (SELECT user_id, ts_ns, seq, number, max(ts_ns) OVER (PARTITION BY user_id ORDER BY seq) AS moment FROM (SELECT * FROM ev WHERE kind <> 'purchase'
+  UNION ALL SELECT user_id, ts_ns - {100 * DAY}, seq + 1000000000000, kind, number, amount, duration_ns FROM ev WHERE kind = 'purchase'))
+SELECT user_id, moment AS ts_ns, seq, row_number() OVER (PARTITION BY user_id ORDER BY moment, seq) AS value FROM s"""
+)
+def r2_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counter over a stream whose purchases arrive after everything else with times long past: they count at the last applied time."""
+    own = b.base(spark, sf_dir).select(*KEYS, "ts_ns", "seq", "kind")
+    users = own.select(*KEYS).distinct()
+    folder = shared_path(spark, "input")
+    late = own.where("kind = 'purchase'").withColumns({"ts_ns": F.col("ts_ns") - 100 * DAY, "seq": F.col("seq") + 1_000_000_000_000})
+    mark = users.limit(1).withColumns({"ts_ns": F.lit(T0 + 400 * DAY), "seq": F.lit(0).cast("long"), "kind": F.lit("mark")})
+    ends = users.withColumns({"ts_ns": F.lit(T0), "seq": F.lit(0).cast("long"), "kind": F.lit("end")})
+    for part in (own.where("kind <> 'purchase'"), mark, late, ends):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    rows = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    flags = {"is_mark": F.col("kind") == "mark", "is_end": F.col("kind") == "end"}
+    held = o.stream_rows(rows.withColumns(flags), KEYS)
+    return run_stream(spark, o.apply_ordered(held, KEYS, o.counter_step(), "ts_ns long, seq long, value long", late="clamp", slot_ms=DAY_MS))
+
+
+@query(
+    f"""+ g AS (SELECT *, CASE WHEN ts_ns - lag(ts_ns) OVER (PARTITION BY user_id ORDER BY ts_ns, seq) <= {6 * HOUR} THEN 0 ELSE 1 END AS cut FROM ev),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY ts_ns, seq) AS p FROM g)
+SELECT user_id, min(ts_ns) AS start_ns, max(ts_ns) AS end_ns, count(*) AS n_words FROM s GROUP BY user_id, p"""
+)
+def r6_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets by pauses of more than six hours, as a stream; each user's last packet comes with the user's end."""
+    rows = stream_of(spark, b.base(spark, sf_dir).select(*KEYS, "ts_ns", "seq"), KEYS, 3)
+    frame, rest = o.framer_step(max_gap_ns=6 * HOUR, max_words=1 << 40)
+    step = lambda state, row: frame(state, row | {"duration_ns": 0, "value": row["seq"]})
+    found = o.apply_ordered(o.stream_rows(rows, KEYS, 1), KEYS, step, "start_ns long, end_ns long, n_words long, values array<long>", finish=rest, slot_ms=DAY_MS)
+    return run_stream(spark, found).select(*KEYS, "start_ns", "end_ns", "n_words")
+
+
+@query("SELECT user_id, ts_ns, seq, w AS width_ns FROM (SELECT *, lead(ts_ns) OVER (PARTITION BY user_id ORDER BY ts_ns, seq) - ts_ns AS w FROM ch) WHERE v AND w IS NOT NULL")
+def u1_user_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pulse widths by a step that a user wrote, as a stream."""
+
+    def pulses(state: dict, row: dict) -> list[dict]:
+        if state.get("value") == row["level"]:
+            return []
+        ended = [{"ts_ns": state["ts_ns"], "seq": state["seq"], "width_ns": row["ts_ns"] - state["ts_ns"]}] if state.get("value") else []
+        state.update(value=row["level"], ts_ns=row["ts_ns"], seq=row["seq"])
+        return ended
+
+    rows = stream_of(spark, b.level(spark, sf_dir), KEYS, 3)
+    operator = udf.stream_step(pulses, "ts_ns long, seq long, width_ns long")
+    return run_stream(spark, operator(o.stream_rows(rows, KEYS, level="value"), KEYS))

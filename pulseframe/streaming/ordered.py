@@ -2,14 +2,20 @@
 
 One mechanism serves all (:func:`apply_ordered`): a stateful processor with event-time timers holds each key's waiting
 rows and the operator's own state. Each input has a watermark of its own (:func:`stream_rows`), and Spark applies the
-least of them, so that no row is applied while another input may still bring an earlier one. Rows older than what
-was already applied are dropped, or moved to the last applied time (``late='clamp'``). Timers release the rows of a key
-that gets none any more, and end keys that have been silent for ``idle``. A row with ``is_end`` releases everything that
-waits, so that a bounded input ends as the batch operator does.
+least of them, so that no row is applied while another input may still bring an earlier one.
+
+* Waiting rows lie in a map state by time slot, a timer for each slot: a batch touches only the slots that it adds to or that are due, whatever waits.
+* An end is a row of its key and moves no watermark (its event time is null). Once all inputs of a key have ended, what waits is applied and the
+  key closed; other keys go on. An end that tells how many rows its input has of the key waits for them, so files can come in any order.
+* A mark (``is_mark``) moves the watermark of its input and is nothing else: no earlier row will come from it.
+* Rows older than what was applied of their key are dropped, or moved to the last applied time (``late='clamp'``). Spark's own filter of late rows,
+  which knows nothing of keys, is not used.
+* Timers also end keys that have been silent for ``idle_ms``.
 """
 
 from __future__ import annotations
 
+import json
 import pickle
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
@@ -20,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..schema import SEQ, TS
+from ..schema import SEQ, TS, StreamError
 
 Step = Callable[[dict[str, Any], dict[str, Any]], list[dict[str, Any]]]
 Finish = Callable[[dict[str, Any]], list[dict[str, Any]]]
@@ -29,114 +35,206 @@ Finish = Callable[[dict[str, Any]], list[dict[str, Any]]]
 EVENT_TIME = "event_time"
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Event time of a row that ends its input, beyond all others that pandas can hold.
-END = "2260-01-01 00:00:00"
+#: Columns that the processor reads and steps don't see.
+OWN = ("is_end", "is_mark", "end_rows")
+FRAME_ROWS = 4096
 
 
 class Ordered(StatefulProcessor):
     """Applies a step to each key's rows in (ts_ns, side, seq) order, once the watermark has passed them."""
 
-    def __init__(self, keys: Sequence[str], columns: Sequence[str], step: Step, late: str, finish: Finish | None, idle_ms: int | None, inputs: int):
-        self.inputs = inputs
-        self.keys, self.columns, self.step, self.late, self.finish, self.idle_ms = list(keys), list(columns), step, late, finish, idle_ms
+    def __init__(self, keys: Sequence[str], columns: Sequence[str], step: Step, late: str, finish: Finish | None, idle_ms: int | None, inputs: int, slot_ms: int, lag_ms: int, nullable: Sequence[tuple[str, str]]):
+        self.nullable = list(nullable)
+        self.keys, self.columns, self.step, self.late, self.finish = list(keys), list(columns), step, late, finish
+        self.idle_ms, self.inputs, self.slot_ms, self.lag_ms = idle_ms, inputs, slot_ms, lag_ms
+        self.timed = EVENT_TIME in columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("held", "data binary")
+        self.head = handle.getValueState("head", "text string")
+        self.own = handle.getValueState("own", "data binary")
+        self.slots = handle.getMapState("slots", "slot long", "parts int")
+        self.rows = handle.getMapState("rows", "slot long, part int", "data binary")
 
     def load(self) -> dict[str, Any]:
-        return pickle.loads(self.held.get()[0]) if self.held.exists() else {"waiting": [], "own": {}, "applied": None, "timer": None, "newest": None, "ends": 0}
-
-    def apply(self, key: tuple, rows: list[dict], state: dict) -> Iterator[pd.DataFrame]:
-        out = []
-        for row in rows:
-            state["applied"] = row[TS]
-            out += self.step(state["own"], row)
+        """What is known of a key, of one size however much waits: times applied and newest, ends, counted rows, the timer of silence."""
+        return json.loads(self.head.get()[0]) if self.head.exists() else {"applied": None, "newest": None, "ends": 0, "arrived": 0, "expected": 0, "quiet": None}
+
+    def due(self, slot: int) -> int:
+        return (slot + 1) * self.slot_ms + self.lag_ms
+
+    def put(self, slot: int, rows: list[dict]) -> None:
+        part = self.slots.getValue((slot,))[0] if self.slots.containsKey((slot,)) else 0
+        if not part:
+            self.handle.registerTimer(self.due(slot))
+        self.rows.updateValue((slot, part), (pickle.dumps(rows),))
+        self.slots.updateValue((slot,), (part + 1,))
+
+    def take(self, slot: int) -> list[dict]:
+        found = []
+        for part in range(self.slots.getValue((slot,))[0]):
+            found += pickle.loads(self.rows.getValue((slot, part))[0])
+            self.rows.removeKey((slot, part))
+        self.slots.removeKey((slot,))
+        return sorted(found, key=lambda r: (r[TS], r["side"], r[SEQ]))
+
+    def apply(self, key: tuple, slots: list[int], head: dict, watermark_ms: int, ended: bool = False) -> Iterator[pd.DataFrame]:
+        state, out = pickle.loads(self.own.get()[0]) if self.own.exists() else {}, []
+        for slot in slots:
+            for row in self.take(slot):
+                head["applied"] = row[TS]
+                found = self.step(state, row)
+                if self.timed:
+                    found = [x | {EVENT_TIME: max(row[TS] // 1_000_000, watermark_ms + 1)} for x in found]
+                out += found
+                if len(out) >= FRAME_ROWS:
+                    yield from self.frame(key, out)
+                    out = []
+        if ended:
+            last = max((head["applied"] or 0) // 1_000_000, watermark_ms + 1)
+            found = self.finish(state) if self.finish is not None else []
+            out += [x | {EVENT_TIME: last} for x in found] + [{TS: head["applied"] or 0, SEQ: 0, "is_end": True, EVENT_TIME: last}] if self.timed else found
+        else:
+            self.own.update((pickle.dumps(state),))
         yield from self.frame(key, out)
 
     def frame(self, key: tuple, out: list[dict]) -> Iterator[pd.DataFrame]:
         if out:
-            yield pd.DataFrame([dict(zip(self.keys, key, strict=True)) | x for x in out], columns=self.columns)
-
-    def release(self, key: tuple, watermark_ms: int, state: dict, ended: bool) -> Iterator[pd.DataFrame]:
-        waiting = sorted(state["waiting"], key=lambda r: (r[TS], r["side"], r[SEQ]))
-        due = len(waiting) if ended else next((i for i, r in enumerate(waiting) if r[TS] // 1_000_000 >= watermark_ms), len(waiting))
-        state["waiting"] = waiting[due:]
-        yield from self.apply(key, waiting[:due], state)
-        if ended:
-            yield from self.end_key(key, state)
-            return
-        wanted = state["waiting"][0][TS] // 1_000_000 + 1 if state["waiting"] else None
-        if wanted is None and self.idle_ms is not None and state["newest"] is not None:
-            wanted = state["newest"] // 1_000_000 + self.idle_ms
-        self.set_timer(state, wanted)
-        self.held.update((pickle.dumps(state),))
-
-    def set_timer(self, state: dict, wanted: int | None) -> None:
-        if state["timer"] != wanted:
-            if state["timer"] is not None:
-                self.handle.deleteTimer(state["timer"])
+            held = pd.DataFrame([dict(zip(self.keys, key, strict=True)) | x for x in out], columns=self.columns, dtype=object)
+            if self.timed:
+                held[EVENT_TIME] = pd.to_datetime(held[EVENT_TIME].astype("int64"), unit="ms")
+                held["is_end"] = held["is_end"].eq(True)
+            yield held
+
+    def watch(self, head: dict, wanted: int | None) -> None:
+        """The timer that ends a silent key."""
+        if head["quiet"] != wanted:
+            if head["quiet"] is not None:
+                self.handle.deleteTimer(head["quiet"])
             if wanted is not None:
                 self.handle.registerTimer(wanted)
-            state["timer"] = wanted
-
-    def end_key(self, key: tuple, state: dict) -> Iterator[pd.DataFrame]:
-        """What is left when a key ends; its state goes."""
-        if self.finish is not None:
-            yield from self.frame(key, self.finish(state["own"]))
-        self.set_timer(state, None)
-        self.held.clear()
+            head["quiet"] = wanted
+
+    def end_key(self, key: tuple, head: dict, watermark_ms: int) -> Iterator[pd.DataFrame]:
+        """Apply what waits, then what is left when a key ends; its state goes."""
+        slots = sorted(k[0] for k in self.slots.keys())
+        yield from self.apply(key, slots, head, watermark_ms, ended=True)
+        for slot in slots:
+            self.handle.deleteTimer(self.due(slot))
+        self.watch(head, None)
+        for state in (self.head, self.own, self.slots, self.rows):
+            state.clear()
+
+    def taken(self, frame: pd.DataFrame) -> list[dict]:
+        """The rows of a batch, with their nulls as they were (:func:`_exact`)."""
+        held = frame.to_dict("records")
+        for row in held:
+            for name, null in self.nullable:
+                if row.pop(null):
+                    row[name] = None
+        return held
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self.load()
+        head, watermark, own, new = self.load(), timerValues.getCurrentWatermarkInMs(), [], {}
         for frame in rows:
-            for row in frame.to_dict("records"):
+            for row in self.taken(frame):
                 if row["is_end"]:
-                    state["ends"] += 1
+                    head["ends"] += 1
+                    head["expected"] += int(row["end_rows"])
+                elif not row["is_mark"]:
+                    own.append(row)
+        if any(row[TS] // 1_000_000 < watermark for row in own):
+            # what the watermark has passed is applied before rows that come too late for it
+            slots = sorted(k[0] for k in self.slots.keys() if self.due(k[0]) <= watermark)
+            yield from self.apply(key, slots, head, watermark)
+            for slot in slots:
+                self.handle.deleteTimer(self.due(slot))
+        for row in own:
+            head["arrived"] += 1
+            if head["applied"] is not None and row[TS] < head["applied"]:
+                if self.late == "drop":
                     continue
-                if state["applied"] is not None and row[TS] < state["applied"]:
-                    if self.late == "drop":
-                        continue
-                    row[TS] = state["applied"]
-                state["newest"] = max(row[TS], state["newest"] or row[TS])
-                state["waiting"].append({k: v for k, v in row.items() if k not in self.keys and k != EVENT_TIME})
-        yield from self.release(key, timerValues.getCurrentWatermarkInMs(), state, state["ends"] >= self.inputs)
+                row[TS] = head["applied"]
+            head["newest"] = max(row[TS], head["newest"] or row[TS])
+            new.setdefault(row[TS] // (self.slot_ms * 1_000_000), []).append({k: v for k, v in row.items() if k not in self.keys and k not in OWN})
+        for slot, held in new.items():
+            self.put(slot, held)
+        if head["ends"] >= self.inputs and head["arrived"] >= head["expected"]:
+            yield from self.end_key(key, head, watermark)
+            return
+        if self.idle_ms is not None and head["newest"] is not None:
+            self.watch(head, head["newest"] // 1_000_000 + self.slot_ms + self.lag_ms + self.idle_ms)
+        self.head.update((json.dumps(head),))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self.load()
-        state["timer"] = None
+        head, at = self.load(), expiredTimerInfo.getExpiryTimeInMs()
         watermark = timerValues.getCurrentWatermarkInMs()
-        silent = self.idle_ms is not None and state["newest"] is not None and state["newest"] // 1_000_000 + self.idle_ms <= watermark
-        yield from self.release(key, watermark, state, silent)
+        if head["quiet"] == at:
+            head["quiet"] = None
+            yield from self.end_key(key, head, watermark)
+            return
+        slot = (at - self.lag_ms) // self.slot_ms - 1
+        if self.slots.containsKey((slot,)):
+            yield from self.apply(key, [slot], head, watermark)
+            self.head.update((json.dumps(head),))
 
 
-def apply_ordered(rows: DataFrame, keys: Sequence[str], step: Step, payload: str, late: str = "drop", finish: Finish | None = None, idle_ms: int | None = None, inputs: int = 1) -> DataFrame:
+def apply_ordered(
+    rows: DataFrame, keys: Sequence[str], step: Step, payload: str, late: str = "drop", finish: Finish | None = None, idle_ms: int | None = None, inputs: int = 1, slot_ms: int = 1000, lag_ms: int = 0, chained: bool = False
+) -> DataFrame:
     """Apply ``step(state, row) -> output rows`` to each key's rows in (ts_ns, side, seq) order.
 
     ``rows`` comes from :func:`stream_rows`, or the union of several; ``payload`` is the DDL of the outputs beside the
-    keys. A row waits until the watermark has passed it. ``finish(state)`` gives what is left when a key ends, by a row with
-    ``is_end`` of each of the ``inputs`` or after ``idle_ms`` without rows. The state store has to be RocksDB's, which is set where none is.
+    keys. Rows wait in slots of ``slot_ms``; a slot is applied when the watermark is past its end by ``lag_ms``. ``finish(state)`` gives what is left when a key ends, by a row with
+    ``is_end`` of each of the ``inputs`` or after ``idle_ms`` without rows. With ``chained`` the result has an event time, a watermark and ends of its
+    own, so that :func:`chained_rows` feeds it to a further operator of the same query; ``payload`` then has to have ts_ns and seq. An operator whose rows
+    appear later than their ts_ns gives the next one that time as ``lag_ms``, where it has other inputs. The state store has to be RocksDB's, which is set where none is.
     """
+    if late not in ("drop", "clamp"):
+        raise StreamError("late rows are dropped or clamped")
     spark = rows.sparkSession
     if "RocksDB" not in spark.conf.get(STORE, ""):
         spark.conf.set(STORE, ROCKS)
+    rows, nullable = _exact(rows, [*keys, TS, SEQ, "side", *OWN])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    ddl = ", ".join([*(f"{k} {kinds[k]}" for k in keys), payload])
-    columns = [*keys, *(p.split()[0] for p in payload.split(", "))]
-    processor = Ordered(keys, columns, step, late, finish, idle_ms, inputs)
-    return rows.groupBy(*keys).transformWithStateInPandas(processor, ddl, "Append", "EventTime")
+    more = f", is_end boolean, {EVENT_TIME} timestamp" if chained else ""
+    ddl = ", ".join([*(f"{k} {kinds[k]}" for k in keys), payload]) + more
+    columns = [*keys, *(p.split()[0] for p in (payload + more).split(", "))]
+    processor = Ordered(keys, columns, step, late, finish, idle_ms, inputs, slot_ms, lag_ms, nullable)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, ddl, "Append", "EventTime", eventTimeColumnName=EVENT_TIME if chained else "")
+
+
+def _exact(rows: DataFrame, never_null: Sequence[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Whole numbers that may be null as 0 with a flag beside them: pandas would make doubles of them, which hold 53 bits."""
+    names = [f.name for f in rows.schema.fields if f.nullable and f.dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") and f.name not in never_null]
+    pairs = [(n, f"null_of_{n}") for n in names]
+    return rows.select(*(F.coalesce(n, F.lit(0).cast(rows.schema[n].dataType)).alias(n) if n in names else n for n in rows.columns), *(F.col(a).isNull().alias(b) for a, b in pairs)), pairs
+
+
+def _in_form(df: DataFrame, keys: Sequence[str], side: int | Column, columns: dict[str, str], *more: Column) -> DataFrame:
+    """The columns that the processor reads; those of :data:`OWN` that ``df`` lacks say no."""
+    flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
+    expected = F.coalesce(F.col("end_rows").cast("long"), F.lit(0).cast("long")) if "end_rows" in df.columns else F.lit(0).cast("long")
+    number = side if isinstance(side, Column) else F.lit(side)
+    own = [flag("is_end").alias("is_end"), flag("is_mark").alias("is_mark"), expected.alias("end_rows")]
+    return df.select(*keys, TS, SEQ, number.alias("side"), *own, *(F.col(b).alias(a) for a, b in columns.items()), *more)
 
 
 def stream_rows(df: DataFrame, keys: Sequence[str], side: int | Column = 0, delay: str = "0 seconds", **columns: str) -> DataFrame:
     """A stream in the form that :func:`apply_ordered` takes, with a watermark ``delay`` behind its latest time.
 
-    Where ``df`` has ``is_end``, such a row ends its key, and its input's watermark is beyond all times from then on.
+    Where ``df`` has ``is_end``, such a row ends its key in this input; ``end_rows``, if there, is how many rows the input has of that key in all. A row with ``is_mark``
+    says that nothing before its ts_ns will come.
     """
-    ends = F.coalesce("is_end", F.lit(False)) if "is_end" in df.columns else F.lit(False)
-    at = F.when(ends, F.to_timestamp(F.lit(END))).otherwise(F.timestamp_micros(F.call_function("div", F.col(TS), F.lit(1000))))
-    number = side if isinstance(side, Column) else F.lit(side)
-    own = df.select(*keys, TS, SEQ, number.alias("side"), ends.alias("is_end"), at.alias(EVENT_TIME), *(F.col(b).alias(a) for a, b in columns.items()))
-    return own.withWatermark(EVENT_TIME, delay)
+    at = F.when(~F.col("is_end"), F.timestamp_micros(F.call_function("div", F.col(TS), F.lit(1000))))
+    own = _in_form(df, keys, side, columns)
+    # the watermark is the input's, but late rows are judged by key: so its column goes
+    return own.withColumn(EVENT_TIME, at).withWatermark(EVENT_TIME, delay).drop(EVENT_TIME)
+
+
+def chained_rows(df: DataFrame, keys: Sequence[str], side: int = 0, **columns: str) -> DataFrame:
+    """The result of an operator with ``chained`` in the form that the next one takes; its watermark goes on."""
+    return _in_form(df, keys, side, columns)
 
 
 def together(inputs: Sequence[DataFrame]) -> DataFrame:

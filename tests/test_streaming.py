@@ -12,22 +12,26 @@ from pulseframe.streaming import decoders as d
 from pulseframe.streaming import ordered as o
 
 MS = 1_000_000
-SCHEMA = "k int, ts_ns long, seq long, level boolean, is_end boolean"
+SCHEMA = "k int, ts_ns long, seq long, level boolean, is_end boolean, end_rows long"
 
 
 def level_rows(n=90, seed=5, step=MS):
     rng = random.Random(seed)
     times = sorted(rng.sample(range(10_000), n))
-    return [(i % 3, t * step, i, rng.random() < 0.5, False) for i, t in enumerate(times)]
+    return [(i % 3, t * step, i, rng.random() < 0.5, False, None) for i, t in enumerate(times)]
 
 
-def run_stream(spark, folder, rows, build, ended=True):
-    for i in range(0, len(rows), 30):
-        part = list(rows[i : i + 30])
-        random.Random(i).shuffle(part)
+def ends_of(rows):
+    """An end of each key at its last time, with the number of its rows."""
+    return [(k, max(r[1] for r in rows if r[0] == k), 0, False, True, sum(r[0] == k for r in rows)) for k in sorted({r[0] for r in rows})]
+
+
+def run_stream(spark, folder, rows, build, files=None):
+    """The result over files, one in each batch: ``files``, or thirty shuffled rows each and then an end of each key."""
+    if files is None:
+        files = [random.Random(i).sample(rows[i : i + 30], len(rows[i : i + 30])) for i in range(0, len(rows), 30)] + [ends_of(rows)]
+    for i, part in enumerate(files):
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(f"{folder}/in/{i:04}")
-    if ended:
-        spark.createDataFrame([(k, 0, 0, False, True) for k in range(3)], SCHEMA).coalesce(1).write.parquet(f"{folder}/in/9999")
     source = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
     name = f"q{abs(hash(str(folder)))}"
     query = build(source).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
@@ -42,7 +46,7 @@ def plain(df, *columns):
 def test_latch_stream_equals_batch(spark, tmp_path):
     rows = level_rows()
     side = F.when(F.col("seq") % 2 == 0, 0).otherwise(1)
-    build = lambda s: o.apply_ordered(o.stream_rows(s, ["k"], side, "2 seconds"), ["k"], o.latch_step, "ts_ns long, seq long, value boolean")
+    build = lambda s: o.apply_ordered(o.stream_rows(s, ["k"], side, "2 seconds"), ["k"], o.latch_step, LATCH)
     table = spark.createDataFrame(rows, SCHEMA)
     batch = events.sr_latch(table.where("seq % 2 = 0"), table.where("seq % 2 = 1"), ["k"]).where("seq >= 0")
     assert plain(run_stream(spark, tmp_path, rows, build), "k", "ts_ns", "value") == plain(batch, "k", "ts_ns", "value")
@@ -50,17 +54,135 @@ def test_latch_stream_equals_batch(spark, tmp_path):
 
 def test_timers_release_and_end_silent_keys(spark, tmp_path):
     """Key 0 stops early: the watermark of the others releases its rows and, after the idle time, ends it."""
-    rows = [(0, 10 * MS, 0, True, False), (0, 20 * MS, 1, True, False)] + [(1, t * 1000 * MS, t, True, False) for t in range(1, 60)]
+    rows = [(0, 10 * MS, 0, True, False, None), (0, 20 * MS, 1, True, False, None)] + [(1, t * 1000 * MS, t, True, False, None) for t in range(1, 60)]
     step, finish = o.framer_step(fixed=100)
 
     def build(source):
         own = source.withColumns({"duration_ns": F.lit(10).cast("long"), "value": F.col("seq")})
         return o.apply_ordered(o.stream_rows(own, ["k"], 1, duration_ns="duration_ns", value="value"), ["k"], step, "start_ns long, end_ns long, n_words long, values array<long>", finish=finish, idle_ms=5000)
 
-    found = run_stream(spark, tmp_path, rows, build, ended=False)
+    found = run_stream(spark, tmp_path, rows, build, [rows[:30], rows[30:]])
     assert [(r["k"], r["n_words"], r["values"]) for r in found.collect()] == [(0, 2, [0, 1])]
 
 
+S = 1000 * MS
+LATCH = "ts_ns long, seq long, value boolean"
+
+
+def latch_of(source, **options):
+    """Seq even sets, odd resets."""
+    side = F.when(F.col("seq") % 2 == 0, 0).otherwise(1)
+    return o.apply_ordered(o.stream_rows(source, ["k"], side, "1 second"), ["k"], o.latch_step, LATCH, **options)
+
+
+def row(k, second, seq):
+    return (k, second * S, seq, False, False, None)
+
+
+def test_end_of_one_key_keeps_the_rows_of_another(spark, tmp_path):
+    files = [[row(1, 1, 0), row(2, 1, 2)], [(1, S, 0, False, True, None)], [row(2, 2, 3)], [row(2, 3, 4)], [(2, 3 * S, 0, False, True, None)]]
+    found = run_stream(spark, tmp_path, None, latch_of, files)
+    assert plain(found, "k", "ts_ns", "value") == sorted([(1, S, True), (2, 2 * S, False), (2, 3 * S, True), (2, S, True)], key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ends_in_any_file_order(spark, tmp_path, seed):
+    """Ends that tell their rows lie in any file, also before rows of their key; nothing of any key is lost."""
+    rng, rows = random.Random(seed), level_rows(60, seed, 10 * MS)
+    files = [rows[i : i + 10] for i in range(0, 60, 10)]
+    for end in ends_of(rows):
+        files[rng.randrange(6)].append(end)
+    found = run_stream(spark, tmp_path, None, latch_of, files)
+    table = spark.createDataFrame(rows, SCHEMA)
+    batch = events.sr_latch(table.where("seq % 2 = 0"), table.where("seq % 2 = 1"), ["k"]).where("seq >= 0")
+    assert plain(found, "k", "ts_ns", "value") == plain(batch, "k", "ts_ns", "value")
+
+
+@pytest.mark.parametrize("late", ["drop", "clamp"])
+def test_late_rows_in_a_stream(spark, tmp_path, late):
+    files = [[row(1, 10, 0), row(1, 20, 1)], [row(1, 100, 2)], [row(1, 5, 3), row(1, 99, 5)], [(1, 100 * S, 0, False, True, None)]]
+    build = lambda s: o.apply_ordered(o.stream_rows(s, ["k"], 0, "1 second"), ["k"], o.counter_step(), "ts_ns long, seq long, value long", late=late)
+    found = plain(run_stream(spark, tmp_path, None, build, files), "ts_ns", "seq", "value")
+    moved = [(20 * S, 3, 3)] if late == "clamp" else []
+    n = 3 + len(moved)
+    assert found == sorted([(10 * S, 0, 1), (20 * S, 1, 2), *moved, (99 * S, 5, n), (100 * S, 2, n + 1)], key=str)
+
+
+def test_mark_releases_without_being_a_row(spark, tmp_path):
+    def build(source):
+        marked = source.withColumns({"is_mark": F.col("is_end"), "is_end": F.lit(False)})
+        return latch_of(marked)
+
+    files = [[row(1, 1, 0)], [(2, 100 * S, 0, False, True, None)], [(2, 200 * S, 0, False, True, None)]]
+    assert plain(run_stream(spark, tmp_path, None, build, files), "k", "value") == [(1, True)]
+
+
+def test_user_step_as_a_stream(spark, tmp_path):
+    from pulseframe.functions.udf import stream_step
+
+    step = lambda state, r: [{"ts_ns": r["ts_ns"], "seq": r["seq"], "big": r["big"]}]
+    finish = lambda state: [{"ts_ns": -1, "seq": -1, "big": None}]
+    operator = stream_step(step, "ts_ns long, seq long, big long", late="drop", finish=finish)
+    build = lambda s: operator(o.stream_rows(s.withColumn("big", F.expr("if(seq = 1, null, (1L << 60) + seq)")), ["k"], big="big"), ["k"])
+    files = [[row(1, 1, 0), row(1, 2, 1)], [row(1, 90, 2)], [row(1, 3, 7)], [(1, 90 * S, 0, False, True, None)]]
+    found = plain(run_stream(spark, tmp_path, None, build, files), "seq", "big")
+    # the row of 3 s comes after the watermark, but nothing later of its key was applied, so it isn't late
+    assert found == sorted([(-1, None), (0, 1 << 60), (1, None), (2, (1 << 60) + 2), (7, (1 << 60) + 7)], key=str)
+
+
+def test_state_touched_by_a_batch_does_not_grow_with_what_waits():
+    """A processor over a state that counts its calls: a batch of one row costs the same whether 10 or 10,000 rows wait."""
+    import pandas as pd
+
+    class State(dict):
+        calls = 0
+
+        def touch(self):
+            State.calls += 1
+
+        def getValue(self, k):  # noqa: N802
+            self.touch()
+            return self[k]
+
+        def containsKey(self, k):  # noqa: N802
+            self.touch()
+            return k in self
+
+        def updateValue(self, k, v):  # noqa: N802
+            self.touch()
+            self[k] = v
+
+        def exists(self):
+            return () in self
+
+        def get(self):
+            self.touch()
+            return self[()]
+
+        def update(self, v):
+            self.touch()
+            self[()] = v
+
+    class Handle:
+        def registerTimer(self, at):  # noqa: N802
+            State.calls += 1
+
+    class Times:
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 0
+
+    costs = []
+    for waiting in (10, 10_000):
+        p = o.Ordered(["k"], ["k"], o.latch_step, "drop", None, None, 1, 1000, 0, [])
+        p.handle, p.head, p.own, p.slots, p.rows = Handle(), State(), State(), State(), State()
+        frame = lambda first, n: pd.DataFrame([{"k": 1, "ts_ns": (first + i) * S, "seq": i, "side": 0, "is_end": False, "is_mark": False, "end_rows": 0} for i in range(n)])
+        list(p.handleInputRows((1,), iter([frame(1, waiting)]), Times()))
+        before = State.calls
+        list(p.handleInputRows((1,), iter([frame(waiting + 1, 1)]), Times()))
+        costs.append((State.calls - before, len(p.head[()][0])))
+    assert costs[0][0] == costs[1][0] and costs[1][1] < costs[0][1] + 20
+
+
 def drive(step, rows, finish=None):
     """A step over rows in the order that the processor applies them in."""
     state, out = {}, []
