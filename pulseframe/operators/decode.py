@@ -110,7 +110,7 @@ def spi_samples(
     if "_cs" not in rows.columns:
         return found.select(*keys, TS, SEQ, F.lit(NEVER).cast("long").alias("_start"), F.lit(None).cast("long").alias("_end"), *bits)
     window = F.col("_held_cs.x")
-    return found.select(*keys, TS, SEQ, window["start"].alias("_start"), window["end"].alias("_end"), *bits).where("_start is not null")
+    return found.select(*keys, TS, SEQ, window["start"].alias("_start"), window["end"].alias("_end"), *bits).where(f"_start is not null and (_end is null or {TS} < _end)")
 
 
 def _spi_cells(samples: DataFrame, keys: Sequence[str], bits: int, bucket_ns: int | None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.timeline import along, count
+from ..sources.blocks import pack_levels
 
 KEYS = ["user_id"]
 #: Start of the timelines: nothing in the event table is earlier.
@@ -110,6 +111,28 @@ def parallel_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Da
     return strobe, data, enable
 
 
+def packed_lines(rows: DataFrame, samples: int, bits: Sequence[Column], step_ns: int, per_block: int) -> DataFrame:
+    """Packed blocks of the channels ``bits``, for each of ``rows(c_nationkey, n, ...)`` so many samples j in order of n."""
+    cells = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("position", (F.col("n") - 1) * samples + F.col("j"))
+    channel = F.posexplode(F.array(*bits)).alias("channel", "bit")
+    return pack_levels(cells.select("c_nationkey", "position", channel), ["c_nationkey", "channel"], "position", "bit", step_ns, per_block)
+
+
+def spi_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer keys on the serial bus of :func:`spi_lines` as packed samples of 10 ns; channels clock, cs, mosi, miso."""
+    rows = row_numbers(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], ["c_custkey"], 1 << 14, "n")
+    high = F.expr("shiftright(c_custkey, 23 - int(greatest(least((j - 2) div 2, 23), 0))) & 1") == 1
+    clock = F.expr("j >= 3 and j < 51 and j % 2 = 1")
+    return packed_lines(rows, 100, [clock, F.col("j") >= 60, high, ~high], 10, 4096)
+
+
+def parallel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer keys on the bus of :func:`parallel_lines` as packed samples of 5 ns; channels 0 to 7 data, 8 strobe, 9 enable."""
+    rows = row_numbers(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], ["c_custkey"], 1 << 14, "n")
+    data = [F.expr(f"shiftright(c_custkey, 8 * int(least(j div 4, 2)) + {i}) & 1") == 1 for i in range(8)]
+    return packed_lines(rows, 20, [*data, F.expr("j < 12 and j % 4 = 2"), F.expr("c_custkey % 5 <> 0")], 5, 1024)
+
+
 def uart_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The UTF-8 bytes of each conversation turn as an 8N1 line of 1 Mbaud, key (conv_id, turn)."""
     text = F.hex(F.encode(F.col("text"), "utf-8"))

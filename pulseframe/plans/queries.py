@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formats
 from ..operators import decode, events, imaging, levels, retrieval, text, trigger, words
 from ..operators.timeline import as_of, carried, changes, greedy, numbered
-from ..sources import blocks, sinks
+from ..sources import blocks, packed, sinks
 from . import bindings as b
 from .bindings import HOUR, KEYS, T0
 
@@ -461,6 +461,21 @@ def p3_parallel_bus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.parallel_bus(strobe, data, ["c_nationkey"], cycles=3, enable=enable).drop("seq")
 
 
+@query(
+    "+ c AS (SELECT c_nationkey, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) * 1000 AS t FROM customer) "
+    "SELECT c_nationkey, line, t + 30 AS ts_ns, 460::BIGINT AS duration_ns, CASE line WHEN 'mosi' THEN c_custkey ELSE 16777215 - c_custkey END AS value FROM c CROSS JOIN (VALUES ('mosi'), ('miso')) l(line)"
+)
+def p2_packed_spi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The serial bus as packed samples of 10 ns, decoded without exploding them."""
+    return packed.spi(b.spi_blocks(spark, sf_dir), ["c_nationkey"], 0, 1, {"mosi": 2, "miso": 3}, bits=24).drop("seq")
+
+
+@query("+ c AS (SELECT c_nationkey, c_custkey, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) * 100 AS t FROM customer) SELECT c_nationkey, t + 10 AS ts_ns, 40::BIGINT AS duration_ns, c_custkey AS value FROM c WHERE c_custkey % 5 <> 0")
+def p3_packed_parallel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parallel bus as packed samples of 5 ns, decoded without exploding them."""
+    return packed.parallel_bus(b.parallel_blocks(spark, sf_dir), ["c_nationkey"], 8, range(8), cycles=3, enable=9).drop("seq")
+
+
 @query(
     """+ s AS (SELECT s_nationkey, s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) * 10000 AS t FROM supplier)
 SELECT s_nationkey, t + 100 AS ts_ns, 'START' AS kind, NULL::BIGINT AS value FROM s UNION ALL SELECT s_nationkey, t + 4100, 'STOP', NULL FROM s

@@ -9,12 +9,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.formats import step_of
 from ..operators.timeline import same_parts
 from ..schema import BLOCKS, CAPTURES, SEQ, TS, StreamError
+from .packed import bits_before
 
 UNITS = {"GHz": 1e9, "MHz": 1e6, "KHz": 1e3, "kHz": 1e3, "Hz": 1.0}
 
@@ -200,16 +201,14 @@ def pack_levels(samples: DataFrame, keys: Sequence[str], position: str, bit: str
 def block_levels(blocks: DataFrame, keys: Sequence[str], max_samples: int | None = None) -> DataFrame:
     """Level stream of packed blocks: a row at the start of each run, at position times step.
 
-    Runs are found in each block by array operations; a block's first row is dropped if the block before ends
-    with that value, which a window over one row per block tells.
+    Runs are found in each block by array operations, where the block lies; a block's first row is dropped if the block before ends
+    with that value. That bit comes from a window over a few bytes of each block, joined back by start position: packed samples
+    are not brought together by channel.
     """
     rows = blocks if max_samples is None else blocks.where(F.col("start_pos") < max_samples).withColumn("n", F.least("n", (F.lit(max_samples) - F.col("start_pos")).cast("int")))
-    w = Window.partitionBy(*keys).orderBy("start_pos")
-    size = F.floor((F.col("n") - 1) / 8).cast("int")
-    last_byte = F.conv(F.hex(F.substring(F.col("data"), size + 1, F.lit(1))), 16, 10).cast("int")
-    last = F.expr("shiftright(_last_byte, (n - 1) % 8) & 1")
-    rows = rows.withColumn("_last_byte", last_byte).withColumn("_last", last).withColumn("_before", F.lag("_last").over(w))
-    held = rows.select(*keys, "start_pos", "n", "step_ns", "data", "_before")
+    rows = rows.where("n > 0")
+    known = same_parts(rows, bits_before(rows, keys, {"_before": "data"}), [*keys, "start_pos"], "left")
+    held = known.select(*keys, "start_pos", "n", "step_ns", "data", "_before")
     schema = held.select(*keys).schema.add(TS, "long").add(SEQ, "long").add("value", "boolean")
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,37 +50,47 @@ def uart_step(baud: float, data_bits: int = 8, parity: str = "none", stop_bits:
     return step, lambda state: read(state, None)
 
 
-def spi_step(lines: list[str], mode: int = 0, bits: int = 8, cs_active: str = "low", msb_first: bool = True) -> Step:
-    """Clock (side 0), chip select (side 1) and data lines (side 2 on), all as ``level``: line, ts_ns, seq, duration_ns, value, window_ns of each whole word."""
+def spi_step(lines: list[str], mode: int = 0, bits: int = 8, cs_active: str = "low", msb_first: bool = True) -> tuple[Step, Finish]:
+    """Clock (side 0), chip select (side 1) and data lines (side 2 on), all as ``level``: line, ts_ns, seq, duration_ns, value, window_ns of each whole word.
+
+    An edge counts once a later row shows that its window didn't end at that time.
+    """
     rising = mode in (0, 3)
 
+    def count(state: dict) -> list[dict]:
+        at, values = state.pop("edge", (None, None))
+        window = state.get("window")
+        if at is None or window is None:
+            return []
+        k = window["n"] % bits
+        if k == 0:
+            window["first"], window["values"] = at, [0] * len(lines)
+        for i, value in enumerate(values):
+            window["values"][i] |= value << (bits - 1 - k if msb_first else k)
+        window["n"] += 1
+        if window["n"] % bits:
+            return []
+        word = {TS: window["first"], SEQ: window["n"] // bits - 1, "duration_ns": at - window["first"], "window_ns": window["start"]}
+        return [word | {"line": name, "value": signed(window["values"][i])} for i, name in enumerate(lines)]
+
     def step(state: dict, row: dict) -> list[dict]:
         level, side = bool(row["level"]), row["side"]
+        out = count(state) if "edge" in state and row[TS] > state["edge"][0] else []
         if side > 1:
             state[f"line{side - 2}"] = level
-            return []
+            return out
         before = state.get(side)
         state[side] = level
         if side == 1:
             if before != level and cs_active != "disabled":
                 state["window"] = {"start": row[TS], "n": 0} if level == (cs_active == "high") else None
-            return []
-        window = {"start": -1, "n": 0} if cs_active == "disabled" else None
-        window = state.setdefault("window", window)
-        if before is None or before == level or level != rising or window is None:
-            return []
-        k = window["n"] % bits
-        if k == 0:
-            window["first"], window["values"] = row[TS], [0] * len(lines)
-        for i in range(len(lines)):
-            window["values"][i] |= int(state.get(f"line{i}", False)) << (bits - 1 - k if msb_first else k)
-        window["n"] += 1
-        if window["n"] % bits:
-            return []
-        word = {TS: window["first"], SEQ: window["n"] // bits - 1, "duration_ns": row[TS] - window["first"], "window_ns": window["start"]}
-        return [word | {"line": name, "value": signed(window["values"][i])} for i, name in enumerate(lines)]
+            return out
+        window = state.setdefault("window", {"start": -1, "n": 0} if cs_active == "disabled" else None)
+        if before is not None and before != level and level == rising and window is not None:
+            state["edge"] = (row[TS], [int(state.get(f"line{i}", False)) for i in range(len(lines))])
+        return out
 
-    return step
+    return step, count
 
 
 def parallel_step(width: int, mode: str = "rising", cycles: int = 1, little_endian: bool = True, enable_high: bool | None = None, cs_active: str | None = None) -> Step:

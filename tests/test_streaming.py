@@ -262,7 +262,8 @@ def test_serial_decoders(lines):
         step, finish = d.uart_step(1e8, **settings)
         same(drive(step, sides(own[0]), finish), decode.uart(tables[0], ["k"], 1e8, **settings), "ts_ns", "duration_ns", "value", "framing_error", "parity_error")
     for settings in ({}, {"mode": 1, "msb_first": False, "cs_active": "high"}, {"cs_active": "disabled"}):
-        out = drive(d.spi_step(["mosi", "miso"], bits=3, **settings), sides(*own))
+        step, finish = d.spi_step(["mosi", "miso"], bits=3, **settings)
+        out = drive(step, sides(*own), finish)
         same(out, decode.spi(tables[0], tables[1], {"mosi": tables[2], "miso": tables[3]}, ["k"], bits=3, **settings), "line", "ts_ns", "seq", "duration_ns", "value", "window_ns")
     step, finish = d.i2c_step()
     same(drive(step, sides(own[0], own[1]), finish), decode.i2c(tables[0], tables[1], ["k"]), "ts_ns", "end_ns", "kind", "value", "acked")
