@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import formats, payload, udf
 from ..operators import decode, levels, retrieval, trigger, words
-from ..sources import blocks, sinks
+from ..sources import blocks, capture_source, sinks
 from ..shared import shared_path
 from ..streaming import decoders as d
 from ..streaming import ordered as o
@@ -51,6 +51,29 @@ def s2_sr_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.block_levels(blocks.capture_blocks(spark, written(spark, sf_dir, "sr"), "sr"), ["channel"])
 
 
+@query(BUS + " SELECT channel, position * 10 AS ts_ns, position AS seq, bit AS value FROM y WHERE channel = 2 AND position >= 8192 AND (bit <> p OR position = 8192)")
+def s1_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One channel from its second block on, through the data source: other entries of the archive aren't read."""
+    capture_source.register(spark)
+    own = spark.read.format("pulse_dsl").load(written(spark, sf_dir, "dsl"))
+    return blocks.block_levels(own.where("channel = 2 AND start_pos >= 8192"), ["channel"])
+
+
+@query(BUS + RUNS)
+def s5_follower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A growing capture of the bus, followed by three runs of one streaming query: block files come in another order than their positions."""
+    capture_source.register(spark)
+    packed = blocks.pack_levels(b.bus_bits(spark, sf_dir), ["channel"], "position", "bit", 10, 4096).withColumn("capture_id", F.lit("bus"))
+    packed = packed.withColumn("step", F.pmod(F.xxhash64("channel", "block"), F.lit(3)))
+    folder = shared_path(spark, "growing")
+    packed.write.partitionBy("step").parquet(f"{folder}/all")
+    for i in range(3):
+        spark.read.schema(packed.schema).parquet(f"{folder}/all").where(F.col("step") == i).drop("step").write.mode("append").parquet(f"{folder}/in")
+        rows = spark.readStream.format("pulse_blocks").option("path", f"{folder}/in").option("channels", "4").load()
+        found = run_stream(spark, o.follow_levels(rows, ["channel"]), f"{folder}/stream")
+    return found
+
+
 @query(
     """+ n AS (SELECT count(*) AS n FROM lineitem)
 SELECT kind, 4 AS total_probes, 100000000::BIGINT AS samplerate_hz, n AS total_samples, (n + 8191) // 8192 AS total_blocks, least(n, 8192) AS samples_per_block, 'low,next,third,top' AS names,
@@ -228,9 +251,9 @@ def stream_of(spark: SparkSession, rows: DataFrame, keys: list[str], parts: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}-in")
 
 
-def run_stream(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    """The whole result of a stream over bounded input, written to the shared folder and read back."""
-    folder = shared_path(spark, "stream")
+def run_stream(spark: SparkSession, rows: DataFrame, folder: str | None = None) -> DataFrame:
+    """The whole result of a stream over what there is of its input, written to the shared folder (or on to ``folder``) and read back."""
+    folder = folder or shared_path(spark, "stream")
     writer = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append")
     writer.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{folder}/out")

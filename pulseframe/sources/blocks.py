@@ -5,7 +5,7 @@ from __future__ import annotations
 import configparser
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +123,18 @@ def archive_entries(spark: SparkSession, path: str, kind: str) -> DataFrame:
     return _archives(spark, path).mapInArrow(read, ENTRY)
 
 
+def entry_blocks(held: zipfile.ZipFile, entry: dict, wanted: Callable[[int], bool] = lambda channel: True) -> Iterator[tuple]:
+    """The blocks of one entry, a row for each wanted channel in it."""
+    data = held.read(entry["name"])
+    place = (entry["block"], entry["start_pos"], entry["n"], entry["step_ns"])
+    if entry["channel"] >= 0:
+        yield entry["capture_id"], entry["channel"], *place, data
+        return
+    samples = np.frombuffer(data, np.uint8).reshape(-1, entry["unit"])
+    for c in filter(wanted, range(entry["probes"])):
+        yield entry["capture_id"], c, *place, np.packbits(samples[:, c // 8] >> (c % 8) & 1, bitorder="little").tobytes()
+
+
 def capture_blocks(spark: SparkSession, path: str, kind: str, max_samples: int | None = None) -> DataFrame:
     """The blocks of capture files below a path, ``kind`` dsl or sr.
 
@@ -132,16 +144,6 @@ def capture_blocks(spark: SparkSession, path: str, kind: str, max_samples: int |
     names = BLOCKS.fieldNames()
     types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
 
-    def blocks_of(held: zipfile.ZipFile, row: dict) -> Iterator[tuple]:
-        data = held.read(row["name"])
-        place = (row["block"], row["start_pos"], row["n"], row["step_ns"])
-        if row["channel"] >= 0:
-            yield row["capture_id"], row["channel"], *place, data
-            return
-        samples = np.frombuffer(data, np.uint8).reshape(-1, row["unit"])
-        for c in range(row["probes"]):
-            yield row["capture_id"], c, *place, np.packbits(samples[:, c // 8] >> (c % 8) & 1, bitorder="little").tobytes()
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, rows, size = None, None, [], 0
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
@@ -151,7 +153,7 @@ def capture_blocks(spark: SparkSession, path: str, kind: str, max_samples: int |
                     if held is not None:
                         held.close()
                     at, held = entry["capture_id"], open_archive(entry["capture_id"])
-                for row in blocks_of(held, entry):
+                for row in entry_blocks(held, entry):
                     rows.append(row)
                     size += len(row[-1])
                     if size >= BATCH_BYTES:

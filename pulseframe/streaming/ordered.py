@@ -245,18 +245,36 @@ def together(inputs: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def followed_blocks(spark: Any, folder: str, schema: Any, files_per_batch: int = 16) -> DataFrame:
-    """The block files of a growing capture as a stream: committed files of a folder, each taken once.
+class InOrder(StatefulProcessor):
+    """Applies a step at once to rows that come in order from batch to batch, and are sorted within one."""
+
+    def __init__(self, keys: Sequence[str], columns: Sequence[str], step: Step):
+        self.keys, self.columns, self.step = list(keys), list(columns), step
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.own = handle.getValueState("own", "data binary")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = pickle.loads(self.own.get()[0]) if self.own.exists() else {}
+        held = sorted((row for frame in rows for row in frame.to_dict("records")), key=lambda r: (r[TS], r[SEQ]))
+        out = [dict(zip(self.keys, key, strict=True)) | x for row in held for x in self.step(state, row)]
+        self.own.update((pickle.dumps(state),))
+        for i in range(0, len(out), FRAME_ROWS):
+            yield pd.DataFrame(out[i : i + FRAME_ROWS], columns=self.columns, dtype=object)
 
-    Feed it to :func:`stream_rows` with ``block_rows`` and :func:`block_step`; a row's offset is its ``seq``, the raw position.
-    """
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").parquet(folder)
 
+def follow_levels(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The level stream of a growing capture's blocks (``readStream.format("pulse_blocks")``): each batch adds the runs of the newly committed positions.
 
-def block_rows(blocks: DataFrame, keys: Sequence[str], delay: str = "0 seconds") -> DataFrame:
-    """Packed blocks as rows at the time of their first position."""
-    placed = blocks.withColumns({TS: F.col("start_pos") * F.col("step_ns"), SEQ: F.col("start_pos")})
-    return stream_rows(placed, keys, 0, delay, start_pos="start_pos", n="n", step_ns="step_ns", data="data")
+    The committed prefix brings a channel's blocks in order, so nothing waits; the state is the last bit of each channel.
+    """
+    spark = blocks.sparkSession
+    if "RocksDB" not in spark.conf.get(STORE, ""):
+        spark.conf.set(STORE, ROCKS)
+    kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    rows = blocks.select(*keys, (F.col("start_pos") * F.col("step_ns")).alias(TS), F.col("start_pos").alias(SEQ), "start_pos", "n", "step_ns", "data")
+    ddl = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{TS} long, {SEQ} long, value boolean"])
+    return rows.groupBy(*keys).transformWithStateInPandas(InOrder(keys, [*keys, TS, SEQ, "value"], block_step), ddl, "Append", "None")
 
 
 def latch_step(state: dict, row: dict) -> list[dict]:
