@@ -68,9 +68,22 @@ PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6".split())
 NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 PLAIN = re.compile(r"[^>\"']*")
 RAW_END = {x: re.compile(f"</{x}\\b", re.I) for x in RAW}
+#: Attributes that keep an element from being shown.
+HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=]|/?$)|\baria-hidden\s*=\s*["']?true|\bstyle\s*=\s*(?:"[^"]*|'[^']*|[^\s"'>]*)(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
+#: How calls to the reader begin, by language. Such a block of at most CALL words is no main text wherever it stands.
+CALLS = re.compile(
+    r"""(?:subscribe\s(?:to|now|today|for)|sign\sup\s(?:for|to|now|today)|share\s(?:this|on|via)|follow\sus|like\sus\son|buy\snow|shop\snow|order\snow|click\shere|read\smore|learn\smore
+    |download\s(?:our|the)\sapp|get\sour\s(?:app|newsletter)|advertisement\b|sponsored\b|jetzt\s(?:kaufen|bestellen|abonnieren)|abonnieren\ssie|folgen\ssie\suns|mehr\slesen|anzeige$
+    |abonnez-vous|achetez\smaintenant|partagez\s(?:cet|sur)|suivez-nous|lire\sla\ssuite|publicité\b|suscríbete|compra\sahora|comparte\sen|síguenos|leer\smás|publicidad\b)""",
+    re.I | re.X,
+)
+CALL = 24
+#: Within an article a long block of few stop words is no text of it if more than this share of its words is in links.
+SOME_LINKS = 0.1
+
 #: A block of so many words is long enough to be told from boilerplate by having no stop words, of so many by having them.
 LONG, MEDIUM = 14, 6
 LOW_DENSITY, HIGH_DENSITY = 0.08, 0.12
@@ -289,7 +302,8 @@ def read_blocks(page: str) -> tuple[list[Block], list[Mark]]:
             marked[here.mark].headings += name == "h1"
             marked[here.mark].of_page += name in OF_PAGE
         off = here.off or name in ASIDE or name == "header" and not here.main
-        stack.append(Place(name, off, mark, here.main or name in MAIN, here.silent or name in SILENT))
+        hidden = bool(rest) and name not in ("body", "html") and HIDDEN.search(rest) is not None
+        stack.append(Place(name, off, mark, here.main or name in MAIN, here.silent or name in SILENT or hidden))
         is_open[name] += 1
     flush()
     for x in reversed(marked[1:]):
@@ -317,6 +331,8 @@ def classify(block: Block, known: bool) -> bool | None:
     """
     if block.linked > LINK_DENSITY * block.n or "©" in block.text and block.n < NOTICE and not block.main:
         return False
+    if block.n <= CALL and CALLS.match(block.text):
+        return False
     if block.n < MEDIUM:
         return None
     if block.stops >= HIGH_DENSITY * block.n:
@@ -325,7 +341,7 @@ def classify(block: Block, known: bool) -> bool | None:
         return None
     if not known or not block.text.isascii() and 2 * len(LATIN.findall(block.text)) < sum(map(str.isalpha, block.text)):
         return True
-    return None if block.main or block.stops >= LOW_DENSITY * block.n else False
+    return None if block.stops >= LOW_DENSITY * block.n or block.main and block.linked <= SOME_LINKS * block.n else False
 
 
 def in_known_language(found: list[Block], aside: list[bool]) -> bool:
@@ -384,6 +400,7 @@ def inherit(found: list[Block], labels: list[bool | None], aside: list[bool]) ->
     """Second pass: an open block takes the label of the nearest decided block of its region, good if two are equally near.
 
     Within an article what stands aside of it doesn't count. A region without a decided block is main text if it is an article or main element.
+    On a page without any main text all open blocks are.
     """
     near: list[list[int]] = [[] for _ in found]
     for step in (1, -1):
@@ -399,6 +416,9 @@ def inherit(found: list[Block], labels: list[bool | None], aside: list[bool]) ->
             least = min((abs(i - j) for j in near[i]), default=0)
             label = any(labels[j] for j in near[i] if abs(i - j) == least) if near[i] else found[i].main
         out.append(label)
+    if not any(out):
+        # nothing on the page is decided to be main text: what is left open is, or short pages would be empty
+        out = [label is None for label in labels]
     return out
 
 
