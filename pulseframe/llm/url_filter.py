@@ -89,15 +89,18 @@ def split_url(url: str | None) -> tuple[str, str]:
     return rest[:end].translate(LOWER), tail[:stop]
 
 
-def candidates(host: str, path: str, lengths: Sequence[int]) -> Iterator[str]:
-    """The host and its parent domains with each prefix of the path that has a rule's length."""
-    while True:
-        for n in lengths:
-            if n <= len(path):
-                yield host + path[:n]
-        _, dot, host = host.partition(".")
-        if not dot:
-            return
+def candidates(host: str, path: str, lengths: Sequence[int], labels: int, longest: int) -> Iterator[str]:
+    """The host and its parent domains of at most ``labels`` labels and ``longest`` characters with each prefix of the path that has a rule's length.
+
+    No rule has more, so the number and size of candidates depend on the rules and not on the url.
+    """
+    own = host[-longest - 1 :].rsplit(".", labels)[-labels:] if labels else []
+    names = [".".join(own[i:]) for i in range(len(own))]
+    for name in names:
+        if len(name) <= longest and (len(name) == len(host) or host[-len(name) - 1] == "."):
+            for n in lengths:
+                if n <= len(path):
+                    yield name + path[:n]
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow") -> DataFrame:
@@ -105,7 +108,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow")
 
     A rule fits its host and all subdomains if the url's path starts with the rule's; of those that fit the
     longest string host + path decides, else ``default``. Of rules for one host and path the last counts. A null or
-    empty url, or one without ``://``, has an empty host and path and no rule. Rows that repeat are each judged; other
+    empty url, or one without ``://``, has an empty host and path and no rule. Hosts and paths of any length are judged in time and memory that grow with their length alone. Rows that repeat are each judged; other
     columns are not looked at. An empty table gives an empty result. The rules go to every executor as files of at
     most FILE_RULES rules each; they are mapped and not loaded.
     """
@@ -113,6 +116,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow")
     actions = {(host.lower() + path): (action, host, path) for action, host, path in rules}
     rules = sorted(actions.values())
     lengths = sorted({len(path) for _, _, path in rules})
+    labels, longest = max((host.count(".") + 1 for _, host, _ in rules), default=0), max((len(host) for _, host, _ in rules), default=0)
     names: list[list[str]] = []
     for begin in range(0, max(len(rules), 1), FILE_RULES):
         names.append([])
@@ -131,7 +135,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[Rule], default: str = "allow")
             parts = [split_url(x) for x in batch.column(1).to_pylist()]
             keys, owner = [], []
             for i, (host, path) in enumerate(parts):
-                own = list(candidates(host, path, lengths)) if host else []
+                own = list(candidates(host, path, lengths, labels, longest)) if host else []
                 keys += own
                 owner += [i] * len(own)
             best: list[tuple[str, str] | None] = [None] * len(parts)
