@@ -16,9 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .common import is_held_out, is_learnable, materialize, unit_hash
 from .mixing import hashed_unit
@@ -130,8 +132,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
 
 def kth_highest(keys: DataFrame, k: int) -> int | None:
-    """The k-th highest value of the 63-bit column ``key``, found by four rounds of counting in at most 2^16 bins."""
-    low, left = 0, k
+    """The k-th highest value of the LONG column ``key``, found by four rounds of counting in at most 2^16 bins."""
+    low, left = -(1 << 63), k
     for shift in (48, 32, 16, 0):
         part = F.shiftright("key", shift)
         bins = keys.where((F.col("key") >= low) & (F.col("key") <= F.lit(low + (1 << (shift + 16)) - 1 if shift < 48 else (1 << 63) - 1)))
@@ -147,6 +149,24 @@ def kth_highest(keys: DataFrame, k: int) -> int | None:
     return low
 
 
+def _descending(name: str) -> Column:
+    """A LONG that is higher the smaller the number is; null counts as 0."""
+    return F.bitwise_not(F.coalesce(name, F.lit(0).cast("long")))
+
+
+def sortable_bits(x: np.ndarray) -> np.ndarray:
+    """64-bit integers that order as the doubles do, every two different ones apart: the bits, those of negative numbers turned round."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, bits ^ np.int64((1 << 63) - 1), bits)
+
+
+def _sortable(x: Column) -> Column:
+    def bits(values: pd.Series) -> pd.Series:
+        return pd.Series(sortable_bits(values.to_numpy(np.float64)))
+
+    return F.pandas_udf(bits, LongType())(x)
+
+
 def resample(docs: DataFrame, ratio: np.ndarray, keep: float, seed: int = 3, temper: float = 1.0) -> DataFrame:
     """doc_id, held_out, log_weight, sample_key, kept for every row of ``docs(doc_id, text, ...)``.
 
@@ -166,12 +186,7 @@ def resample(docs: DataFrame, ratio: np.ndarray, keep: float, seed: int = 3, tem
         return scored.select("doc_id", "held_out", "log_weight", "sample_key", kept.alias("kept"))
     above, at = scored.agg(F.count_if(F.col("key") > limit), F.count_if(F.col("key") == limit)).first()
     ties = scored.where(F.col("key") == limit)
-    last = kth_highest(ties.select((F.lit((1 << 62)) - F.coalesce("doc_id", F.lit(0).cast("long"))).alias("key")), k - above) if above + at > k else None
+    last = kth_highest(ties.select(_descending("doc_id").alias("key")), k - above) if above + at > k else None
     kept = F.col("key") > limit
-    tie = F.lit(True) if last is None else (F.lit(1 << 62) - F.coalesce("doc_id", F.lit(0).cast("long"))) >= last
+    tie = F.lit(True) if last is None else _descending("doc_id") >= last
     return scored.select("doc_id", "held_out", "log_weight", "sample_key", (kept | ((F.col("key") == limit) & tie)).alias("kept"))
-
-
-def _sortable(x: Column) -> Column:
-    """A number from 0 below 2^63 that orders as the double does, to 1e-9."""
-    return (F.greatest(F.least(x, F.lit(1e9)), F.lit(-1e9)) * F.lit(1e9) + F.lit(2e18)).cast("long")
