@@ -27,6 +27,8 @@ DENSE_ROWS = 256
 LEARN_ROWS = 4000
 LEARN_PER_LANGUAGE = 800
 LEAST_PER_LANGUAGE = 5
+#: Values of lang that are learned; of more the most frequent ones.
+LEARN_LANGUAGES = 1_000
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
@@ -109,11 +111,11 @@ def spherical_kmeans(vectors: np.ndarray, k: int, seed: int, rounds: int = 12) -
 
 def learn(docs: DataFrame, per_language: int = LEARN_PER_LANGUAGE, centroids: int = 4, reject: float = 0.0005, seed: int = 11) -> LanguageModel:
     """Fit on at most about ``per_language`` texts of each lang among the learnable rows, taken by a hash of doc_id, and
-    ``LEARN_ROWS`` in all (``LEAST_PER_LANGUAGE`` each, if that is more). Only n-gram counts of these texts reach the driver. A text is rejected later if its cosine is below half
+    ``LEARN_ROWS`` in all (``LEAST_PER_LANGUAGE`` each, if that is more), of the ``LEARN_LANGUAGES`` values of lang that most rows have. Only n-gram counts of these texts reach the driver. A text is rejected later if its cosine is below half
     the ``reject`` quantile of the learning texts of its length or a longer class, or of the longest learned class if it is longer.
     """
     rows = docs.where(is_learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LEARN_LANGUAGES).toArrow()
     per_language = min(per_language, max(LEARN_ROWS // max(len(sizes), 1), LEAST_PER_LANGUAGE))
     shares = docs.sparkSession.createDataFrame(sizes.to_pylist(), "lang string, n long").withColumn("share", F.lit(float(per_language)) / F.col("n"))
     taken = rows.join(F.broadcast(shares), "lang").where(unit_hash(F.col("doc_id"), seed) < F.col("share")).select("lang", "text", "doc_id")
@@ -133,7 +135,9 @@ def learn(docs: DataFrame, per_language: int = LEARN_PER_LANGUAGE, centroids: in
                     names=["doc_id", "lang", "at", "n"],
                 )
 
-    found = taken.mapInArrow(count, "doc_id long, lang string, at binary, n binary").where("length(at) > 0").toArrow().sort_by("doc_id")
+    found = taken.mapInArrow(count, "doc_id long, lang string, at binary, n binary").where("length(at) > 0").toArrow()
+    # rows of one id and lang are told apart by their n-grams, so that the model follows neither order nor partitions
+    found = found.sort_by([(c, "ascending") for c in ("doc_id", "lang", "at", "n")])
     labels = np.array(found.column("lang").to_pylist(), object)
     counts = np.zeros((len(labels), BUCKETS), np.float32)
     for i, (at, n) in enumerate(zip(found.column("at").to_pylist(), found.column("n").to_pylist(), strict=True)):
