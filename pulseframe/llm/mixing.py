@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 
 #: A larger mean is drawn as a sum of independent equal parts of at most this mean.
 LARGEST_PART = 64.0
@@ -63,21 +63,20 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, alpha: float = 0.5, t
 
     ``copies`` is the document's count, ``copy`` numbers them from 1, rows come in the order of ``shuffle_key``
     (MD5 of seed, doc_id and copy) in partitions dealt by its hash. A document of count 0 has no row. A null
-    source is a source of its own, a null text has one unit, rows of one doc_id and source get one count. Input
-    columns named like the new ones, and rate_source, parts and cdf, are left out. An empty table gives an empty result.
+    source is a source of its own, a null text has one unit, rows of one doc_id and source get one count. All input
+    columns stay; a new column whose name is taken gets underscores before it. An empty table gives an empty result.
     """
+    of, n, table, copy, copies, shuffle_key = (fresh(docs, x) for x in ("rate_source", "parts", "cdf", "copy", "copies", "shuffle_key"))
     parts = F.greatest(F.ceil(F.col("rate") / LARGEST_PART), F.lit(1)).cast("int")
     rates = source_rates(docs, weights, alpha, total).withColumn("parts", parts)
-    rates = rates.select(F.col("source").alias("rate_source"), "parts", poisson_table(F.col("rate") / F.col("parts")).alias("cdf"))
+    rates = rates.select(F.col("source").alias(of), F.col("parts").alias(n), poisson_table(F.col("rate") / F.col("parts")).alias(table))
     rates = materialize(rates, "mixing-rates")
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    kept = [c for c in docs.columns if c not in ("copy", "copies", "shuffle_key", "rate_source", "parts", "cdf")]
-
     # each number is an element of an array first, so that it is hashed once and not for each entry of the table
-    drawn = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda j: hashed_unit(F.lit(seed), F.col("doc_id"), j))
-    joined = docs.select(*kept).join(rates, F.col("source").eqNullSafe(F.col("rate_source")))
-    counted = joined.withColumn("copies", F.aggregate(drawn, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col("cdf"), lambda c: c < u))))
-    copied = counted.where("copies > 0").select(*kept, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), "copies")
-    key = F.md5(F.concat_ws("|", F.lit("order"), F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")))
-    return copied.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    drawn = F.transform(F.sequence(F.lit(1), F.col(n)), lambda j: hashed_unit(F.lit(seed), F.col("doc_id"), j))
+    joined = docs.join(rates, F.col("source").eqNullSafe(F.col(of)))
+    counted = joined.withColumn(copies, F.aggregate(drawn, F.lit(0), lambda acc, u: acc + F.size(F.filter(F.col(table), lambda c: c < u))))
+    copied = counted.where(F.col(copies) > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies))).alias(copy), copies)
+    key = F.md5(F.concat_ws("|", F.lit("order"), F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col(copy).cast("string")))
+    return copied.withColumn(shuffle_key, key).repartition(shuffle_key).sortWithinPartitions(shuffle_key)

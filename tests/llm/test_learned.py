@@ -96,8 +96,32 @@ def test_exact_top_k_with_ties(spark):
     assert quality.resample(same, ratio, 0.5).where("kept").count() == 6
     assert quality.resample(same, ratio, 0.0).where("kept").count() == 0
     assert quality.resample(same, ratio, 1.0).where("kept").count() == 11
-    keys = spark.createDataFrame([(k,) for k in (5, 5, 9, 1 << 61, 7)], "key long")
-    assert [quality.kth_highest(keys, k) for k in (1, 2, 3, 4, 5, 6)] == [1 << 61, 9, 7, 5, 5, None]
+    keys = spark.createDataFrame([(k,) for k in (5, 5, 9, 1 << 61, -7, -(1 << 62))], "key long")
+    assert [quality.kth_highest(keys, k) for k in (1, 2, 3, 4, 5, 6, 7)] == [1 << 61, 9, 5, 5, -7, -(1 << 62), None]
+
+
+def test_keys_order_as_doubles_do(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=500) * 10.0 ** rng.integers(-300, 300, 500), [0.0, -0.0, 1.0, np.nextafter(1.0, 2), -1.0, np.nextafter(-1.0, 0), np.inf, -np.inf]])
+    bits = quality.sortable_bits(x)
+    assert (bits[x == 0] == 0).all() and ((x[:, None] < x[None]) == (bits[:, None] < bits[None])).all()
+    held = spark.createDataFrame([(1.0,), (1.0000001,), (-2.5,)], "x double").select(quality._sortable(F.col("x")).alias("k"), "x").orderBy("k").collect()
+    assert [r["x"] for r in held] == [-2.5, 1.0, 1.0000001]
+
+
+def test_language_model_with_repeated_ids(spark):
+    """Rows that share an id are learned alike in any order and partitions; of too many languages the most frequent ones are."""
+    rng = random.Random(6)
+    texts = texts_of_words(6, 120)
+    rows = [(rng.choice([3, 6, None]), t, rng.choice(["en", "de"])) for t in texts]
+    one, two = (language_id.learn(spark.createDataFrame(x, "doc_id long, text string, lang string").repartition(n)) for x, n in ((rows, 1), (rows[::-1], 7)))
+    assert one.languages == two.languages and np.array_equal(one.centroids, two.centroids) and np.array_equal(one.floor, two.floor)
+
+
+def test_languages_learned_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LEARN_LANGUAGES", 2)
+    rows = [(3 * i, f"some words of text {i}", lang) for i, lang in enumerate(["en"] * 9 + ["de"] * 8 + ["fr"] * 3)]
+    assert language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["de", "en"]
 
 
 def texts_of_words(seed, n):

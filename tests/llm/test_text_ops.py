@@ -220,3 +220,162 @@ def test_pipeline_stages(spark):
     empty = docs.where(F.lit(False))
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><h1>Hi</h1><p>Hello world.</p></body>", "Hi\nHello world."),
+        ("<nav><a href=/>Home</a></nav><div><h1>Storm hits coast</h1><p>Rain fell today.</p><p>Nobody was hurt.</p></div>", "Storm hits coast\nRain fell today.\nNobody was hurt."),
+        ("<div><p>Five people were hurt yesterday.</p></div>", "Five people were hurt yesterday."),
+        ("<ul><li><a href=1>One</a><li><a href=2>Two</a></ul><footer>© 2020</footer>", ""),
+    ],
+)
+def test_pages_of_short_blocks_keep_their_text(page, text):
+    assert html_text.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "promo",
+    [
+        "<p>Subscribe to our newsletter for more of the news that you like.</p>", "<p>Share this on Facebook</p>", "<div>Buy now the best shoes in town today only here</div>",
+        f"<p style='color:red; display: none'>{NOTE}</p>", f"<div hidden><p>{NOTE}</p></div>", f'<div aria-hidden="true">{NOTE}</div>', f"<p><a href=1>{NOTE}</a></p>",
+        "<p>Lamps chairs tables <a href=1>garden tools</a> windows doors roofs trees stones rivers clouds bricks tiles paint shop</p>",
+    ],
+)
+def test_promos_and_hidden_blocks_in_an_article(promo):
+    for name in ("article", "main"):
+        assert html_text.main_text(f"<{name}><p>{STORY}</p>{promo}<p>{STORY}</p></{name}>") == f"{STORY}\n{STORY}"
+
+
+def test_text_like_a_promo_stays():
+    for text in ("Share prices of the firm fell for a third day in a row.", "Subscribers to the paper read that the day was long.", "The hidden door of the house was open.", "Nes nes nes nes nes nes nes nes nes nes nes nes nes nes nes"):
+        assert html_text.main_text(f"<article><p>{STORY}</p><p>{text}</p></article>") == f"{STORY}\n{text}"
+
+
+def test_built_pages_without_article_elements():
+    """Pages of plain div elements with unmarked promos, menus and footers: nearly all of the story and little else; density rejects blocks."""
+    rng = random.Random(8)
+    stop = "the of and to in is that it was for".split()
+    plain = ["".join(rng.choices("bcdfglmnprst", k=1)) + "".join(rng.choices("aeioulnrst", k=rng.randrange(2, 7))) for _ in range(400)]
+    sentence = lambda n, share: " ".join(rng.choice(stop) if rng.random() < share else rng.choice(plain) for _ in range(n)).capitalize() + "."
+    kept = wanted = right = rejected = 0
+    for _ in range(150):
+        story = [sentence(rng.randrange(3, 40), 0.3) for _ in range(rng.randrange(3, 9))]
+        menu = "".join(f"<div><a href={i}>{rng.choice(plain)}</a></div>" for i in range(6))
+        promo = f"<p>{sentence(rng.randrange(16, 30), 0.0)}</p><p>Buy now {' '.join(rng.choices(plain, k=6))}</p>"
+        page = f"<body><div>{menu}</div><div>{''.join(f'<p>{x}</p>' for x in story)}</div><div>{promo}</div><div>© 2020 {rng.choice(plain)}</div>"
+        found, marked = html_text.read_blocks(page)
+        rejected += sum(html_text.classify(x, True) is False and not x.linked and "©" not in x.text and not html_text.CALLS.match(x.text) for x in found)
+        got, want = Counter(html_text.main_text(page).split("\n")), Counter(story)
+        kept, wanted, right = kept + sum(len(x.split()) * n for x, n in got.items()), wanted + sum(len(x.split()) * n for x, n in want.items()), right + sum(len(x.split()) * n for x, n in (got & want).items())
+    assert right > 0.97 * kept and right > 0.97 * wanted and rejected > 100
+    print(f"precision {right / kept:.4f} recall {right / wanted:.4f} rejected {rejected}")
+
+
+def test_url_of_many_labels_needs_little_memory():
+    import tracemalloc
+
+    host, path = "a." * 50_000 + "x.example.com", "/en/" + "b" * 1_000_000
+    tracemalloc.start()
+    found = list(url_filter.candidates(host, path, [1, 4], 3, 15))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found) == {h + p for h in ("com", "example.com", "x.example.com") for p in ("/", "/en/")} and peak < 1_000_000
+
+
+@given(st.lists(st.sampled_from(["a", "bb", "com", "example", ""]), min_size=1, max_size=6).map(".".join), st.sampled_from(["", "/", "/en/", "/es/x"]))
+def test_candidates_are_all_that_rules_can_name(host, path):
+    hosts = ["com", "example.com", "a.example.com", "bb"]
+    every = {".".join(host.split(".")[i:]) for i in range(host.count(".") + 1)}
+    want = {h + path[:n] for h in hosts if h in every for n in (1, 4) if n <= len(path)}
+    assert want <= set(url_filter.candidates(host, path, [1, 4], 3, 13)) <= {h + path[:n] for h in every for n in (1, 4) if n <= len(path)}
+
+
+def test_long_urls_are_judged(spark):
+    rules = [("allow", "com", "/"), ("block", "example.com", "/en/")]
+    urls = ["http://" + "a." * 50_000 + "example.com/en/" + "x" * 200_000, "http://" + "a." * 50_000 + "org/en/"]
+    rows = url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"], len(r["host"])) for r in rows] == [("example.com/en/", "block", 100_011), (None, "allow", 100_003)]
+
+
+CLASHING = ["parts", "cdf", "rate_source", "copy", "copies", "shuffle_key", "keep_id", "kept", "set_key", "component_id", "held_out", "_sha", "_row", "_doc", "sequence_id", "bands", "node", "key", "bucket", "n"]
+
+
+def test_stages_keep_clashing_columns(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents").withColumns({c: F.concat(F.lit(f"{c}-"), F.col("doc_id")) for c in CLASHING})
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in CLASHING)
+    assert pipeline.STAGES[-1][1](spark, docs, sf).count() > 0
+
+
+def test_pipeline_equals_brute_force(spark):
+    """Every stage on what its predecessor kept, each done again in plain Python; only the learned model itself is taken as it is."""
+    from pulseframe.llm import language_id
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    import tokenizers
+
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    rejected = {r["doc_id"] for r in language_id.identify(docs, language_id.learn(docs)).collect() if r["rejected"]}
+    rows = [r for r in docs.collect() if r["doc_id"] not in rejected]
+    body = lambda r: "".join(c for c in r["text"] if c not in " \t\n\x0b\x0c\r")
+    best = {}
+    for r in sorted(rows, key=lambda r: (-len(r["text"]), r["doc_id"])):
+        best.setdefault(body(r), r)
+    rows = sorted(best.values(), key=lambda r: r["doc_id"])
+    sets = []
+    for r in rows:
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"]).replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ")
+        words = [w for w in words if w]
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)} if words else set())
+    own = list(range(len(rows)))
+
+    def root(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared and 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = root(i), root(j)
+                own[max(a, b)] = min(a, b)
+    rows = [r for i, r in enumerate(rows) if root(i) == i]
+    units = Counter()
+    for r in rows:
+        units[r["source"]] += len(r["text"]) + 1
+    weight = {s: u**0.5 for s, u in units.items()}
+    want = []
+    model = tokenizers.Tokenizer.from_file(PATH)
+    import hashlib
+
+    for r in rows:
+        rate = weight[r["source"]] / sum(weight.values()) * (sum(units.values()) / units[r["source"]])
+        assert rate <= 64
+        u = int(hashlib.md5(f"7|{r['doc_id']}|1".encode()).hexdigest()[:13], 16) / (1 << 52)
+        term = below = math.exp(-rate)
+        copies = 0
+        while below < u:
+            copies += 1
+            term *= rate / copies
+            below += term
+        ids = [*model.encode(r["text"], add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        cuts_at = [0, *range(first, len(ids) + 1, 2048)] if len(ids) > 2048 else [0, len(ids)]
+        for k, (a, b) in enumerate(zip(cuts_at[:-1], cuts_at[1:], strict=True)):
+            want += [(r["doc_id"], k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))] * copies
+    found = pipeline.run(spark, sf).collect()
+    assert sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in found) == sorted(want)
+    places = {}
+    for r in found:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in x) <= 2048 and all(a == sum(n for _, n in sorted(x)[:i]) for i, (a, _) in enumerate(sorted(x))) for x in places.values())
+    assert len(places) <= 1.1 * sum(r["length"] for r in found) / 2048 + 1
