@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SEQ, TS, require
-from .timeline import along, as_of, before, count, greedy, highest, last_part, number_within, part_codes, scan_sorted, total
+from .timeline import along, as_of, before, count, greedy, held_off, highest, last_part, number_within, part_codes, scan_sorted, total
 
 
 def event_gate(events: DataFrame, gate: DataFrame, keys: Sequence[str] = (), active_high: bool = True, bucket_ns: int | None = None) -> DataFrame:
@@ -50,7 +50,9 @@ def restarts(both: DataFrame, keys: Sequence[str], at: str, holdoff_ns: int, buc
 
 
 def _armed_holdoff(both: DataFrame, keys: Sequence[str], holdoff_ns: int, bucket_ns: int | None) -> DataFrame:
-    """Both rules at once: a scan of each piece, from one accepted event to the next by binary search."""
+    """Both rules at once: a scan of each piece, from one accepted event to the next by binary search; with buckets by their maps."""
+    if bucket_ns is not None:
+        return held_off(both, keys, F.lit(holdoff_ns), bucket_ns, rearmed=True)
     rows = restarts(both, keys, TS, holdoff_ns, bucket_ns)
     names, parts = list(rows.columns), [*keys, "_piece"]
 

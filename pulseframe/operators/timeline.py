@@ -232,7 +232,8 @@ def with_initial(levels: DataFrame, keys: Sequence[str], value: Column, t0: int
 
 def scan_sorted(df: DataFrame, parts: Sequence[str], order: Sequence[str], step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Feed the rows of each part to ``step`` in order, batch by batch, so that no part is held in memory as a whole."""
-    return df.repartition(*parts).sortWithinPartitions(*parts, *order).mapInArrow(step, schema)
+    dealt = df.repartition(*parts) if parts else df.repartition(1)
+    return dealt.sortWithinPartitions(*parts, *order).mapInArrow(step, schema)
 
 
 def part_codes(batch: pa.RecordBatch, parts: Sequence[str]) -> np.ndarray:
@@ -257,10 +258,12 @@ def greedy(df: DataFrame, keys: Sequence[str], hold_ns: int | Column, at: str =
 
     A row at least the hold after the row before it is accepted whatever came earlier, so the timeline restarts
     there; the sequential choice runs within these pieces, by jumps of binary search in sorted batches. Pieces of one
-    key go to different tasks. ``hold_ns`` may be a column that is constant within a key. With ``at`` other than ts_ns
+    key go to different tasks. With ``bucket_ns`` also a timeline that never pauses is shared (:func:`held_off`). ``hold_ns`` may be a column that is constant within a key. With ``at`` other than ts_ns
     rows are in the order of that time, and buckets are of it.
     """
     hold = F.lit(hold_ns).cast("long") if isinstance(hold_ns, int) else hold_ns.cast("long")
+    if bucket_ns is not None and at == TS:
+        return held_off(df.withColumn("_side", F.lit(1)), keys, hold, bucket_ns).drop("_side")
     rows = df.withColumn("_hold", hold)
     if at != TS:
         rows = rows.withColumnsRenamed({TS: "_ts", at: TS})
@@ -296,6 +299,149 @@ def greedy(df: DataFrame, keys: Sequence[str], hold_ns: int | Column, at: str =
     return found if at == TS else found.withColumnsRenamed({TS: at, "_ts": TS})
 
 
+#: A time before all others, as what is allowed at the start of a timeline.
+EVER = -(1 << 63)
+
+
+def _last_jumps(following: np.ndarray) -> np.ndarray:
+    """Where jumps from each place end, ``following`` being the next place or the length for none; by doubling of the jumps."""
+    at = np.where(following < len(following), following, np.arange(len(following)))
+    while True:
+        twice = at[at]
+        if np.array_equal(twice, at):
+            return at
+        at = twice
+
+
+def _bucket_map(ts: np.ndarray, is_event: np.ndarray, hold: int, rearmed: bool) -> tuple:
+    """What a bucket makes of the state it is entered with: for each stretch of entry times the state that it is left with.
+
+    ``ends`` are the last event times of the stretches, ``allowed`` and ``armed`` the states behind; ``first`` is the first event behind a rearm (null: none), ``rearms`` whether
+    there is one. Entries further than the hold behind the bucket's first row come from a missing arm only, so of later stretches only that of ``first`` is kept.
+    """
+    places = np.flatnonzero(is_event)
+    t = ts[places]
+    n = len(t)
+    rearms = np.flatnonzero(~is_event)
+    following = np.maximum(np.searchsorted(t, t + hold), np.arange(n) + 1)
+    armed = np.ones(n, bool)
+    if rearmed:
+        after_rearm = np.append(np.searchsorted(places, rearms), n)
+        following = np.maximum(following, after_rearm[np.searchsorted(rearms, places)])
+    last = _last_jumps(following) if n else following
+    if rearmed and n:
+        armed = places[last] < (rearms[-1] if len(rearms) else -1)
+    first = int(after_rearm[0]) if rearmed and len(rearms) and after_rearm[0] < n else None
+    turn = np.flatnonzero(np.append(last[1:] != last[:-1], True)) if n else np.zeros(0, np.int64)
+    keep = np.append(True, t[turn][:-1] < ts[0] + hold) if n else np.zeros(0, bool)
+    if first is not None:
+        keep[np.searchsorted(turn, first)] = True
+    turn = turn[keep]
+    return t[turn], t[last[turn]] + hold, armed[turn], None if first is None else int(t[first]), len(rearms) > 0
+
+
+def held_off(df: DataFrame, keys: Sequence[str], hold: Column, bucket_ns: int, rearmed: bool = False) -> DataFrame:
+    """Events that hold-off, and with ``rearmed`` an arm that each spends, let pass, for timelines that never pause.
+
+    ``df`` has ``_side`` 1 for events and 0 for rearms. Time buckets go to different tasks. Each maps the state it is entered with, when the next event is allowed and whether it is armed, to the one it
+    is left with, by jumps from each event to the next accepted one. The maps, a row for each bucket, are applied one after the other, and each bucket
+    chooses its events from the state that it is then known to be entered with. ``hold`` is constant within a key.
+    """
+    parts, order = [*keys, "_bucket"], [TS, "_side", SEQ]
+    rows = settled(df.withColumns({"_bucket": floor_div(F.col(TS), bucket_ns), "_hold": hold.cast("long")}))
+    state = "_ends array<long>, _allowed array<long>, _armed array<boolean>, _first long, _rearms boolean, _hold long"
+    kinds = dict(df.dtypes)
+    of_keys = "".join(f"{k} {kinds[k]}, " for k in keys)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def bucket() -> pa.RecordBatch:
+            ts, side = (np.concatenate([x.column(len(parts) + i).to_numpy() for x in held]) for i in (0, 1))
+            own = int(held[0].column(len(parts) + 3)[0].as_py())
+            ends, allowed, armed, first, rearms = _bucket_map(ts, side == 1, own, rearmed)
+            values = [pa.array([ends], pa.list_(pa.int64())), pa.array([allowed], pa.list_(pa.int64())), pa.array([armed], pa.list_(pa.bool_())), pa.array([first], pa.int64()), pa.array([rearms]), pa.array([own])]
+            return pa.RecordBatch.from_arrays([*(held[0].column(i).slice(0, 1) for i in range(len(parts))), *values], names=[*parts, "_ends", "_allowed", "_armed", "_first", "_rearms", "_hold"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = part_codes(batch, parts)
+            new[0] = bool(held) and last_part(batch, parts, 0) != last_part(held[-1], parts, held[-1].num_rows - 1)
+            begin = 0
+            for a in [*np.flatnonzero(new), batch.num_rows]:
+                if a > begin:
+                    held.append(batch.slice(begin, a - begin))
+                if a < batch.num_rows:
+                    yield bucket()
+                    held = []
+                begin = a
+        if held:
+            yield bucket()
+
+    def entered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, allowed, armed = None, EVER, True
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = part_codes(batch, keys) if keys else np.zeros(batch.num_rows, bool)
+            new[0] = last_part(batch, keys, 0) != part
+            found = []
+            for first, row in zip(new.tolist(), batch.select(range(len(parts), batch.num_columns)).to_pylist(), strict=True):
+                if first:
+                    allowed, armed = EVER, True
+                found.append((allowed, armed))
+                least = allowed if armed else row["_first"] if row["_first"] is not None and row["_first"] > allowed else allowed
+                if armed or row["_first"] is not None:
+                    i = int(np.searchsorted(row["_ends"], least))
+                    if i < len(row["_ends"]):
+                        allowed, armed = row["_allowed"][i], row["_armed"][i]
+                    else:
+                        armed = armed or row["_rearms"]
+                else:
+                    armed = row["_rearms"]
+            part = last_part(batch, keys, batch.num_rows - 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(parts))), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.bool_())], names=[*parts, "_enter", "_with"])
+
+    slim = rows.select(*parts, TS, "_side", SEQ, "_hold")
+    maps = scan_sorted(slim, parts, order, summed, f"{of_keys}_bucket long, {state}")
+    states = scan_sorted(maps, keys, ["_bucket"], entered, f"{of_keys}_bucket long, _enter long, _with boolean")
+    known = same_parts(rows, states, parts, "left")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, armed, allowed = None, True, EVER
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = {n: i for i, n in enumerate(batch.schema.names)}
+            ts, side, holds = (batch.column(at[c]).to_numpy() for c in (TS, "_side", "_hold"))
+            new = part_codes(batch, parts)
+            new[0] = last_part(batch, parts, 0) != part
+            take = np.zeros(batch.num_rows, bool)
+            edges = [*([] if new[0] else [0]), *np.flatnonzero(new), batch.num_rows]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if new[a]:
+                    allowed, armed = batch.column(at["_enter"])[a].as_py(), batch.column(at["_with"])[a].as_py()
+                events, rearms = a + np.flatnonzero(side[a:b] == 1), a + np.flatnonzero(side[a:b] == 0)
+                i = a
+                while i < b:
+                    if not armed:
+                        k = np.searchsorted(rearms, i)
+                        if k == len(rearms):
+                            break
+                        i, armed = int(rearms[k]), True
+                    k = np.searchsorted(events, max(i, a + int(np.searchsorted(ts[a:b], allowed))))
+                    if k == len(events):
+                        break
+                    i = int(events[k])
+                    take[i], armed, allowed = True, not rearmed, int(ts[i] + holds[i])
+                    i += 1
+            part = last_part(batch, parts, batch.num_rows - 1)
+            yield batch.filter(pa.array(take))
+
+    return scan_sorted(known, parts, order, choose, known.schema).drop("_bucket", "_hold", "_enter", "_with")
+
+
 def carried(df: DataFrame, keys: Sequence[str], value: str, bucket_ns: int, out: str = "carried") -> DataFrame:
     """Last non-null ``value`` at or before each row, for timelines too long for one task."""
     return along(df, keys, {out: latest(value)}, bucket_ns=bucket_ns)

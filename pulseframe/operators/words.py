@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.unsigned import bit_field, compare, flipped, signed
 from ..schema import SEQ, TS, StreamError, require
 from .events import pulse_lane, restarts
-from .timeline import after, along, as_of, before, count, greedy, last_part, number_within, part_codes, scan_sorted, total
+from .timeline import after, along, as_of, before, count, greedy, held_off, highest, last_part, number_within, part_codes, scan_sorted, total
 
 ALL = (1 << 64) - 1
 #: Longest end that an instantaneous word is given.
@@ -63,7 +63,8 @@ def match_words(
     match disarms until a rearm at or before a later word's start, which also restarts the count to n.
 
     Timelines restart at rearms that come later than the hold-off after every match before, so that pieces of one key go
-    to different tasks; without rearms, n-th matches with a hold-off or at ends are told by one scan of each key.
+    to different tasks. With ``bucket_ns`` hold-offs at starts share also a timeline that never pauses. Without rearms only n-th matches with a hold-off or at ends are told by
+    one scan of each key, and single ones with a hold-off at ends.
     """
     if at not in ("start", "end") or every < 1:
         raise StreamError("at is start or end, every is 1 or more")
@@ -73,8 +74,15 @@ def match_words(
     if rearms is None and not holdoff_ns and at == "start":
         counted = along(found, keys, {"_n": count()}, bucket_ns=bucket_ns) if every > 1 else None
         return found if counted is None else counted.where(F.col("_n") % every == 0).drop("_n")
-    if rearms is None and every == 1 and holdoff_ns and at == "start":
-        return greedy(found, keys, holdoff_ns, bucket_ns=bucket_ns)
+    if rearms is None and every == 1 and not holdoff_ns:
+        # a match counts if none before it, counted or not, is later
+        return along(found, keys, {"_highest": highest("match_ns")}, bucket_ns=bucket_ns).where(F.col("match_ns") == F.col("_highest")).drop("_highest")
+    if every == 1 and holdoff_ns and at == "start":
+        if rearms is None:
+            return greedy(found, keys, holdoff_ns, bucket_ns=bucket_ns)
+        if bucket_ns is not None:
+            both = found.withColumn("_side", F.lit(1)).unionByName(rearms.select(*keys, TS, SEQ).withColumn("_side", F.lit(0)), allowMissingColumns=True)
+            return held_off(both, keys, F.lit(holdoff_ns), bucket_ns, rearmed=True).drop("_side")
     rows, manual = found.withColumn("_side", F.lit(1)), rearms is not None
     if manual:
         rows = rows.unionByName(rearms.select(*keys, TS, SEQ).withColumn("_side", F.lit(0)), allowMissingColumns=True)
