@@ -156,16 +156,29 @@ def write_files(chunks: DataFrame, folder: str, keys: Sequence[str] = ()) -> Non
     ordered_rows.select(*keys, "window", "filename", "chunk", "data").mapInArrow(write, "files long").count()
 
 
-def write_lanes(rows: DataFrame, folder: str, keys: Sequence[str], bucket_ns: int) -> None:
-    """Retained lanes as Parquet below ``folder``, partitioned by key and time bucket, so that reads of a span prune files."""
-    dealt = rows.withColumn("ts_bucket", floor_div(F.col(TS), bucket_ns))
-    dealt.repartition(*keys, "ts_bucket").sortWithinPartitions(*keys, TS, SEQ).write.partitionBy(*keys, "ts_bucket").parquet(folder)
+def lane_group(keys: Sequence[str], groups: int) -> Column:
+    """The folder, of so many, of a key."""
+    return F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int") if keys else F.lit(0)
 
 
-def read_lanes(spark: SparkSession, folder: str, start_ns: int, end_ns: int, bucket_ns: int) -> DataFrame:
-    """The rows of [start, end) of lanes that :func:`write_lanes` wrote; other buckets are not read."""
+def write_lanes(rows: DataFrame, folder: str, keys: Sequence[str], bucket_ns: int, groups: int = 64) -> None:
+    """Retained lanes as Parquet below ``folder`` by time bucket and group of keys, sorted by key and time within a file.
+
+    There are at most ``groups`` folders for each bucket, however many keys; a read of a span prunes folders, one of a key files' row groups as well.
+    """
+    dealt = rows.withColumns({"ts_bucket": floor_div(F.col(TS), bucket_ns), "key_group": lane_group(keys, groups)})
+    dealt.repartition("ts_bucket", "key_group").sortWithinPartitions("ts_bucket", "key_group", *keys, TS, SEQ).write.partitionBy("ts_bucket", "key_group").parquet(folder)
+
+
+def read_lanes(spark: SparkSession, folder: str, start_ns: int, end_ns: int, bucket_ns: int, key: dict | None = None, groups: int = 64) -> DataFrame:
+    """The rows of [start, end) of lanes that :func:`write_lanes` wrote, of one ``key`` (name: value) if given; other buckets and groups are not read."""
     rows = spark.read.parquet(folder).where(F.col("ts_bucket").between(start_ns // bucket_ns, (end_ns - 1) // bucket_ns))
-    return rows.where((F.col(TS) >= start_ns) & (F.col(TS) < end_ns)).drop("ts_bucket")
+    if key is not None:
+        held = spark.range(1).select(*(F.lit(v).cast(rows.schema[k].dataType).alias(k) for k, v in key.items())).select(lane_group(list(key), groups)).first()[0]
+        rows = rows.where(F.col("key_group") == held)
+        for k, v in key.items():
+            rows = rows.where(F.col(k).eqNullSafe(F.lit(v)))
+    return rows.where((F.col(TS) >= start_ns) & (F.col(TS) < end_ns)).drop("ts_bucket", "key_group")
 
 
 def session_metadata(names: Sequence[str], samplerate_hz: int, trigger_sample: int | None = None) -> str:

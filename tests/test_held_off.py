@@ -91,3 +91,34 @@ def test_many_rows_of_one_key_are_chosen_by_many_tasks(spark):
         assert found.select("task").distinct().count() == 4 and found.count() == 15_000
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+
+
+def test_payload_types_added_later_need_no_rewriting(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from pulseframe.functions import payload
+
+    rows = spark.createDataFrame([(1, 5, 0, "a", (1 << 62) + 1, [1, 2]), (None, 6, 1, None, None, None)], "k int, ts_ns long, seq long, kind string, number long, list array<int>")
+    first = payload.PayloadType("first", T.StructType().add("kind", "string").add("number", "long"))
+    later = payload.PayloadType("later", T.StructType().add("kind", "string").add("list", T.ArrayType(T.IntegerType())).add("absent", "long"))
+    held = str(tmp_path / "p")
+    payload.with_payload(rows, ["k"], first).write.parquet(held)
+    payload.with_payload(rows, ["k"], later, F.struct("kind", "list")).write.mode("append").parquet(held)
+    stored = spark.read.parquet(held)
+    assert dict(stored.dtypes)["payload"] == "variant"
+    assert sorted(map(tuple, payload.payloads_of(stored, ["k"], first).collect()), key=str) == [(1, 5, 0, "a", (1 << 62) + 1), (None, 6, 1, None, None)]
+    assert sorted(map(tuple, payload.payloads_of(stored, ["k"], later).collect()), key=str) == [(1, 5, 0, "a", [1, 2], None), (None, 6, 1, None, None, None)]
+    assert sorted(r[0] for r in stored.select(payload.field("$.list[1]", "int").alias("x")).where("x is not null").collect()) == [2]
+
+
+def test_lanes_of_many_keys_have_few_folders(spark, tmp_path):
+    from pulseframe.sources import sinks
+
+    rows = spark.range(3000).select((F.col("id") % 500).alias("k"), F.col("id").alias("ts_ns"), F.col("id").alias("seq"), F.lit(True).alias("value"))
+    folder = str(tmp_path / "lanes")
+    sinks.write_lanes(rows, folder, ["k"], 1000, groups=4)
+    assert len(list((tmp_path / "lanes").glob("ts_bucket=*/key_group=*"))) <= 12
+    found = sinks.read_lanes(spark, folder, 900, 2100, 1000)
+    assert sorted(r["seq"] for r in found.collect()) == list(range(900, 2100))
+    one = sinks.read_lanes(spark, folder, 0, 3000, 1000, {"k": 7}, groups=4)
+    assert sorted(r["seq"] for r in one.collect()) == list(range(7, 3000, 500)) and "key_group" in one._jdf.queryExecution().toString()
