@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.unsigned import floor_div
 from ..schema import SEQ, TS, require
@@ -230,7 +231,7 @@ def with_initial(levels: DataFrame, keys: Sequence[str], value: Column, t0: int
     return first.unionByName(levels.select(*keys, TS, SEQ, "value"))
 
 
-def scan_sorted(df: DataFrame, parts: Sequence[str], order: Sequence[str], step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def scan_sorted(df: DataFrame, parts: Sequence[str], order: Sequence[str], step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Feed the rows of each part to ``step`` in order, batch by batch, so that no part is held in memory as a whole."""
     dealt = df.repartition(*parts) if parts else df.repartition(1)
     return dealt.sortWithinPartitions(*parts, *order).mapInArrow(step, schema)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SEQ, TS, StreamError
 from .levels import gate_of
-from .timeline import after, along, before, merged, number_within, same_parts, total
+from .stages import Counted, completions
+from .timeline import after, along, before, merged, same_parts
 
 CONDITIONS = ("ignore", "low", "high", "rising", "falling", "either")
 MOST_STAGES = 16
@@ -172,24 +174,14 @@ def find_trigger(rows: DataFrame, keys: Sequence[str], program: Program, channel
     """keys, trigger_ns: the first instant of each key at which all stages have been met one after the other.
 
     A stage looks only at instants after the one that completed the stage before it. Counting occurrences counts
-    where its match begins, counting consecutive ones counts adjacent matching rows.
+    where its match begins, counting consecutive ones counts adjacent matching rows. ``rows`` has one row for each instant
+    of a key, as :func:`channel_rows` gives them. All stages are one pass over rows sorted once (:func:`.stages.completions`).
     """
     if problems := program.problems(channels):
         raise StreamError("; ".join(problems))
-    done = None
-    for stage in program.stages:
-        later = rows if done is None else same_parts(rows, done, keys).where(F.col(TS) > F.col("trigger_ns")).drop("trigger_ns")
-        later = later.withColumn("_m", F.coalesce(stage_match(stage), F.lit(False)))
-        if stage.count == 1:
-            met = later.where("_m")
-        elif stage.counting == "occurrences":
-            begins = along(later, keys, {"_last": before("_m")}, bucket_ns=bucket_ns).where(F.col("_m") & ~F.coalesce("_last", F.lit(False)))
-            met = along(begins, keys, {"_n": total(F.lit(1))}, bucket_ns=bucket_ns).where(F.col("_n") >= stage.count)
-        else:
-            run = number_within(later, keys, ~F.col("_m"), "_n", (), bucket_ns, counted=F.col("_m"))
-            met = run.where(F.col("_m") & (F.col("_n") + 1 >= stage.count))
-        done = met.groupBy(*keys).agg(F.min(TS).alias("trigger_ns"))
-    return done
+    met = [F.when(F.coalesce(stage_match(s), F.lit(False)), 1 << k).otherwise(0) for k, s in enumerate(program.stages)]
+    counted = [Counted(s.count, s.counting == "consecutive" and s.count > 1) for s in program.stages]
+    return completions(rows.withColumn("_m", reduce(lambda x, y: x + y, met)), keys, counted, bucket_ns)
 
 
 def slice_capture(
