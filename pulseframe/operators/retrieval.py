@@ -35,6 +35,12 @@ def sampled_grid(levels: DataFrame, keys: Sequence[str], start_ns: int, end_ns:
     )
     at = levels.select(*keys).distinct().select(*keys, F.lit(start_ns).cast("long").alias(TS), F.lit(0).cast("long").alias(SEQ))
     initial = as_of(at, levels, keys, {"value": "initial"}, bucket_ns=bucket_ns).select(*keys, "initial")
+    return grid_pieces(initial, counted, keys, start_ns, end_ns, target)
+
+
+def grid_pieces(initial: DataFrame, counted: DataFrame, keys: Sequence[str], start_ns: int, end_ns: int, target: int) -> DataFrame:
+    """Pieces of a grid from each key's value at its start (``initial``) and the cells with changes (cell, n, first and last value)."""
+    span = end_ns - start_ns
     cells = initial.select(*keys, "initial", F.explode(F.sequence(F.lit(0), F.lit(target - 1))).alias("cell"))
     w = Window.partitionBy(*keys).orderBy("cell")
     rows = same_parts(cells, counted, [*keys, "cell"], "left")

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import formats, payload, udf
-from ..operators import decode, levels, retrieval, trigger, words
+from ..operators import decode, levels, retrieval, tiers, trigger, words
 from ..sources import blocks, capture_source, sinks
 from ..shared import shared_path
 from ..streaming import decoders as d
 from ..streaming import ordered as o
 from . import bindings as b
 from .bindings import HOUR, KEYS, T0
-from .queries import SPI_ROWS, THREE, W0, W1, WEEK, query, three_channels
+from .queries import SPI_ROWS, SQL, THREE, W0, W1, WEEK, query, three_channels
 
 BUS = """+ s AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_linenumber) - 1 AS position, l_quantity::BIGINT AS q FROM lineitem),
 x AS (SELECT position, q, c AS channel, (q >> c) & 1 = 1 AS bit FROM s CROSS JOIN (VALUES (0), (1), (2), (3)) v(c)),
@@ -363,3 +363,29 @@ def u1_user_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stream_of(spark, b.level(spark, sf_dir), KEYS, 3)
     operator = udf.stream_step(pulses, "ts_ns long, seq long, width_ns long")
     return run_stream(spark, operator(o.stream_rows(rows, KEYS, level="value"), KEYS))
+
+
+def stored_level(spark: SparkSession, sf_dir: str) -> tuple[tiers.Tiers, T.StructType]:
+    """The level of each user in tiers of two hours and up, appended in two batches, and its columns' types."""
+    level = b.level(spark, sf_dir)
+    store = tiers.Tiers(shared_path(spark, "tiers"), tuple(KEYS), 2 * HOUR, 8, 2)
+    tiers.append_tiers(level.where(F.col("ts_ns") < W0), store, 0)
+    tiers.append_tiers(level.where(F.col("ts_ns") >= W0), store, 1)
+    return store, level.schema
+
+
+@query(None)
+def q2_grid_of_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid put together from stored tiers."""
+    store, kinds = stored_level(spark, sf_dir)
+    return tiers.grid_of_tiers(spark, store, kinds, W0, W1, 28)
+
+
+@query(None)
+def q5_snapshot_of_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot whose keys and grids are chosen and put together from stored tiers."""
+    store, kinds = stored_level(spark, sf_dir)
+    return tiers.snapshot_of_tiers(spark, store, kinds, W0, W1, 24)
+
+
+SQL["q2_grid_of_tiers"], SQL["q5_snapshot_of_tiers"] = SQL["q2_sampled_grid"], SQL["q5_snapshot"]
