@@ -10,13 +10,13 @@ from pyspark.sql import types as T
 
 from ..functions import formats, payload, udf
 from ..operators import decode, levels, retrieval, tiers, trigger, words
-from ..sources import blocks, capture_source, sinks
+from ..sources import blocks, capture_source, file_commits, sinks
 from ..shared import shared_path
 from ..streaming import decoders as d
 from ..streaming import ordered as o
 from . import bindings as b
 from .bindings import HOUR, KEYS, T0
-from .queries import SPI_ROWS, SQL, THREE, W0, W1, WEEK, query, three_channels
+from .queries import SPI_ROWS, SQL, THREE, W0, W1, WEEK, file_names, query, three_channels
 
 BUS = """+ s AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_linenumber) - 1 AS position, l_quantity::BIGINT AS q FROM lineitem),
 x AS (SELECT position, q, c AS channel, (q >> c) & 1 = 1 AS bit FROM s CROSS JOIN (VALUES (0), (1), (2), (3)) v(c)),
@@ -388,4 +388,16 @@ def q5_snapshot_of_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.snapshot_of_tiers(spark, store, kinds, W0, W1, 24)
 
 
+@query(None)
+def k1_committed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of all users written as one transaction, and read back."""
+    rows = sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS)
+    folder = shared_path(spark, "files")
+    file_commits.write_committed(sinks.file_chunks(rows, KEYS, sinks.word_bytes(rows, "u16le")), folder, KEYS, job="first")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    levels = F.split("path", "/")
+    return found.select(F.element_at(levels, -2).cast("long").alias("user_id"), F.element_at(levels, -1).alias("filename"), F.hex("content").alias("data"))
+
+
+SQL["k1_committed_files"] = SQL["k1_file_bytes"]
 SQL["q2_grid_of_tiers"], SQL["q5_snapshot_of_tiers"] = SQL["q2_sampled_grid"], SQL["q5_snapshot"]
