@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.unsigned import floor_div
 from ..schema import SEQ, TS, StreamError
 from .retrieval import grid_pieces
-from .timeline import in_parts, same_parts
+from .timeline import as_of, in_parts, same_parts
 
 RECORD = ("first_ns", "first_seq", "last_ns", "n", "toggles", "first", "last")
 
@@ -185,3 +185,30 @@ def snapshot_of_tiers(spark: SparkSession, store: Tiers, levels: T.StructType, s
     exact = few.select(*keys, F.lit(start_ns).cast("long").alias("start_ns"), F.col("_held").alias("last")).unionByName(kept.select(*keys, F.col(TS).alias("start_ns"), F.col("value").alias("last")))
     exact = exact.select(*keys, F.lit("Exact").alias("kind"), "start_ns", F.lit(None).cast("long").alias("end_ns"), F.lit(None).cast(value).alias("first"), "last")
     return exact.unionByName(in_parts(grid_of_tiers(spark, store, levels, start_ns, end_ns, most), many.select(*keys), keys))
+
+
+def next_edge_of_tiers(spark: SparkSession, store: Tiers, levels: T.StructType, probes: DataFrame, most_parts: int = 1000) -> DataFrame:
+    """As ``levels.next_edge`` over all stored rows, for few probes.
+
+    The finest records are a map of the slots that hold an edge. The edge behind a probe lies in the last of these that begins at or before it, or in
+    the next one; only these slots' rows are read and sorted. Where they lie in at most ``most_parts`` row folders, the scan is given the list of these; else
+    it is left to the join, with the same result.
+    """
+    keys = [*store.keys]
+    slots = joined(stored(spark, store, 0, levels).drop("part"), keys, F.col("slot"))
+    slots = slots.withColumn("_held", F.lag("last").over(Window.partitionBy(*keys).orderBy("slot")))
+    place = F.struct("slot", "last_ns", "_held")
+    zones = slots.where((F.col("toggles") > 0) | (F.col("_held") != F.col("first"))).select(*keys, F.col("first_ns").alias(TS), F.col("first_seq").alias(SEQ), place.alias("_zone"))
+    asked = probes.select(*keys, TS, SEQ).distinct()
+    near = as_of(as_of(asked, zones, keys, {"_zone": "_own"}), zones, keys, {"_zone": "_next"}, inclusive=False, forward=True)
+    own = F.when(F.col("_own.last_ns") > F.col(TS), F.col("_own"))
+    wanted = near.select(*keys, F.explode(F.array_compact(F.array(own, F.col("_next")))).alias("_z")).select(*keys, "_z.slot", "_z._held").distinct()
+    rows = stored(spark, store, None, levels)
+    parts = [r[0] for r in wanted.select(floor_div(F.col("slot"), store.fan)).distinct().limit(most_parts + 1).collect()]
+    if len(parts) <= most_parts:
+        rows = rows.where(F.col("part").isin(parts))
+    rows = same_parts(rows.drop("part").withColumn("slot", floor_div(F.col(TS), store.slot_ns)), wanted, [*keys, "slot"])
+    was = F.coalesce(F.lag("value").over(Window.partitionBy(*keys, "slot").orderBy(TS, SEQ)), "_held")
+    moved = rows.withColumn("_was", was).where(F.col("_was") != F.col("value"))
+    edges = moved.select(*keys, TS, SEQ, F.col(TS).alias("edge_ns"), F.col("value").alias("edge_value"))
+    return as_of(probes, edges, keys, {"edge_ns": "edge_ns", "edge_value": "edge_value"}, inclusive=False, forward=True)

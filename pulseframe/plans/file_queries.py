@@ -388,6 +388,13 @@ def q5_snapshot_of_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiers.snapshot_of_tiers(spark, store, kinds, W0, W1, 24)
 
 
+@query(None)
+def l3_edge_of_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next edge behind each purchase, by the stored map of slots that hold edges."""
+    store, kinds = stored_level(spark, sf_dir)
+    return tiers.next_edge_of_tiers(spark, store, kinds, b.occurrences(spark, sf_dir, "purchase"))
+
+
 @query(None)
 def k1_committed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of all users written as one transaction, and read back."""
@@ -399,5 +406,5 @@ def k1_committed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.element_at(levels, -2).cast("long").alias("user_id"), F.element_at(levels, -1).alias("filename"), F.hex("content").alias("data"))
 
 
-SQL["k1_committed_files"] = SQL["k1_file_bytes"]
+SQL["k1_committed_files"], SQL["l3_edge_of_tiers"] = SQL["k1_file_bytes"], SQL["l3_next_edge"]
 SQL["q2_grid_of_tiers"], SQL["q5_snapshot_of_tiers"] = SQL["q2_sampled_grid"], SQL["q5_snapshot"]

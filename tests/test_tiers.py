@@ -6,8 +6,9 @@ from pathlib import Path
 
 import pytest
 
+from pulseframe.operators import levels as lv
 from pulseframe.operators import retrieval
-from pulseframe.operators.tiers import Tiers, append_tiers, folded, grid_of_tiers, joined, snapshot_of_tiers
+from pulseframe.operators.tiers import Tiers, append_tiers, folded, grid_of_tiers, joined, next_edge_of_tiers, snapshot_of_tiers
 from pulseframe.schema import StreamError
 from pulseframe.shared import shared_path
 
@@ -52,26 +53,52 @@ def test_grid_and_snapshot_equal_those_of_rows(spark, kept, window):
     assert rows_of(snapshot_of_tiers(spark, store, levels.schema, start, end, cells).select(*want.columns)) == rows_of(want)
 
 
-def test_only_divided_slots_are_read_from_rows(spark, kept, tmp_path):
+def test_only_divided_slots_are_read_from_rows(spark, kept):
     store, levels = kept
     start, end, cells = 40, 1900, 2
     want = rows_of(retrieval.sampled_grid(levels, K, start, end, cells))
-    # ends at 41, 970 and 1900 lie in row folders 0, 15 and 29 (of 64 each): all others are spoilt
-    read, spoilt, saved = 0, 0, {}
+    # ends at 41, 970 and 1900 lie in row folders 0, 15 and 29 (of 64 each)
+    read, spoilt = spoil_rows(store, (0, 15, 29), lambda: rows_of(grid_of_tiers(spark, store, levels.schema, start, end, cells).select("k", "kind", "start_ns", "end_ns", "first", "last")) == want)
+    assert read and spoilt > 5 * read
+
+
+@pytest.mark.parametrize("most_parts", [1, 1000])
+def test_next_edge_equals_that_of_rows(spark, kept, most_parts):
+    store, levels = kept
+    random.seed(2)
+    probes = [(random.choice([1, None, (1 << 53) + 1, 4, 5, 77]), random.randrange(-600, 6000), i % 40, "more") for i in range(300)] + [(1, -(10**9), 1, "more")] * 2
+    asked = spark.createDataFrame(probes, "k long, ts_ns long, seq long, value string")
+    want = lv.next_edge(levels, asked, K)
+    assert rows_of(next_edge_of_tiers(spark, store, levels.schema, asked, most_parts).select(*want.columns)) == rows_of(want)
+
+
+def test_only_slots_with_edges_are_read(spark):
+    """A level that changes twice in 20,000 rows: probes read the folders of these changes and no others."""
+    store = Tiers(shared_path(spark, "tiers"), ("k",), 16, 4, 3)
+    levels = spark.range(20_000).selectExpr("1L AS k", "id AS ts_ns", "id AS seq", "id >= 5000 AND id < 12345 AS value")
+    append_tiers(levels, store, 0)
+    asked = spark.createDataFrame([(1, t, 0) for t in (-5, 100, 4999, 5000, 9000, 12344, 12345, 30_000)], "k long, ts_ns long, seq long")
+    found = lambda: [r["edge_ns"] for r in next_edge_of_tiers(spark, store, levels.schema, asked).orderBy("ts_ns").collect()]
+    read, spoilt = spoil_rows(store, (5000 // 64, 12345 // 64), lambda: found() == [5000, 5000, 5000, 12345, 12345, 12345, None, None])
+    assert read == 2 and spoilt > 300
+
+
+def spoil_rows(store, parts, check):
+    """Whether ``check`` holds while all row files outside of some folders are spoilt; how many files were left and spoilt."""
+    read, saved = 0, {}
     for path in Path(store.table(None).removeprefix("file:")).rglob("*.parquet"):
-        if path.parent.name in ("part=0", "part=15", "part=29"):
+        if path.parent.name in {f"part={p}" for p in parts}:
             read += 1
         else:
-            spoilt += 1
             saved[path] = path.read_bytes()
             path.write_bytes(b"spoilt")
             (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
     try:
-        assert rows_of(grid_of_tiers(spark, store, levels.schema, start, end, cells).select("k", "kind", "start_ns", "end_ns", "first", "last")) == want
+        assert check()
     finally:
         for path, data in saved.items():
             path.write_bytes(data)
-    assert read and spoilt > 5 * read
+    return read, len(saved)
 
 
 def test_records_join_to_those_of_wider_slots(kept):
