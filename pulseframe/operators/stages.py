@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.unsigned import floor_div
 from ..schema import TS
-from .timeline import last_part, part_codes, scan_sorted
+from .timeline import pieces, scan_sorted
 
 
 @dataclass(frozen=True)
@@ -149,20 +149,6 @@ def apply_map(state: State, stage: Counted, found: dict) -> State:
     return k, c + found["more"] - skipped, not stage.adjacent and found["on"], at
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], parts: Sequence[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
-    """The stretches of one part in each batch, and whether each is the first of its part."""
-    part = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = part_codes(batch, parts)
-        new[0] = part is None or last_part(batch, parts, 0) != part
-        part = last_part(batch, parts, batch.num_rows - 1)
-        edges = [*([] if new[0] else [0]), *np.flatnonzero(new).tolist(), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield bool(new[a]), batch.slice(a, b - a)
-
-
 def completions(rows: DataFrame, keys: Sequence[str], stages: Sequence[Counted], bucket_ns: int | None = None) -> DataFrame:
     """keys, trigger_ns: where each key of ``rows`` (keys, ts_ns, ``_m``) completes all stages one after the other.
 
@@ -178,7 +164,7 @@ def completions(rows: DataFrame, keys: Sequence[str], stages: Sequence[Counted],
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = START
-        for first, own in _pieces(batches, keys):
+        for first, own in pieces(batches, keys):
             state = START if first else state
             if state[0] < last:
                 state = advance(state, stages, own.column(len(keys)).to_numpy(), own.column(len(keys) + 1).to_numpy())
@@ -195,7 +181,7 @@ def completions(rows: DataFrame, keys: Sequence[str], stages: Sequence[Counted],
     table = T.StructType([*of_keys, T.StructField("_at", T.LongType()), *(T.StructField(f"_{n}", kind) for n, kind in fields.items())])
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in _pieces(batches, parts):
+        for _, own in pieces(batches, parts):
             ts = own.column(len(parts)).to_numpy()
             maps = piece_maps(stages, ts, own.column(len(parts) + 1).to_numpy())
             ids = own.select(list(keys)).take(pa.array([0] * last)).columns if keys else []
@@ -204,7 +190,7 @@ def completions(rows: DataFrame, keys: Sequence[str], stages: Sequence[Counted],
 
     def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, piece = START, None
-        for first, own in _pieces(batches, keys):
+        for first, own in pieces(batches, keys):
             if first:
                 state, piece = START, None
             for row in own.select(range(len(keys), own.num_columns)).to_pylist():

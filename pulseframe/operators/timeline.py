@@ -254,6 +254,20 @@ def last_part(batch: pa.RecordBatch, parts: Sequence[str], row: int) -> tuple:
     return tuple(batch.column(batch.schema.get_field_index(p))[row].as_py() for p in parts)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], parts: Sequence[str]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """The stretches of one part in each batch, and whether each is the first of its part."""
+    part = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = part_codes(batch, parts)
+        new[0] = part is None or last_part(batch, parts, 0) != part
+        part = last_part(batch, parts, batch.num_rows - 1)
+        edges = [*([] if new[0] else [0]), *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield bool(new[a]), batch.slice(a, b - a)
+
+
 def greedy(df: DataFrame, keys: Sequence[str], hold_ns: int | Column, at: str = TS, bucket_ns: int | None = None) -> DataFrame:
     """Rows accepted one after the other: the first, then each at least ``hold_ns`` after the last accepted one.
 

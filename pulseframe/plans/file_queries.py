@@ -111,14 +111,16 @@ def k6_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, ts_ns, seq, w AS width_ns FROM (SELECT *, lead(ts_ns) OVER (PARTITION BY user_id ORDER BY ts_ns, seq) - ts_ns AS w FROM ch) WHERE v AND w IS NOT NULL")
 def u1_user_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pulse widths by an operator that a user wrote over the rows of a key."""
+    """Pulse widths by an operator that a user wrote over pieces of a key's rows."""
 
-    def pulses(rows: pd.DataFrame) -> pd.DataFrame:
+    def pulses(state: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = pd.concat([state["last"], rows]) if state else rows
         moved = rows[rows["value"] != rows["value"].shift()]
+        state["last"] = moved.iloc[-1:]
         ended = moved.iloc[:-1].assign(width_ns=np.diff(moved["ts_ns"].to_numpy()))
-        return ended[ended["value"].astype(bool)][["user_id", "ts_ns", "seq", "width_ns"]]
+        return ended[ended["value"].astype(bool)][["ts_ns", "seq", "width_ns"]]
 
-    operator = udf.stream_udf(pulses, "user_id long, ts_ns long, seq long, width_ns long", ["value"])
+    operator = udf.stream_fold(pulses, "ts_ns long, seq long, width_ns long", ["value"])
     return operator(b.level(spark, sf_dir), KEYS)
 
 
