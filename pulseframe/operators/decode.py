@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from ..functions.formats import TAGS
 from ..functions.unsigned import floor_div
 from ..schema import SEQ, TS, StreamError
 from .levels import transitions
-from .timeline import after, along, as_of, before, changes, greedy, latest, merged, number_within, same_parts, total
+from .timeline import EVER, after, along, as_of, before, changes, greedy, latest, merged, number_within, part_codes, same_parts, total
 
 
 def _bits(order: Column, count: int, msb_first: bool) -> Column:
@@ -30,6 +33,7 @@ def uart(
 
     A frame starts at a row of the start level and is read at bit middles; the next start is looked for from a
     quarter bit before its end. A word with an error is given all the same. The last level holds forever.
+    Without ``bucket_ns`` the rows are sorted once and read in one pass, of which a batch and the open frame are in memory.
     """
     if not 5 <= data_bits <= 9 or parity not in ("none", "odd", "even", "mark", "space"):
         raise StreamError("5 to 9 data bits; parity none, odd, even, mark or space")
@@ -37,10 +41,16 @@ def uart(
     with_parity = parity != "none"
     frame = 1 + data_bits + with_parity + stop_bits
     level = changes(line, keys, bucket_ns=bucket_ns).withColumn("value", F.col("value") != F.lit(inverted))
-    starts = greedy(level.where(~F.col("value")).select(*keys, TS, SEQ), keys, int((frame - 0.25) * bit + 0.5), bucket_ns=bucket_ns)
+    hold = int((frame - 0.25) * bit + 0.5)
     offsets = [int((1.5 + i) * bit + 0.5) for i in range(data_bits + with_parity)]
     if stop_bits:
         offsets.append(int((1 + data_bits + with_parity + min(stop_bits, 1) / 2) * bit + 0.5))
+    if bucket_ns is None:
+        rows = level.select(*keys, TS, SEQ, "value").sortWithinPartitions(*keys, TS, SEQ)
+        kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"{TS} long, {SEQ} long, duration_ns long, value long, framing_error boolean, parity_error boolean"])
+        return rows.mapInArrow(_frames(list(keys), hold, offsets, int(frame * bit + 0.5), data_bits, parity, msb_first), ddl)
+    starts = greedy(level.where(~F.col("value")).select(*keys, TS, SEQ), keys, hold, bucket_ns=bucket_ns)
     reads = F.posexplode(F.array(*(F.lit(x).cast("long") for x in offsets)))
     probes = starts.select(*keys, F.col(TS).alias("_start"), F.col(SEQ).alias("_seq"), reads.alias("_k", "_off"))
     probes = probes.select(*keys, (F.col("_start") + F.col("_off")).alias(TS), F.col("_k").cast("long").alias(SEQ), "_start", "_seq", "_k")
@@ -66,6 +76,79 @@ def uart(
     )
 
 
+def _frames(keys: list[str], hold: int, offsets: list[int], duration: int, data_bits: int, parity: str, msb_first: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The frames of level changes (keys, ts_ns, seq, value) that come sorted by key and time: a pass over batches that hold many keys or a piece of one.
+
+    Keys are laid end to end on one axis, so that starts and reads of a whole batch are found by binary search. What a batch can't decide, the frame
+    that is open at its end or the level that holds there, goes before the next one.
+    """
+    at, reach = np.array(offsets, np.int64), max(hold, offsets[-1]) + 1
+    names = [*keys, TS, SEQ, "duration_ns", "value", "framing_error", "parity_error"]
+    with_parity = parity != "none"
+
+    def decoded(rows: pa.RecordBatch, allowed: int, final: bool) -> Iterator[pa.RecordBatch | tuple[pa.RecordBatch, int]]:
+        """Batches of frames and at last, unless ``final``, what is kept and from when on a frame may start."""
+        new = part_codes(rows, keys)
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        ts, seq = (rows.column(len(keys) + i).to_numpy() for i in (0, 1))
+        level = rows.column(len(keys) + 2)
+        high, low = (pc.fill_null(x, False).to_numpy(zero_copy_only=False) for x in (level, pc.invert(level)))
+        since = ts - ts[first][group]
+        span = int(since.max()) + reach + 1
+        if len(first) > 1 and span > (1 << 62) // len(first):
+            half = int(first[len(first) // 2])
+            yield from decoded(rows.slice(0, half), allowed, True)
+            yield from decoded(rows.slice(half), EVER, final)
+            return
+        place = since + group * span
+        falls = np.flatnonzero(low & ((group > 0) | (ts >= allowed)))
+        following, chosen, i = np.searchsorted(place[falls], place[falls] + hold).tolist(), [], 0
+        while i < len(following):
+            chosen.append(i)
+            i = following[i]
+        starts = falls[np.array(chosen, np.int64)]
+        rest = None
+        if not final:
+            done = int(np.count_nonzero((group[starts] < group[-1]) | (ts[starts] + at[-1] < ts[-1])))
+            rest = int(starts[done]) if done < len(starts) else len(ts) - 1
+            starts = starts[:done]
+            if done and group[starts[-1]] == group[-1]:
+                allowed = int(ts[starts[-1]]) + hold
+            elif group[-1] > 0:
+                allowed = EVER
+        if len(starts):
+            read = np.searchsorted(place, (place[starts][:, None] + at).ravel(), "right") - 1
+            bits = high[read].reshape(len(starts), -1)
+            value = np.zeros(len(starts), np.int64)
+            for k in range(data_bits):
+                value |= bits[:, k].astype(np.int64) << (data_bits - 1 - k if msb_first else k)
+            no = np.zeros(len(starts), bool)
+            odd = bits[:, :data_bits].sum(1) % 2 == 1
+            expected = {"odd": ~odd, "even": odd, "mark": ~no, "space": no, "none": no}[parity]
+            bad_stop = low[read].reshape(bits.shape)[:, -1] if len(at) > data_bits + with_parity else no
+            bad_parity = bits[:, data_bits] != expected if with_parity else no
+            of_keys = (rows.column(j).take(pa.array(starts)) for j in range(len(keys)))
+            yield pa.RecordBatch.from_arrays([*of_keys, *map(pa.array, (ts[starts], seq[starts], np.full(len(starts), duration), value, bad_stop, bad_parity))], names=names)
+        if rest is not None:
+            yield rows.slice(rest), allowed
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, allowed = None, EVER
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            for found in decoded(rows, allowed, False):
+                if isinstance(found, tuple):
+                    held, allowed = found
+                else:
+                    yield found
+        if held is not None:
+            yield from decoded(held, allowed, True)
+
+    return read
+
+
 def uart_errors(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Error events of :func:`uart` words, at their start."""
     return words.where("framing_error or parity_error").select(*keys, TS, SEQ)

@@ -430,9 +430,8 @@ def p1_uart(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["conv_id", "turn"]
     found = decode.uart(b.uart_line(spark, sf_dir), keys, 1e6)
     bad = F.sum((F.col("framing_error") | F.col("parity_error")).cast("long")).alias("errors")
-    byte = F.struct("ts_ns", formats.hex_text(F.col("value")).alias("h"))
-    lists = found.groupBy(*keys).agg(F.sort_array(F.collect_list(byte)).alias("l"), bad)
-    return lists.select(*keys, F.concat_ws("", F.transform("l", lambda x: x["h"])).alias("payload"), "errors")
+    lists = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ts_ns", "value"))).alias("l"), bad)
+    return lists.select(*keys, F.concat_ws("", F.transform("l", lambda x: formats.hex_text(x["value"]))).alias("payload"), "errors")
 
 
 SPI_ROWS = """+ c AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) * 1000 AS t FROM customer)"""

@@ -289,3 +289,24 @@ def test_line_clock(word_table, stream):
     early = stream([(0, False), (50, True), (101, False), (102, True), (102, False)], "value")
     found = sinks.line_clock_records(rows, stream([(0, "a.bin")], "value", kinds="string"), early, K).collect()
     assert [tuple(r)[4:] for r in found] == [(2, 102, 2, 102, 2, 102, 2, 102)]
+
+
+def test_uart_in_batches_of_any_size(spark):
+    """Frames that cross batches, keys of one row and many keys in a batch are read as by time buckets; nothing of a line goes through more than one exchange."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):
+        times = sorted(rng.sample(range(4000), rng.choice([1, 2, 30, 300])))
+        rows += [(k, t * 7, i, rng.random() < 0.5) for i, t in enumerate(times)]
+    line = spark.createDataFrame(rows, "k int, ts_ns long, seq long, value boolean")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for settings in ({}, {"parity": "even", "msb_first": True}, {"inverted": True, "stop_bits": 0}):
+            wanted = sorted(decode.uart(line, ["k"], 1e7, bucket_ns=5000, **settings).collect(), key=str)
+            for size in (1, 3, 50, 10_000):
+                spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+                found = decode.uart(line, ["k"], 1e7, **settings)
+                assert sorted(found.collect(), key=str) == wanted
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
