@@ -237,19 +237,22 @@ def stream_of(spark: SparkSession, rows: DataFrame, keys: list[str], parts: int
 
     Ends tell how many rows there are of their key and lie in the file of the stretch after their key's last row, or before some of its rows for every other key.
     """
-    folder = shared_path(spark, "input")
-    first, end = rows.agg(F.min("ts_ns"), F.max("ts_ns")).first()
+    folder, files = shared_path(spark, "input"), spark.sparkContext.defaultParallelism
     last = rows.groupBy(*keys).agg(F.max("ts_ns").alias("ts_ns"), F.count(F.lit(1)).alias("end_rows"))
     early = F.when(F.pmod(F.xxhash64(*keys), F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(0))
     ends = last.withColumns({"seq": F.lit(-1).cast("long"), "is_end": F.lit(True), "_early": early})
     both = rows.withColumns({"is_end": F.lit(False), "_early": F.lit(0)}).unionByName(ends, allowMissingColumns=True)
+    if parts == 1:
+        both = both.drop("_early")
+        both.coalesce(files).write.parquet(f"{folder}-in")
+        return spark.readStream.schema(both.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}-in")
+    first, end = rows.agg(F.min("ts_ns"), F.max("ts_ns")).first()
     part = F.least(F.call_function("div", F.col("ts_ns") - (first or 0), F.lit(((end or 0) - (first or 0)) // parts + 1)), F.lit(parts - 1))
     both = both.withColumn("_part", F.greatest(part - F.col("_early"), F.lit(0)).cast("int")).drop("_early")
     schema = both.drop("_part").schema
     both.write.partitionBy("_part").parquet(folder)
-    files = spark.sparkContext.defaultParallelism
     for i in range(parts):
-        spark.read.schema(schema).parquet(f"{folder}/_part={i}").coalesce(files).write.mode("append").parquet(f"{folder}-in")
+        spark.read.schema(schema).parquet(f"{folder}/_part={i}").coalesce(files).sortWithinPartitions(*keys, "ts_ns").write.mode("append").parquet(f"{folder}-in")
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}-in")
 
 
@@ -330,7 +333,7 @@ def r2_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     mark = users.limit(1).withColumns({"ts_ns": F.lit(T0 + 400 * DAY), "seq": F.lit(0).cast("long"), "kind": F.lit("mark")})
     ends = users.withColumns({"ts_ns": F.lit(T0), "seq": F.lit(0).cast("long"), "kind": F.lit("end")})
     for part in (own.where("kind <> 'purchase'"), mark, late, ends):
-        part.coalesce(1).write.mode("append").parquet(folder)
+        part.repartition(1).sortWithinPartitions(*KEYS, "ts_ns").write.mode("append").parquet(folder)
     rows = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     flags = {"is_mark": F.col("kind") == "mark", "is_end": F.col("kind") == "end"}
     held = o.stream_rows(rows.withColumns(flags), KEYS)

@@ -4,7 +4,8 @@ One mechanism serves all (:func:`apply_ordered`): a stateful processor with even
 rows and the operator's own state. Each input has a watermark of its own (:func:`stream_rows`), and Spark applies the
 least of them, so that no row is applied while another input may still bring an earlier one.
 
-* Waiting rows lie in a map state by time slot, a timer for each slot: a batch touches only the slots that it adds to or that are due, whatever waits.
+* What a batch brings of a key and has to wait lies in parts of at most PART_ROWS rows in a map state, with the first time of each beside it, and the first that is due sets the key's one
+  timer: state is called a few times for each key and batch, however many time slots its rows are in and whatever waits. Rows that need not wait, those of a key that ends for instance, never go there.
 * An end is a row of its key and moves no watermark (its event time is null). Once all inputs of a key have ended, what waits is applied and the
   key closed; other keys go on. An end that tells how many rows its input has of the key waits for them, so files can come in any order.
 * A mark (``is_mark``) moves the watermark of its input and is nothing else: no earlier row will come from it.
@@ -17,15 +18,19 @@ from __future__ import annotations
 
 import json
 import pickle
-from collections.abc import Callable, Iterator, Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from operator import itemgetter
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.timeline import part_codes
 from ..schema import SEQ, TS, StreamError
 
 Step = Callable[[dict[str, Any], dict[str, Any]], list[dict[str, Any]]]
@@ -38,13 +43,16 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 #: Columns that the processor reads and steps don't see.
 OWN = ("is_end", "is_mark", "end_rows")
 FRAME_ROWS = 4096
+#: Rows of a part of what waits of a key; so many times as much is held before it is applied up to the next part.
+PART_ROWS, PARTS_HELD = 4096, 8
+IN_ORDER = itemgetter(TS, "side", SEQ)
 
 
 class Ordered(StatefulProcessor):
     """Applies a step to each key's rows in (ts_ns, side, seq) order, once the watermark has passed them."""
 
-    def __init__(self, keys: Sequence[str], columns: Sequence[str], step: Step, late: str, finish: Finish | None, idle_ms: int | None, inputs: int, slot_ms: int, lag_ms: int, nullable: Sequence[tuple[str, str]]):
-        self.nullable = list(nullable)
+    def __init__(self, keys: Sequence[str], columns: Sequence[str], step: Step, late: str, finish: Finish | None, idle_ms: int | None, inputs: int, slot_ms: int, lag_ms: int, nullable: Sequence[tuple[str, str]], packed: bool = False):
+        self.nullable, self.packed = list(nullable), packed
         self.keys, self.columns, self.step, self.late, self.finish = list(keys), list(columns), step, late, finish
         self.idle_ms, self.inputs, self.slot_ms, self.lag_ms = idle_ms, inputs, slot_ms, lag_ms
         self.timed = EVENT_TIME in columns
@@ -53,130 +61,171 @@ class Ordered(StatefulProcessor):
         self.handle = handle
         self.head = handle.getValueState("head", "text string")
         self.own = handle.getValueState("own", "data binary")
-        self.slots = handle.getMapState("slots", "slot long", "parts int")
-        self.rows = handle.getMapState("rows", "slot long, part int", "data binary")
+        self.slots = handle.getMapState("slots", "part long", "first long")
+        self.rows = handle.getMapState("rows", "part long", "data binary")
 
     def load(self) -> dict[str, Any]:
-        """What is known of a key, of one size however much waits: times applied and newest, ends, counted rows, the timer of silence."""
-        return json.loads(self.head.get()[0]) if self.head.exists() else {"applied": None, "newest": None, "ends": 0, "arrived": 0, "expected": 0, "quiet": None}
-
-    def due(self, slot: int) -> int:
-        return (slot + 1) * self.slot_ms + self.lag_ms
-
-    def put(self, slot: int, rows: list[dict]) -> None:
-        part = self.slots.getValue((slot,))[0] if self.slots.containsKey((slot,)) else 0
-        if not part:
-            self.handle.registerTimer(self.due(slot))
-        self.rows.updateValue((slot, part), (pickle.dumps(rows),))
-        self.slots.updateValue((slot,), (part + 1,))
-
-    def take(self, slot: int) -> list[dict]:
-        found = []
-        for part in range(self.slots.getValue((slot,))[0]):
-            found += pickle.loads(self.rows.getValue((slot, part))[0])
-            self.rows.removeKey((slot, part))
-        self.slots.removeKey((slot,))
-        return sorted(found, key=lambda r: (r[TS], r["side"], r[SEQ]))
-
-    def apply(self, key: tuple, slots: list[int], head: dict, watermark_ms: int, ended: bool = False) -> Iterator[pd.DataFrame]:
-        state, out = pickle.loads(self.own.get()[0]) if self.own.exists() else {}, []
-        for slot in slots:
-            for row in self.take(slot):
-                head["applied"] = row[TS]
-                found = self.step(state, row)
-                if self.timed:
-                    found = [x | {EVENT_TIME: max(row[TS] // 1_000_000, watermark_ms + 1)} for x in found]
-                out += found
-                if len(out) >= FRAME_ROWS:
-                    yield from self.frame(key, out)
-                    out = []
+        """What is known of a key, of one size however much waits: times applied, newest and first waiting, ends, counted rows, parts so far, both timers, and whether it is stored."""
+        if self.head.exists():
+            return json.loads(self.head.get()[0])
+        return {"applied": None, "newest": None, "first": None, "ends": 0, "arrived": 0, "expected": 0, "parts": 0, "timer": None, "quiet": None, "stored": False}
+
+    def save(self, head: dict) -> None:
+        head["stored"] = True
+        self.head.update((json.dumps(head),))
+
+    def due(self, ts: int) -> int:
+        """When the slot of a time is applied."""
+        return (ts // (self.slot_ms * 1_000_000) + 1) * self.slot_ms + self.lag_ms
+
+    def put(self, rows: list[dict], head: dict) -> None:
+        rows.sort(key=IN_ORDER)
+        for i in range(0, len(rows), PART_ROWS):
+            held, part = rows[i : i + PART_ROWS], head["parts"]
+            head["parts"] += 1
+            self.rows.updateValue((part,), (pickle.dumps(held),))
+            self.slots.updateValue((part,), (held[0][TS],))
+        if rows:
+            head["first"] = rows[0][TS] if head["first"] is None else min(head["first"], rows[0][TS])
+
+    def take(self, head: dict, watermark_ms: int | None, more: Sequence[dict] = ()) -> Iterator[dict]:
+        """The waiting rows that are due, all without a watermark, and ``more`` in order; what isn't due of the parts that are read is put back."""
+        parts = sorted((first[0], part[0]) for part, first in self.slots.iterator()) if head["parts"] else []
+        held, rest, head["first"] = list(more), [], None
+        for first, part in parts:
+            if watermark_ms is not None and self.due(first) > watermark_ms:
+                head["first"] = first
+                break
+            if len(held) > PARTS_HELD * PART_ROWS:
+                held.sort(key=IN_ORDER)
+                n = bisect_left(held, first, key=itemgetter(TS))
+                yield from held[:n]
+                held = held[n:]
+            own = pickle.loads(self.rows.getValue((part,))[0])
+            self.rows.removeKey((part,))
+            self.slots.removeKey((part,))
+            n = len(own) if watermark_ms is None else bisect_left(own, True, key=lambda r: self.due(r[TS]) > watermark_ms)
+            held += own[:n]
+            rest += own[n:]
+        self.put(rest, head)
+        held.sort(key=IN_ORDER)
+        yield from held
+
+    def apply(self, key: tuple, rows: Iterable[dict], head: dict, watermark_ms: int, ended: bool = False) -> Iterator[pd.DataFrame]:
+        state, out = pickle.loads(self.own.get()[0]) if head["applied"] is not None and self.own.exists() else {}, []
+        for row in rows:
+            head["applied"] = row[TS]
+            found = self.step(state, row)
+            if not found:
+                continue
+            if self.timed:
+                found = [x | {EVENT_TIME: max(row[TS] // 1_000_000, watermark_ms + 1)} for x in found]
+            out += found
+            if len(out) >= FRAME_ROWS:
+                yield from self.frame(key, out)
+                out = []
         if ended:
             last = max((head["applied"] or 0) // 1_000_000, watermark_ms + 1)
             found = self.finish(state) if self.finish is not None else []
             out += [x | {EVENT_TIME: last} for x in found] + [{TS: head["applied"] or 0, SEQ: 0, "is_end": True, EVENT_TIME: last}] if self.timed else found
-        else:
+        elif head["applied"] is not None:
             self.own.update((pickle.dumps(state),))
         yield from self.frame(key, out)
 
     def frame(self, key: tuple, out: list[dict]) -> Iterator[pd.DataFrame]:
         if out:
-            held = pd.DataFrame([dict(zip(self.keys, key, strict=True)) | x for x in out], columns=self.columns, dtype=object)
+            values = {k: [v] * len(out) for k, v in zip(self.keys, key, strict=True)}
+            held = pd.DataFrame({c: values[c] if c in values else [x.get(c) for x in out] for c in self.columns}, dtype=object)
             if self.timed:
                 held[EVENT_TIME] = pd.to_datetime(held[EVENT_TIME].astype("int64"), unit="ms")
                 held["is_end"] = held["is_end"].eq(True)
             yield held
 
-    def watch(self, head: dict, wanted: int | None) -> None:
-        """The timer that ends a silent key."""
-        if head["quiet"] != wanted:
-            if head["quiet"] is not None:
-                self.handle.deleteTimer(head["quiet"])
-            if wanted is not None:
+    def set_timer(self, head: dict, name: str, wanted: int | None) -> None:
+        """Move one of the key's timers: ``timer``, for what waits, or ``quiet``, which ends a silent key. They may be at one time and are then one."""
+        if head[name] != wanted:
+            other = head["quiet" if name == "timer" else "timer"]
+            if head[name] is not None and head[name] != other:
+                self.handle.deleteTimer(head[name])
+            if wanted is not None and wanted != other:
                 self.handle.registerTimer(wanted)
-            head["quiet"] = wanted
-
-    def end_key(self, key: tuple, head: dict, watermark_ms: int) -> Iterator[pd.DataFrame]:
-        """Apply what waits, then what is left when a key ends; its state goes."""
-        slots = sorted(k[0] for k in self.slots.keys())
-        yield from self.apply(key, slots, head, watermark_ms, ended=True)
-        for slot in slots:
-            self.handle.deleteTimer(self.due(slot))
-        self.watch(head, None)
-        for state in (self.head, self.own, self.slots, self.rows):
-            state.clear()
-
-    def taken(self, frame: pd.DataFrame) -> list[dict]:
-        """The rows of a batch, with their nulls as they were (:func:`_exact`)."""
-        held = frame.to_dict("records")
-        for row in held:
-            for name, null in self.nullable:
-                if row.pop(null):
-                    row[name] = None
-        return held
+            head[name] = wanted
+
+    def wake(self, head: dict) -> None:
+        self.set_timer(head, "timer", None if head["first"] is None else self.due(head["first"]))
+
+    def end_key(self, key: tuple, head: dict, watermark_ms: int, more: Sequence[dict] = ()) -> Iterator[pd.DataFrame]:
+        """Apply what waits and ``more``, then what is left when a key ends; its state goes."""
+        applied = head["applied"]
+        yield from self.apply(key, self.take(head, None, more), head, watermark_ms, ended=True)
+        for name in ("timer", "quiet"):
+            self.set_timer(head, name, None)
+        for state, there in ((self.head, head["stored"]), (self.own, applied is not None), (self.slots, head["parts"]), (self.rows, head["parts"])):
+            if there:
+                state.clear()
+
+    def taken(self, frame: pd.DataFrame, head: dict) -> list[dict]:
+        """The rows of a batch but for ends and marks, with their nulls as they were (:func:`_exact`); ends are noted."""
+        flags = dict(self.nullable)
+        names = [c for c in frame.columns if c not in self.keys]
+        whole = {c: np.concatenate(frame[c].tolist()) if self.packed else frame[c] for c in names}
+        ends, marks = (np.asarray(whole[c], bool) for c in ("is_end", "is_mark"))
+        if ends.any():
+            head["ends"] += int(ends.sum())
+            head["expected"] += int(np.asarray(whole["end_rows"])[ends].sum())
+        names = [c for c in names if c not in OWN and c not in flags.values()]
+        values = []
+        for name in names:
+            own = whole[name].tolist()
+            if name in flags and (null := np.asarray(whole[flags[name]], bool)).any():
+                own = [None if x else v for v, x in zip(own, null, strict=True)]
+            values.append(own)
+        rows = [dict(zip(names, row, strict=True)) for row in zip(*values, strict=True)]
+        out = ends | marks
+        return [row for row, x in zip(rows, out.tolist(), strict=True) if not x] if out.any() else rows
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        head, watermark, own, new = self.load(), timerValues.getCurrentWatermarkInMs(), [], {}
-        for frame in rows:
-            for row in self.taken(frame):
-                if row["is_end"]:
-                    head["ends"] += 1
-                    head["expected"] += int(row["end_rows"])
-                elif not row["is_mark"]:
-                    own.append(row)
-        if any(row[TS] // 1_000_000 < watermark for row in own):
+        head, watermark = self.load(), timerValues.getCurrentWatermarkInMs()
+        own = [row for frame in rows for row in self.taken(frame, head)]
+        if head["timer"] is not None and head["timer"] <= watermark:
             # what the watermark has passed is applied before rows that come too late for it
-            slots = sorted(k[0] for k in self.slots.keys() if self.due(k[0]) <= watermark)
-            yield from self.apply(key, slots, head, watermark)
-            for slot in slots:
-                self.handle.deleteTimer(self.due(slot))
-        for row in own:
-            head["arrived"] += 1
-            if head["applied"] is not None and row[TS] < head["applied"]:
-                if self.late == "drop":
-                    continue
-                row[TS] = head["applied"]
-            head["newest"] = max(row[TS], head["newest"] or row[TS])
-            new.setdefault(row[TS] // (self.slot_ms * 1_000_000), []).append({k: v for k, v in row.items() if k not in self.keys and k not in OWN})
-        for slot, held in new.items():
-            self.put(slot, held)
+            yield from self.apply(key, self.take(head, watermark), head, watermark)
+        head["arrived"] += len(own)
+        if head["applied"] is not None:
+            if self.late == "drop":
+                own = [row for row in own if row[TS] >= head["applied"]]
+            else:
+                for row in own:
+                    row[TS] = max(row[TS], head["applied"])
+        if own:
+            head["newest"] = max(max(row[TS] for row in own), head["newest"] if head["newest"] is not None else own[0][TS])
         if head["ends"] >= self.inputs and head["arrived"] >= head["expected"]:
-            yield from self.end_key(key, head, watermark)
+            yield from self.end_key(key, head, watermark, own)
             return
+        now = sorted((row for row in own if self.due(row[TS]) <= watermark), key=IN_ORDER)
+        if now:
+            yield from self.apply(key, now, head, watermark)
+            own = [row for row in own if self.due(row[TS]) > watermark]
+        self.put(own, head)
+        self.wake(head)
         if self.idle_ms is not None and head["newest"] is not None:
-            self.watch(head, head["newest"] // 1_000_000 + self.slot_ms + self.lag_ms + self.idle_ms)
-        self.head.update((json.dumps(head),))
+            self.set_timer(head, "quiet", head["newest"] // 1_000_000 + self.slot_ms + self.lag_ms + self.idle_ms)
+        self.save(head)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         head, at = self.load(), expiredTimerInfo.getExpiryTimeInMs()
         watermark = timerValues.getCurrentWatermarkInMs()
-        if head["quiet"] == at:
-            head["quiet"] = None
+        ends = head["quiet"] == at
+        if head["timer"] == at:
+            if not ends:
+                head["timer"] = None
+            yield from self.apply(key, self.take(head, watermark), head, watermark)
+            if not ends:
+                self.wake(head)
+                self.save(head)
+        if ends:
+            head["quiet"] = None if head["quiet"] != head["timer"] else head["quiet"]
             yield from self.end_key(key, head, watermark)
-            return
-        slot = (at - self.lag_ms) // self.slot_ms - 1
-        if self.slots.containsKey((slot,)):
-            yield from self.apply(key, [slot], head, watermark)
-            self.head.update((json.dumps(head),))
 
 
 def apply_ordered(
@@ -200,10 +249,34 @@ def apply_ordered(
     more = f", is_end boolean, {EVENT_TIME} timestamp" if chained else ""
     ddl = ", ".join([*(f"{k} {kinds[k]}" for k in keys), payload]) + more
     columns = [*keys, *(p.split()[0] for p in (payload + more).split(", "))]
-    processor = Ordered(keys, columns, step, late, finish, idle_ms, inputs, slot_ms, lag_ms, nullable)
+    packed = all(kinds[c] in PACKABLE for c in rows.columns if c not in keys)
+    processor = Ordered(keys, columns, step, late, finish, idle_ms, inputs, slot_ms, lag_ms, nullable, packed)
+    rows = _packed(rows, keys) if packed else rows
     return rows.groupBy(*keys).transformWithStateInPandas(processor, ddl, "Append", "EventTime", eventTimeColumnName=EVENT_TIME if chained else "")
 
 
+#: Types whose arrays keep every value as it is on the way to Python.
+PACKABLE = ("bigint", "int", "smallint", "tinyint", "double", "boolean", "string", "binary")
+
+
+def _packed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of one key that follow each other as one row of arrays: Spark hands rows to a stateful processor one by one, which costs more than most steps."""
+    names = [c for c in rows.columns if c not in keys]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"`{c}` array<{kinds[c]}>" for c in names)])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.flatnonzero(part_codes(batch, keys)) if keys else np.zeros(1, np.int64)
+            edges = pa.array(np.append(new, batch.num_rows).astype(np.int32))
+            own = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
+            yield pa.RecordBatch.from_arrays([*(own[k].take(pa.array(new)) for k in keys), *(pa.ListArray.from_arrays(edges, own[c]) for c in names)], names=[*keys, *names])
+
+    return rows.select(*keys, *names).mapInArrow(pack, ddl)
+
+
 def _exact(rows: DataFrame, never_null: Sequence[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Whole numbers that may be null as 0 with a flag beside them: pandas would make doubles of them, which hold 53 bits."""
     names = [f.name for f in rows.schema.fields if f.nullable and f.dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") and f.name not in never_null]
@@ -246,21 +319,35 @@ def together(inputs: Sequence[DataFrame]) -> DataFrame:
 
 
 class InOrder(StatefulProcessor):
-    """Applies a step at once to rows that come in order from batch to batch, and are sorted within one."""
+    """Applies a step at once to rows that come in order from batch to batch, and are sorted within one; ``step(state, row)`` gives columns of equal length.
 
-    def __init__(self, keys: Sequence[str], columns: Sequence[str], step: Step):
-        self.keys, self.columns, self.step = list(keys), list(columns), step
+    What a batch brings of a key is held, its results only up to FRAME_ROWS rows and those of one row.
+    """
+
+    def __init__(self, keys: Sequence[str], step: Callable[[dict, dict], dict[str, np.ndarray]]):
+        self.keys, self.step = list(keys), step
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.own = handle.getValueState("own", "data binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state = pickle.loads(self.own.get()[0]) if self.own.exists() else {}
-        held = sorted((row for frame in rows for row in frame.to_dict("records")), key=lambda r: (r[TS], r[SEQ]))
-        out = [dict(zip(self.keys, key, strict=True)) | x for row in held for x in self.step(state, row)]
+        held = sorted((row for frame in rows for row in frame.to_dict("records")), key=itemgetter(TS, SEQ))
+        out, size = [], 0
+        for row in held:
+            found = self.step(state, row)
+            out.append(found)
+            size += len(found[TS])
+            if size >= FRAME_ROWS:
+                yield self.frame(key, out)
+                out, size = [], 0
         self.own.update((pickle.dumps(state),))
-        for i in range(0, len(out), FRAME_ROWS):
-            yield pd.DataFrame(out[i : i + FRAME_ROWS], columns=self.columns, dtype=object)
+        if size:
+            yield self.frame(key, out)
+
+    def frame(self, key: tuple, out: list[dict[str, np.ndarray]]) -> pd.DataFrame:
+        values = {c: np.concatenate([x[c] for x in out]) for c in out[0]}
+        return pd.DataFrame({k: pd.Series([v] * len(values[TS]), dtype=object) for k, v in zip(self.keys, key, strict=True)} | values)
 
 
 def follow_levels(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -274,7 +361,7 @@ def follow_levels(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
     rows = blocks.select(*keys, (F.col("start_pos") * F.col("step_ns")).alias(TS), F.col("start_pos").alias(SEQ), "start_pos", "n", "step_ns", "data")
     ddl = ", ".join([*(f"{k} {kinds[k]}" for k in keys), f"{TS} long, {SEQ} long, value boolean"])
-    return rows.groupBy(*keys).transformWithStateInPandas(InOrder(keys, [*keys, TS, SEQ, "value"], block_step), ddl, "Append", "None")
+    return rows.groupBy(*keys).transformWithStateInPandas(InOrder(keys, block_runs), ddl, "Append", "None")
 
 
 def latch_step(state: dict, row: dict) -> list[dict]:
@@ -415,15 +502,19 @@ def edge_step(mode: str = "both", debounce_ns: int = 0, min_pulse_ns: int = 0) -
     return edge
 
 
-def block_step(state: dict, row: dict) -> list[dict]:
-    """Packed blocks in position order (``start_pos``, ``n``, ``step_ns``, ``data``) to the level rows they add."""
+def block_runs(state: dict, row: dict) -> dict[str, np.ndarray]:
+    """Packed blocks in position order (``start_pos``, ``n``, ``step_ns``, ``data``) to the level rows they add, as columns."""
     bits = np.unpackbits(np.frombuffer(row["data"], np.uint8), bitorder="little")[: row["n"]]
-    if not len(bits):
-        return []
-    at = np.flatnonzero(np.diff(bits, prepend=state.get("last", bits[0] ^ 1)))
-    state["last"] = bits[-1]
-    start, step = row["start_pos"], row["step_ns"]
-    return [{TS: int(start + i) * step, SEQ: int(start + i), "value": bool(bits[i])} for i in at]
+    at = np.flatnonzero(np.diff(bits, prepend=state.get("last", bits[0] ^ 1))) if len(bits) else np.zeros(0, np.int64)
+    if len(bits):
+        state["last"] = bits[-1]
+    place = row["start_pos"] + at
+    return {TS: place * row["step_ns"], SEQ: place, "value": bits[at].astype(bool)}
+
+
+def block_step(state: dict, row: dict) -> list[dict]:
+    """As :func:`block_runs`, row by row."""
+    return [{TS: t, SEQ: s, "value": v} for t, s, v in zip(*(x.tolist() for x in block_runs(state, row).values()), strict=True)]
 
 
 def framer_step(fixed: int | None = None, max_gap_ns: int | None = None, max_words: int = 4096) -> tuple[Step, Finish]:

@@ -289,3 +289,61 @@ def test_blocks_follow_each_other():
     assert [(r["ts_ns"], r["value"]) for r in o.block_step(state, block(0, b"\xf0", 8))] == [(0, False), (12, True)]
     assert o.block_step(state, block(8, b"", 0)) == []
     assert [(r["ts_ns"], r["value"]) for r in o.block_step(state, block(8, b"\x0f", 6))] == [(36, False)]
+
+
+def test_state_touched_does_not_grow_with_the_slots_of_a_batch():
+    """Rows of a thousand slots wait, are released and end by as many calls of state and timers as rows of one slot, in order."""
+    import pandas as pd
+
+    calls = 0
+
+    def counted(f):
+        def call(*args):
+            nonlocal calls
+            calls += 1
+            return f(*args)
+
+        return call
+
+    class State:
+        def __init__(self):
+            held = self.held = {}
+            self.exists = counted(lambda: () in held)
+            self.get = counted(lambda: held[()])
+            self.update = counted(lambda v: held.__setitem__((), v))
+            self.iterator = counted(lambda: iter(list(held.items())))
+            self.getValue = counted(held.get)
+            self.updateValue = counted(held.__setitem__)
+            self.removeKey = counted(held.pop)
+            self.containsKey = counted(held.__contains__)
+            self.keys = counted(lambda: iter(list(held)))
+            self.clear = counted(held.clear)
+
+    class Handle:
+        def __init__(self):
+            self.timers = set()
+            self.registerTimer, self.deleteTimer = counted(self.timers.add), counted(self.timers.discard)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    costs = []
+    for slots in (1, 1000):
+        calls = 0
+        p = o.Ordered(["k"], ["k", "ts_ns", "seq", "value"], o.counter_step(), "drop", None, None, 1, 1000, 0, [])
+        p.handle = Handle()
+        p.head, p.own, p.slots, p.rows = State(), State(), State(), State()
+        frame = lambda seqs, end=False: pd.DataFrame([{"k": 1, "ts_ns": (i * slots // 1000) * S, "seq": i, "side": 0, "is_end": end, "is_mark": False, "end_rows": 1000 * end} for i in seqs])
+        out = list(p.handleInputRows((1,), iter([frame(range(999, -1, -2))]), At(0)))
+        out += list(p.handleInputRows((1,), iter([frame(range(0, 1000, 2))]), At(0)))
+        while p.handle.timers and min(p.handle.timers) <= slots * 500:
+            at = min(p.handle.timers)
+            out += list(p.handleExpiredTimer((1,), At(slots * 500), type("", (), {"getExpiryTimeInMs": lambda self, at=at: at})()))
+            p.handle.timers.discard(at)
+        out += list(p.handleInputRows((1,), iter([frame([0], True)]), At(slots * 500)))
+        found = pd.concat(out)
+        assert found["seq"].tolist() == list(range(1000)) and found["value"].tolist() == list(range(1, 1001))
+        assert not p.handle.timers and not any(x.held for x in (p.head, p.own, p.slots, p.rows))
+        costs.append(calls)
+    assert costs[1] < costs[0] + 20
