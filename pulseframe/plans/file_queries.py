@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import formats, payload, udf
 from ..operators import decode, levels, retrieval, tiers, trigger, words
+from ..operators.timeline import settled
 from ..sources import blocks, capture_source, file_commits, sinks
 from ..shared import shared_path
 from ..streaming import decoders as d
@@ -28,9 +29,14 @@ DAY_MS = 86_400_000
 NAMES = ["low", "next", "third", "top"]
 
 
-def written(spark: SparkSession, sf_dir: str, kind: str) -> str:
-    """Path of a capture file of the bus of lineitem."""
-    packed = blocks.pack_levels(b.bus_bits(spark, sf_dir), ["channel"], "position", "bit", 10, 8192)
+def bus_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bus of lineitem as packed blocks, made once and stored: an export reads them several times."""
+    return settled(blocks.pack_levels(b.bus_bits(spark, sf_dir), ["channel"], "position", "bit", 10, 8192))
+
+
+def written(spark: SparkSession, sf_dir: str, kind: str, packed: DataFrame | None = None) -> str:
+    """Path of a capture file of the bus of lineitem, or of its blocks if they are there."""
+    packed = bus_blocks(spark, sf_dir) if packed is None else packed
     path = f"{shared_path(spark, 'capture')}.{kind}"
     if kind == "dsl":
         sinks.export_dsl(packed, path, NAMES, "100 MHz")
@@ -81,9 +87,9 @@ SELECT kind, 4 AS total_probes, 100000000::BIGINT AS samplerate_hz, n AS total_s
 )
 def s8_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the headers of both archives tell."""
-    found = None
+    found, packed = None, bus_blocks(spark, sf_dir)
     for kind in ("dsl", "sr"):
-        own = blocks.capture_summary(blocks.captures(spark, written(spark, sf_dir, kind), kind))
+        own = blocks.capture_summary(blocks.captures(spark, written(spark, sf_dir, kind, packed), kind))
         own = own.select(
             F.lit(kind).alias("kind"), "total_probes", F.col("samplerate_hz").cast("long").alias("samplerate_hz"), "total_samples", "total_blocks", "samples_per_block",
             F.array_join("probe_names", ",").alias("names"), "trigger_sample", F.round(F.col("duration_us") * 1000).cast("long").alias("duration_ns"),

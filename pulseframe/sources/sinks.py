@@ -21,6 +21,8 @@ from ..shared import shared_path
 
 WIDTHS = {"u8": 1, "u16le": 2, "u32le": 4}
 CHUNK = 4_000_000
+#: Entries of an archive that a task holds compressed.
+ENTRIES_HELD = 64
 
 
 def routed(words: DataFrame, names: DataFrame | None, keys: Sequence[str], static: str | None = None, bucket_ns: int | None = None) -> DataFrame:
@@ -211,7 +213,7 @@ def zip_entries(entries: DataFrame) -> DataFrame:
     """``entries(entry, name, data)`` compressed where they lie: entry, data (with the local header), size, and ``central``, the directory's record but for the offset."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, ENTRIES_HELD) for whole in batches for i in range(0, max(whole.num_rows, 1), ENTRIES_HELD)):
             rows = [zip_entry(name, data) for name, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             own, central = zip(*rows, strict=True) if rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary()), pa.array(central, pa.binary()), pa.array(map(len, own), pa.int64())], names=["entry", "data", "central", "size"])
