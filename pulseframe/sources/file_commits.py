@@ -1,7 +1,7 @@
 """Files written as one transaction by a Python data source: after a job all of its files are there, or none.
 
 ``write_committed`` takes the chunks of ``sinks.file_chunks``. Tasks write below ``_tasks`` in the folder, each attempt to its own place, and tell the
-driver that place and no more. The commit notes the places of the attempts that count in ``_commits/<job>.pending``, moves their files and then
+driver that place and no more. The commit notes the places of the attempts that count in ``_commits/<job>.pending``, moves their folders (whole where the folder is new, else file by file) and then
 takes the note away for ``_commits/<job>.done``; :func:`recover` does the rest of a commit that was cut off. A job that was done before changes nothing, so a stream's
 ``foreachBatch`` can name a job by its batch number. ``_index`` has a Parquet file for each task: path, bytes, chunks of each file.
 """
@@ -78,24 +78,29 @@ def _drop(store: Any, path: str) -> None:
 
 def finish_commit(folder: str, job: str) -> None:
     """Move what the note of a job names, then mark the job as done; can be repeated after any interruption."""
+    from pyarrow import fs
+
     store, base = _opened(folder)
     note = f"{base}/{COMMITS}/{job}.pending"
     with store.open_input_stream(note) as held:
         own, places = json.loads(held.read())
 
-    def move(pair: tuple[str, str]) -> None:
-        source, target = pair
-        store.create_dir(target.rsplit("/", 1)[0], recursive=True)
-        if _exists(store, target):
+    def move(source: str, target: str, is_file: bool) -> list[tuple[str, str, bool]]:
+        """Move a file, or a folder whole if there is none at its target; else what is still to be moved of it."""
+        there = store.get_file_info(target).type
+        if not is_file and there != fs.FileType.NotFound:
+            return [(x.path, f"{target}/{x.base_name}", x.type == fs.FileType.File) for x in store.get_file_info(fs.FileSelector(source))]
+        if there != fs.FileType.NotFound:
             store.delete_file(target)
         store.move(source, target)
-
-    for place in places:
-        at = f"{base}/{place}"
-        # what is gone from here was moved before
-        pairs = [(x, f"{base}/{x[len(at) + 1 :]}") for x in _files(store, at)]
-        with ThreadPoolExecutor(MOVERS) as pool:
-            list(pool.map(move, pairs))
+        return []
+
+    with ThreadPoolExecutor(MOVERS) as pool:
+        for place in places:
+            # what is gone from here was moved before
+            todo = [(f"{base}/{place}", base, False)] if _exists(store, f"{base}/{place}") else []
+            while todo:
+                todo = [x for more in pool.map(lambda x: move(*x), todo) for x in more]
     _text(store, f"{base}/{COMMITS}/{job}.done", "")
     store.delete_file(note)
     _drop(store, f"{base}/{TASKS}/{own}")
@@ -197,7 +202,9 @@ def write_committed(chunks: DataFrame, folder: str, keys: Sequence[str] = (), jo
     if job is not None and (not job or "/" in job or job.startswith(".")):
         raise StreamError(f"{job!r} can't be the name of a job")
     chunks.sparkSession.dataSource.register(FilesSource)
-    rows = chunks.select(*keys, "window", "filename", "chunk", "data").repartition(*keys, "filename").sortWithinPartitions(*keys, "filename", "window", "chunk")
+    rows = chunks.select(*keys, "window", "filename", "chunk", "data")
+    # by range, so that the folder of a key lies in one task, or in a few if it is large, and is moved as a whole
+    rows = (rows.repartitionByRange(*keys, "filename") if keys else rows.repartition("filename")).sortWithinPartitions(*keys, "filename", "window", "chunk")
     options = {"path": folder} | ({"job": job} if job is not None else {})
     rows.write.format(NAME).mode("append").options(**options).save()
 

@@ -88,3 +88,32 @@ def test_as_the_sink_of_a_stream(spark, tmp_path):
         run = query.option("checkpointLocation", str(tmp_path / f"state-{_}")).trigger(availableNow=True).start()
         assert run.awaitTermination(120) and run.exception() is None
     assert files_in(folder) == want and fc.committed_files(spark, folder).count() == len(want)
+
+
+def test_folders_of_keys_are_moved_whole(spark, tmp_path, monkeypatch):
+    """The driver moves a folder for each key and not each of its files, unless the folder is there already."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = tmp_path / "out"
+    for attempt, keys in ((1, range(5)), (2, range(4, 8))):
+        for k in keys:
+            at = folder / "_tasks" / "job-own" / str(attempt) / str(k)
+            at.mkdir(parents=True)
+            for i in range(20):
+                (at / f"{attempt}-{i}").write_text(f"{k} {i}")
+    (folder / "_commits").mkdir()
+    (folder / "_commits" / "job.pending").write_text(json.dumps(["job-own", ["_tasks/job-own/1", "_tasks/job-own/2"]]))
+    moved = 0
+
+    class Counted(ThreadPoolExecutor):
+        def map(self, f, todo, **more):
+            nonlocal moved
+            todo = list(todo)
+            moved += len(todo)
+            return super().map(f, todo, **more)
+
+    monkeypatch.setattr(fc, "ThreadPoolExecutor", Counted)
+    fc.finish_commit(str(folder), "job")
+    assert sum(x.is_file() for x in folder.glob("[0-9]/*")) == 9 * 20 and (folder / "4" / "2-3").read_text() == "4 3"
+    # both places, nine folders, and the files of the one that was there
+    assert moved == 2 + 9 + 20 and not (folder / "_tasks" / "job-own").exists()
