@@ -203,6 +203,77 @@ def test_learning_does_not_depend_on_partitions(spark, docs, labels):
     assert (one.table == other.table).all() and (one.limits == other.limits).all() and (one.out == other.out).all()
 
 
+def rare_insults(n=36_000, words=1_500):
+    """Every second text is toxic by one of many words, each of which few texts hold."""
+    rng = random.Random(4)
+    plain = [f"plain{k}" for k in range(40)]
+    return [(i, " ".join([*rng.choices(plain, k=4), *([f"bad{i // 2 % words}x"] if i % 2 else [])]), "en", i % 2) for i in range(n)]
+
+
+def test_every_labelled_text_is_learned_from(spark):
+    """A word of eight learning texts is known however many others there are; each word is in about two of any 8,000 rows."""
+    rows = rare_insults()
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    found = toxicity.score_documents(docs, toxicity.learn(docs, labels, shard_chars=300_000)).join(labels, "doc_id").where("held_out").toPandas()
+    assert (found[found.toxic == 1].predicted == 1).mean() > 0.9 and (found[found.toxic == 0].predicted == 0).mean() > 0.9
+
+
+def test_counts_are_of_all_learning_texts(spark):
+    rows = rare_insults(9_000, 300)
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    texts = toxicity.learning_texts(docs, labels, 20_000, 5)
+    held = texts.toArrow()
+    words, bounds = toxicity.unpacked(held)
+    held = held.to_pylist()
+    assert {r["doc_id"] for r in held} <= {r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert len(held) == len({(r[1], r[3]) for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}) and len({r["shard"] for r in held}) > 10
+    counts = toxicity.bucket_counts(texts, ["en"])
+    want = np.zeros_like(counts)
+    for r, a, b in zip(held, bounds[:-1], bounds[1:], strict=True):
+        own = words[a:b]
+        np.add.at(want[2], own[:, 0], 1)
+        if not r["for_test"]:
+            want[r["toxic"]][np.unique(own)] += 1
+    assert (counts == want).all()
+
+
+def test_shards_learn_alike_in_any_order(spark, docs, labels):
+    one, other = (toxicity.learn(d, x, shard_chars=50_000) for d, x in ((docs, labels), (docs.repartition(7, "lang"), labels.repartition(5))))
+    assert (one.table == other.table).all() and (one.limits == other.limits).all() and (one.dense == other.dense).all()
+
+
+def test_training_on_long_texts_in_spans(monkeypatch):
+    """Windows, and so gradients, are those of whole texts."""
+    rng = np.random.default_rng(3)
+    words, bounds = rng.integers(0, 1 << toxicity.BITS, (900, 2)).astype(np.int32), np.array([0, 0, 3, 700, 702, 900])
+    state = toxicity.Training.begin(np.full(1 << toxicity.BITS, 5), np.full(1 << toxicity.BITS, 5), 2, 3, 1)
+    best, place = toxicity.top_windows(state.net, words, bounds)
+    monkeypatch.setattr(toxicity, "SPAN_WORDS", 50)
+    spans = toxicity.top_windows(state.net, words, bounds)
+    assert abs(best - spans[0]).max() < 1e-5 and (place == spans[1])[best > 1e-3].all()
+
+
+def test_a_text_scores_the_same_beside_others():
+    rng = np.random.default_rng(5)
+    size = np.array([3, 0, 1, 0, 40, 2])
+    words, bounds = rng.integers(0, 1 << toxicity.BITS, (size.sum(), 2)).astype(np.int32), np.concatenate([[0], np.cumsum(size)])
+    net = toxicity.Training.begin(np.full(1 << toxicity.BITS, 5), np.full(1 << toxicity.BITS, 5), 2, 3, 1).net
+    net.table *= 50
+    alone = [net.logits(words[a:b], np.array([0, b - a]))[0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert abs(net.logits(words, bounds) - alone).max() < 1e-3
+    pooled, _ = toxicity.top_windows(net, words, bounds)
+    assert abs(pooled @ net.out + net.out_bias - alone).max() < 1e-3
+
+
+def test_limit_divides_best():
+    bins, hits, texts = np.array([-3, 0, 512, 700]), np.array([0, 0, 4, 6]), np.array([50, 5, 4, 6])
+    assert toxicity.best_limit(bins, hits, texts, 0.0, strength=0.0) == (512 + 1) / 2 / toxicity.BINS
+    assert toxicity.best_limit(bins, texts * 0, texts, 0.25) == toxicity.best_limit(bins, texts, texts, 0.25) == 0.25
+    assert toxicity.best_limit(np.zeros(0, int), np.zeros(0), np.zeros(0), 0.5) == 0.5
+
+
 def test_centroids_equal_plain_cosines(spark, docs):
     model = language_id.learn(docs)
 
