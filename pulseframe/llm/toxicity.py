@@ -341,7 +341,7 @@ def learning_texts(docs: DataFrame, labels: DataFrame, shard_chars: int, seed: i
     a bitmap, whose few false ones the join leaves out.
     """
     spark = docs.sparkSession
-    known = labels.where(is_learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    known = labels.where(is_learnable(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic").cast("int") == 1).cast("int").alias("toxic"))
     rows = docs.where(F.col("text").isNotNull() & is_learnable(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     chars = rows.select("doc_id", F.length("text").alias("n")).join(known, "doc_id").agg(F.sum("n")).first()[0] or 0
     shards = chars // shard_chars + 1

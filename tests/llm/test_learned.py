@@ -222,7 +222,9 @@ def test_every_labelled_text_is_learned_from(spark):
 def test_counts_are_of_all_learning_texts(spark):
     rows = rare_insults(9_000, 300)
     docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string").repartition(3)
-    labels = spark.createDataFrame([(r[0], r[3]) for r in rows], "doc_id long, toxic int")
+    # other values are no label 1; an id without a text, a null id and a null label count for nothing
+    labels = spark.createDataFrame([(r[0], r[3] or i % 4) for i, r in enumerate(rows)] + [(10**6, 1), (None, 1), (0, None)], "doc_id long, toxic int")
+    docs = docs.union(docs.limit(50)).union(spark.createDataFrame([(None, "plain1", "en"), (10**7, "plain2", "en")], docs.schema))
     texts = toxicity.learning_texts(docs, labels, 20_000, 5)
     held = texts.toArrow()
     words, bounds = toxicity.unpacked(held)
