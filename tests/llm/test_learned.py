@@ -204,10 +204,10 @@ def test_learning_does_not_depend_on_partitions(spark, docs, labels):
 
 
 def rare_insults(n=36_000, words=1_500):
-    """Every second text is toxic by one of many words, each of which few texts hold."""
+    """Every text has one of many words that few texts hold and that differ by their first five characters; half of these words are toxic."""
     rng = random.Random(4)
     plain = [f"plain{k}" for k in range(40)]
-    return [(i, " ".join([*rng.choices(plain, k=4), *([f"bad{i // 2 % words}x"] if i % 2 else [])]), "en", i % 2) for i in range(n)]
+    return [(i, " ".join([*rng.choices(plain, k=4), f"{i % 2 * 50_000 + i // 2 % words:05d}"]), "en", i % 2) for i in range(n)]
 
 
 def test_every_labelled_text_is_learned_from(spark):
