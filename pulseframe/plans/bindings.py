@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.timeline import along, count
 from ..sources.blocks import pack_levels
+from ..streaming.ordered import stretch_bytes
 
 KEYS = ["user_id"]
 #: Start of the timelines: nothing in the event table is earlier.
@@ -135,6 +138,8 @@ def parallel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Bytes of text that one task sends over a serial line.
 LINE_BYTES = 1 << 18
+#: Bytes of text whose level changes are one stretch.
+STRETCH_BYTES = 1 << 14
 
 
 def uart_line(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +160,44 @@ def uart_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cell.select("conv_id", "turn", at.alias("ts_ns"), at.alias("seq"), (F.expr("shiftright(v, k) & 1") == 1).alias("value"))
 
 
+def uart_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of :func:`uart_line` as stretches (:func:`~pulseframe.streaming.ordered.stretch_bytes`) with their ends."""
+    rows = table(spark, sf_dir, "conversations").where("length(text) > 0").select("conv_id", "turn", F.encode(F.col("text"), "utf-8").alias("h"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    rows = rows.repartition(spark.sparkContext.defaultParallelism, "conv_id", "turn")
+    return rows.mapInArrow(_line_stretches(STRETCH_BYTES), f"conv_id {kinds['conv_id']}, turn {kinds['turn']}, is_end boolean, end_rows long, latest long, stretch binary")
+
+
+def _line_stretches(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    # of each byte the ten cells from start to stop bit, and those that differ from the one before (of a start bit: from a stop bit)
+    cells = (np.arange(256)[:, None] * 2 + 512 >> np.arange(10) & 1).astype(bool)
+    moves = np.append(np.ones((256, 1), bool), cells[:, 1:] != cells[:, :-1], 1)
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of: list[int] = []
+            found: list[tuple] = []
+            for i, text in enumerate(batch.column(2)):
+                data, n = np.frombuffer(text.as_buffer(), np.uint8), 0
+                for low in range(0, len(data), most):
+                    own = data[low : low + most]
+                    byte, k = np.nonzero(moves[own])
+                    ts, n, ends = (low + byte) * 10_000 + k * 1000 + 1000, n + len(byte), low + most >= len(data)
+                    of.append(i)
+                    found.append((ends, n if ends else 0, int(ts[-1]), stretch_bytes({"ts_ns": ts, "seq": ts, "value": cells[own[byte], k]})))
+                    if len(of) == 1024:
+                        yield rows(batch, of, found)
+                        of, found = [], []
+            if of:
+                yield rows(batch, of, found)
+
+    def rows(batch: pa.RecordBatch, of: list[int], found: list[tuple]) -> pa.RecordBatch:
+        own = [pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), (pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays([*(k.take(pa.array(of)) for k in batch.columns[:2]), *own], names=["conv_id", "turn", "is_end", "end_rows", "latest", "stretch"])
+
+    return stretches
+
+
 def i2c_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """supplier rows as writes on a two-wire bus by nation: address from the key, then three data bytes of the key."""
     rows = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey")

@@ -248,10 +248,6 @@ def stream_of(spark: SparkSession, rows: DataFrame, keys: list[str], parts: int
     early = F.when(F.pmod(F.xxhash64(*keys), F.lit(2)) == 0, F.lit(1)).otherwise(F.lit(0))
     ends = last.withColumns({"seq": F.lit(-1).cast("long"), "is_end": F.lit(True), "_early": early})
     both = rows.withColumns({"is_end": F.lit(False), "_early": F.lit(0)}).unionByName(ends, allowMissingColumns=True)
-    if parts == 1:
-        both = both.drop("_early")
-        both.coalesce(files).write.parquet(f"{folder}-in")
-        return spark.readStream.schema(both.schema).option("maxFilesPerTrigger", files).parquet(f"{folder}-in")
     first, end = rows.agg(F.min("ts_ns"), F.max("ts_ns")).first()
     part = F.least(F.call_function("div", F.col("ts_ns") - (first or 0), F.lit(((end or 0) - (first or 0)) // parts + 1)), F.lit(parts - 1))
     both = both.withColumn("_part", F.greatest(part - F.col("_early"), F.lit(0)).cast("int")).drop("_early")
@@ -262,6 +258,13 @@ def stream_of(spark: SparkSession, rows: DataFrame, keys: list[str], parts: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}-in")
 
 
+def stream_of_stretches(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Stretches of rows that have their ends with them as a stream of files, one batch."""
+    folder = shared_path(spark, "input")
+    rows.write.parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder)
+
+
 def run_stream(spark: SparkSession, rows: DataFrame, folder: str | None = None) -> DataFrame:
     """The whole result of a stream over what there is of its input, written to the shared folder (or on to ``folder``) and read back."""
     folder = folder or shared_path(spark, "stream")
@@ -316,11 +319,10 @@ def r5_stream_uart(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_stream_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The serial decoder and a framer over its words as two stateful operators of one streaming query."""
     keys = ["conv_id", "turn"]
-    line = stream_of(spark, b.uart_line(spark, sf_dir), keys, 1)
-    step, finish = d.uart_step(1e6)
-    found = o.apply_ordered(o.stream_rows(line, keys, level="value"), keys, step, "ts_ns long, seq long, duration_ns long, value long", finish=finish, chained=True)
-    frame, rest = o.framer_step(fixed=16)
-    packets = o.apply_ordered(o.chained_rows(found, keys, 1, duration_ns="duration_ns", value="value"), keys, frame, "start_ns long, end_ns long, n_words long, values array<long>", finish=rest)
+    line = stream_of_stretches(spark, b.uart_stretches(spark, sf_dir))
+    found = o.apply_ordered(o.stream_rows(line, keys, level="value"), keys, d.uart_columns(1e6), "ts_ns long, seq long, duration_ns long, value long", chained=True)
+    chained = o.chained_rows(found, keys, 1, duration_ns="duration_ns", value="value")
+    packets = o.apply_ordered(chained, keys, o.framer_columns(fixed=16), "start_ns long, end_ns long, n_words long, values array<long>")
     text = F.concat_ws("", F.transform("values", lambda x: formats.hex_text(x)))
     return run_stream(spark, packets).select(*keys, "start_ns", "n_words", text.alias("payload"))
 

@@ -1,13 +1,15 @@
-"""Protocol decoders as steps of :func:`~pulseframe.streaming.ordered.apply_ordered`: what the batch decoders give, row by row.
+"""Protocol decoders as steps of :func:`~pulseframe.streaming.ordered.apply_ordered`: what the batch decoders give, row by row or over columns.
 
 Each step keeps what is open (a frame, a word, an instant) in its key's state, which stays small however long the line is.
 """
 
 from __future__ import annotations
 
+import numpy as np
+
 from ..functions.unsigned import signed
 from ..schema import SEQ, TS
-from .ordered import Finish, Step
+from .ordered import Columns, ColumnStep, Finish, Step
 
 
 def uart_step(baud: float, data_bits: int = 8, parity: str = "none", stop_bits: float = 1, msb_first: bool = False, inverted: bool = False) -> tuple[Step, Finish]:
@@ -50,6 +52,52 @@ def uart_step(baud: float, data_bits: int = 8, parity: str = "none", stop_bits:
     return step, lambda state: read(state, None)
 
 
+def uart_columns(baud: float, data_bits: int = 8, parity: str = "none", stop_bits: float = 1, msb_first: bool = False, inverted: bool = False) -> ColumnStep:
+    """As :func:`uart_step`, over columns: starts and bit middles of all frames are found by binary search among the level changes.
+
+    The state is the changes from the open frame on, else the last one, and the time from which a frame may start.
+    """
+    bit = 1e9 / baud
+    checked = parity != "none"
+    frame = 1 + data_bits + checked + stop_bits
+    offsets = [int((1.5 + i) * bit + 0.5) for i in range(data_bits + checked)]
+    if stop_bits:
+        offsets.append(int((1 + data_bits + checked + min(stop_bits, 1) / 2) * bit + 0.5))
+    resume, duration, at = int((frame - 0.25) * bit + 0.5), int(frame * bit + 0.5), np.array(offsets, np.int64)
+    place = [data_bits - 1 - i if msb_first else i for i in range(data_bits)]
+
+    def read(state: dict, rows: Columns, ended: bool) -> Columns:
+        own = (rows[TS], rows[SEQ], rows["level"].astype(bool) != inverted) if rows else ()
+        ts, seq, high = (np.concatenate([x for x in pair if x is not None]) for pair in zip(state.pop("open", [None] * 3), own or [np.zeros(0, np.int64)] * 3, strict=True))
+        if not len(ts):
+            return {}
+        moved = np.flatnonzero(np.append(True, high[1:] != high[:-1]))
+        ts, seq, high = ts[moved], seq[moved], high[moved].astype(bool)
+        falls = np.flatnonzero(~high & (ts >= state.get("resume", ts[0])))
+        following, chosen, i = np.searchsorted(ts[falls], ts[falls] + resume).tolist(), [], 0
+        while i < len(following):
+            chosen.append(i)
+            i = following[i]
+        starts = falls[np.array(chosen, np.int64)]
+        if not ended:
+            done = int(np.count_nonzero(ts[starts] + at[-1] < ts[-1]))
+            rest = int(starts[done]) if done < len(starts) else len(ts) - 1
+            state["open"], starts = (ts[rest:], seq[rest:], high[rest:]), starts[:done]
+            if done:
+                state["resume"] = int(ts[starts[-1]]) + resume
+        bits = high[np.searchsorted(ts, (ts[starts][:, None] + at).ravel(), "right") - 1].reshape(len(starts), len(at))
+        value = bits[:, :data_bits] @ (1 << np.array(place, np.int64))
+        no = np.zeros(len(starts), bool)
+        odd = bits[:, :data_bits].sum(1) % 2 == 1
+        expected = {"odd": ~odd, "even": odd, "mark": ~no, "space": no}.get(parity)
+        return {
+            TS: ts[starts], SEQ: seq[starts], "duration_ns": np.full(len(starts), duration), "value": value,
+            "framing_error": ~bits[:, -1] if stop_bits else no, "parity_error": bits[:, data_bits] != expected if checked else no,
+        }
+
+    return ColumnStep(read)
+
+
 def spi_step(lines: list[str], mode: int = 0, bits: int = 8, cs_active: str = "low", msb_first: bool = True) -> tuple[Step, Finish]:
     """Clock (side 0), chip select (side 1) and data lines (side 2 on), all as ``level``: line, ts_ns, seq, duration_ns, value, window_ns of each whole word.
 

@@ -12,14 +12,17 @@ least of them, so that no row is applied while another input may still bring an
 * Rows older than what was applied of their key are dropped, or moved to the last applied time (``late='clamp'``). Spark's own filter of late rows,
   which knows nothing of keys, is not used.
 * Timers also end keys that have been silent for ``idle_ms``.
+* Rows are held as columns from their shuffle on. A step gets them one by one, or all that are applied at once as arrays (:class:`ColumnStep`).
+* A stream can also bring stretches: many rows of a key in one (:func:`stretch_bytes`), so that Spark handles as many rows as there are stretches. An operator with ``chained`` and
+  a :class:`ColumnStep` gives them to the next.
 """
 
 from __future__ import annotations
 
 import json
 import pickle
-from bisect import bisect_left
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from operator import itemgetter
 from typing import Any
 
@@ -35,6 +38,7 @@ from ..schema import SEQ, TS, StreamError
 
 Step = Callable[[dict[str, Any], dict[str, Any]], list[dict[str, Any]]]
 Finish = Callable[[dict[str, Any]], list[dict[str, Any]]]
+Columns = dict[str, np.ndarray]
 
 #: Where a row's time is for watermarks; Spark's are in milliseconds.
 EVENT_TIME = "event_time"
@@ -42,17 +46,85 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Columns that the processor reads and steps don't see.
 OWN = ("is_end", "is_mark", "end_rows")
+#: Columns of stretches beside keys and ends; ``latest`` is the last time in one.
+STRETCH, LATEST = "stretch", "latest"
 FRAME_ROWS = 4096
 #: Rows of a part of what waits of a key; so many times as much is held before it is applied up to the next part.
 PART_ROWS, PARTS_HELD = 4096, 8
-IN_ORDER = itemgetter(TS, "side", SEQ)
+
+
+@dataclass(frozen=True)
+class ColumnStep:
+    """A step over all rows of a key that are applied at once: ``apply(state, columns, ended)`` gets them in order and gives columns of equal length.
+
+    With ``ended`` nothing comes after them and what is left is given too; there may then be no columns. What it keeps from call to call lies in ``state``.
+    """
+
+    apply: Callable[[dict[str, Any], Columns, bool], dict[str, Any]]
+
+
+def _narrow(steps: np.ndarray) -> np.ndarray:
+    """Whole numbers in the least bytes that hold all of them."""
+    low, high = (int(steps.min()), int(steps.max())) if len(steps) else (0, 0)
+    return steps.astype(next(w for w in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(w).min <= low and high <= np.iinfo(w).max))
+
+
+def stretch_bytes(rows: Columns) -> bytes:
+    """Rows of one key (ts_ns, seq, more whole numbers, doubles or truth values, none null) as bytes: a line of JSON that tells what follows, then each column.
+
+    Whole numbers are their first one and the steps from one to the next, without bytes if there is no step.
+    """
+    head: list[list] = []
+    data = []
+    for name, own in rows.items():
+        first = None
+        if own.dtype.kind not in "ifb":
+            raise StreamError(f"{name} can't lie in a stretch")
+        if own.dtype.kind == "i":
+            own = own.astype(np.int64, copy=False)
+            first, steps = int(own[0]) if len(own) else 0, np.diff(own, prepend=own[:1])
+            own = _narrow(steps) if steps.any() else steps[:0].astype(np.int8)
+        data.append(own.tobytes())
+        head.append([name, own.dtype.str, first, len(data[-1])])
+    return b"".join([json.dumps([len(rows[TS]), head]).encode(), b"\n", *data])
+
+
+def stretch_columns(stretch: bytes) -> Columns:
+    """What :func:`stretch_bytes` put together."""
+    line = stretch.index(b"\n") + 1
+    n, head = json.loads(stretch[:line])
+    out = {}
+    for name, kind, first, size in head:
+        own = np.frombuffer(stretch, kind, size // np.dtype(kind).itemsize, line)
+        out[name] = own if first is None else own.cumsum(dtype=np.int64) + first if size else np.full(n, first, np.int64)
+        line += size
+    return out
+
+
+def _size(rows: Columns) -> int:
+    return len(rows[TS]) if rows else 0
+
+
+def _some(rows: Columns, which: Any) -> Columns:
+    return {c: v[which] for c, v in rows.items()}
+
+
+def _joined(parts: Sequence[Columns]) -> Columns:
+    parts = [x for x in parts if _size(x)]
+    return parts[0] if len(parts) == 1 else {c: np.concatenate([x[c] for x in parts]) for c in parts[0]} if parts else {}
+
+
+def _in_order(rows: Columns) -> Columns:
+    if _size(rows) < 2 or (np.diff(rows[TS]) > 0).all():
+        return rows
+    return _some(rows, np.lexsort((rows[SEQ], rows["side"], rows[TS])))
 
 
 class Ordered(StatefulProcessor):
     """Applies a step to each key's rows in (ts_ns, side, seq) order, once the watermark has passed them."""
 
-    def __init__(self, keys: Sequence[str], columns: Sequence[str], step: Step, late: str, finish: Finish | None, idle_ms: int | None, inputs: int, slot_ms: int, lag_ms: int, nullable: Sequence[tuple[str, str]], packed: bool = False):
-        self.nullable, self.packed = list(nullable), packed
+    def __init__(self, keys: Sequence[str], columns: Sequence[str], step: Step | ColumnStep, late: str, finish: Finish | None, idle_ms: int | None, inputs: int, slot_ms: int, lag_ms: int, nullable: Sequence[tuple[str, str]], form: str = "rows"):
+        self.nullable, self.form = list(nullable), form
         self.keys, self.columns, self.step, self.late, self.finish = list(keys), list(columns), step, late, finish
         self.idle_ms, self.inputs, self.slot_ms, self.lag_ms = idle_ms, inputs, slot_ms, lag_ms
         self.timed = EVENT_TIME in columns
@@ -74,63 +146,92 @@ class Ordered(StatefulProcessor):
         head["stored"] = True
         self.head.update((json.dumps(head),))
 
-    def due(self, ts: int) -> int:
-        """When the slot of a time is applied."""
+    def due(self, ts: Any) -> Any:
+        """When the slot of a time, or of each of many, is applied."""
         return (ts // (self.slot_ms * 1_000_000) + 1) * self.slot_ms + self.lag_ms
 
-    def put(self, rows: list[dict], head: dict) -> None:
-        rows.sort(key=IN_ORDER)
-        for i in range(0, len(rows), PART_ROWS):
-            held, part = rows[i : i + PART_ROWS], head["parts"]
+    def put(self, rows: Columns, head: dict) -> None:
+        rows = _in_order(rows)
+        for i in range(0, _size(rows), PART_ROWS):
+            held, part = _some(rows, slice(i, i + PART_ROWS)), head["parts"]
             head["parts"] += 1
             self.rows.updateValue((part,), (pickle.dumps(held),))
-            self.slots.updateValue((part,), (held[0][TS],))
-        if rows:
-            head["first"] = rows[0][TS] if head["first"] is None else min(head["first"], rows[0][TS])
+            self.slots.updateValue((part,), (int(held[TS][0]),))
+        if _size(rows):
+            first = int(rows[TS][0])
+            head["first"] = first if head["first"] is None else min(head["first"], first)
 
-    def take(self, head: dict, watermark_ms: int | None, more: Sequence[dict] = ()) -> Iterator[dict]:
+    def take(self, head: dict, watermark_ms: int | None, more: Columns | None = None) -> Iterator[Columns]:
         """The waiting rows that are due, all without a watermark, and ``more`` in order; what isn't due of the parts that are read is put back."""
         parts = sorted((first[0], part[0]) for part, first in self.slots.iterator()) if head["parts"] else []
-        held, rest, head["first"] = list(more), [], None
+        held, rest, head["first"] = [more or {}], [], None
         for first, part in parts:
             if watermark_ms is not None and self.due(first) > watermark_ms:
                 head["first"] = first
                 break
-            if len(held) > PARTS_HELD * PART_ROWS:
-                held.sort(key=IN_ORDER)
-                n = bisect_left(held, first, key=itemgetter(TS))
-                yield from held[:n]
-                held = held[n:]
+            if sum(map(_size, held)) > PARTS_HELD * PART_ROWS:
+                rows = _in_order(_joined(held))
+                n = int(np.searchsorted(rows[TS], first))
+                yield _some(rows, slice(n))
+                held = [_some(rows, slice(n, None))]
             own = pickle.loads(self.rows.getValue((part,))[0])
             self.rows.removeKey((part,))
             self.slots.removeKey((part,))
-            n = len(own) if watermark_ms is None else bisect_left(own, True, key=lambda r: self.due(r[TS]) > watermark_ms)
-            held += own[:n]
-            rest += own[n:]
-        self.put(rest, head)
-        held.sort(key=IN_ORDER)
-        yield from held
-
-    def apply(self, key: tuple, rows: Iterable[dict], head: dict, watermark_ms: int, ended: bool = False) -> Iterator[pd.DataFrame]:
+            n = _size(own) if watermark_ms is None else int(np.count_nonzero(self.due(own[TS]) <= watermark_ms))
+            held.append(_some(own, slice(n)))
+            rest.append(_some(own, slice(n, None)))
+        self.put(_joined(rest), head)
+        yield _in_order(_joined(held))
+
+    def apply(self, key: tuple, chunks: Iterable[Columns], head: dict, watermark_ms: int, ended: bool = False) -> Iterator[pd.DataFrame]:
         state, out = pickle.loads(self.own.get()[0]) if head["applied"] is not None and self.own.exists() else {}, []
-        for row in rows:
-            head["applied"] = row[TS]
-            found = self.step(state, row)
-            if not found:
-                continue
-            if self.timed:
-                found = [x | {EVENT_TIME: max(row[TS] // 1_000_000, watermark_ms + 1)} for x in found]
-            out += found
-            if len(out) >= FRAME_ROWS:
-                yield from self.frame(key, out)
-                out = []
-        if ended:
-            last = max((head["applied"] or 0) // 1_000_000, watermark_ms + 1)
-            found = self.finish(state) if self.finish is not None else []
-            out += [x | {EVENT_TIME: last} for x in found] + [{TS: head["applied"] or 0, SEQ: 0, "is_end": True, EVENT_TIME: last}] if self.timed else found
-        elif head["applied"] is not None:
+        if isinstance(self.step, ColumnStep):
+            held: Columns = {}
+            for rows in chunks:
+                if _size(held):
+                    yield from self.column_frame(self.step.apply(state, held, False), key, head, watermark_ms)
+                held = rows
+                if _size(rows):
+                    head["applied"] = int(rows[TS][-1])
+            if ended or _size(held):
+                yield from self.column_frame(self.step.apply(state, held, ended), key, head, watermark_ms, ended)
+        else:
+            for row in self.each(chunks):
+                head["applied"] = row[TS]
+                found = self.step(state, row)
+                if not found:
+                    continue
+                if self.timed:
+                    found = [x | {EVENT_TIME: max(row[TS] // 1_000_000, watermark_ms + 1)} for x in found]
+                out += found
+                if len(out) >= FRAME_ROWS:
+                    yield from self.frame(key, out)
+                    out = []
+            if ended:
+                last = max((head["applied"] or 0) // 1_000_000, watermark_ms + 1)
+                found = self.finish(state) if self.finish is not None else []
+                out += [x | {EVENT_TIME: last} for x in found] + [{TS: head["applied"] or 0, SEQ: 0, "is_end": True, EVENT_TIME: last}] if self.timed else found
+            yield from self.frame(key, out)
+        if not ended and head["applied"] is not None:
             self.own.update((pickle.dumps(state),))
-        yield from self.frame(key, out)
+
+    def each(self, chunks: Iterable[Columns]) -> Iterator[dict]:
+        for rows in chunks:
+            names = list(rows)
+            for values in zip(*(v.tolist() for v in rows.values()), strict=True):
+                yield dict(zip(names, values, strict=True))
+
+    def column_frame(self, found: dict[str, Any], key: tuple, head: dict, watermark_ms: int, ended: bool = False) -> Iterator[pd.DataFrame]:
+        """What a step gave as columns; for the next operator as a stretch, with the end of its key."""
+        size = len(next(iter(found.values()), ()))
+        if self.timed and (size or ended):
+            at = max((head["applied"] or 0) // 1_000_000, watermark_ms + 1)
+            none = {c: np.zeros(0, np.int64) for c in (TS, SEQ)}
+            own = {"is_end": ended, STRETCH: stretch_bytes(found or none), EVENT_TIME: pd.Timestamp(at, unit="ms")} | dict(zip(self.keys, key, strict=True))
+            yield pd.DataFrame({c: [own[c]] for c in self.columns})
+        elif size:
+            values = {k: np.full(size, v) if type(v) is int else [v] * size for k, v in zip(self.keys, key, strict=True)}
+            yield pd.DataFrame({c: values[c] if c in values else found[c] if c in found else [None] * size for c in self.columns})
 
     def frame(self, key: tuple, out: list[dict]) -> Iterator[pd.DataFrame]:
         if out:
@@ -154,7 +255,7 @@ class Ordered(StatefulProcessor):
     def wake(self, head: dict) -> None:
         self.set_timer(head, "timer", None if head["first"] is None else self.due(head["first"]))
 
-    def end_key(self, key: tuple, head: dict, watermark_ms: int, more: Sequence[dict] = ()) -> Iterator[pd.DataFrame]:
+    def end_key(self, key: tuple, head: dict, watermark_ms: int, more: Columns | None = None) -> Iterator[pd.DataFrame]:
         """Apply what waits and ``more``, then what is left when a key ends; its state goes."""
         applied = head["applied"]
         yield from self.apply(key, self.take(head, None, more), head, watermark_ms, ended=True)
@@ -164,48 +265,53 @@ class Ordered(StatefulProcessor):
             if there:
                 state.clear()
 
-    def taken(self, frame: pd.DataFrame, head: dict) -> list[dict]:
+    def taken(self, frame: pd.DataFrame, head: dict) -> Columns:
         """The rows of a batch but for ends and marks, with their nulls as they were (:func:`_exact`); ends are noted."""
         flags = dict(self.nullable)
-        names = [c for c in frame.columns if c not in self.keys]
-        whole = {c: np.concatenate(frame[c].tolist()) if self.packed else frame[c] for c in names}
-        ends, marks = (np.asarray(whole[c], bool) for c in ("is_end", "is_mark"))
-        if ends.any():
+        names = [c for c in frame.columns if c not in self.keys and c not in OWN]
+        if self.form != "rows":
+            own = dict(zip(frame.columns, frame.to_numpy(object).T.tolist(), strict=True))
+            head["ends"] += int(sum(own["is_end"]))
+            head["expected"] += int(sum(own["end_rows"]))
+            rows = _of_stretches(own) if self.form == "stretches" else _unpacked({c: own[c] for c in names})
+        else:
+            ends, marks = (frame[c].to_numpy(bool) for c in ("is_end", "is_mark"))
             head["ends"] += int(ends.sum())
-            head["expected"] += int(np.asarray(whole["end_rows"])[ends].sum())
-        names = [c for c in names if c not in OWN and c not in flags.values()]
-        values = []
-        for name in names:
-            own = whole[name].tolist()
-            if name in flags and (null := np.asarray(whole[flags[name]], bool)).any():
-                own = [None if x else v for v, x in zip(own, null, strict=True)]
-            values.append(own)
-        rows = [dict(zip(names, row, strict=True)) for row in zip(*values, strict=True)]
-        out = ends | marks
-        return [row for row, x in zip(rows, out.tolist(), strict=True) if not x] if out.any() else rows
+            head["expected"] += int(frame["end_rows"].to_numpy()[ends].sum())
+            plain = [frame[c] if frame[c].dtype.kind in "iufb" else pd.Series(frame[c].tolist(), dtype=object) for c in names]
+            rows = {c: v.to_numpy() for c, v in zip(names, plain, strict=True)}
+            rows = _some(rows, ~(ends | marks)) if (ends | marks).any() else rows
+        if not _size(rows):
+            return {}
+        for name, flag in flags.items():
+            null = rows.pop(flag).astype(bool)
+            if null.any():
+                rows[name] = rows[name].astype(object)
+                rows[name][null] = None
+        return rows
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         head, watermark = self.load(), timerValues.getCurrentWatermarkInMs()
-        own = [row for frame in rows for row in self.taken(frame, head)]
+        own = _joined([self.taken(frame, head) for frame in rows])
         if head["timer"] is not None and head["timer"] <= watermark:
             # what the watermark has passed is applied before rows that come too late for it
             yield from self.apply(key, self.take(head, watermark), head, watermark)
-        head["arrived"] += len(own)
-        if head["applied"] is not None:
+        head["arrived"] += _size(own)
+        if _size(own) and head["applied"] is not None:
             if self.late == "drop":
-                own = [row for row in own if row[TS] >= head["applied"]]
+                own = _some(own, own[TS] >= head["applied"])
             else:
-                for row in own:
-                    row[TS] = max(row[TS], head["applied"])
-        if own:
-            head["newest"] = max(max(row[TS] for row in own), head["newest"] if head["newest"] is not None else own[0][TS])
+                own = own | {TS: np.maximum(own[TS], head["applied"])}
+        if _size(own):
+            newest = int(own[TS].max())
+            head["newest"] = newest if head["newest"] is None else max(newest, head["newest"])
         if head["ends"] >= self.inputs and head["arrived"] >= head["expected"]:
             yield from self.end_key(key, head, watermark, own)
             return
-        now = sorted((row for row in own if self.due(row[TS]) <= watermark), key=IN_ORDER)
-        if now:
-            yield from self.apply(key, now, head, watermark)
-            own = [row for row in own if self.due(row[TS]) > watermark]
+        now = self.due(own[TS]) <= watermark if _size(own) else np.zeros(0, bool)
+        if now.any():
+            yield from self.apply(key, [_in_order(_some(own, now))], head, watermark)
+            own = _some(own, ~now)
         self.put(own, head)
         self.wake(head)
         if self.idle_ms is not None and head["newest"] is not None:
@@ -229,14 +335,14 @@ class Ordered(StatefulProcessor):
 
 
 def apply_ordered(
-    rows: DataFrame, keys: Sequence[str], step: Step, payload: str, late: str = "drop", finish: Finish | None = None, idle_ms: int | None = None, inputs: int = 1, slot_ms: int = 1000, lag_ms: int = 0, chained: bool = False
+    rows: DataFrame, keys: Sequence[str], step: Step | ColumnStep, payload: str, late: str = "drop", finish: Finish | None = None, idle_ms: int | None = None, inputs: int = 1, slot_ms: int = 1000, lag_ms: int = 0, chained: bool = False
 ) -> DataFrame:
-    """Apply ``step(state, row) -> output rows`` to each key's rows in (ts_ns, side, seq) order.
+    """Apply ``step(state, row) -> output rows``, or a :class:`ColumnStep`, to each key's rows in (ts_ns, side, seq) order.
 
     ``rows`` comes from :func:`stream_rows`, or the union of several; ``payload`` is the DDL of the outputs beside the
-    keys. Rows wait in slots of ``slot_ms``; a slot is applied when the watermark is past its end by ``lag_ms``. ``finish(state)`` gives what is left when a key ends, by a row with
+    keys. Rows wait in slots of ``slot_ms``; a slot is applied when the watermark is past its end by ``lag_ms``. ``finish(state)`` (not of a :class:`ColumnStep`) gives what is left when a key ends, by a row with
     ``is_end`` of each of the ``inputs`` or after ``idle_ms`` without rows. With ``chained`` the result has an event time, a watermark and ends of its
-    own, so that :func:`chained_rows` feeds it to a further operator of the same query; ``payload`` then has to have ts_ns and seq. An operator whose rows
+    own, so that :func:`chained_rows` feeds it to a further operator of the same query; ``payload`` then has to have ts_ns and seq, and what a :class:`ColumnStep` gives must fit :func:`stretch_bytes`. An operator whose rows
     appear later than their ts_ns gives the next one that time as ``lag_ms``, where it has other inputs. The state store has to be RocksDB's, which is set where none is.
     """
     if late not in ("drop", "clamp"):
@@ -244,37 +350,104 @@ def apply_ordered(
     spark = rows.sparkSession
     if "RocksDB" not in spark.conf.get(STORE, ""):
         spark.conf.set(STORE, ROCKS)
-    rows, nullable = _exact(rows, [*keys, TS, SEQ, "side", *OWN])
+    rows, nullable = (rows, []) if STRETCH in rows.columns else _exact(rows, [*keys, TS, SEQ, "side", *OWN])
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     more = f", is_end boolean, {EVENT_TIME} timestamp" if chained else ""
+    payload = f"{STRETCH} binary" if chained and isinstance(step, ColumnStep) else payload
     ddl = ", ".join([*(f"{k} {kinds[k]}" for k in keys), payload]) + more
     columns = [*keys, *(p.split()[0] for p in (payload + more).split(", "))]
-    packed = all(kinds[c] in PACKABLE for c in rows.columns if c not in keys)
-    processor = Ordered(keys, columns, step, late, finish, idle_ms, inputs, slot_ms, lag_ms, nullable, packed)
-    rows = _packed(rows, keys) if packed else rows
+    form = "stretches" if STRETCH in rows.columns else "packed" if all(kinds[c] in PACKABLE for c in rows.columns if c not in keys) else "rows"
+    processor = Ordered(keys, columns, step, late, finish, idle_ms, inputs, slot_ms, lag_ms, nullable, form)
+    rows = _packed(rows, keys) if form == "packed" else rows
     return rows.groupBy(*keys).transformWithStateInPandas(processor, ddl, "Append", "EventTime", eventTimeColumnName=EVENT_TIME if chained else "")
 
 
-#: Types whose arrays keep every value as it is on the way to Python.
-PACKABLE = ("bigint", "int", "smallint", "tinyint", "double", "boolean", "string", "binary")
+#: Types whose arrays keep every value as it is on the way to Python; whole numbers and truth values go as bytes.
+WHOLE = ("bigint", "int", "smallint", "tinyint")
+PACKABLE = (*WHOLE, "double", "boolean", "string", "binary")
 
 
 def _packed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of one key that follow each other as one row of arrays: Spark hands rows to a stateful processor one by one, which costs more than most steps."""
-    names = [c for c in rows.columns if c not in keys]
+    """Rows of one key that follow each other as one row: Spark hands rows to a stateful processor one by one, which costs more than most steps.
+
+    ``n_rows`` rows lie in a row; ends and marks are only counted. Whole numbers are their first value (``first_of_``) and steps in as few bytes as the batch's largest step
+    takes, so that a row's bytes by its number of rows tell their width; truth values are bytes, 2 for null; other types are arrays.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"`{c}` array<{kinds[c]}>" for c in names)])
+    names = [c for c in rows.columns if c not in keys and c not in OWN]
+    numbers, flags = [c for c in names if kinds[c] in WHOLE], [c for c in names if kinds[c] == "boolean"]
+    others = [c for c in names if c not in numbers and c not in flags]
+    ddl = ", ".join([
+        *(f"`{k}` {kinds[k]}" for k in keys), "n_rows long, is_end long, end_rows long", *(f"`{c}` binary, `first_of_{c}` long" for c in numbers),
+        *(f"`{c}` binary" for c in flags), *(f"`{c}` array<{kinds[c]}>" for c in others),
+    ])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = np.flatnonzero(part_codes(batch, keys)) if keys else np.zeros(1, np.int64)
-            edges = pa.array(np.append(new, batch.num_rows).astype(np.int32))
-            own = {c: batch.column(batch.schema.get_field_index(c)) for c in batch.schema.names}
-            yield pa.RecordBatch.from_arrays([*(own[k].take(pa.array(new)) for k in keys), *(pa.ListArray.from_arrays(edges, own[c]) for c in names)], names=[*keys, *names])
+            column = lambda b, c: b.column(b.schema.get_field_index(c))
+            ends, marks = (column(batch, c).to_numpy(zero_copy_only=False).astype(bool) for c in ("is_end", "is_mark"))
+            out = ends | marks
+            first = np.flatnonzero(part_codes(batch, keys))
+            sizes = np.add.reduceat((~out).astype(np.int64), first)
+            expected = np.where(ends, column(batch, "end_rows").to_numpy(zero_copy_only=False), 0)
+            plain = batch.filter(pa.array(~out)) if out.any() else batch
+            edges = np.append(0, np.cumsum(sizes))
+            starts = edges[:-1][sizes > 0]
+            values = [*(column(batch, k).take(pa.array(first)) for k in keys), pa.array(sizes), *(pa.array(np.add.reduceat(x.astype(np.int64), first)) for x in (ends, expected))]
+
+            def as_bytes(own: np.ndarray, edges: np.ndarray = edges) -> pa.Array:
+                return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * own.dtype.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(own))])
+
+            for c in numbers:
+                own = column(plain, c)
+                if own.null_count:
+                    raise StreamError(f"{c} can't be null")
+                own = own.to_numpy().astype(np.int64)
+                steps = np.diff(own, prepend=own[:1])
+                steps[starts] = 0
+                since = np.zeros(len(first), np.int64)
+                since[sizes > 0] = own[starts]
+                values += [as_bytes(_narrow(steps)), pa.array(since)]
+            for c in flags:
+                own = column(plain, c)
+                known = own.fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8)
+                values.append(as_bytes(np.where(own.is_null().to_numpy(zero_copy_only=False), np.uint8(2), known)))
+            for c in others:
+                values.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), column(plain, c)))
+            yield pa.RecordBatch.from_arrays(values, names=[*keys, "n_rows", "is_end", "end_rows", *(x for c in numbers for x in (c, f"first_of_{c}")), *flags, *others])
+
+    return rows.mapInArrow(pack, ddl)
+
+
+def _unpacked(own: dict[str, list]) -> Columns:
+    """The columns of rows that :func:`_packed` put together."""
+    runs = [(i, n) for i, n in enumerate(own["n_rows"]) if n]
+    out: Columns = {}
+    for name, values in own.items():
+        if not runs or name == "n_rows" or name.startswith("first_of_") and name.removeprefix("first_of_") in own:
+            continue
+        if f"first_of_{name}" in own:
+            out[name] = np.concatenate([np.frombuffer(values[i], f"i{len(values[i]) // n}").cumsum(dtype=np.int64) + own[f"first_of_{name}"][i] for i, n in runs])
+        elif isinstance(values[runs[0][0]], bytes):
+            found = np.concatenate([np.frombuffer(values[i], np.uint8) for i, _ in runs])
+            out[name], null = found == 1, found == 2
+            if null.any():
+                out[name] = out[name].astype(object)
+                out[name][null] = None
+        else:
+            out[name] = np.concatenate([values[i] for i, _ in runs])
+    return out
 
-    return rows.select(*keys, *names).mapInArrow(pack, ddl)
+
+def _of_stretches(own: dict[str, list]) -> Columns:
+    """The rows of stretches by the names that an operator gives their columns."""
+    parts = []
+    for stretch, side, names in zip(own[STRETCH], own["side"], own["names"], strict=True):
+        found = stretch_columns(stretch)
+        parts.append({TS: found[TS], SEQ: found[SEQ], "side": np.full(len(found[TS]), side)} | {a: found[b] for a, b in json.loads(names).items() if b in found})
+    return _joined(parts)
 
 
 def _exact(rows: DataFrame, never_null: Sequence[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
@@ -285,10 +458,12 @@ def _exact(rows: DataFrame, never_null: Sequence[str]) -> tuple[DataFrame, list[
 
 
 def _in_form(df: DataFrame, keys: Sequence[str], side: int | Column, columns: dict[str, str], *more: Column) -> DataFrame:
-    """The columns that the processor reads; those of :data:`OWN` that ``df`` lacks say no."""
+    """The columns that the processor reads; those of :data:`OWN` that ``df`` lacks say no. Of stretches they are in the stretch, their names beside it."""
     flag = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in df.columns else F.lit(False)
     expected = F.coalesce(F.col("end_rows").cast("long"), F.lit(0).cast("long")) if "end_rows" in df.columns else F.lit(0).cast("long")
     number = side if isinstance(side, Column) else F.lit(side)
+    if STRETCH in df.columns:
+        return df.select(*keys, flag("is_end").alias("is_end"), expected.alias("end_rows"), number.alias("side"), F.lit(json.dumps(columns)).alias("names"), STRETCH, *more)
     own = [flag("is_end").alias("is_end"), flag("is_mark").alias("is_mark"), expected.alias("end_rows")]
     return df.select(*keys, TS, SEQ, number.alias("side"), *own, *(F.col(b).alias(a) for a, b in columns.items()), *more)
 
@@ -296,13 +471,15 @@ def _in_form(df: DataFrame, keys: Sequence[str], side: int | Column, columns: di
 def stream_rows(df: DataFrame, keys: Sequence[str], side: int | Column = 0, delay: str = "0 seconds", **columns: str) -> DataFrame:
     """A stream in the form that :func:`apply_ordered` takes, with a watermark ``delay`` behind its latest time.
 
-    Where ``df`` has ``is_end``, such a row ends its key in this input; ``end_rows``, if there, is how many rows the input has of that key in all. A row with ``is_mark``
+    ``df`` may also have stretches (keys, latest, stretch of :func:`stretch_bytes`, ends too). Where it has ``is_end``, such a row ends its key in this input; ``end_rows``, if there, is how many rows the input has of that key in all. A row with ``is_mark``
     says that nothing before its ts_ns will come.
     """
-    at = F.when(~F.col("is_end"), F.timestamp_micros(F.call_function("div", F.col(TS), F.lit(1000))))
-    own = _in_form(df, keys, side, columns)
+    stretches = STRETCH in df.columns
+    own = _in_form(df, keys, side, columns, *([LATEST] if stretches else []))
+    at = F.timestamp_micros(F.call_function("div", F.col(LATEST if stretches else TS), F.lit(1000)))
+    at = at if stretches else F.when(~F.col("is_end"), at)
     # the watermark is the input's, but late rows are judged by key: so its column goes
-    return own.withColumn(EVENT_TIME, at).withWatermark(EVENT_TIME, delay).drop(EVENT_TIME)
+    return own.withColumn(EVENT_TIME, at).withWatermark(EVENT_TIME, delay).drop(EVENT_TIME, LATEST if stretches else EVENT_TIME)
 
 
 def chained_rows(df: DataFrame, keys: Sequence[str], side: int = 0, **columns: str) -> DataFrame:
@@ -312,6 +489,8 @@ def chained_rows(df: DataFrame, keys: Sequence[str], side: int = 0, **columns: s
 
 def together(inputs: Sequence[DataFrame]) -> DataFrame:
     """Several inputs as one; the least of their watermarks counts."""
+    if len({STRETCH in x.columns for x in inputs}) > 1:
+        raise StreamError("inputs have rows or stretches, not both")
     out = inputs[0]
     for other in inputs[1:]:
         out = out.unionByName(other, allowMissingColumns=True)
@@ -535,6 +714,40 @@ def framer_step(fixed: int | None = None, max_gap_ns: int | None = None, max_wor
     return frame, close
 
 
+def framer_columns(fixed: int | None = None, max_gap_ns: int | None = None, max_words: int = 4096) -> ColumnStep:
+    """As :func:`framer_step`, over columns."""
+    limit = min(fixed or max_words, max_words)
+
+    def frame(state: dict, rows: Columns, ended: bool) -> dict[str, Any]:
+        names = (TS, "end", "value")
+        held = state.pop("words", {c: np.zeros(0, np.int64) for c in names})
+        # boundaries before each word, and before what comes next
+        closed, now = np.zeros(len(held[TS]), np.int64), 0
+        if _size(rows):
+            word = rows["side"] != 0
+            before = np.cumsum(~word)
+            closed, now = np.append(closed, before[word]), int(before[-1])
+            own = (rows[TS][word], rows[TS][word] + rows["duration_ns"][word], rows["value"][word])
+            held = {c: np.append(held[c], v) for c, v in zip(names, own, strict=True)}
+        n = len(held[TS])
+        if not n:
+            return {}
+        cut = np.append(True, closed[1:] != closed[:-1])
+        if max_gap_ns is not None:
+            cut[1:] |= held[TS][1:] - held["end"][:-1] > max_gap_ns
+        at = np.flatnonzero(cut)
+        starts = np.flatnonzero((np.arange(n) - np.repeat(at, np.diff(at, append=n))) % limit == 0)
+        ends = np.append(starts[1:], n)
+        if not ended and now == closed[-1] and n - starts[-1] < limit:
+            state["words"] = _some(held, slice(starts[-1], None))
+            starts, ends = starts[:-1], ends[:-1]
+        values = held["value"].tolist()
+        listed = [values[i:j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return {"start_ns": held[TS][starts], "end_ns": held["end"][ends - 1], "n_words": ends - starts, "values": listed}
+
+    return ColumnStep(frame)
+
+
 def gap_sessions(words: DataFrame, keys: Sequence[str], gap: str, watermark: str, time: str = "ts") -> DataFrame:
     """Packets by pauses alone, with Spark's session windows: start, end, n_words."""
     windows = words.withWatermark(time, watermark).groupBy(*keys, F.session_window(time, gap).alias("w"))

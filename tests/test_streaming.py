@@ -347,3 +347,93 @@ def test_state_touched_does_not_grow_with_the_slots_of_a_batch():
         assert not p.handle.timers and not any(x.held for x in (p.head, p.own, p.slots, p.rows))
         costs.append(calls)
     assert costs[1] < costs[0] + 20
+
+
+def columns_of(rows):
+    import numpy as np
+
+    return {c: np.array([r[c] for r in rows]) for c in rows[0]} if rows else {}
+
+
+def drive_columns(step, rows, cuts):
+    """A column step over rows in order, cut into pieces, with what is left at the end."""
+    rows, state, out = sorted(rows, key=lambda r: (r["ts_ns"], r["side"], r["seq"])), {}, []
+    for i, j in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+        found = step.apply(state, columns_of(rows[i:j]), j == len(rows))
+        names = list(found)
+        out += [dict(zip(names, values, strict=True)) for values in zip(*(x if isinstance(x, list) else x.tolist() for x in found.values()), strict=True)]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_column_steps_equal_row_steps(seed):
+    """However the rows are cut into batches; times tie, levels repeat, the key ends without rows."""
+    rng = random.Random(seed)
+    n = rng.choice([1, 2, 30, 400])
+    line = [{"ts_ns": t, "seq": i, "side": 0, "level": rng.random() < 0.5} for i, t in enumerate(sorted(rng.choices(range(n * 12), k=n)))]
+    cuts = sorted(rng.choices(range(n + 1), k=5)) + ([n] if seed % 2 else [])
+    for settings in ({}, {"parity": "even", "msb_first": True}, {"inverted": True, "stop_bits": 2}, {"stop_bits": 0, "data_bits": 5}, {"parity": "mark", "stop_bits": 1.5}):
+        step, finish = d.uart_step(1e8, **settings)
+        assert drive_columns(d.uart_columns(1e8, **settings), line, cuts) == drive(step, line, finish)
+    words = [{"ts_ns": t, "seq": i, "side": rng.randrange(6), "duration_ns": rng.randrange(20), "value": i} for i, t in enumerate(sorted(rng.choices(range(n * 12), k=n)))]
+    words = [w | {"side": min(w["side"], 1)} for w in words]
+    for settings in ({"fixed": 3}, {"max_gap_ns": 15}, {"fixed": 4, "max_gap_ns": 25, "max_words": 2}, {}):
+        step, finish = o.framer_step(**settings)
+        assert drive_columns(o.framer_columns(**settings), words, cuts) == drive(step, words, finish)
+
+
+def test_stretches_keep_their_rows():
+    import numpy as np
+
+    top = (1 << 63) - 1
+    rows = {"ts_ns": np.array([-top, top, 0, 5]), "seq": np.array([7] * 4), "value": np.array([True, False, True, True]), "x": np.array([0.5, -1.0, np.inf, 0.0])}
+    found = o.stretch_columns(o.stretch_bytes(rows))
+    assert list(found) == list(rows) and all(found[c].tolist() == rows[c].tolist() for c in rows)
+    none = o.stretch_columns(o.stretch_bytes({c: v[:0] for c, v in rows.items()}))
+    assert all(len(none[c]) == 0 for c in rows)
+    with pytest.raises(o.StreamError):
+        o.stretch_bytes({"ts_ns": rows["ts_ns"], "name": np.array(["a"] * 4, object)})
+
+
+def test_a_stream_of_stretches_handles_a_row_for_each(spark, tmp_path):
+    """Serial decoder and framer over stretches of many level rows, in two batches: what the batch operators give, by a Spark row for each stretch."""
+    rng = random.Random(8)
+    lines = {k: [(t * 10, i, rng.random() < 0.5) for i, t in enumerate(sorted(rng.sample(range(20_000), 3000)))] for k in (1, 2, 3)}
+    lines[3] = lines[3][:1]
+    for batch, (low, high) in enumerate(((0, 1700), (1700, 3000))):
+        rows = []
+        for k, line in lines.items():
+            part = [{"ts_ns": t, "seq": s, "value": v} for t, s, v in line[low:high]]
+            last = k == 3 or batch == 1
+            if part:
+                rows.append((k, last, len(line) if last else 0, part[-1]["ts_ns"], o.stretch_bytes(columns_of(part))))
+        spark.createDataFrame(rows, "k int, is_end boolean, end_rows long, latest long, stretch binary").coalesce(1).write.parquet(f"{tmp_path}/in/{batch}")
+    source = spark.readStream.schema("k int, is_end boolean, end_rows long, latest long, stretch binary").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    found = o.apply_ordered(o.stream_rows(source, ["k"], level="value"), ["k"], d.uart_columns(1e7), "ts_ns long, seq long, duration_ns long, value long", chained=True)
+    packets = o.apply_ordered(o.chained_rows(found, ["k"], 1, duration_ns="duration_ns", value="value"), ["k"], o.framer_columns(fixed=7), "start_ns long, end_ns long, n_words long, values array<long>")
+    query = packets.writeStream.format("memory").queryName("stretches").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert sum(p["numInputRows"] for p in query.recentProgress) == 5
+    table = spark.createDataFrame([(k, *r) for k, line in lines.items() for r in line], "k int, ts_ns long, seq long, value boolean")
+    batch = words.frame_packets(decode.uart(table, ["k"], 1e7), ["k"], fixed=7).withColumn("values", F.transform("words", lambda w: w["value"]))
+    assert plain(spark.table("stretches"), "k", "start_ns", "end_ns", "n_words", "values") == plain(batch, "k", "start_ns", "end_ns", "n_words", "values")
+
+
+@pytest.mark.parametrize("most", [3, 1 << 14])
+def test_line_stretches_are_the_line(spark, tmp_path, most):
+    """Stretches of turns hold the rows of the line that the batch queries decode, and tell how many they are."""
+    from pulseframe.plans import bindings as b
+
+    texts = [(1, 0, "héllo"), (1, 1, "\x00\x7f"), (2, 0, "U"), (2, 1, "")]
+    spark.createDataFrame(texts, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    want = sorted(map(tuple, b.uart_line(spark, str(tmp_path)).collect()))
+    rows = spark.read.parquet(f"{tmp_path}/conversations.parquet").where("length(text) > 0").select("conv_id", "turn", F.encode("text", "utf-8").alias("h"))
+    ddl = "conv_id long, turn long, is_end boolean, end_rows long, latest long, stretch binary"
+    found, ends = [], {}
+    for r in rows.coalesce(1).mapInArrow(b._line_stretches(most), ddl).collect():
+        own = o.stretch_columns(bytes(r["stretch"]))
+        found += [(r["conv_id"], r["turn"], *x) for x in zip(own["ts_ns"].tolist(), own["seq"].tolist(), own["value"].tolist(), strict=True)]
+        assert r["latest"] == own["ts_ns"].max()
+        if r["is_end"]:
+            ends[r["conv_id"], r["turn"]] = r["end_rows"]
+    assert sorted(found) == want and ends == {k: sum(x[:2] == k for x in want) for k in {x[:2] for x in want}}
