@@ -306,13 +306,12 @@ def r3_stream_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r5_stream_uart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns sent over a serial line and decoded as a stream of level files."""
     keys = ["conv_id", "turn"]
-    line = stream_of(spark, b.uart_line(spark, sf_dir), keys, 1)
-    step, finish = d.uart_step(1e6)
-    found = o.apply_ordered(o.stream_rows(line, keys, level="value"), keys, step, "ts_ns long, seq long, duration_ns long, value long, framing_error boolean, parity_error boolean", finish=finish)
-    rows = run_stream(spark, found)
-    listed = F.sort_array(F.collect_list(F.struct("ts_ns", formats.hex_text(F.col("value")).alias("h"))))
+    line = stream_of_stretches(spark, b.uart_stretches(spark, sf_dir))
+    payload = "ts_ns long, seq long, duration_ns long, value long, framing_error boolean, parity_error boolean"
+    rows = run_stream(spark, o.apply_ordered(o.stream_rows(line, keys, level="value"), keys, d.uart_columns(1e6), payload))
+    listed = F.sort_array(F.collect_list(F.struct("ts_ns", "value")))
     lists = rows.where("not framing_error").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_words"), listed.alias("l"))
-    return lists.select(*keys, "n_words", F.concat_ws("", F.transform("l", lambda x: x["h"])).alias("payload"))
+    return lists.select(*keys, "n_words", F.concat_ws("", F.transform("l", lambda x: formats.hex_text(x["value"]))).alias("payload"))
 
 
 @query(P6_SQL)

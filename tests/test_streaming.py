@@ -437,3 +437,21 @@ def test_line_stretches_are_the_line(spark, tmp_path, most):
         if r["is_end"]:
             ends[r["conv_id"], r["turn"]] = r["end_rows"]
     assert sorted(found) == want and ends == {k: sum(x[:2] == k for x in want) for k in {x[:2] for x in want}}
+
+
+def test_serial_streams_read_a_row_for_each_turn(spark, tmp_path, monkeypatch):
+    """r5_stream_uart and p6_stream_stacked bring a turn's line to Spark as one row of their input, not as one for each level change."""
+    from pulseframe.plans import file_queries as q
+
+    texts = [(1, 0, "Ünï"), (1, 1, "x" * 40), (2, 0, "\x00"), (2, 1, None), (3, 0, "")]
+    spark.createDataFrame(texts, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    monkeypatch.setattr(q, "shared_path", lambda spark, label: f"{tmp_path}/{label}")
+    found = q.r5_stream_uart(spark, str(tmp_path)).collect()
+    held = [(c, t, x.encode()) for c, t, x in texts if x]
+    assert sorted((r["conv_id"], r["turn"], r["n_words"], bytes.fromhex(r["payload"])) for r in found) == [(c, t, len(x), x) for c, t, x in held]
+    assert sum(spark.read.parquet(str(p)).count() for p in tmp_path.glob("input*")) == 3
+    monkeypatch.setattr(q, "shared_path", lambda spark, label: f"{tmp_path}/p6/{label}")
+    found = q.p6_stream_stacked(spark, str(tmp_path)).collect()
+    want = [(c, t, 1000 + i * 10_000, x[i : i + 16]) for c, t, x in held for i in range(0, len(x), 16)]
+    assert sorted((r["conv_id"], r["turn"], r["start_ns"], bytes.fromhex(r["payload"])) for r in found) == want
+    assert sum(spark.read.parquet(str(p)).count() for p in tmp_path.glob("p6/input*")) == 3
