@@ -413,7 +413,7 @@ def k1_committed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sinks.routed(b.words(spark, sf_dir), file_names(spark, sf_dir), KEYS)
     folder = shared_path(spark, "files")
     file_commits.write_committed(sinks.file_chunks(rows, KEYS, sinks.word_bytes(rows, "u16le")), folder, KEYS, job="first")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    found = file_commits.committed_contents(spark, folder)
     levels = F.split("path", "/")
     return found.select(F.element_at(levels, -2).cast("long").alias("user_id"), F.element_at(levels, -1).alias("filename"), F.hex("content").alias("data"))
 

@@ -1,9 +1,10 @@
 """Files written as one transaction by a Python data source: after a job all of its files are there, or none.
 
-``write_committed`` takes the chunks of ``sinks.file_chunks``. Tasks write below ``_tasks`` in the folder, each attempt to its own place, and tell the
-driver that place and no more. The commit notes the places of the attempts that count in ``_commits/<job>.pending``, moves their folders (whole where the folder is new, else file by file) and then
+``write_committed`` takes the chunks of ``sinks.file_chunks``. Tasks write below ``_tasks`` in the folder, each attempt to its own places of at most PLACE_ENTRIES folders, and tell the
+driver how many these are and no more. The commit notes the places of the attempts that count in ``_commits/<job>.pending``, moves their folders (whole where the folder is new, else file by file) and then
 takes the note away for ``_commits/<job>.done``; :func:`recover` does the rest of a commit that was cut off. A job that was done before changes nothing, so a stream's
-``foreachBatch`` can name a job by its batch number. ``_index`` has a Parquet file for each task: path, bytes, chunks of each file.
+``foreachBatch`` can name a job by its batch number. ``_index`` has a Parquet file for each place: path, bytes, chunks of each file. By it tasks read the files back
+(``committed_contents``), so that the driver never lists them: its memory grows with the number of places, not of files.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 from typing import Any
 from urllib.parse import quote
 
@@ -27,13 +29,18 @@ NAME = "pulse_files"
 TASKS, COMMITS, INDEX = "_tasks", "_commits", "_index"
 FOUND = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("chunks", pa.int64())])
 MOVERS = 16
+#: Folders (without keys: files) of a place, and files; moves that the driver holds at a time.
+PLACE_ENTRIES, PLACE_FILES, MOVED_AT_ONCE = 1000, 50_000, 1024
+#: Bytes and files of a batch that is read back.
+READ_BYTES, READ_FILES = 8_000_000, 1000
 
 
 @dataclass
 class Attempt(ds.WriterCommitMessage):
-    """Where a task's attempt wrote, relative to the folder; empty if it had no rows."""
+    """Where a task's attempt wrote, relative to the folder: so many numbered places; none if it had no rows."""
 
     place: str
+    parts: int
 
 
 def file_path(keys: Sequence[Any], filename: str) -> str:
@@ -85,22 +92,29 @@ def finish_commit(folder: str, job: str) -> None:
     with store.open_input_stream(note) as held:
         own, places = json.loads(held.read())
 
-    def move(source: str, target: str, is_file: bool) -> list[tuple[str, str, bool]]:
-        """Move a file, or a folder whole if there is none at its target; else what is still to be moved of it."""
+    def move(source: str, target: str, is_file: bool) -> tuple[str, str] | None:
+        """Move a file, or a folder whole if there is none at its target; else what is in it has to be moved."""
         there = store.get_file_info(target).type
         if not is_file and there != fs.FileType.NotFound:
-            return [(x.path, f"{target}/{x.base_name}", x.type == fs.FileType.File) for x in store.get_file_info(fs.FileSelector(source))]
+            return source, target
         if there != fs.FileType.NotFound:
             store.delete_file(target)
         store.move(source, target)
-        return []
+        return None
+
+    def listed(source: str, target: str) -> Iterator[tuple[str, str, bool]]:
+        for x in store.get_file_info(fs.FileSelector(source)):
+            yield x.path, f"{target}/{x.base_name}", x.type == fs.FileType.File
 
     with ThreadPoolExecutor(MOVERS) as pool:
         for place in places:
-            # what is gone from here was moved before
-            todo = [(f"{base}/{place}", base, False)] if _exists(store, f"{base}/{place}") else []
-            while todo:
-                todo = [x for more in pool.map(lambda x: move(*x), todo) for x in more]
+            # what is gone from here was moved before; folders are listed one at a time
+            levels = [iter([(f"{base}/{place}", base, False)])] if _exists(store, f"{base}/{place}") else []
+            while levels:
+                todo = list(islice(levels[-1], MOVED_AT_ONCE))
+                if not todo:
+                    levels.pop()
+                levels += [listed(*x) for x in pool.map(lambda x: move(*x), todo) if x is not None]
     _text(store, f"{base}/{COMMITS}/{job}.done", "")
     store.delete_file(note)
     _drop(store, f"{base}/{TASKS}/{own}")
@@ -131,8 +145,15 @@ class FileWriter(ds.DataSourceArrowWriter):
         store, base = _opened(self.folder)
         attempt = TaskContext.get().taskAttemptId()
         place = f"{TASKS}/{self.own}/{attempt}"
-        out, name, size, chunks = None, None, 0, 0
+        out, name, top, size, chunks, parts, entries = None, None, None, 0, 0, 0, 0
         found: list[tuple] = []
+
+        def indexed() -> None:
+            table = pa.table([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), FOUND, strict=True)], schema=FOUND)
+            store.create_dir(f"{base}/{place}/{parts}/{INDEX}", recursive=True)
+            with store.open_output_stream(f"{base}/{place}/{parts}/{INDEX}/{self.own}-{attempt}-{parts}.parquet") as held:
+                pq.write_table(table, held)
+
         try:
             for batch in iterator:
                 ids = [batch.column(i).to_pylist() for i in range(self.keys)]
@@ -142,7 +163,12 @@ class FileWriter(ds.DataSourceArrowWriter):
                         if out is not None:
                             out.close()
                             found.append((name, size, chunks))
-                        at = f"{base}/{place}/{own}"
+                        entry = own.split("/", 1)[0]
+                        if entries + (entry != top) > PLACE_ENTRIES or len(found) >= PLACE_FILES:
+                            indexed()
+                            found, top, parts, entries = [], None, parts + 1, 0
+                        entries, top = entries + (entry != top), entry
+                        at = f"{base}/{place}/{parts}/{own}"
                         store.create_dir(at.rsplit("/", 1)[0], recursive=True)
                         out, name, size, chunks = store.open_output_stream(at), own, 0, 0
                     out.write(data.as_buffer())
@@ -151,13 +177,10 @@ class FileWriter(ds.DataSourceArrowWriter):
             if out is not None:
                 out.close()
         if name is None:
-            return Attempt("")
+            return Attempt(place, 0)
         found.append((name, size, chunks))
-        table = pa.table([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), FOUND, strict=True)], schema=FOUND)
-        store.create_dir(f"{base}/{place}/{INDEX}", recursive=True)
-        with store.open_output_stream(f"{base}/{place}/{INDEX}/{self.own}-{attempt}.parquet") as held:
-            pq.write_table(table, held)
-        return Attempt(place)
+        indexed()
+        return Attempt(place, parts + 1)
 
     def commit(self, messages: list[Attempt | None]) -> None:
         store, base = _opened(self.folder)
@@ -167,7 +190,7 @@ class FileWriter(ds.DataSourceArrowWriter):
             # an earlier run of the job was cut off within its commit: its files count
             _drop(store, f"{base}/{TASKS}/{self.own}")
         else:
-            _text(store, f"{base}/{COMMITS}/{self.job}.pending", json.dumps([self.own, [m.place for m in messages if m is not None and m.place]]))
+            _text(store, f"{base}/{COMMITS}/{self.job}.pending", json.dumps([self.own, [f"{m.place}/{i}" for m in messages if m is not None for i in range(m.parts)]]))
         finish_commit(self.folder, self.job)
 
     def abort(self, messages: list[Attempt | None]) -> None:
@@ -211,4 +234,29 @@ def write_committed(chunks: DataFrame, folder: str, keys: Sequence[str] = (), jo
 
 def committed_files(spark: SparkSession, folder: str) -> DataFrame:
     """path, bytes, chunks of the files of all done jobs; of a file that was written again a row for each time."""
-    return spark.read.schema("path string, bytes long, chunks long").parquet(f"{folder}/{INDEX}")
+    store, base = _opened(folder)
+    kinds = "path string, bytes long, chunks long"
+    return spark.read.schema(kinds).parquet(f"{folder}/{INDEX}") if _exists(store, f"{base}/{INDEX}") else spark.createDataFrame([], kinds)
+
+
+def committed_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """path, content of the files of all done jobs, each once; tasks read them, dealt out by the index."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _opened(folder)
+        paths: list[str] = []
+        data: list[bytes] = []
+        size = 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{base}/{path}") as held:
+                    data.append(held.read())
+                paths.append(path)
+                size += len(data[-1])
+                if size >= READ_BYTES or len(paths) >= READ_FILES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(data, pa.binary())], names=["path", "content"])
+                    paths, data, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(data, pa.binary())], names=["path", "content"])
+
+    return committed_files(spark, folder).select("path").distinct().mapInArrow(read, "path string, content binary")

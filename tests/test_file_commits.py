@@ -117,3 +117,70 @@ def test_folders_of_keys_are_moved_whole(spark, tmp_path, monkeypatch):
     assert sum(x.is_file() for x in folder.glob("[0-9]/*")) == 9 * 20 and (folder / "4" / "2-3").read_text() == "4 3"
     # both places, nine folders, and the files of the one that was there
     assert moved == 2 + 9 + 20 and not (folder / "_tasks" / "job-own").exists()
+
+
+def test_the_driver_holds_few_files_at_a_time(spark, tmp_path, monkeypatch):
+    """Files lie in places of few folders and files, and the commit lists one place and moves a few at a time, over new folders and over those that are there."""
+    import pyarrow as pa
+    import pyspark
+    from pyarrow import fs
+
+    folder, longest = str(tmp_path / "out"), 0
+
+    class Store:
+        def __getattr__(self, name):
+            return getattr(fs.LocalFileSystem(), name)
+
+        def get_file_info(self, x):
+            nonlocal longest
+            found = fs.LocalFileSystem().get_file_info(x)
+            longest = max(longest, len(found)) if isinstance(x, fs.FileSelector) else longest
+            return found
+
+    class Task:
+        def taskAttemptId(self):  # noqa: N802
+            return 7
+
+    monkeypatch.setattr(fc, "PLACE_ENTRIES", 5)
+    monkeypatch.setattr(fc, "PLACE_FILES", 8)
+    monkeypatch.setattr(fc, "MOVED_AT_ONCE", 3)
+    monkeypatch.setattr(fc, "_opened", lambda folder: (Store(), folder))
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: Task()))
+    # key 0 has more files than a place, the others one each
+    files = [(0, f"f{i:02}") for i in range(30)] + [(k, "f") for k in range(1, 40)]
+    want = {f"{k}/{name}": name.encode() * 2 for k, name in files}
+    for job, times in (("one", 1), ("two", 2)):
+        writer = fc.FileWriter({"path": folder, "job": job}, 1)
+        rows = [[k, 0, name, c, name.encode()] for k, name in files for c in range(2)]
+        batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["k", "window", "filename", "chunk", "data"])
+        found = writer.write(iter([batch.slice(0, 25), batch.slice(25)]))
+        # four places for key 0, the last with two keys more, and eight for 37 keys
+        assert found.parts == 4 + 8
+        writer.commit([found, None])
+        # a place has its index beside eight files or five folders
+        assert longest == 8 and files_in(folder) == want and not (tmp_path / "out" / "_tasks" / writer.own).exists()
+        index = fc.committed_files(spark, folder)
+        assert index.count() == times * len(want) and {r["path"]: (r["bytes"], r["chunks"]) for r in index.collect()} == {p: (len(d), 2) for p, d in want.items()}
+        assert len(list((tmp_path / "out" / "_index").glob("*.parquet"))) == times * 12
+
+
+def test_contents_are_read_by_the_index(spark, tmp_path, monkeypatch):
+    """The query of committed files reads them in tasks; the driver lists no folder but the index. Each file counts once, with its last content."""
+    from pulseframe.plans import file_queries as q
+
+    folder = str(tmp_path / "out")
+    rows, want = chunks(spark)
+    fc.write_committed(rows, folder, ["k"])
+    fc.write_committed(rows.withColumn("data", F.lit(b"new")), folder, ["k"])
+    found = fc.committed_contents(spark, folder)
+    assert {r["path"]: bytes(r["content"]) for r in found.collect()} == dict.fromkeys(want, b"new" * 6) and found.count() == len(want)
+    seen = q.k1_committed_files(spark, "/root/testdata/sf0.001")
+    listed = seen.inputFiles()
+    assert listed and all("/_index/" in x for x in listed) and seen.count() > 100
+
+
+def test_nothing_written_is_nothing_read(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    rows, _ = chunks(spark)
+    fc.write_committed(rows.limit(0), folder, ["k"])
+    assert fc.committed_files(spark, folder).count() == 0 and fc.committed_contents(spark, folder).count() == 0
