@@ -227,11 +227,12 @@ class Ordered(StatefulProcessor):
         if self.timed and (size or ended):
             at = max((head["applied"] or 0) // 1_000_000, watermark_ms + 1)
             none = {c: np.zeros(0, np.int64) for c in (TS, SEQ)}
-            own = {"is_end": ended, STRETCH: stretch_bytes(found or none), EVENT_TIME: pd.Timestamp(at, unit="ms")} | dict(zip(self.keys, key, strict=True))
-            yield pd.DataFrame({c: [own[c]] for c in self.columns})
+            values = {k: np.full(1, v, np.int64 if type(v) is int else object) for k, v in zip(self.keys, key, strict=True)}
+            own = {"is_end": np.array([ended]), STRETCH: np.array([stretch_bytes(found or none)], object), EVENT_TIME: np.array([at], "M8[ms]").astype("M8[ns]")} | values
+            yield pd.DataFrame({c: own[c] for c in self.columns}, copy=False)
         elif size:
             values = {k: np.full(size, v) if type(v) is int else [v] * size for k, v in zip(self.keys, key, strict=True)}
-            yield pd.DataFrame({c: values[c] if c in values else found[c] if c in found else [None] * size for c in self.columns})
+            yield pd.DataFrame({c: values[c] if c in values else found[c] if c in found else [None] * size for c in self.columns}, copy=False)
 
     def frame(self, key: tuple, out: list[dict]) -> Iterator[pd.DataFrame]:
         if out:
